@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .media import op7_media
 from .packing import op2_packing
+from .secret_scan import op4_secrets
 from .token_files import op1_token_files
+from .warc import op3_warc
 
 
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_packing": op2_packing,
+        "op3_warc": op3_warc,
+        "op4_secrets": op4_secrets,
+        "op7_media": op7_media,
     }
 
 
