@@ -8,11 +8,16 @@ the whole text: every cut is one that the pre-tokenizer makes too.
 
 from __future__ import annotations
 
+from struct import pack
+
 import numpy as np
 
-#: Entries kept in a worker's unit table; it is emptied when full (memory bound).
-UNIT_CACHE = 300_000
-PIECE_CACHE = 300_000
+#: Entries of each of a table's two generations in a worker (a memory bound): when
+#: the young one is full it becomes the old one, and what is used again moves back.
+UNIT_CACHE = 150_000
+PIECE_CACHE = 450_000
+
+MARKS = frozenset(".,;:!?")
 
 _encoders: dict[str, "ByteEncoder"] = {}
 
@@ -38,6 +43,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Table(dict):
+    """Results of ``make`` by key, in two generations of ``most`` entries."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ByteEncoder:
     def __init__(self, path: str):
         import regex
@@ -50,23 +72,24 @@ class ByteEncoder:
         self.letters = _byte_letters()
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids are kept as 16-bit integers")
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Table(self._piece, PIECE_CACHE)
+        self.units = _Table(self._unit, UNIT_CACHE)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _unit(self, text: str) -> bytes:
-        out = []
-        for piece in self.split(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= PIECE_CACHE:
-                    self.pieces.clear()
-                found = self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
-                ids = self.pieces[piece] = np.array([t.id for t in found], "<u2").tobytes()
-            out.append(ids)
-        return b"".join(out)
+    def _piece(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
+        return pack(f"<{len(found)}H", *[t.id for t in found])
+
+    def _unit(self, word: str) -> bytes:
+        """Ids of a space and ``word``: letters alone, letters and a mark, or any text."""
+        pieces = self.pieces
+        if word.isalpha():
+            return pieces[" " + word]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return pieces[" " + word[:-1]] + pieces[word[-1]]
+        return b"".join([pieces[p] for p in self.split(" " + word)])
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian 16-bit integers."""
@@ -75,30 +98,16 @@ class ByteEncoder:
         if any(s in text for s in self.specials):
             return self._ids(text)
         parts = text.split(" ")
-        if "" in parts:  # runs of spaces: all but the last belong to what stands before
+        if "" in parts:  # of a run of spaces, all but the last belong to what stands before
             merged = [parts[0]]
-            for p in parts[1:-1]:
+            for p in parts[1:]:
                 if p:
                     merged.append(p)
                 else:
                     merged[-1] += " "
-            if len(parts) > 1:
-                if parts[-1]:
-                    merged.append(parts[-1])
-                else:
-                    merged[-1] += " "
-            if merged[0] and not merged[0].strip(" "):
+            if not merged[0].strip(" "):
                 return self._ids(text)
             parts = merged
-        units = self.units
-        first = self._unit(parts[0]) if parts[0] else b""
-        rest = parts[1:]
-        try:
-            return first + b"".join([units[p] for p in rest])
-        except KeyError:
-            if len(units) >= UNIT_CACHE:
-                units.clear()
-            for p in set(rest):
-                if p not in units:
-                    units[p] = self._unit(" " + p)
-            return first + b"".join([units[p] for p in rest])
+        first = b"".join([self.pieces[p] for p in self.split(parts[0])])
+        del parts[0]
+        return first + b"".join(map(self.units.__getitem__, parts))
