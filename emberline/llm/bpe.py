@@ -79,7 +79,11 @@ class ByteEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
+        if piece.isascii() and piece.isprintable():  # printable bytes stand for themselves
+            letters = piece.replace(" ", self.letters[32])
+        else:
+            letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        found = self.model.tokenize(letters)
         return pack(f"<{len(found)}H", *[t.id for t in found])
 
     def _unit(self, word: str) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .media import op7_media
 from .packing import op2_packing
+from .pieces import op10_sentencepiece
 from .secret_scan import op4_secrets
 from .token_files import op1_token_files
 from .warc import op3_warc
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_secrets": op4_secrets,
         "op7_media": op7_media,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
