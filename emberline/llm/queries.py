@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .cover_tree import OP9_SQL, op9_top_k
+from .jaccard_join import op5_jaccard_join
 from .media import op7_media
 from .packing import op2_packing
 from .pieces import op10_sentencepiece
@@ -16,10 +18,12 @@ def queries() -> dict:
         "op2_packing": op2_packing,
         "op3_warc": op3_warc,
         "op4_secrets": op4_secrets,
+        "op5_jaccard_join": op5_jaccard_join,
         "op7_media": op7_media,
+        "op9_top_k": op9_top_k,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_top_k": OP9_SQL}
