@@ -286,13 +286,15 @@ def table_of(schema: pa.Schema, *columns) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, places: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for each row of ``docs``.
 
     ``component_id`` is the least doc_id reachable over links, ``n_links`` the
     number of other rows a row links to. Null or blank texts have empty sets and
     link with nothing. A null doc_id keeps its row and takes part, but never names
     a component. Rows with equal ids stay apart. Other columns are ignored.
+    ``places`` adds each row's place in the scan (pid, idx) and class_id, the
+    component's own key.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -316,12 +318,42 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     linked = classes.join(reached, "node").select("node", "comp", "first")
     least = linked.groupBy("comp").agg(F.min("first").alias("least"))
-    named = linked.join(least, "comp").select("node", "least").join(degree, "node", "left")
-    known = classes.join(named, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = linked.join(least, "comp").select("node", "comp", "least").join(degree, "node", "left")
+    known = classes.join(named, "node", "left").select("node", F.coalesce("comp", "node").alias("class_id"), F.coalesce("least", "first").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = narrow.join(known, "node", "left")
-    return out.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    return out.select(*columns, *(["pid", "idx", "class_id"] if places else []))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``: that of least doc_id, with its own
+    columns. Of repeated least ids the row that is scanned first stays; rows with
+    null ids stay only where their component has no other; empty texts all stay.
+    """
+    spark = docs.sparkSession
+    found = jaccard_components(docs, places=True)
+    # the place of each component's first row; texts without words are their own
+    grouped = found.filter("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pid", "idx")).alias("best"))
+    kept = grouped.select("best.pid", "best.idx").union(found.filter("n_shingles = 0").select("pid", "idx"))
+    folder = shared_dir(spark, "jaccard-kept")
+    kept.repartition("pid").write.partitionBy("pid").parquet(folder)
+
+    def run(batches):
+        fs, path = open_fs(f"{folder}/pid={TaskContext.get().partitionId()}")
+        from pyarrow.fs import FileSelector
+
+        keep, at = set(), 0
+        for info in fs.get_file_info(FileSelector(path, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with fs.open_input_file(info.path) as f:
+                    keep.update(pq.ParquetFile(f).read()["idx"].to_pylist())
+        for batch in batches:
+            mask = [at + i in keep for i in range(batch.num_rows)]
+            at += batch.num_rows
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .cover_tree import OP9_SQL, op9_top_k
 from .jaccard_join import op5_jaccard_join
+from .lm_score import op6_language_model
 from .media import op7_media
 from .packing import op2_packing
 from .pieces import op10_sentencepiece
+from .quality import op8_quality
 from .secret_scan import op4_secrets
 from .token_files import op1_token_files
 from .warc import op3_warc
@@ -19,7 +21,9 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_secrets": op4_secrets,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_language_model": op6_language_model,
         "op7_media": op7_media,
+        "op8_quality": op8_quality,
         "op9_top_k": op9_top_k,
         "op10_sentencepiece": op10_sentencepiece,
     }
