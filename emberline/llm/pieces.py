@@ -31,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Words kept in a worker's table, and words of one numpy group.
 WORD_CACHE, GROUP = 200_000, 2048
 #: Texts encoded together.
-TEXTS = 256
+TEXTS = 512
 #: Longer words are scored one at a time, so a batch's table stays small.
 BATCHED = 48
 
@@ -218,17 +218,26 @@ class PieceModel:
         return np.array(out, "<u2").tobytes()
 
     def _walk(self, words: list[str], back: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """Follow the backpointers of all words at once; their ids as bytes."""
         n, size = len(words), back.shape[1] - 1
         at, rows = np.full(n, size), np.arange(n)
-        cuts: list[list] = [[] for _ in words]
+        length_at, id_at = np.zeros((n, size), np.int16), np.zeros((n, size), np.int32)
         while len(rows):
             length = back[rows, at[rows]].astype(np.int64)
             start = at[rows] - length
-            for r, s, m, k in zip(rows.tolist(), start.tolist(), length.tolist(), ids[rows, start, length].tolist()):
-                cuts[r].append((s, m, k))
+            length_at[rows, start] = length
+            id_at[rows, start] = ids[rows, start, length]
             at[rows] = start
             rows = rows[start > 0]
-        return [self._spell(w, c[::-1]) for w, c in zip(words, cuts)]
+        cut = length_at > 0
+        ends = np.concatenate([[0], np.cumsum(cut.sum(axis=1))]) * 2
+        flat = id_at[cut]
+        data, ends = (flat & 0xFFFF).astype("<u2").tobytes(), ends.tolist()
+        out = [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        for r in np.flatnonzero((id_at < 0).any(axis=1)).tolist():  # words with unknown characters
+            starts = np.flatnonzero(cut[r])
+            out[r] = self._spell(words[r], list(zip(starts.tolist(), length_at[r, starts].tolist(), id_at[r, starts].tolist())))
+        return out
 
     def encode_words(self, words: list[str]) -> None:
         """Put new words into the table, equal lengths together."""
@@ -239,7 +248,7 @@ class PieceModel:
             step = GROUP if length <= BATCHED else max(1, GROUP * BATCHED // length)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                codes = np.array([[ord(c) for c in w] for w in part], np.uint32)
+                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
                 scores, ids = self.table(codes)
                 first = self._walk(part, self.viterbi(scores), ids)
                 second = self._walk(part, self.merges(scores), ids)
@@ -248,14 +257,12 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Viterbi ids and merge-order ids of each text."""
         split = [self.words((SPACE * self.prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
+        every = {w for words in split for w in words}
+        if len(self.cache) > WORD_CACHE:  # the words of this batch stay
+            self.cache = {w: self.cache[w] for w in every if w in self.cache}
+        self.encode_words([w for w in every if w not in self.cache])
         out = []
         for words in split:
-            new = [w for w in set(words) if w not in self.cache]
-            if new:
-                if len(self.cache) + len(new) > WORD_CACHE:
-                    self.cache.clear()
-                    new = list(set(words))
-                self.encode_words(new)
             got = [self.cache[w] for w in words]
             out.append((np.frombuffer(b"".join([a for a, _ in got]), "<u2"), np.frombuffer(b"".join([b for _, b in got]), "<u2")))
         return out
