@@ -25,8 +25,12 @@ from .common import persist, prepare, read_table
 LABELLED = 20_000
 #: Distinct words of a labelled text that the toxic list looks at, listed words.
 SAMPLE_WORDS, TOXIC_WORDS = 2_000, 256
-#: A listed word is in this share of toxic texts, and this many times likelier there.
-TOXIC_SHARE, TOXIC_LIFT = 0.08, 50.0
+#: Lengths of word beginnings that are listed like words (inflected languages).
+STEM = range(4, 8)
+#: A listed word or beginning is in this share of toxic texts, and this many times likelier there.
+TOXIC_SHARE, TOXIC_LIFT = 0.04, 50.0
+#: Log odds that a toxic mark needs.
+TOXIC_MARGIN = 3.0
 #: Farthest that a site's prior moves a document's log odds.
 SITE_REACH = 2.0
 #: Sites up to this many rows are broadcast; more meet the documents in a shuffle join.
@@ -81,22 +85,38 @@ def toxic_words_of(text: str) -> set[str]:
     return {w.strip(".,;:!?\"'()[]") for w in set(text.lower().split())}
 
 
+def stems(words: set[str]) -> set[str]:
+    """The words, and their beginnings of STEM lengths as ``beginning-``."""
+    return words | {w[:k] + "-" for w in words for k in STEM if len(w) >= k}
+
+
 class Model:
     """Weights of standardised features, and log odds of listed words."""
 
     def __init__(self, mean, scale, weights, intercept: float, base: float, toxic: dict[str, float], toxic_base: float):
         self.mean, self.scale, self.weights, self.intercept, self.base = mean, scale, weights, intercept, base
         self.toxic, self.toxic_base = toxic, toxic_base
+        self.whole = {w for w in toxic if not w.endswith("-")}
+        self.beginnings = {k: {w[:-1] for w in toxic if w.endswith("-") and len(w) == k + 1} for k in STEM}
+        self.beginnings = {k: v for k, v in self.beginnings.items() if v}
 
     def evidence(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return z @ self.weights[: x.shape[1]] + (z * z) @ self.weights[x.shape[1] :] + self.intercept - self.base
 
     def toxicity(self, text: str) -> float:
-        """Log odds of a toxic text by its listed words."""
-        if not self.toxic:
-            return self.toxic_base
-        return self.toxic_base + sum(self.toxic.get(w, 0.0) for w in toxic_words_of(text))
+        """Log odds of a toxic text by its two strongest words, less a margin.
+
+        A word counts by the strongest listed word or beginning that it matches; one
+        weak word alone doesn't pass the margin.
+        """
+        words = toxic_words_of(text) if self.toxic else set()
+        weights = {w: self.toxic[w] for w in words & self.whole}
+        for k, listed in self.beginnings.items():
+            for w in words:
+                if w[:k] in listed:
+                    weights[w] = max(weights.get(w, 0.0), self.toxic[w[:k] + "-"])
+        return self.toxic_base + sum(sorted(weights.values())[-2:]) - TOXIC_MARGIN
 
 
 def _logit(p: float) -> float:
@@ -128,7 +148,7 @@ def fit_toxic(words: list[set[str]], toxic: np.ndarray) -> tuple[dict[str, float
         return {}, -10.0
     bad, fine = Counter(), Counter()
     for w, t in zip(words, toxic):
-        (bad if t else fine).update(w)
+        (bad if t else fine).update(stems(w))
     lift = {w: ((c + 0.5) / (n1 + 1)) / ((fine[w] + 0.5) / (n0 + 1)) for w, c in bad.items() if c >= max(3, TOXIC_SHARE * n1)}
     best = sorted((w for w in lift if w and lift[w] >= TOXIC_LIFT), key=lambda w: (-lift[w], w))[:TOXIC_WORDS]
     return {w: math.log(lift[w]) for w in best}, _logit(n1 / (n1 + n0))
