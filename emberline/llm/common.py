@@ -65,6 +65,8 @@ class AtomicFile:
 
     def close(self) -> None:
         self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.path)  # of an earlier attempt of the same task
         self.fs.move(self.part, self.path)
 
 

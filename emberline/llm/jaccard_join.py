@@ -9,17 +9,22 @@
    node whose prefix is filled by tokens that no other node has leaves at once.
    So common passages do not pair unlike documents.
 3. Nodes that share prefix tokens form components (labels, not pairs, travel).
-   A component is dealt to groups of bounded token count, and each pair of
-   groups is one block; a large family is many blocks, never one task.
-4. In a block similar nodes are sorted into groups, each with the union of its
-   tokens. A matrix product bounds every node's overlap with every group, and
-   only groups that can hold a match are opened and scored exactly.
+   A component is dealt to groups of bounded token count. A group of a component
+   with several is stored once, with the union of its tokens; each pair of such
+   groups is one task that reads the unions first and opens the groups only if
+   they can match. So a large family is many tasks, never one, and its sets are
+   shuffled once.
+4. In a task similar nodes are sorted into small groups, again with their unions.
+   A matrix product bounds every node's overlap with every group, and only groups
+   that can hold a match are opened and scored exactly.
 
 Equality of sets and tokens is that of 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -28,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, persist, prepare, read_table, shared_dir, table
+from .common import AtomicFile, open_fs, persist, prepare, read_table, shared_dir, table
 from .shingles import shingle_hashes
 
 #: A link: 100 * intersection >= LINK * union.
@@ -113,12 +118,12 @@ def candidate_components(posts: DataFrame) -> DataFrame:
     return components(edges, "jaccard-candidates")
 
 
-BLOCKS = pa.schema([("comp", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("g", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary())])
-BLOCKS_DDL = "comp long, a int, b int, g int, node long, copies long, tokens binary"
+BLOCKS = pa.schema([("comp", pa.int64()), ("g", pa.int32()), ("k", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary())])
+BLOCKS_DDL = "comp long, g int, k int, node long, copies long, tokens binary"
 
 
 def fetch(docs: DataFrame, folder: str) -> DataFrame:
-    """The token sets of the wanted rows, once for each block of their group.
+    """The token sets of the wanted rows, each once.
 
     ``folder`` holds the wanted places by partition; the second scan meets them by
     position, so no text is shuffled. A node that isn't found there again fails.
@@ -144,13 +149,12 @@ def fetch(docs: DataFrame, folder: str) -> DataFrame:
                     data = s.tobytes()
                     if node != int(np.uint64(xxhash.xxh64_intdigest(data)).view(np.int64)):
                         raise RuntimeError("the input changed between two scans")
-                    for j in range(k):
-                        for name, value in zip(rows, (comp, min(g, j), max(g, j), g, node, copies, data)):
-                            rows[name].append(value)
-                        size += len(data)
-                        if size > 8 << 20:
-                            yield table(BLOCKS, **rows)
-                            rows, size = {f.name: [] for f in BLOCKS}, 0
+                    for name, value in zip(rows, (comp, g, k, node, copies, data)):
+                        rows[name].append(value)
+                    size += len(data)
+                    if size > 8 << 20:
+                        yield table(BLOCKS, **rows)
+                        rows, size = {f.name: [] for f in BLOCKS}, 0
                 idx += 1
             yield table(BLOCKS, **rows)
         if want:
@@ -262,24 +266,62 @@ def _roots(count: int, a: np.ndarray, b: np.ndarray) -> list[int]:
 LINKS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
-def score_block(block: pa.Table) -> pa.Table:
-    """Nodes with links: the first node they reach in this block, and how many
-    other documents they link to here. Blocks of two groups score cross pairs."""
-    block = block.sort_by("node")
-    nodes = block["node"].to_pylist()
-    group = np.array(block["g"].to_pylist())
-    sets = [np.frombuffer(x, np.uint64) for x in block["tokens"].to_pylist()]
-    i, j = block_links(sets)
-    if block["a"][0].as_py() != block["b"][0].as_py():
-        cross = group[i] != group[j]
-        i, j = i[cross], j[cross]
-    copies = np.array(block["copies"].to_pylist(), np.int64)
+def _linked(nodes: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """Nodes with links: the first node they reach here, and how many other
+    documents they link to here."""
     links = np.zeros(len(nodes), np.int64)
     np.add.at(links, i, copies[j])
     np.add.at(links, j, copies[i])
-    roots = _roots(len(nodes), i, j)
+    roots = np.array(_roots(len(nodes), i, j))
     on = np.flatnonzero(links)
-    return table_of(LINKS, [nodes[x] for x in on], [nodes[roots[x]] for x in on], links[on])
+    return table_of(LINKS, nodes[on], nodes[roots[on]], links[on])
+
+
+def group_name(folder: str, comp: int, g: int) -> str:
+    return f"{folder}/{comp}-{g}.npz"
+
+
+def score_group(folder: str):
+    """Links inside a group; a group of several is stored with its token union."""
+
+    def score(block: pa.Table) -> pa.Table:
+        block = block.sort_by("node")
+        nodes, copies = block["node"].to_numpy(), block["copies"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in block["tokens"].to_pylist()]
+        if block["k"][0].as_py() > 1:
+            out = io.BytesIO()
+            flat = np.concatenate(sets)
+            np.savez(out, union=np.unique(flat), nodes=nodes, copies=copies, n=np.array([len(x) for x in sets]), flat=flat)
+            file = AtomicFile(group_name(folder, block["comp"][0].as_py(), block["g"][0].as_py()))
+            file.write(out.getvalue())
+            file.close()
+        return _linked(nodes, copies, *block_links(sets))
+
+    return score
+
+
+def score_pairs(pairs: DataFrame, folder: str) -> DataFrame:
+    """Links across two stored groups of a component, for rows (comp, a, b)."""
+
+    def read(comp: int, g: int):
+        fs, path = open_fs(group_name(folder, comp, g))
+        with fs.open_input_file(path) as f:
+            return np.load(io.BytesIO(f.read()))
+
+    def run(batches):
+        for batch in batches:
+            for comp, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                left, right = read(comp, a), read(comp, b)
+                common = len(np.intersect1d(left["union"], right["union"], assume_unique=True))
+                if 100 * common < LINK * max(left["n"].min(), right["n"].min()):
+                    continue
+                nodes, copies = np.concatenate([left["nodes"], right["nodes"]]), np.concatenate([left["copies"], right["copies"]])
+                sets = [s for x in (left, right) for s in np.split(x["flat"], np.cumsum(x["n"])[:-1])]
+                i, j = block_links(sets)
+                cross = (i < len(left["n"])) != (j < len(left["n"]))
+                yield from _linked(nodes, copies, i[cross], j[cross]).to_batches()
+
+    return pairs.select("comp", "a", "b").mapInArrow(run, "node long, root long, links long")
 
 
 def table_of(schema: pa.Schema, *columns) -> pa.Table:
@@ -311,8 +353,13 @@ def jaccard_components(docs: DataFrame, places: bool = False) -> DataFrame:
     folder = shared_dir(spark, "jaccard-wanted")
     dealt.repartition("pid").write.partitionBy("pid").parquet(folder)
 
-    blocks = fetch(rows, folder)
-    links = persist(blocks.groupBy("comp", "a", "b").applyInArrow(score_block, "node long, root long, links long"), "jaccard-links")
+    groups = shared_dir(spark, "jaccard-groups")
+    inside = persist(fetch(rows, folder).groupBy("comp", "g").applyInArrow(score_group(groups), "node long, root long, links long"), "jaccard-links")
+    # a component's groups that got no node have no file: only real groups are paired
+    real = spark.read.schema(dealt.schema).parquet(folder).select("comp", "k", "g").filter("k > 1").distinct()
+    pairs = real.select("comp", F.col("g").alias("a")).join(real.select("comp", F.col("g").alias("b")), "comp").filter("a < b")
+    across = persist(score_pairs(pairs.repartition("comp", "a", "b"), groups), "jaccard-links")
+    links = inside.unionByName(across)
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-links")
 
