@@ -23,8 +23,8 @@ from .common import persist, prepare, read_table
 
 #: Labelled documents that a fit reads at most: those of least id hash.
 LABELLED = 20_000
-#: Distinct words of a labelled text that the toxic list looks at, listed words.
-SAMPLE_WORDS, TOXIC_WORDS = 2_000, 256
+#: Frequent words of toxic texts that are looked at, and words that are listed.
+TOXIC_CANDIDATES, TOXIC_WORDS = 20_000, 256
 #: Lengths of word beginnings that are listed like words (inflected languages).
 STEM = range(4, 8)
 #: A listed word or beginning is in this share of toxic texts, and this many times likelier there.
@@ -141,16 +141,31 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 2.0) -> tuple:
     return mean, scale, w[:-1], float(w[-1])
 
 
-def fit_toxic(words: list[set[str]], toxic: np.ndarray) -> tuple[dict[str, float], float]:
-    """Words that mark toxic texts, and the base log odds."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+def _stem_counts(sample: DataFrame, wanted: set[str] | None) -> DataFrame:
+    """(word, n): texts of ``sample`` that hold each word or beginning; tasks count
+    their own texts first. ``wanted`` limits what is counted."""
+
+    def run(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for cell in batch.column(0):
+                found = stems(toxic_words_of(cell.as_py()))
+                held.update(found if wanted is None else found & wanted)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+
+    return sample.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fit_toxic(sample: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], float]:
+    """Words that mark toxic texts of ``sample`` (text, toxic), and the base log odds."""
     if n1 < 3 or n0 < 3:
         return {}, -10.0
-    bad, fine = Counter(), Counter()
-    for w, t in zip(words, toxic):
-        (bad if t else fine).update(stems(w))
-    lift = {w: ((c + 0.5) / (n1 + 1)) / ((fine[w] + 0.5) / (n0 + 1)) for w, c in bad.items() if c >= max(3, TOXIC_SHARE * n1)}
-    best = sorted((w for w in lift if w and lift[w] >= TOXIC_LIFT), key=lambda w: (-lift[w], w))[:TOXIC_WORDS]
+    least = max(3.0, TOXIC_SHARE * n1)
+    often = _stem_counts(sample.filter("toxic > 0"), None).filter((F.col("n") >= least) & (F.col("word") != "") & (F.length("word") <= 64))
+    bad = {r.word: r.n for r in often.orderBy(F.desc("n"), "word").limit(TOXIC_CANDIDATES).collect()}
+    fine = {r.word: r.n for r in _stem_counts(sample.filter("toxic <= 0"), set(bad)).collect()}
+    lift = {w: ((c + 0.5) / (n1 + 1)) / ((fine.get(w, 0) + 0.5) / (n0 + 1)) for w, c in bad.items()}
+    best = sorted((w for w in lift if lift[w] >= TOXIC_LIFT), key=lambda w: (-lift[w], w))[:TOXIC_WORDS]
     return {w: math.log(lift[w]) for w in best}, _logit(n1 / (n1 + n0))
 
 
@@ -164,26 +179,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     one = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     chosen = one.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(LABELLED).drop("o")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("x", pa.list_(pa.float64())), ("words", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            words = [sorted(toxic_words_of(t))[:SAMPLE_WORDS] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32()), pa.array([features(t) for t in texts], schema.field("x").type), pa.array(words, schema.field("words").type)], schema=schema)
+            x = pa.array([features(t) for t in batch.column("text").to_pylist()], schema.field("x").type)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32()), x], schema=schema)
 
-    # at most LABELLED small rows, a size that is proven
+    # at most LABELLED rows of two flags are broadcast, a size that is proven
     met = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
-    rows = met.mapInArrow(run, "doc_id long, quality int, toxic int, x array<double>, words array<string>").toArrow()
-    good = np.array(rows["quality"].to_pylist(), float) > 0
+    sample = persist(met, "quality-sample")
+    rows = sample.mapInArrow(run, "doc_id long, quality int, toxic int, x array<double>").toArrow()  # LABELLED rows of numbers
+    good = rows["quality"].to_numpy().astype(float) > 0
     zeros = np.zeros(FEATURES)
     mean, scale, weights, intercept, base = zeros, zeros + 1, np.zeros(2 * FEATURES), 0.0, 0.0
     if len(good) >= 10 and 0 < good.sum() < len(good):
         order = np.argsort(rows["doc_id"].to_numpy())
-        x = np.array(rows["x"].to_pylist())[order]
+        x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(good), FEATURES)[order]
         mean, scale, weights, intercept = fit(x, good[order].astype(float))
         base = _logit(float(good.mean()))
-    toxic, toxic_base = fit_toxic([set(w) for w in rows["words"].to_pylist()], np.array(rows["toxic"].to_pylist(), int) > 0)
+    n1 = int((rows["toxic"].to_numpy() > 0).sum())
+    toxic, toxic_base = fit_toxic(sample, n1, len(good) - n1)
     return Model(mean, scale, weights, intercept, base, toxic, toxic_base)
 
 
