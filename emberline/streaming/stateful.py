@@ -35,12 +35,13 @@ def next_state(value: float, seconds: float, stimulus: float, tau: float = DEFAU
     return min(1.0, max(0.0, value * math.exp(-max(0.0, seconds) / tau) + stimulus))
 
 
-def decayed_state(events: DataFrame, key: str, ts: str = "ts", amount: str = "amount", p: Params = DEFAULTS, idle_ms: int = 86_400_000) -> DataFrame:
+def decayed_state(events: DataFrame, key: str, ts: str = "ts", amount: str = "amount", p: Params = DEFAULTS, late: str = "1 day", idle_ms: int = 86_400_000) -> DataFrame:
     """(key, at, value): exponentially decaying state with additive stimuli.
 
     Events of a batch are taken in time order; one that is older than the state's
     clock adds its stimulus, decayed to that clock, so the result doesn't depend
-    on arrival order inside the bounds. A key idle for ``idle_ms`` is forgotten.
+    on arrival order inside the bounds. A key whose clock is ``idle_ms`` behind the
+    watermark is forgotten.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,11 +57,11 @@ def decayed_state(events: DataFrame, key: str, ts: str = "ts", amount: str = "am
             else:
                 value = min(1.0, max(0.0, value + float(x) * math.exp(-(clock - now) / p.tau_s)))
         state.update((value, clock))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(clock * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "at": [pd.Timestamp(clock, unit="s")], "value": [round(value, 6)]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at timestamp, value double", "value double, clock double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at timestamp, value double", "value double, clock double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_batch(path: str, key: list[str]):

@@ -134,7 +134,7 @@ def test_streams_equal_batches(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame(rows, "k string, ts timestamp, amount double").coalesce(1).write.parquet(src)
     stream = lambda: spark.readStream.schema("k string, ts timestamp, amount double").parquet(src)
-    run = lambda df, name, mode: df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    run = lambda df, name, mode: df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(90)
     run(stateful.deduplicated(stream(), ["k"]), "first", "append")
     assert spark.sql("SELECT count(*) n FROM first").first().n == 2
     run(stateful.decayed_state(stream(), "k"), "state", "update")
@@ -142,5 +142,5 @@ def test_streams_equal_batches(spark, tmp_path):
     assert math.isclose(got["a"], 0.5 * math.exp(-4) + 0.25, abs_tol=1e-6) and got["b"] == 1.0
     out = str(tmp_path / "log")
     q = stream().writeStream.foreachBatch(stateful.append_batch(out, ["k"])).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(90)
     assert spark.read.parquet(out).count() == 2
