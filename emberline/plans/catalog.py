@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, REF
 from ..functions import scoring as S
 from ..functions import text as X
-from ..operators import graph, ledger, ranking, timeline, vectors
-from ..sources import views as V
+from ..functions import similarity
+from ..operators import chunking, graph, ledger, ranking, timeline, vectors
+from ..sources import exports, views as V
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -618,6 +619,56 @@ def t12(spark, d):
     return V.read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.max("ts").cast("timestamp")).alias("last_us"))
 
 
+# --- chunking, parsing and string similarity --------------------------------
+
+
+@query("w07_turn_chunks")
+def w07(spark, d):
+    return chunking.turn_chunks(V.read(spark, d, "conversations"), 200)
+
+
+@query("w08_line_chunks")
+def w08(spark, d):
+    m = V.memories(spark, d).select("id", F.posexplode(chunking.line_chunks(F.col("content"))).alias("segment", "chunk"))
+    return m.select("id", "segment", F.length("chunk").alias("size"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+@query("x31_utf8_parts")
+def x31(spark, d):
+    m = V.memories(spark, d).select("id", F.posexplode(chunking.utf8_parts(F.col("content"), 4096)).alias("part", "data"))
+    return m.select("id", "part", F.length("data").alias("size"), F.sha2("data", 256).alias("digest"))
+
+
+@query("m01_topic_score")
+def m01(spark, d):
+    m = V.memories(spark, d)
+    score = similarity.topic_score("src3 the", F.col("name"), F.col("tags"), F.col("domain"), F.col("content"))
+    return m.select("id", F.round(score, 6).alias("score"))
+
+
+@query("w05_greedy_clusters")
+def w05(spark, d):
+    pool = V.vectors(spark, d).join(V.memories(spark, d).select("id", F.col("event_at").alias("ts")), "id").orderBy(F.desc("ts"), "id").limit(500)
+    return chunking.greedy_clusters(pool, 0.3, 3.0, 2, 12)
+
+
+@query("s11_message_lists")
+def s11(spark, d):
+    c = V.read(spark, d, "conversations")
+    message = F.to_json(F.struct(F.col("role").alias("sender"), "text", F.col("turn").cast("string").alias("created_at")))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), ",")
+    raw = c.groupBy(F.col("conv_id").alias("conv")).agg(F.concat(F.lit('{"chat_messages":['), ordered, F.lit("]}")).alias("json"))
+    return exports.message_lists(raw)
+
+
+@query("s13_plain_text")
+def s13(spark, d):
+    c = V.read(spark, d, "conversations").filter("role in ('user', 'assistant')")
+    line = F.concat(F.col("role"), F.lit(": "), F.regexp_replace("text", "\n", " "))
+    raw = c.groupBy(F.col("conv_id").alias("conv")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return exports.plain_text(raw)
+
+
 # --- entry points -----------------------------------------------------------
 
 
