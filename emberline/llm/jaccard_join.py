@@ -358,7 +358,9 @@ def jaccard_components(docs: DataFrame, places: bool = False) -> DataFrame:
     # a component's groups that got no node have no file: only real groups are paired
     real = spark.read.schema(dealt.schema).parquet(folder).select("comp", "k", "g").filter("k > 1").distinct()
     pairs = real.select("comp", F.col("g").alias("a")).join(real.select("comp", F.col("g").alias("b")), "comp").filter("a < b")
-    across = persist(score_pairs(pairs.repartition("comp", "a", "b"), groups), "jaccard-links")
+    pairs = persist(pairs.select("comp", "a", "b"), "jaccard-pairs")
+    tasks = max(1, min(pairs.count(), 10_000))  # few rows, much work: as many tasks as pairs
+    across = persist(score_pairs(pairs.repartition(tasks, "comp", "a", "b"), groups), "jaccard-links")
     links = inside.unionByName(across)
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-links")
