@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import emberline.plans.records  # noqa: F401
 from emberline.plans.catalog import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
