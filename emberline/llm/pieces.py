@@ -28,8 +28,9 @@ from .common import prepare, read_table, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Words kept in a worker's table, and words of one numpy group.
-WORD_CACHE, GROUP = 200_000, 2048
+#: Words kept in each of two generations of a worker's table, and words of one
+#: numpy group.
+WORD_CACHE, GROUP = 300_000, 2048
 #: Texts encoded together.
 TEXTS = 512
 #: Longer words are scored one at a time, so a batch's table stays small.
@@ -101,7 +102,7 @@ class PieceModel:
         cut = "\n" if "\n" not in inner else ""
         if any(SPACE in self.pieces[k].lstrip(SPACE) for k in normal):
             raise ValueError("pieces span words")
-        self.words = re.compile(f"{cut or '(?!)'}|{SPACE}*[^{SPACE}{cut}]+|{SPACE}+").findall
+        self.words = re.compile(f"{cut or '(?!)'}| *[^ {cut}]+| +").findall
         # keys of normal pieces, sorted by substring hash
         rng = np.random.default_rng(7)
         self.base = np.uint64(rng.integers(1 << 62, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
@@ -124,7 +125,9 @@ class PieceModel:
             raise ValueError("piece keys collide")
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        # ids of words (with plain spaces) in both readings, and the generation before
+        self.cache: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     @staticmethod
     def _mix(codes: np.ndarray) -> np.ndarray:
@@ -247,25 +250,28 @@ class PieceModel:
         for length, group in by_length.items():
             step = GROUP if length <= BATCHED else max(1, GROUP * BATCHED // length)
             for at in range(0, len(group), step):
-                part = group[at : at + step]
+                plain = group[at : at + step]
+                part = [w.replace(" ", SPACE) for w in plain]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
                 scores, ids = self.table(codes)
                 first = self._walk(part, self.viterbi(scores), ids)
                 second = self._walk(part, self.merges(scores), ids)
-                self.cache.update(zip(part, zip(first, second)))
+                self.cache[0].update(zip(plain, first))
+                self.cache[1].update(zip(plain, second))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Viterbi ids and merge-order ids of each text."""
-        split = [self.words((SPACE * self.prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
-        every = {w for words in split for w in words}
-        if len(self.cache) > WORD_CACHE:  # the words of this batch stay
-            self.cache = {w: self.cache[w] for w in every if w in self.cache}
-        self.encode_words([w for w in every if w not in self.cache])
-        out = []
-        for words in split:
-            got = [self.cache[w] for w in words]
-            out.append((np.frombuffer(b"".join([a for a, _ in got]), "<u2"), np.frombuffer(b"".join([b for _, b in got]), "<u2")))
-        return out
+        lead = " " * self.prefix
+        split = [self.words(lead + t.replace(SPACE, " ")) if t else [] for t in texts]
+        if len(self.cache[0]) > WORD_CACHE:
+            self.old, self.cache = self.cache, ({}, {})
+        unseen = set().union(*split) - self.cache[0].keys()
+        again = unseen & self.old[0].keys()
+        for new, old in zip(self.cache, self.old):
+            new.update((w, old[w]) for w in again)
+        self.encode_words(list(unseen - again))
+        first, second = (table.__getitem__ for table in self.cache)
+        return [(np.frombuffer(b"".join(map(first, words)), "<u2"), np.frombuffer(b"".join(map(second, words)), "<u2")) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space put before the text is taken off again."""
