@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to a Python worker. Texts may be long, so the
 #: engine default of 10,000 rows would let one batch grow past a worker's share.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:

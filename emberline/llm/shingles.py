@@ -9,7 +9,7 @@ from .bpe import _Table
 
 WORDS = 5
 #: Word hashes kept per generation in a worker.
-WORD_TABLE = 400_000
+WORD_TABLE = 100_000
 #: Odd multipliers of the words of a shingle, and of its final mix.
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, 7, dtype=np.uint64)]
 
