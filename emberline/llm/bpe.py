@@ -14,8 +14,8 @@ import numpy as np
 
 #: Entries of each of a table's two generations in a worker (a memory bound): when
 #: the young one is full it becomes the old one, and what is used again moves back.
-UNIT_CACHE = 80_000
-PIECE_CACHE = 250_000
+UNIT_CACHE = 120_000
+PIECE_CACHE = 350_000
 
 MARKS = frozenset(".,;:!?")
 
