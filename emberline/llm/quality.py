@@ -5,13 +5,15 @@ of good quality over the base rate. Hosts and paths get posteriors of their own:
 grouped sums of the documents' probabilities, shrunk towards the level above (path
 to host, host to global) by variance components that are estimated from the
 same sums, so a sparse site stays near the global prior. A document's quality is
-its evidence on top of its path's prior. A second list, of words that go with
-toxic labels, marks toxic documents. ``keep`` asks for good quality and no mark.
+its evidence on top of its path's prior. Lists of words that go with toxic labels,
+one per language and one of all languages, mark toxic documents. ``keep`` asks for
+good quality and no mark.
 """
 
 from __future__ import annotations
 
 import math
+import string
 from collections import Counter
 
 import numpy as np
@@ -23,12 +25,12 @@ from .common import persist, prepare, read_table
 
 #: Labelled documents that a fit reads at most: those of least id hash.
 LABELLED = 20_000
-#: Frequent words of toxic texts that are looked at, and words that are listed.
-TOXIC_CANDIDATES, TOXIC_WORDS = 20_000, 256
 #: Lengths of word beginnings that are listed like words (inflected languages).
 STEM = range(4, 8)
-#: A listed word or beginning is in this share of toxic texts, and this many times likelier there.
-TOXIC_SHARE, TOXIC_LIFT = 0.04, 50.0
+#: A listed word or beginning is in so many toxic texts at least, and this many times likelier there.
+TOXIC_LEAST, TOXIC_LIFT = 3, 10.0
+#: Words and beginnings that a task holds before it hands on their counts.
+HELD_WORDS = 200_000
 #: Log odds that a toxic mark needs.
 TOXIC_MARGIN = 3.0
 #: Farthest that a site's prior moves a document's log odds.
@@ -82,7 +84,7 @@ def features(text: str) -> list[float]:
 
 
 def toxic_words_of(text: str) -> set[str]:
-    return {w.strip(".,;:!?\"'()[]") for w in set(text.lower().split())}
+    return {w.strip(string.punctuation) for w in set(text.lower().split())} - {""}
 
 
 def stems(words: set[str]) -> set[str]:
@@ -93,30 +95,38 @@ def stems(words: set[str]) -> set[str]:
 class Model:
     """Weights of standardised features, and log odds of listed words."""
 
-    def __init__(self, mean, scale, weights, intercept: float, base: float, toxic: dict[str, float], toxic_base: float):
+    def __init__(self, mean, scale, weights, intercept: float, base: float, toxic: dict[str | None, dict[str, float]], toxic_base: dict[str | None, float]):
         self.mean, self.scale, self.weights, self.intercept, self.base = mean, scale, weights, intercept, base
         self.toxic, self.toxic_base = toxic, toxic_base
-        self.whole = {w for w in toxic if not w.endswith("-")}
-        self.beginnings = {k: {w[:-1] for w in toxic if w.endswith("-") and len(w) == k + 1} for k in STEM}
-        self.beginnings = {k: v for k, v in self.beginnings.items() if v}
+        self.lists = {lang: self._listed(lang) for lang in {None, *toxic, *toxic_base}}
+
+    def _listed(self, lang: str | None) -> tuple[dict[str, float], dict[int, dict[str, float]]]:
+        """Words, and beginnings by length, of a language's list and that of all languages."""
+        every: dict[str, float] = dict(self.toxic.get(None, {}))
+        for w, odds in self.toxic.get(lang, {}).items():
+            every[w] = max(odds, every.get(w, 0.0))
+        begin: dict[int, dict[str, float]] = {}
+        for w in [w for w in every if w.endswith("-")]:
+            begin.setdefault(len(w) - 1, {})[w[:-1]] = every.pop(w)
+        return every, begin
 
     def evidence(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return z @ self.weights[: x.shape[1]] + (z * z) @ self.weights[x.shape[1] :] + self.intercept - self.base
 
-    def toxicity(self, text: str) -> float:
-        """Log odds of a toxic text by its two strongest words, less a margin.
+    def toxicity(self, text: str, lang: str | None = None) -> float:
+        """Log odds of a toxic text by all its listed words, less a margin.
 
-        A word counts by the strongest listed word or beginning that it matches; one
-        weak word alone doesn't pass the margin.
+        A word counts by the strongest listed word or beginning that it matches. A
+        language without enough labels goes by the list of all languages.
         """
-        words = toxic_words_of(text) if self.toxic else set()
-        weights = {w: self.toxic[w] for w in words & self.whole}
-        for k, listed in self.beginnings.items():
-            for w in words:
-                if w[:k] in listed:
-                    weights[w] = max(weights.get(w, 0.0), self.toxic[w[:k] + "-"])
-        return self.toxic_base + sum(sorted(weights.values())[-2:]) - TOXIC_MARGIN
+        known = lang if lang in self.lists else None
+        whole, begin = self.lists[known]
+        total = self.toxic_base.get(known, self.toxic_base.get(None, -10.0)) - TOXIC_MARGIN
+        if whole or begin:
+            for w in toxic_words_of(text):
+                total += max(whole.get(w, 0.0), *(listed.get(w[:k], 0.0) for k, listed in begin.items()), 0.0)
+        return total
 
 
 def _logit(p: float) -> float:
@@ -141,32 +151,64 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 2.0) -> tuple:
     return mean, scale, w[:-1], float(w[-1])
 
 
-def _stem_counts(sample: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """(word, n): texts of ``sample`` that hold each word or beginning; tasks count
-    their own texts first. ``wanted`` limits what is counted."""
+def toxic_weight(c: int, f: int, n1: int, n0: int, tried: int) -> float | None:
+    """Log lift of a word that is in ``c`` of ``n1`` toxic and ``f`` of ``n0`` other texts.
+
+    None unless the lift is TOXIC_LIFT and chance is excluded: by Chernoff's bound less
+    than one of ``tried`` words without a bearing would get such counts.
+    """
+    p, q = n1 / (n1 + n0), c / (c + f)
+    if q <= p:
+        return None
+    proof = c * math.log(q / p) + (f * math.log((1 - q) / (1 - p)) if f else 0.0)
+    odds = math.log(((c + 0.5) / (n1 + 1)) / ((f + 0.5) / (n0 + 1)))
+    return odds if proof >= math.log(tried) and odds >= math.log(TOXIC_LIFT) else None
+
+
+def _stem_counts(sample: DataFrame) -> DataFrame:
+    """(word, lang, c, f): toxic and other texts of ``sample`` that hold each word or
+    beginning, by language and, with a null lang, over all. Tasks count their own texts first."""
+
+    def rows(held):
+        words, langs = zip(*held) if held else ((), ())
+        c, f = zip(*held.values()) if held else ((), ())
+        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "lang": pa.array(langs, pa.string()), "c": pa.array(c, pa.int64()), "f": pa.array(f, pa.int64())})
 
     def run(batches):
-        held: Counter = Counter()
+        held: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
-            for cell in batch.column(0):
-                found = stems(toxic_words_of(cell.as_py()))
-                held.update(found if wanted is None else found & wanted)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
-
-    return sample.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            for text, lang, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                at = 0 if toxic > 0 else 1
+                for w in stems(toxic_words_of(text)):
+                    held.setdefault((w, lang), [0, 0])[at] += 1
+                if len(held) >= HELD_WORDS:
+                    yield rows(held)
+                    held = {}
+        yield rows(held)
+
+    found = sample.select("text", "lang", "toxic").mapInArrow(run, "word string, lang string, c long, f long")
+    return found.rollup("word", "lang").agg(F.sum("c").alias("c"), F.sum("f").alias("f")).filter("word is not null")
+
+
+def fit_toxic(sample: DataFrame, totals: dict[str | None, tuple[int, int]]) -> tuple[dict[str | None, dict[str, float]], dict[str | None, float]]:
+    """Words that mark toxic texts of ``sample`` (text, lang, toxic), and the base log
+    odds, by language and, under None, over all. ``totals`` has the toxic and other texts."""
+    totals = {lang: n for lang, n in totals.items() if min(n) >= TOXIC_LEAST}
+    if None not in totals:
+        return {}, {None: -10.0}
+    often = persist(_stem_counts(sample).filter((F.col("c") >= TOXIC_LEAST) & (F.length("word") <= 64)), "quality-words")
+    tried = {r.lang: r.n for r in often.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
+    def run(batches):
+        for batch in batches:
+            rows = [(r["word"], r["lang"], toxic_weight(r["c"], r["f"], *totals[r["lang"]], tried[r["lang"]])) for r in batch.to_pylist() if r["lang"] in totals]
+            kept = [r for r in rows if r[2] is not None]
+            yield pa.RecordBatch.from_pylist([dict(zip(("word", "lang", "odds"), r)) for r in kept], schema=pa.schema([("word", pa.string()), ("lang", pa.string()), ("odds", pa.float64())]))
 
-def fit_toxic(sample: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], float]:
-    """Words that mark toxic texts of ``sample`` (text, toxic), and the base log odds."""
-    if n1 < 3 or n0 < 3:
-        return {}, -10.0
-    least = max(3.0, TOXIC_SHARE * n1)
-    often = _stem_counts(sample.filter("toxic > 0"), None).filter((F.col("n") >= least) & (F.col("word") != "") & (F.length("word") <= 64))
-    bad = {r.word: r.n for r in often.orderBy(F.desc("n"), "word").limit(TOXIC_CANDIDATES).collect()}
-    fine = {r.word: r.n for r in _stem_counts(sample.filter("toxic <= 0"), set(bad)).collect()}
-    lift = {w: ((c + 0.5) / (n1 + 1)) / ((fine.get(w, 0) + 0.5) / (n0 + 1)) for w, c in bad.items()}
-    best = sorted((w for w in lift if lift[w] >= TOXIC_LIFT), key=lambda w: (-lift[w], w))[:TOXIC_WORDS]
-    return {w: math.log(lift[w]) for w in best}, _logit(n1 / (n1 + n0))
+    toxic: dict[str | None, dict[str, float]] = {}
+    for r in often.mapInArrow(run, "word string, lang string, odds double").collect():
+        toxic.setdefault(r.lang, {})[r.word] = r.odds
+    return toxic, {lang: _logit(n1 / (n1 + n0)) for lang, (n1, n0) in totals.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -178,18 +220,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     one = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     chosen = one.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(LABELLED).drop("o")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("quality", pa.int32()), ("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def run(batches):
         for batch in batches:
             x = pa.array([features(t) for t in batch.column("text").to_pylist()], schema.field("x").type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32()), x], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang").cast(pa.string()), batch.column("quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32()), x], schema=schema)
 
     # at most LABELLED rows of two flags are broadcast, a size that is proven
-    met = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    met = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).select("doc_id", "t.text", "t.lang", "quality", "toxic")
     sample = persist(met, "quality-sample")
-    rows = sample.mapInArrow(run, "doc_id long, quality int, toxic int, x array<double>").toArrow()  # LABELLED rows of numbers
+    rows = sample.mapInArrow(run, "doc_id long, lang string, quality int, toxic int, x array<double>").toArrow()  # LABELLED rows of numbers
     good = rows["quality"].to_numpy().astype(float) > 0
     zeros = np.zeros(FEATURES)
     mean, scale, weights, intercept, base = zeros, zeros + 1, np.zeros(2 * FEATURES), 0.0, 0.0
@@ -198,22 +240,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(good), FEATURES)[order]
         mean, scale, weights, intercept = fit(x, good[order].astype(float))
         base = _logit(float(good.mean()))
-    n1 = int((rows["toxic"].to_numpy() > 0).sum())
-    toxic, toxic_base = fit_toxic(sample, n1, len(good) - n1)
+    totals: dict[str | None, tuple[int, int]] = {}
+    for lang, bad in zip(rows["lang"].to_pylist(), (rows["toxic"].to_numpy() > 0).tolist()):
+        for key in (lang, None):
+            n1, n0 = totals.get(key, (0, 0))
+            totals[key] = (n1 + bad, n0 + (not bad))
+    toxic, toxic_base = fit_toxic(sample, totals)
     return Model(mean, scale, weights, intercept, base, toxic, toxic_base)
 
 
-def evidence(model: Model, text: Column) -> Column:
+def evidence(model: Model, text: Column, lang: Column) -> Column:
     """struct<quality, toxic>: evidence of quality and log odds of toxicity."""
     kind = pa.struct([("quality", pa.float64()), ("toxic", pa.float64())])
 
     @F.arrow_udf("quality double, toxic double")
-    def score(texts: pa.Array) -> pa.Array:
+    def score(texts: pa.Array, langs: pa.Array) -> pa.Array:
         held = [t or "" for t in texts.to_pylist()]
         x = np.array([features(t) for t in held]).reshape(len(held), FEATURES)
-        return pa.StructArray.from_arrays([pa.array(model.evidence(x)), pa.array([model.toxicity(t) for t in held])], fields=list(kind))
+        return pa.StructArray.from_arrays([pa.array(model.evidence(x)), pa.array([model.toxicity(t, g or "") for t, g in zip(held, langs.to_pylist())])], fields=list(kind))
 
-    return score(text)
+    return score(text, lang)
 
 
 def host_of(source: Column) -> Column:
@@ -289,7 +335,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     model = train(docs, labels)
-    got = evidence(model, F.col("text"))
+    got = evidence(model, F.col("text"), F.col("lang"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host_of(F.col("source")).alias("host"), path_of(F.col("source"), F.col("lang")).alias("path"), got.alias("e"))
     scored = persist(rows.select("doc_id", "host", "path", F.col("e.quality").alias("evidence"), F.col("e.toxic").alias("toxicity")), "quality-scored")
     sites, mean = site_priors(scored, model.base)
@@ -305,7 +351,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     model = train(docs, labels)
     host, path = host_of(docs["source"]), path_of(docs["source"], docs["lang"])
-    got = evidence(model, docs["text"])
+    got = evidence(model, docs["text"], docs["lang"])
     narrow = docs.select(host.alias("host"), path.alias("path"), got.alias("e")).select("host", "path", F.col("e.quality").alias("evidence"))
     sites, mean = site_priors(narrow, model.base)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), host.alias("host"), path.alias("path"), got.alias("e"))

@@ -174,6 +174,24 @@ def test_quality_on_held_out_labels(spark):
     assert sum(clean) >= 0.97 * len(clean) and sum(junk) <= 0.2 * len(junk)
 
 
+def test_toxic_recall_by_language_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.train(docs, labels.filter("doc_id % 3 <> 0"))
+    marks = collections.defaultdict(list)
+    for r in labels.filter("doc_id % 3 = 0").join(docs, "doc_id").select("text", "lang", "toxic").collect():
+        marks[r.lang, r.toxic].append(model.toxicity(r.text or "", r.lang) >= 0)
+    share = {k: sum(v) / len(v) for k, v in marks.items()}
+    assert all(share[lang, 1] >= least for lang, least in (("en", 0.9), ("fr", 0.9), ("de", 0.8), ("es", 0.5))), share
+    assert all(share[lang, 0] <= 0.05 for lang in ("en", "fr", "de", "es")), share
+
+
+def test_toxic_weight_needs_proof():
+    assert quality.toxic_weight(15, 0, 65, 531, 10_000) > quality.toxic_weight(18, 1, 65, 531, 10_000) > 4
+    assert quality.toxic_weight(3, 0, 65, 531, 10_000) is None  # by chance, of so many words
+    assert quality.toxic_weight(60, 200, 65, 531, 10_000) is None  # proven, but weak
+
+
 def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (None, 0, 0), (3, None, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(docs, labels).collect()
