@@ -23,23 +23,27 @@ def band_rank(rows: DataFrame, width: float) -> DataFrame:
     """``rows`` (id, rel, tie) with ``pos``: order by relevance, reordered by ``tie``
     inside bands that reach ``width`` below their leader (not chained).
 
-    Leaders follow one another, so this reads one bounded pool (a result page), as
-    everything upstream has been cut to its top rows.
+    Leaders follow one another, so one task reads the distinct relevances; rows meet
+    their band in a join and are numbered inside it, after the rows of earlier bands.
     """
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rel", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rel", ascending=False).reset_index(drop=True)
         band, leader, bands = -1, None, []
         for rel in pdf["rel"]:
             if leader is None or leader - rel > width:
                 band, leader = band + 1, rel
             bands.append(band)
-        pdf["band"] = bands
-        pdf = pdf.sort_values(["band", "tie"], ascending=[True, False], kind="stable").reset_index(drop=True)
-        pdf["pos"] = pdf.index + 1
-        return pdf[["id", "rel", "tie", "band", "pos"]]
+        return pdf.assign(band=bands)[["rel", "n", "band"]]
 
-    return rows.select("id", "rel", "tie", F.lit(0).alias("page")).groupBy("page").applyInPandas(rank, "id long, rel double, tie double, band int, pos int")
+    keyed = rows.select("id", "rel", "tie", F.coalesce("rel", F.lit(float("nan"))).alias("key"))  # a null is joined as NaN, and last
+    counts = keyed.groupBy(F.col("key").alias("rel")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("page"))
+    bands = counts.groupBy("page").applyInPandas(lead, "rel double, n long, band int")
+    w = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # one row for each band
+    before = bands.groupBy("band").agg(F.sum("n").alias("n"), F.collect_list("rel").alias("keys")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    met = keyed.join(before.select("band", "before", F.explode("keys").alias("key")), "key")
+    inside = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("tie"), F.desc_nulls_last(F.nanvl("rel", F.lit(None))), "id"))
+    return met.select("id", "rel", "tie", "band", (F.col("before") + inside).cast("int").alias("pos"))
 
 
 def token_budget(rows: DataFrame, tokens: str, budget: int, order: list[Column]) -> DataFrame:
@@ -49,12 +53,15 @@ def token_budget(rows: DataFrame, tokens: str, budget: int, order: list[Column])
 
 
 def forced_cap(rows: DataFrame, forced: Column, most: int, order: list[Column]) -> DataFrame:
-    """Forced rows always stay and use up the budget; others fill it in order."""
-    w = Window.orderBy(*order)
-    marked = rows.withColumn("forced", forced)
-    n = F.sum(F.col("forced").cast("int")).over(Window.partitionBy(F.lit(1)))
-    ranked = marked.withColumn("n_forced", n).withColumn("free", F.sum((~F.col("forced")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.filter(F.col("forced") | (F.col("free") <= F.greatest(F.lit(most) - F.col("n_forced"), F.lit(0)))).drop("n_forced", "free")
+    """Forced rows always stay and use up the budget; others fill it in order.
+
+    Only the first ``most`` of the others can stay, so no window sees more.
+    """
+    marked = rows.withColumn("forced", F.coalesce(forced, F.lit(False)))
+    n = F.broadcast(marked.agg(F.count_if("forced").alias("n_forced")))  # one row
+    page = marked.filter(~F.col("forced")).orderBy(*order).limit(most).withColumn("free", F.row_number().over(Window.orderBy(*order)))
+    free = page.crossJoin(n).filter(F.col("free") <= F.lit(most) - F.col("n_forced")).drop("free", "n_forced")
+    return marked.filter("forced").unionByName(free)
 
 
 def first_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -372,6 +372,15 @@ def w01(spark, d):
     return ranking.band_rank(pool, DEFAULTS.tie_band)
 
 
+@query("w01_band_rank_all", """WITH base AS (SELECT id, (id * 37 % 101)::DOUBLE AS rel, (id * 53 % 101)::DOUBLE AS tie FROM memories),
+o AS (SELECT rel, row_number() OVER (ORDER BY rel DESC) AS rn FROM (SELECT DISTINCT rel FROM base)),
+b AS (SELECT rn, rel AS leader, 0 AS band FROM o WHERE rn = 1 UNION ALL SELECT o.rn, CASE WHEN b.leader - o.rel <= 3 THEN b.leader ELSE o.rel END, CASE WHEN b.leader - o.rel <= 3 THEN b.band ELSE b.band + 1 END FROM b JOIN o ON o.rn = b.rn + 1)
+SELECT id, rel, tie, band, CAST(row_number() OVER (ORDER BY band, tie DESC, rel DESC, id) AS INTEGER) AS pos FROM base JOIN o USING (rel) JOIN b USING (rn)""", ("memories",))
+def w01_all(spark, d):
+    i = F.col("id")
+    return ranking.band_rank(V.memories(spark, d).select("id", (i * 37 % 101).cast("double").alias("rel"), (i * 53 % 101).cast("double").alias("tie")), DEFAULTS.tie_band)
+
+
 @query("w02_timeline_neighbors", "WITH w AS (SELECT id, lag(id, 1) OVER t AS p1, lead(id, 1) OVER t AS n1 FROM memories WINDOW t AS (PARTITION BY thread ORDER BY event_at, id)) SELECT id AS seed, p1 AS id, -1 AS distance FROM w WHERE id % 20 = 0 AND p1 IS NOT NULL UNION ALL SELECT id, n1, 1 FROM w WHERE id % 20 = 0 AND n1 IS NOT NULL", ("memories",))
 def w02(spark, d):
     m = V.memories(spark, d).select("id", "thread", F.col("event_at").alias("ts"))
@@ -460,6 +469,11 @@ def k03(spark, d):
     return ranking.forced_cap(pool, F.col("id") % 90 == 0, 20, [F.desc("valence"), F.col("id")]).select("id", "forced")
 
 
+@query("k03_forced_cap_all", "WITH r AS (SELECT id, id % 90 = 0 AS forced, CAST(sum(CASE WHEN id % 90 = 0 THEN 0 ELSE 1 END) OVER (ORDER BY valence DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS free, (SELECT count(*) FROM memories WHERE id % 90 = 0) AS n FROM memories) SELECT id, forced FROM r WHERE forced OR free <= greatest(20 - n, 0)", ("memories",))
+def k03_all(spark, d):
+    return ranking.forced_cap(V.memories(spark, d).select("id", "valence"), F.col("id") % 90 == 0, 20, [F.desc("valence"), F.col("id")]).select("id", "forced")
+
+
 @query("k04_pool", "SELECT id FROM memories WHERE type = 'feel' ORDER BY pinned DESC, importance DESC, last_active DESC, id LIMIT 3", ("memories",))
 def k04(spark, d):
     return V.memories(spark, d).filter("type = 'feel'").orderBy(F.desc("pinned"), F.desc("importance"), F.desc("last_active"), "id").limit(3).select("id")

@@ -41,6 +41,19 @@ def test_forced_rows_use_the_budget(spark):
     assert got == [0, 4, 5]
 
 
+def test_bands_and_caps_take_all_rows(spark):
+    from emberline.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
+    assert sorted(r.pos for r in QUERIES["w01_band_rank_all"](spark, d).collect()) == list(range(1, n + 1))
+    # no window without partitions takes all rows: pages and bands are cut or summed first
+    rows = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("rel"), F.lit(0.0).alias("tie"))
+    got = [r.id for r in ranking.forced_cap(rows, F.col("id") == 2999, 3, [F.col("id")]).orderBy("id").collect()]
+    assert got == [0, 1, 2999]
+    assert [r.pos for r in ranking.band_rank(rows, 3.0).orderBy(F.desc("rel"), "id").limit(2).collect()] == [1, 2]
+
+
 def test_activity_flags_and_missing_age(spark):
     no, yes = F.lit(False), F.lit(True)
     score = lambda **k: one(spark, scoring.activity_score(F.lit(5), F.lit(1), F.lit(0.3), k.get("days", F.lit(None).cast("double")), k.get("resolved", no), k.get("digested", no), k.get("pinned", no), no, F.lit(k.get("kind", "dynamic"))))
