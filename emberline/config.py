@@ -36,6 +36,7 @@ class Params:
     ripple_hours: int = 48
     session_gap_s: int = 3600
     session_ttl_days: int = 2
+    episode_lookback_days: int = 30
     session_keys: int = 1024
     # graph
     hop1: float = 0.4

@@ -102,11 +102,12 @@ def utf8_parts(text: Column, limit: int) -> Column:
 
 
 def greedy_clusters(pool: DataFrame, threshold: float, span_days: float, least: int, most: int) -> DataFrame:
-    """(seed, id) of a bounded pool (id, ts, vec): the newest row takes unclaimed ones
+    """(seed, id) of a pool (id, ts, vec): the newest row takes unclaimed ones
     within ``span_days`` and ``threshold``, up to ``most``; groups under ``least`` go.
 
-    Each seed depends on what earlier seeds took, so a page is one group; callers
-    cut the pool by a limit first.
+    Each seed depends on what earlier seeds took, but not across a pause of over
+    ``span_days``: the stretches between pauses are groups of their own, found from the
+    distinct times. A seed is only compared with rows of its span.
     """
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,11 +117,13 @@ def greedy_clusters(pool: DataFrame, threshold: float, span_days: float, least:
         unit = v / np.where(norm == 0, 1, norm)[:, None]
         days = pdf["ts"].astype("int64").to_numpy() / 86_400_000_000
         free, seeds, ids = np.ones(len(pdf), bool), [], []
+        last = np.searchsorted(-days, span_days + 1e-6 - days, side="right")  # newest first; the margin is cut below
         for k in range(len(pdf)):
             if not free[k]:
                 continue
             free[k] = False
-            near = np.flatnonzero(free & (np.abs(days - days[k]) <= span_days) & (np.round(unit @ unit[k], 9) >= threshold))[: most - 1]
+            j = slice(k, int(last[k]))  # rows before a seed are claimed, or seeds
+            near = k + np.flatnonzero(free[j] & (np.abs(days[j] - days[k]) <= span_days) & (np.round(unit[j] @ unit[k], 9) >= threshold))[: most - 1]
             free[near] = False
             if len(near) + 1 >= least:
                 members = [k, *near.tolist()]
@@ -128,5 +131,10 @@ def greedy_clusters(pool: DataFrame, threshold: float, span_days: float, least:
                 ids += pdf["id"][members].tolist()
         return pd.DataFrame({"seed": seeds, "id": ids}, dtype="int64")
 
-    rows = pool.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "vec", F.lit(0).alias("page"))
-    return rows.groupBy("page").applyInPandas(cluster, "seed long, id long")
+    def stretch(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts").reset_index(drop=True)
+        return pdf.assign(page=(pdf["ts"].diff() > span_days * 86_400_000_000).cumsum())[["ts", "page"]]
+
+    rows = pool.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "vec").filter("ts is not null")
+    pages = rows.groupBy("ts").agg(F.lit(0).alias("all")).groupBy("all").applyInPandas(stretch, "ts long, page long")
+    return rows.join(pages, "ts").select("id", "ts", "vec", "page").groupBy("page").applyInPandas(cluster, "seed long, id long")

@@ -47,9 +47,15 @@ def band_rank(rows: DataFrame, width: float) -> DataFrame:
 
 
 def token_budget(rows: DataFrame, tokens: str, budget: int, order: list[Column]) -> DataFrame:
-    """The longest prefix of the order whose tokens fit; the first overflow stops."""
+    """The longest prefix of the order whose tokens fit; the first overflow stops.
+
+    Tokens are whole numbers, so of the rows that have any at most ``budget`` fit and
+    the next one overflows: a page of that size holds them all. Rows without tokens go along.
+    """
+    some = F.coalesce(F.col(tokens), F.lit(0)) > 0
+    page = rows.filter(some).orderBy(*order).limit(budget + 1).unionByName(rows.filter(~some))
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(tokens).over(w)).filter(F.col("used") <= budget)
+    return page.withColumn("used", F.sum(tokens).over(w)).filter(F.col("used") <= budget)
 
 
 def forced_cap(rows: DataFrame, forced: Column, most: int, order: list[Column]) -> DataFrame:

@@ -481,8 +481,7 @@ def k04(spark, d):
 
 @query("k06_token_budget", f"WITH s AS ({SQL_ACTIVITY}), t AS (SELECT s.id, s.score, CAST(trunc(1.3::DOUBLE * len(regexp_extract_all(content, '[a-zA-Z]+')) + 0.05::DOUBLE * length(content)) AS INTEGER) AS tokens FROM s JOIN memories m USING (id) WHERE s.score < 900 ORDER BY s.score DESC, s.id LIMIT 200) SELECT id, score, tokens FROM (SELECT *, sum(tokens) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM t) WHERE used <= 6000", ("memories",))
 def k06(spark, d):
-    top = _activity(V.memories(spark, d)).filter("score < 900").orderBy(F.desc("score"), "id").limit(200)
-    rows = top.select("id", "score", S.token_estimate(F.col("content")).alias("tokens"))
+    rows = _activity(V.memories(spark, d)).filter("score < 900").select("id", "score", S.token_estimate(F.col("content")).alias("tokens"))
     return ranking.token_budget(rows, "tokens", 6000, [F.desc("score"), F.col("id")]).select("id", "score", "tokens")
 
 
@@ -662,7 +661,9 @@ def m01(spark, d):
 
 @query("w05_greedy_clusters")
 def w05(spark, d):
-    pool = V.vectors(spark, d).join(V.memories(spark, d).select("id", F.col("event_at").alias("ts")), "id").orderBy(F.desc("ts"), "id").limit(500)
+    m = V.memories(spark, d).select("id", F.col("event_at").alias("ts"))
+    since = F.broadcast(m.agg((F.max("ts") - F.make_dt_interval(F.lit(DEFAULTS.episode_lookback_days))).alias("since")))  # one row
+    pool = V.vectors(spark, d).join(m.crossJoin(since).filter("ts >= since").drop("since"), "id")
     return chunking.greedy_clusters(pool, 0.3, 3.0, 2, 12)
 
 

@@ -71,3 +71,18 @@ def test_greedy_clusters(spark):
     df = spark.createDataFrame(rows, "id long, ts string, vec array<double>").withColumn("ts", F.col("ts").cast("timestamp"))
     got = [(r.seed, r.id) for r in chunking.greedy_clusters(df, 0.9, 3.0, 2, 12).collect()]
     assert got == [(1, 1), (1, 2), (1, 5)]
+
+
+def test_greedy_clusters_of_stretches_and_old_rows(spark):
+    from pyspark.sql import functions as F
+
+    from emberline.plans.catalog import QUERIES
+
+    days = [0.0, 2.0, 4.0, 20.0, 22.9, 26.0]
+    df = spark.createDataFrame([(k, float(d), [1.0, 0.0]) for k, d in enumerate(days)], "id long, day double, vec array<double>")
+    df = df.select("id", F.timestamp_micros((F.col("day") * 86_400_000_000).cast("long")).alias("ts"), "vec")
+    got = sorted((r.seed, r.id) for r in chunking.greedy_clusters(df, 0.9, 3.0, 2, 12).collect())
+    assert got == [(2, 1), (2, 2), (4, 3), (4, 4)]
+    d = "/root/testdata/sf0.1"
+    newest = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id as id").orderBy(F.desc(F.col("id") % 720), "id").limit(500)
+    assert QUERIES["w05_greedy_clusters"](spark, d).join(newest, "id", "left_anti").count() > 0

@@ -41,6 +41,17 @@ def test_forced_rows_use_the_budget(spark):
     assert got == [0, 4, 5]
 
 
+def test_budget_is_filled_by_small_rows(spark, monkeypatch):
+    from emberline.plans import catalog
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(3).alias("tokens"))
+    got = sorted(r.id for r in ranking.token_budget(rows, "tokens", 1200, [F.col("id")]).collect())
+    assert got == list(range(801))  # 400 rows of three tokens, those without any between, and one behind
+    memories = catalog.V.memories
+    monkeypatch.setattr(catalog.V, "memories", lambda s, d: memories(s, d).withColumn("content", F.lit("one two three four")))
+    assert catalog.QUERIES["k06_token_budget"](spark, "/root/testdata/sf0.01").count() > 200
+
+
 def test_bands_and_caps_take_all_rows(spark):
     from emberline.plans.catalog import QUERIES
 
