@@ -30,7 +30,7 @@ ASSIGN_CHARS = 12
 
 #: Credential context of the added kind, wider than the base pattern: more names,
 #: separators and any value without white space or quotes.
-CONTEXT = re.compile(r"""((?:[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD]|[pP][hH][rR][aA][sS][eE])?|[pP][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI][_-]?[kK][eE][yY]|[cC][rR][eE][dD][eE][nN][tT][iI][aA][lL][sS]?|[aA][uU][tT][hH]|[pP][rR][iI][vV][aA][tT][eE][_-]?[kK][eE][yY])["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}["']?)([^\s"'<>{}]{8,256})""")
+CONTEXT = re.compile(r"""((?:[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD]|[pP][hH][rR][aA][sS][eE])?|[pP][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI][_-]?[kK][eE][yY]|[cC][rR][eE][dD][eE][nN][tT][iI][aA][lL][sS]?|[aA][uU][tT][hH]|[pP][rR][iI][vV][aA][tT][eE][_-]?[kK][eE][yY])["']?\s*+(?:=>|:=|[:=])\s*+["']?)([^\s"'<>{}]{8,})""")
 #: One linear-time scan decides which texts can hold any context or key at all.
 MAYBE = r"(?i:pass|pwd|secret|token|api[_-]?key|credential|auth|private[_-]?key)[\w-]{0,8}[\"']?\s*[:=]"
 MAYBE_KEY = r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"

@@ -62,6 +62,14 @@ def test_base_spans_equal_the_plain_patterns():
         assert m or not want  # the prefilter never loses a text
 
 
+def test_long_values_and_aligned_settings_are_whole():
+    key = base64.b64encode(random.Random(7).randbytes(1200)).decode()
+    assert secret_scan._masked(f"private_key: {key}\nnext") == "private_key: [secret]\nnext"
+    for blanks in (1, 4, 5, 40):
+        pad = " " * blanks
+        assert secret_scan._masked(f"password{pad}:{pad}Tr0ub4dor&3! end") == f"password{pad}:{pad}[secret] end"
+
+
 def test_guess_costs():
     cost = secret_scan.guess_cost
     assert cost("password") < 2 < cost("qwertyuiop") + 2
