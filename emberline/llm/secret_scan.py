@@ -37,9 +37,8 @@ MAYBE_KEY = r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"
 
 #: A value is a secret if its cheapest reading takes over 10 ** 10 guesses.
 GUESSES_LOG10 = 10.0
-#: Longest value that is segmented; the rest of a longer one is brute force, which
-#: only adds guesses, so the verdict is the same.
-SEGMENTED = 64
+#: Longest value whose cost is remembered.
+REMEMBERED = 256
 
 # Rows of keyboard neighbours and common words of weak values.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
@@ -96,7 +95,6 @@ def matches(text: str) -> list[tuple[int, int, float, str]]:
     return out
 
 
-@lru_cache(maxsize=50_000)
 def guess_cost(text: str) -> float:
     """log10 of the least guesses over all segmentations of ``text``.
 
@@ -104,16 +102,22 @@ def guess_cost(text: str) -> float:
     a brute-force span, whose cost is per character so spans of it need no inner
     loop. Each part after the first costs a factor for the order of parts.
     """
-    head, rest = text[:SEGMENTED], text[SEGMENTED:]
+    return _remembered(text) if len(text) <= REMEMBERED else _least(text)
+
+
+def _least(text: str) -> float:
     per_char = math.log10(_classes(text))
     join = math.log10(2)
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost, _ in matches(head):
+    for i, j, cost, _ in matches(text):
         by_end.setdefault(j, []).append((i, cost))
-    best = [0.0] * (len(head) + 1)
-    for j in range(1, len(head) + 1):
+    best = [0.0] * (len(text) + 1)
+    for j in range(1, len(text) + 1):
         best[j] = min([best[j - 1] + per_char, *(best[i] + cost + join for i, cost in by_end.get(j, ()))])
-    return best[-1] + per_char * len(rest)
+    return best[-1]
+
+
+_remembered = lru_cache(maxsize=50_000)(_least)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -99,6 +100,20 @@ def test_segmentation_is_the_cheapest(text):
     assert abs(secret_scan.guess_cost(text) - brute_cost(text)) < 1e-9
 
 
+@pytest.mark.parametrize("text", ["x-" * 40, "k3J9xQ2m" + "password123-" * 9, "changeme_" * 5 + "2024-01-31" * 4, "Zq7" * 30 + "qwertyuiop", "".join(random.Random(8).choices("abcXYZ019-_", k=300))])
+def test_long_segmentation_is_the_cheapest(text):
+    per, spans = math.log10(secret_scan._classes(text)), secret_scan.matches(text)
+    least = [math.inf] * len(text) + [0.0]
+    for at in reversed(range(len(text))):
+        least[at] = min([per + least[at + 1]] + [g + math.log10(2) + least[j] for i, j, g, _ in spans if i == at])
+    assert len(text) > 64 and abs(secret_scan.guess_cost(text) - least[0]) < 1e-6
+
+
+def test_long_easy_values_are_no_secrets():
+    assert secret_scan.guess_cost("x-" * 40) < secret_scan.GUESSES_LOG10
+    assert secret_scan.scan("token: " + "x-" * 40)[1][1:] == [] and secret_scan.added_spans("auth: " + "x-" * 40) == []
+
+
 def test_secret_rows_and_masks(spark, docs, none):
     got = secret_scan.find_secrets(docs).collect()
     assert len(got) == docs.count() and sum(r.n_assign for r in got) == 1 and sum(r.n_hex for r in got) == 1
