@@ -387,6 +387,12 @@ def w02(spark, d):
     return timeline.neighbours(m, m.filter("id % 20 = 0"), 1)
 
 
+@query("w02_timeline_neighbors_all", "WITH w AS (SELECT id, lag(id, 1) OVER t AS p1, lead(id, 1) OVER t AS n1 FROM memories WINDOW t AS (PARTITION BY thread ORDER BY event_at, id)) SELECT id AS seed, p1 AS id, -1 AS distance FROM w WHERE p1 IS NOT NULL UNION ALL SELECT id, n1, 1 FROM w WHERE n1 IS NOT NULL", ("memories",))
+def w02_all(spark, d):
+    m = V.memories(spark, d).select("id", "thread", F.col("event_at").alias("ts"))
+    return timeline.neighbours(m, m, 1)
+
+
 @query("w03_gap_split", "SELECT user_id AS user, id AS before_id, gap_s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gap_s DESC, id) AS rn FROM (SELECT user_id, event_id AS id, CAST(epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch(ts) AS BIGINT) AS gap_s FROM (SELECT user_id, event_id, date_trunc('second', ts) AS ts FROM events)) WHERE gap_s >= 3600) WHERE rn = 1")
 def w03(spark, d):
     e = V.read(spark, d, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("id"), F.date_trunc("second", "ts").alias("ts"))

@@ -32,6 +32,13 @@ def f15(spark, d):
     return a.join(b, ["primary", "thread"]).filter("incoming <> existing").select("incoming", "existing")
 
 
+@query("f15_merge_chain_all", "SELECT a.id AS incoming, b.id AS existing FROM memories a JOIN memories b ON a.domain[1] = b.domain[1] AND a.thread = b.thread AND a.id <> b.id WHERE NOT b.pinned AND NOT b.protected AND (b.valence > 0.85 OR b.arousal >= 0.78)", ("memories",))
+def f15_all(spark, d):
+    m = V.memories(spark, d).withColumn("primary", F.element_at("domain", 1))
+    b = m.filter(~F.col("pinned") & ~F.col("protected") & ((F.col("valence") > 0.85) | (F.col("arousal") >= 0.78))).select(F.col("id").alias("existing"), "primary", "thread")
+    return m.select(F.col("id").alias("incoming"), "primary", "thread").join(b, ["primary", "thread"]).filter("incoming <> existing").select("incoming", "existing")
+
+
 @query("f17_currentness", "SELECT CASE WHEN resolved THEN 'superseded' WHEN type = 'permanent' THEN 'not_current' WHEN protected THEN 'unaudited' ELSE 'kept' END AS reason, count(*) AS n FROM memories GROUP BY 1", ("memories",))
 def f17(spark, d):
     reason = F.when(F.col("resolved"), "superseded").when(F.col("type") == "permanent", "not_current").when(F.col("protected"), "unaudited").otherwise("kept")

@@ -65,6 +65,15 @@ def test_bands_and_caps_take_all_rows(spark):
     assert [r.pos for r in ranking.band_rank(rows, 3.0).orderBy(F.desc("rel"), "id").limit(2).collect()] == [1, 2]
 
 
+def test_every_row_is_a_seed(spark):
+    from emberline.plans import catalog, records  # noqa: F401  records adds to the catalogue
+
+    d = "/root/testdata/sf0.001"
+    seeds = {r.seed for r in catalog.QUERIES["w02_timeline_neighbors_all"](spark, d).select("seed").collect()}
+    incoming = {r.incoming for r in catalog.QUERIES["f15_merge_chain_all"](spark, d).select("incoming").collect()}
+    assert any(i % 20 for i in seeds) and any(i % 40 for i in incoming)
+
+
 def test_activity_flags_and_missing_age(spark):
     no, yes = F.lit(False), F.lit(True)
     score = lambda **k: one(spark, scoring.activity_score(F.lit(5), F.lit(1), F.lit(0.3), k.get("days", F.lit(None).cast("double")), k.get("resolved", no), k.get("digested", no), k.get("pinned", no), no, F.lit(k.get("kind", "dynamic"))))
