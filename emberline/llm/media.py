@@ -196,7 +196,7 @@ def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     count = np.maximum(1, k - low)
     mean = (total[k] - total[low]) / count
     dev = np.sqrt(np.maximum(0.0, (squares[k] - squares[low]) / count - mean * mean))
-    cut = np.flatnonzero((k > 0) & (diff > FLOOR) & (diff > mean + SPREAD * dev)) + 1
+    cut = np.flatnonzero((diff > FLOOR) & (diff > mean + SPREAD * dev)) + 1
     edges = [0, *cut.tolist(), n]
     return list(zip(edges[:-1], edges[1:]))
 

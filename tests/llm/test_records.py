@@ -149,3 +149,9 @@ def test_shots_split_where_histograms_change(docs):
     assert media.shots(dark) == [(0, 20)]
     rows = media.clips(media.to_media(docs)).collect()
     assert {r.clip for r in rows} >= {0} and all(r.end_s > r.start_s for r in rows)
+
+
+def test_the_first_boundary_can_be_a_cut():
+    dark, light = np.full((1, 576), 40, np.uint8), np.full((15, 576), 200, np.uint8)
+    assert media.shots(np.concatenate([dark, light])) == [(0, 1), (1, 16)]
+    assert media.shots(np.concatenate([dark, light[:1]])) == [(0, 1), (1, 2)] and media.shots(dark) == [(0, 1)]
