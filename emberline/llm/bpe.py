@@ -12,11 +12,16 @@ from struct import pack
 
 import numpy as np
 
+from .common import kept
+
 #: Entries of each of a table's two generations in a worker (a memory bound): when
 #: the young one is full it becomes the old one, and what is used again moves back.
 UNIT_CACHE = 120_000
 PIECE_CACHE = 350_000
 
+#: Longer keys are made each time, so a table is bounded in bytes too.
+LONGEST_KEY = 200
+
 MARKS = frozenset(".,;:!?")
 
 _encoders: dict[str, "ByteEncoder"] = {}
@@ -49,13 +54,19 @@ class _Table(dict):
     def __init__(self, make, most: int):
         self.make, self.most, self.old = make, most, {}
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > LONGEST_KEY:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
-            self.clear()
+            super().clear()
         self[key] = value
         return value
 
@@ -74,6 +85,7 @@ class ByteEncoder:
             raise ValueError("ids are kept as 16-bit integers")
         self.pieces = _Table(self._piece, PIECE_CACHE)
         self.units = _Table(self._unit, UNIT_CACHE)
+        kept("bpe", self.pieces, self.units)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()

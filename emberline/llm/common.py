@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,11 +15,38 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch handed to a Python worker. Texts may be long, so the
 #: engine default of 10,000 rows would let one batch grow past a worker's share.
 ARROW_ROWS = 256
+#: Bytes of one Arrow batch, where the engine can bound them.
+ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings the Arrow operators rely on (bounded batch memory)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+#: What a Python worker keeps from task to task (tables of words, encoders), by the
+#: operator that made it. Workers serve every stage of a job in turn.
+_kept: dict[str, list] = {}
+
+
+def kept(owner: str, *tables) -> None:
+    """Register tables (with ``clear``) that a worker keeps for ``owner``."""
+    _kept.setdefault(owner, []).extend(tables)
+
+
+def claim(*owners: str) -> None:
+    """At the start of a task: empty what the worker keeps for other operators and
+    hand freed memory back, so that stages of one job don't add up in a worker."""
+    stale = [t for name, tables in _kept.items() if name not in owners for t in tables if len(t)]
+    for t in stale:
+        t.clear()
+    pa.default_memory_pool().release_unused()
+    if stale:
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, open_fs, persist, prepare, read_table, shared_dir, table
+from .common import AtomicFile, claim, open_fs, persist, prepare, read_table, shared_dir, table
 from .shingles import shingle_hashes
 
 #: A link: 100 * intersection >= LINK * union.
@@ -58,6 +58,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        claim("words")
         pid, idx, seen = TaskContext.get().partitionId(), 0, set()
         for batch in batches:
             rows = {f.name: [] for f in SIGNS}
@@ -130,6 +131,7 @@ def fetch(docs: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches):
+        claim("words")
         pid, idx = TaskContext.get().partitionId(), 0
         fs, path = open_fs(f"{folder}/pid={pid}")
         from pyarrow.fs import FileSelector
@@ -285,6 +287,7 @@ def score_group(folder: str):
     """Links inside a group; a group of several is stored with its token union."""
 
     def score(block: pa.Table) -> pa.Table:
+        claim()
         block = block.sort_by("node")
         nodes, copies = block["node"].to_numpy(), block["copies"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in block["tokens"].to_pylist()]
@@ -309,6 +312,7 @@ def score_pairs(pairs: DataFrame, folder: str) -> DataFrame:
             return np.load(io.BytesIO(f.read()))
 
     def run(batches):
+        claim()
         for batch in batches:
             for comp, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 left, right = read(comp, a), read(comp, b)
@@ -389,6 +393,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept.repartition("pid").write.partitionBy("pid").parquet(folder)
 
     def run(batches):
+        claim()
         fs, path = open_fs(f"{folder}/pid={TaskContext.get().partitionId()}")
         from pyarrow.fs import FileSelector
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import prepare, read_table, table, text_or_empty
+from .common import claim, prepare, read_table, table, text_or_empty
 
 MAX_LEN = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -143,6 +143,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     path = tokenizer or bpe.default_path()
 
     def pack(batches):
+        claim("bpe")
         part = TaskContext.get().partitionId() << 34
         enc, end = bpe.encoder(path), np.array([end_id], "<u2").tobytes()
         packer, held, sequence, group = Packer(tiers, pool_tokens), {}, 0, 0

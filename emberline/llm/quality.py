@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import math
 import string
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist, prepare, read_table
+from .bpe import _Table
+from .common import claim, persist, prepare, read_table
 
 #: Labelled documents that a fit reads at most: those of least id hash.
 LABELLED = 20_000
@@ -29,8 +28,10 @@ LABELLED = 20_000
 STEM = range(4, 8)
 #: A listed word or beginning is in so many toxic texts at least, and this many times likelier there.
 TOXIC_LEAST, TOXIC_LIFT = 3, 10.0
+#: Words whose odds a worker keeps, in each of two generations and for each language.
+WORD_TABLE = 30_000
 #: Words and beginnings that a task holds before it hands on their counts.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
 #: Log odds that a toxic mark needs.
 TOXIC_MARGIN = 3.0
 #: Farthest that a site's prior moves a document's log odds.
@@ -50,19 +51,41 @@ _SYMBOL[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]] = False
 FEATURES = 16
 
 
-def features(text: str) -> list[float]:
-    """Statistics of a whole text; an empty one has all zeros but the first."""
-    data = text.encode("utf-8", "replace")
-    n = len(data)
-    if not n or not (words := data.split()):
+#: Odd multipliers that mix the hashes of five words in a row.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def _distinct(h: np.ndarray) -> tuple[int, int]:
+    """Distinct values, and the count of the commonest."""
+    h = np.sort(h)
+    firsts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return len(firsts), int(np.diff(firsts, append=len(h)).max())
+
+
+def features(text: str, words: list[str] | None = None) -> list[float]:
+    """Statistics of a whole text; an empty one has all zeros but the first.
+
+    ``words`` are those of the lower-cased text. Words and runs of five are told
+    apart by 64-bit hashes in arrays, so a long text costs some bytes a word.
+    """
+    words = text.lower().split() if words is None else words
+    if not words:
         return [1.0] + [0.0] * (FEATURES - 1)
+    data = text.encode("utf-8", "replace")
+    n, m = len(data), len(words)
     count = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     letters = max(1, int(count[_LETTER].sum()))
-    m = len(words)
-    seen = Counter(words)
+    h = np.fromiter(map(hash, words), np.int64, m).view(np.uint64)
+    seen, top = _distinct(h)
     lines = [x for x in data.split(b"\n") if x.strip()]
-    same = sum(a == b for a, b in zip(words, words[1:]))
-    five = len(set(zip(words, words[1:], words[2:], words[3:], words[4:])))
+    same = int((h[1:] == h[:-1]).sum())
+    fives = 0
+    if m > 4:
+        with np.errstate(over="ignore"):
+            mixed = h[: m - 4] * _ODD[0]
+            for k in range(1, 5):
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD[k] + h[k : m - 4 + k]
+        fives = _distinct(mixed)[0]
     return [
         0.0,
         math.log1p(m),
@@ -73,12 +96,12 @@ def features(text: str) -> list[float]:
         int(count[124]) / m,
         int(count[46]) / m,
         n / m / 10,
-        len(seen) / m,
-        len(seen) / math.sqrt(m) / 10,
-        seen.most_common(1)[0][1] / m,
+        seen / m,
+        seen / math.sqrt(m) / 10,
+        top / m,
         same / m,
         1 - len(set(lines)) / max(1, len(lines)),
-        1 - five / max(1, m - 4) if m > 4 else 0.0,
+        1 - fives / max(1, m - 4) if m > 4 else 0.0,
         letters / n,
     ]
 
@@ -99,6 +122,10 @@ class Model:
         self.mean, self.scale, self.weights, self.intercept, self.base = mean, scale, weights, intercept, base
         self.toxic, self.toxic_base = toxic, toxic_base
         self.lists = {lang: self._listed(lang) for lang in {None, *toxic, *toxic_base}}
+        self.known: dict[str | None, _Table] = {}
+
+    def __getstate__(self):  # a worker's table of words stays there
+        return self.__dict__ | {"known": {}}
 
     def _listed(self, lang: str | None) -> tuple[dict[str, float], dict[int, dict[str, float]]]:
         """Words, and beginnings by length, of a language's list and that of all languages."""
@@ -114,18 +141,31 @@ class Model:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return z @ self.weights[: x.shape[1]] + (z * z) @ self.weights[x.shape[1] :] + self.intercept - self.base
 
-    def toxicity(self, text: str, lang: str | None = None) -> float:
+    def _odds(self, lang: str | None) -> _Table:
+        """Raw word to (bare word, log odds) of the strongest listed word or
+        beginning that it matches, None for the others; a bounded table."""
+        if lang not in self.known:
+            whole, begin = self.lists[lang]
+
+            def odds(raw: str):
+                w = raw.strip(string.punctuation)
+                best = max([whole.get(w, 0.0), *(listed.get(w[:k], 0.0) for k, listed in begin.items())])
+                return (w, best) if w and best else None
+
+            self.known[lang] = _Table(odds, WORD_TABLE)
+        return self.known[lang]
+
+    def toxicity(self, text: str, lang: str | None = None, words: list[str] | None = None) -> float:
         """Log odds of a toxic text by all its listed words, less a margin.
 
-        A word counts by the strongest listed word or beginning that it matches. A
-        language without enough labels goes by the list of all languages.
+        A word counts once, by the strongest listed word or beginning that it matches.
+        A language without enough labels goes by the list of all languages.
         """
         known = lang if lang in self.lists else None
-        whole, begin = self.lists[known]
         total = self.toxic_base.get(known, self.toxic_base.get(None, -10.0)) - TOXIC_MARGIN
-        if whole or begin:
-            for w in toxic_words_of(text):
-                total += max(whole.get(w, 0.0), *(listed.get(w[:k], 0.0) for k, listed in begin.items()), 0.0)
+        if any(self.lists[known]):
+            found = map(self._odds(known).__getitem__, set(text.lower().split() if words is None else words))
+            total += math.fsum(dict(filter(None, found)).values())
         return total
 
 
@@ -175,6 +215,7 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "lang": pa.array(langs, pa.string()), "c": pa.array(c, pa.int64()), "f": pa.array(f, pa.int64())})
 
     def run(batches):
+        claim("quality")
         held: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
             for text, lang, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -255,9 +296,13 @@ def evidence(model: Model, text: Column, lang: Column) -> Column:
 
     @F.arrow_udf("quality double, toxic double")
     def score(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        held = [t or "" for t in texts.to_pylist()]
-        x = np.array([features(t) for t in held]).reshape(len(held), FEATURES)
-        return pa.StructArray.from_arrays([pa.array(model.evidence(x)), pa.array([model.toxicity(t, g or "") for t, g in zip(held, langs.to_pylist())])], fields=list(kind))
+        claim("quality")
+        x, toxic = np.zeros((len(texts), FEATURES)), np.zeros(len(texts))
+        for i, (cell, lang) in enumerate(zip(texts, langs.to_pylist())):
+            held = cell.as_py() or ""
+            words = held.lower().split()
+            x[i], toxic[i] = features(held, words), model.toxicity(held, lang or "", words)
+        return pa.StructArray.from_arrays([pa.array(model.evidence(x)), pa.array(toxic)], fields=list(kind))
 
     return score(text, lang)
 
@@ -345,17 +390,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their own columns.
 
-    Texts are scored twice, once for the sites and once to decide, and never
-    shuffled unless the sites are too many to broadcast.
+    Texts are scored once, written beside their scores in the shared folder, and
+    read again to be decided; they are never shuffled unless the sites are too
+    many to broadcast.
     """
     prepare(docs.sparkSession)
     model = train(docs, labels)
-    host, path = host_of(docs["source"]), path_of(docs["source"], docs["lang"])
-    got = evidence(model, docs["text"], docs["lang"])
-    narrow = docs.select(host.alias("host"), path.alias("path"), got.alias("e")).select("host", "path", F.col("e.quality").alias("evidence"))
-    sites, mean = site_priors(narrow, model.base)
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), host.alias("host"), path.alias("path"), got.alias("e"))
-    scored = whole.select("row", "host", "path", F.col("e.quality").alias("evidence"), F.col("e.toxic").alias("toxicity"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    whole = docs.select(row.alias("row"), host_of(docs["source"]).alias("host"), path_of(docs["source"], docs["lang"]).alias("path"), evidence(model, docs["text"], docs["lang"]).alias("e"))
+    scored = persist(whole.select("row", "host", "path", F.col("e.quality").alias("evidence"), F.col("e.toxic").alias("toxicity")), "quality-scored")
+    sites, mean = site_priors(scored, model.base)
     return _decide(scored, sites, mean, model.base).filter("keep").select("row.*")
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, table
+from .common import claim, prepare, read_table, table
 
 # The three base kinds, in the order in which ties are listed.
 KINDS = ("assign", "access", "hex")
@@ -172,6 +172,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
+        claim("secrets")
         for batch in batches:
             texts = batch.column(1)
             rows = []
@@ -198,6 +199,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        claim("secrets")
         at = names.index("text")
         for batch in batches:
             texts = batch.column(at)

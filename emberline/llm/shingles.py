@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 from .bpe import _Table
+from .common import kept
 
 WORDS = 5
 #: Word hashes kept per generation in a worker.
@@ -14,6 +15,7 @@ WORD_TABLE = 100_000
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, 7, dtype=np.uint64)]
 
 _words = _Table(lambda w: xxhash.xxh64_intdigest(w, 17), WORD_TABLE)
+kept("words", _words)
 
 
 def words_of(text: str) -> list[bytes]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import AtomicFile, open_fs, prepare, read_table, shared_dir, table, text_or_empty
+from .common import AtomicFile, claim, open_fs, prepare, read_table, shared_dir, table, text_or_empty
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 32
@@ -157,6 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     ordered = narrow.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches):
+        claim("bpe")
         shard = TaskContext.get().partitionId()
         writer, enc, end = ShardWriter(folder, shard, seq_len), bpe.encoder(path), np.array([end_id], "<u2").tobytes()
         for batch in batches:
