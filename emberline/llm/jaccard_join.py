@@ -58,7 +58,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        claim("words")
+        claim()
         pid, idx, seen = TaskContext.get().partitionId(), 0, set()
         for batch in batches:
             rows = {f.name: [] for f in SIGNS}
@@ -131,7 +131,7 @@ def fetch(docs: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches):
-        claim("words")
+        claim()
         pid, idx = TaskContext.get().partitionId(), 0
         fs, path = open_fs(f"{folder}/pid={pid}")
         from pyarrow.fs import FileSelector

@@ -5,26 +5,17 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .bpe import _Table
-from .common import kept
-
 WORDS = 5
-#: Word hashes kept per generation in a worker.
-WORD_TABLE = 100_000
 #: Odd multipliers of the words of a shingle, and of its final mix.
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, 7, dtype=np.uint64)]
 
-_words = _Table(lambda w: xxhash.xxh64_intdigest(w, 17), WORD_TABLE)
-kept("words", _words)
-
-
 def words_of(text: str) -> list[bytes]:
     """Words of a text, A-Z lower-cased; ASCII white space separates."""
     return text.encode("utf-8", "replace").lower().split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(text: str, size: int = WORDS) -> np.ndarray:

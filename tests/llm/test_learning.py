@@ -11,16 +11,17 @@ from emberline.llm import cover_tree, gated_lm as lm, lm_score, pieces, quality
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in lm.initial(rng.integers(1, 50, 1024)).items()}
+    layout = lm.Layout(rng.integers(1, 50, 1024))
+    p = {k: v.astype(np.float64) for k, v in lm.initial(layout).items()}
     p["wc"], p["wo"] = rng.standard_normal(p["wc"].shape) * 0.3, rng.standard_normal(p["wo"].shape) * 0.3
     docs = [(i, rng.integers(0, 1024, rng.integers(1, 40)).astype(np.int32)) for i in range(9)]
-    w = next(lm.windows(docs, 4, 10))
+    w = next(lm.windows(next(lm.blocks(docs, 4, 20)), 10))
     real = w.real.reshape(-1)
 
     def loss():
-        return -lm.log_probs(p, lm.forward(p, w, np.zeros((4, 16)), False)[0].reshape(-1, 16)[real].astype(float), w.y.reshape(-1)[real]).mean()
+        return -lm.log_probs(p, layout, lm.forward(p, w, np.zeros((16, 4)), False)[0][:, real].astype(float), w.y.reshape(-1)[real]).mean()
 
-    g, _, total = lm.gradients(p, w, np.zeros((4, 16)))
+    g, _, total = lm.gradients(p, layout, w, np.zeros((16, 4)))
     assert abs(total / real.sum() - loss()) < 1e-4
     for k in p:
         at = tuple(np.unravel_index(np.abs(g[k]).argmax(), g[k].shape))
@@ -33,32 +34,89 @@ def test_gradients():
         assert abs((up - down) / 2e-2 - g[k][at]) < 2e-3
 
 
+def plain_score(p, layout, y):
+    """The document's log-likelihood, token by token, with whole softmaxes."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, total = np.zeros(16), 0.0
+    for k, target in enumerate(y.tolist()):
+        pre = p["emb"][lm.END if k == 0 else y[k - 1]] @ p["wx"] + p["b"]
+        hh = h @ p["wh"]
+        z, r = sig(pre[:16] + hh[:16]), sig(pre[16:32] + hh[16:32])
+        c = np.tanh(pre[32:] + r * hh[32:])
+        h = (1 - z) * c + z * h
+        cls = next(c for c in range(layout.classes) if target < layout.starts[c + 1])
+        part = slice(layout.starts[cls], layout.starts[cls + 1])
+        a, b = h @ p["wc"] + p["bc"], p["wo"][part] @ h + p["bo"][part]
+        total += a[cls] - np.log(np.exp(a).sum()) + b[target - part.start] - np.log(np.exp(b).sum())
+    return total
+
+
 def test_lanes_score_whole_documents():
     rng = np.random.default_rng(1)
-    p = lm.initial(rng.integers(1, 50, 1024))
+    layout = lm.Layout(rng.integers(1, 50, 1024))
+    p = lm.initial(layout)
     p["wc"] = rng.standard_normal(p["wc"].shape).astype(np.float32)
     p["wo"] = rng.standard_normal(p["wo"].shape).astype(np.float32)
-    docs = [(i, rng.integers(0, 1024, rng.integers(1, 300)).astype(np.int32)) for i in range(700)]
-    got = dict(lm.score(p, docs))
-    assert len(got) == 700
-    sig = lambda v: 1 / (1 + np.exp(-v))
-    for i, y in docs[:12]:
-        h, total = np.zeros(16), 0.0
-        for k, target in enumerate(y):
-            pre = p["emb"][lm.END if k == 0 else y[k - 1]] @ p["wx"] + p["b"]
-            hh = h @ p["wh"]
-            z, r = sig(pre[:16] + hh[:16]), sig(pre[16:32] + hh[16:32])
-            c = np.tanh(pre[32:] + r * hh[32:])
-            h = (1 - z) * c + z * h
-            total += lm.log_probs(p, h[None].astype(np.float32), np.array([target]))[0]
-        assert abs(total - got[i]) < 1e-3 * abs(total)
-
-
-def test_distribution_sums_to_one():
-    p = lm.initial(np.arange(1024))
-    h = np.random.default_rng(2).standard_normal((1, 16)).astype(np.float32)
-    total = sum(math.exp(lm.log_probs(p, h, np.array([y]))[0]) for y in range(1024))
-    assert abs(total - 1) < 1e-4
+    docs = [(i, rng.integers(0, 1024, rng.integers(1, 300)).astype(np.int32)) for i in range(700)] + [(700, rng.integers(0, 1024, 3000).astype(np.int32))]
+    got = dict(lm.score(p, layout, docs))
+    assert len(got) == 701
+    for i, y in [*docs[:12], docs[-1]]:
+        assert abs(plain_score(p, layout, y) - got[i]) < 1e-3 * abs(got[i])
+
+
+@pytest.mark.parametrize("words", [0, 1, 2, 1022, 70000 - 10000 - 2])
+def test_distribution_sums_to_one(words):
+    layout = lm.Layout(np.r_[3, 5, 1000 // np.arange(1, words + 1)])
+    p = lm.initial(layout)
+    h = np.random.default_rng(2).standard_normal((16, 1)).astype(np.float32)
+    total = np.exp(lm.log_probs(p, layout, np.repeat(h, layout.size, 1), np.arange(layout.size))).sum()
+    assert abs(total - 1) < 1e-3
+    assert layout.starts[0] == 0 and layout.starts[-1] == layout.size and (np.diff(layout.starts) > 0).all()
+
+
+def texts_and_ids(n):
+    """Rows whose words follow one another, so that context helps."""
+    rng = np.random.default_rng(8)
+    out = []
+    for i in range(n):
+        w = [int(rng.integers(0, 60))]
+        for _ in range(int(rng.integers(5, 60))):
+            w.append((w[-1] * 7 + int(rng.integers(0, 2))) % 60)
+        out.append((i, " ".join(f"w{x}" for x in w) + f" rare{i % 90}"))
+    return out
+
+
+def test_score_is_the_models_and_does_not_depend_on_partitions(spark):
+    rows = texts_and_ids(300)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r for r in lm_score.language_model_scores(frame.repartition(1)).collect()}
+    many = {r.doc_id: r for r in lm_score.language_model_scores(frame.repartition(9)).collect()}
+    assert all(abs(one[i].score - many[i].score) < 1e-6 * abs(one[i].score) for i in one)
+    # the whole of it in plain Python, but for the training itself
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    count = collections.Counter(w for i, t in rows if not out[i] for w in [*t.split(), None])
+    n = sum(count.values())
+    by_hash = lambda w: int(lm_score.hashes_of(w)[0])
+    words = sorted((w for w in count if w is not None), key=lambda w: (-count[w], by_hash(w)))
+    share, read = 0, []
+    for w in words:
+        if share >= lm_score.COVER * n:
+            break
+        read.append(w)
+        share += count[w]
+    ids = {w: 2 + k for k, w in enumerate(read)} | {None: lm.END}
+    layout = lm.Layout([n - share - count[None], count[None], *(count[w] for w in read)])
+    docs = {i: np.array([ids.get(w, lm.UNKNOWN) for w in [*t.split(), None]]) for i, t in rows}
+    import xxhash
+
+    deal = {i: xxhash.xxh64_intdigest(lm_score.hashes_of(t).tobytes(), i) >> 1 for i, t in rows}
+    order = sorted((i for i in docs if not out[i]), key=lambda i: (-len(docs[i]), deal[i]))
+    p, _ = lm.train(lm.initial(layout), layout, [(i, docs[i]) for i in order])
+    # the share of an unread word among all unread ones: one more for each, and one for words never seen
+    unread = sum(count[w] + 1 for w in words if w not in ids) + 1
+    for i, t in rows[:40]:
+        want = plain_score(p, layout, docs[i]) / math.log(10) + sum(math.log10((count[w] + 1) / unread) for w in t.split() if w not in ids)
+        assert abs(want - one[i].score) < 2e-4 * abs(want)
 
 
 def test_language_model_scores(docs, rows, none):
@@ -89,11 +147,11 @@ def test_training_helps_on_held_out_texts():
         for _ in range(150):
             y.append(int(step[(y[-1] - 2 + int(rng.integers(0, 2))) % 60]))
         docs.append((i, np.array(y, np.int32)))
-    counts = np.bincount(np.concatenate([y for _, y in docs[:350]]), minlength=1024)
-    start = lm.initial(counts)
-    p, tokens = lm.train(start, docs[:350] * 4)
+    layout = lm.Layout(np.bincount(np.concatenate([y for _, y in docs[:350]]), minlength=1024))
+    start = lm.initial(layout)
+    p, tokens = lm.train(start, layout, docs[:350] * 4)
     assert tokens == 4 * sum(len(y) for _, y in docs[:350])
-    assert sum(s for _, s in lm.score(p, docs[350:])) > sum(s for _, s in lm.score(start, docs[350:]))
+    assert sum(s for _, s in lm.score(p, layout, docs[350:])) > sum(s for _, s in lm.score(start, layout, docs[350:]))
 
 
 @pytest.mark.parametrize("kind", ["random", "clustered", "equal"])
