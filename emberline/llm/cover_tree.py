@@ -1,15 +1,21 @@
 """Exact top-k inner-product search with two cover trees.
 
-Vectors and queries are written in blocks; each block is indexed by a cover tree
-built by farthest-first traversal (centres are as far apart as the covering
-radius, children nest in parents, equal vectors share a node). A task takes a
-pair of blocks and walks both trees together: for query node Q and data node X,
+Vectors and queries are dealt to blocks of near ones (by their nearest of some
+pivots) and each block is stored once with its cover tree. The tree comes from a
+farthest-first traversal of the block: the net of level l are the centres that
+were farther than 2**l from all before them, so centres of a level are separated,
+every centre is within 2**(l + 1) of its parent, and a centre is its own child
+one level below. Nodes keep the exact covering radius of their points.
+
+A task takes a query block and some data blocks, best bound first, and walks each
+pair of trees together: for query node Q and data node X,
 
     max <q, x>  <=  <cq, cx> + |cq| rx + |cx| rq + rq rx,
 
 and a pair of nodes is dropped when that is below the worst k-th score of the
-queries in Q. Leaves are scored by matrix products. Scores are integers below
-2**24 in single precision, so they are exact for up to 4096 components of 64.
+queries in Q; the k-th scores are carried from block to block. Whichever node has
+the larger radius is opened next. Leaves are scored by matrix products in the
+narrowest type that is exact for the magnitudes at hand.
 """
 
 from __future__ import annotations
@@ -22,207 +28,294 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, open_fs, prepare, read_table, shared_dir
+from .common import AtomicFile, claim, open_fs, persist, prepare, read_table, shared_dir
 
-#: Vectors of a data block and of a query block; points of a leaf; centres of a node.
-DATA_BLOCK, QUERY_BLOCK, LEAF, CENTRES = 16384, 2048, 256, 16
+#: Vectors of a data block and of a query block; points of a leaf in the mean; data blocks of a task.
+DATA_BLOCK, QUERY_BLOCK, LEAF, CHUNK = 8192, 1024, 96, 4
+#: Points scored at once; pivots that place vectors in blocks.
+SLICE, PIVOTS = 1024, 64
 SCALE, K, EVERY = 64, 20, 20
+NONE = np.iinfo(np.int64).min
+
+
+class Tree:
+    """Points in tree order, and nodes as arrays: node 0 is the root, the children
+    of node i are first[i] to first[i] + count[i], its points start[i] to end[i]."""
+
+    FIELDS = ("ids", "uids", "x", "centre", "radius", "start", "end", "first", "count")
+
+    def __init__(self, **fields):
+        for name in self.FIELDS:
+            setattr(self, name, fields[name])
+        self.point = self.x.astype(np.float64)
+        self.c = self.point[self.centre]
+        self.norm = np.sqrt((self.c * self.c).sum(axis=1))
+        self.most = float(np.abs(self.point).max(initial=0.0))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def stored(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{name: getattr(self, name) for name in self.FIELDS})
+        return out.getvalue()
+
+    def children(self, i: int) -> np.ndarray:
+        return np.arange(self.first[i], self.first[i] + self.count[i])
+
+
+def build(ids: np.ndarray, uids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> Tree:
+    """The cover tree of integer vectors ``x``; equal vectors share a leaf."""
+    p = x.astype(np.float64)
+    most = max(1, len(p) // leaf)
+    centres, inserted = [0], [np.inf]
+    near, which = np.sqrt(((p - p[0]) ** 2).sum(axis=1)), np.zeros(len(p), np.int64)
+    while len(centres) < most and near.max() > 0:
+        far = int(near.argmax())
+        inserted.append(float(near[far]))
+        d = np.sqrt(((p - p[far]) ** 2).sum(axis=1))
+        closer = d < near
+        near[closer], which[closer] = d[closer], len(centres)
+        centres.append(far)
+    # levels, highest first: centres that come in at each, and their parents among those before
+    level = np.array([1 << 30, *np.floor(np.log2(inserted[1:])).astype(int)]) if len(centres) > 1 else np.array([1 << 30])
+    parent = np.zeros(len(centres), np.int64)
+    cp = p[centres]
+    steps = sorted(set(level[1:].tolist()), reverse=True)
+    for at in steps:
+        new = np.flatnonzero(level == at)
+        held = cp[: new[0]]
+        far = ((cp[new][:, None, :] - held[None]) ** 2).sum(axis=2) if len(new) * len(held) * cp.shape[1] < 1 << 22 else np.stack([((c - held) ** 2).sum(axis=1) for c in cp[new]])
+        parent[new] = far.argmin(axis=1)
+    cell = np.argsort(which, kind="stable")
+    cells = np.split(cell, np.cumsum(np.bincount(which, minlength=len(centres)))[:-1])
+    order, nodes = [], {"centre": [0], "radius": [0.0], "start": [0], "end": [0], "first": [0], "count": [0]}
+    placed = 0
+    position = np.empty(len(p), np.int64)
+
+    def fill(node: int, c: int, depth: int) -> None:
+        """Node of centre ``c`` over the levels from ``steps[depth]`` down."""
+        nonlocal placed
+        start = placed
+        kids: list[int] = []
+        while depth < len(steps) and not kids:
+            kids = np.flatnonzero((level == steps[depth]) & (parent == c)).tolist()
+            depth += 1
+        if kids:
+            kids = [c, *[k for k in kids if k != c]]
+            first = len(nodes["centre"])
+            nodes["first"][node], nodes["count"][node] = first, len(kids)
+            for name in nodes:
+                nodes[name] += [0] * len(kids)
+            for n, kid in enumerate(kids):
+                fill(first + n, kid, depth)
+        else:
+            own = cells[c]
+            order.append(own)
+            position[own] = np.arange(placed, placed + len(own))
+            placed += len(own)
+        inside = np.concatenate(order)[start:placed] if kids else cells[c]
+        nodes["centre"][node], nodes["start"][node], nodes["end"][node] = centres[c], start, placed
+        nodes["radius"][node] = float(np.sqrt(((p[inside] - cp[c]) ** 2).sum(axis=1).max()))
+
+    fill(0, 0, 0)
+    by = np.concatenate(order)
+    return Tree(
+        ids=ids[by], uids=uids[by], x=x[by], centre=position[np.array(nodes["centre"])], radius=np.array(nodes["radius"]),
+        start=np.array(nodes["start"]), end=np.array(nodes["end"]), first=np.array(nodes["first"]), count=np.array(nodes["count"]),
+    )
+
+
+class Search:
+    """The k best of a query block over the data blocks that it is walked with.
+
+    A point with the query's own uid is left out; equal scores go to the smaller
+    vec_id. ``pruned`` counts dropped pairs of nodes, by (query inner, data inner).
+    """
 
-
-class Node:
-    __slots__ = ("centre", "radius", "norm", "start", "end", "children")
-
-    def __init__(self, centre, radius, start, end, children):
-        self.centre, self.radius, self.start, self.end, self.children = centre, radius, start, end, children
-        self.norm = float(np.sqrt(centre @ centre))
-
-    def leaves(self):
-        stack, out = [self], []
-        while stack:
-            node = stack.pop()
-            if node.children:
-                stack += reversed(node.children)
+    def __init__(self, queries: Tree, k: int = K):
+        self.q, self.k = queries, k
+        self.score = np.full((len(queries), k), NONE)
+        self.id = np.zeros((len(queries), k), np.int64)
+        self.pruned: dict[tuple[bool, bool], int] = {}
+
+    def bounds(self, a: int, t: Tree, nodes) -> np.ndarray:
+        """Upper bounds of the products of query node ``a`` with data nodes, rounding included."""
+        q = self.q
+        size = (q.norm[a] + q.radius[a]) * (t.norm[nodes] + t.radius[nodes])
+        return t.c[nodes] @ q.c[a] + q.norm[a] * t.radius[nodes] + t.norm[nodes] * q.radius[a] + q.radius[a] * t.radius[nodes] + 1e-9 * size + 0.5
+
+    def worst(self, a: int) -> int:
+        return int(self.score[self.q.start[a] : self.q.end[a], -1].min())
+
+    def with_block(self, t: Tree) -> None:
+        most = self.q.most * t.most * max(1, t.x.shape[1])
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+        if most >= 1 << 63:
+            raise ValueError("scores are beyond 64 bits")
+        left, right = self.q.x.astype(kind), t.x.astype(kind)
+
+        def walk(a: int, b: int, bound: float) -> None:
+            inner = bool(self.q.count[a]), bool(t.count[b])
+            if bound < self.worst(a):
+                self.pruned[inner] = self.pruned.get(inner, 0) + 1
+            elif inner[0] and (not inner[1] or self.q.radius[a] >= t.radius[b]):
+                for child in self.q.children(a).tolist():
+                    walk(child, b, float(self.bounds(child, t, [b])[0]))
+            elif inner[1]:
+                kids = t.children(b)
+                found = self.bounds(a, t, kids)
+                for n in np.argsort(-found, kind="stable").tolist():
+                    walk(a, int(kids[n]), float(found[n]))
             else:
-                out.append(node)
-        return out
-
-
-def build(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, Node]:
-    """An order of the points and the root; nodes are runs of that order."""
-    order = np.arange(len(points))
-    x = points.astype(np.float32)
-
-    def split(start: int, end: int, centre: np.ndarray) -> Node:
-        own = order[start:end]
-        far = ((x[own] - centre) ** 2).sum(axis=1)
-        radius = float(np.sqrt(far.max()))
-        if end - start <= leaf or radius == 0.0:
-            return Node(centre, radius, start, end, [])
-        near, which, chosen = far, np.zeros(len(own), np.int64), [centre]
-        # farthest first, until the centres cover at half the radius
-        while len(chosen) < CENTRES and near.max() > (radius / 2) ** 2:
-            c = x[own[near.argmax()]]
-            d = ((x[own] - c) ** 2).sum(axis=1)
-            closer = d < near
-            near = np.where(closer, d, near)
-            which[closer] = len(chosen)
-            chosen.append(c)
-        by = np.argsort(which, kind="stable")
-        order[start:end] = own[by]
-        sizes, at, children = np.bincount(which, minlength=len(chosen)), start, []
-        for c, n in zip(chosen, sizes.tolist()):
-            if n:
-                children.append(split(at, at + n, c))
-                at += n
-        return Node(centre, radius, start, end, children)
-
-    return order, split(0, len(order), x[0])
-
-
-def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, point index, score) of each query's k best points.
-
-    A point with the query's own id is left out; equal scores go to the smaller
-    id. Both sides are indexed; ``keys`` orders by score, then by smaller id.
-    """
-    q_order, q_root = build(queries)
-    x_order, x_root = build(points)
-    q, x = queries[q_order].astype(np.float32), points[x_order].astype(np.float32)
-    q_ids, x_ids = query_ids[q_order], ids[x_order]
-    rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((x_ids,))] = np.arange(len(ids))
-    none = np.iinfo(np.int64).min
-    best = np.full((len(q), k), none)
-    worst = np.full(len(q), -np.inf)
-
-    def bound(a: Node, b: Node) -> float:
-        return float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-
-    def score(a: Node, b: Node) -> None:
-        s = (q[a.start : a.end] @ x[b.start : b.end].T).astype(np.int64)
-        keys = (s << 32) + ((1 << 31) - 1 - rank[b.start : b.end])
-        keys[q_ids[a.start : a.end, None] == x_ids[None, b.start : b.end]] = none
-        every = np.concatenate([best[a.start : a.end], keys], axis=1)
-        best[a.start : a.end] = np.partition(every, every.shape[1] - k, axis=1)[:, -k:]
-        low = best[a.start : a.end].min(axis=1)
-        worst[a.start : a.end] = np.where(low == none, -np.inf, (low >> 32).astype(float))
-
-    def walk(a: Node, b: Node, most: float) -> None:
-        if most < worst[a.start : a.end].min() - 0.5:
+                for i in range(self.q.start[a], self.q.end[a], SLICE):
+                    for j in range(t.start[b], t.end[b], SLICE):  # a leaf of equal points may be long
+                        self._score(left, right, t, i, min(i + SLICE, self.q.end[a]), j, min(j + SLICE, t.end[b]))
+
+        walk(0, 0, float(self.bounds(0, t, [0])[0]))
+
+    def _score(self, left, right, t: Tree, i: int, end: int, j: int, stop: int) -> None:
+        s = left[i:end] @ right[j:stop].T
+        ok = s >= self.score[i:end, -1].astype(s.dtype)[:, None]
+        ok &= self.q.uids[i:end, None] != t.uids[None, j:stop]
+        row, col = np.nonzero(ok)
+        if not len(row):
             return
-        if a.children and (not b.children or a.radius >= b.radius):
-            for child in a.children:
-                walk(child, b, bound(child, b))
-        elif b.children:
-            pairs = sorted(((bound(a, child), n) for n, child in enumerate(b.children)), reverse=True)
-            for most, n in pairs:
-                walk(a, b.children[n], most)
-        else:
-            for at in range(b.start, b.end, 4 * LEAF):  # a leaf of equal points may be long
-                part = Node(b.centre, b.radius, at, min(b.end, at + 4 * LEAF), [])
-                score(a, part)
-
-    for a in q_root.leaves():
-        for at in range(a.start, a.end, 4 * LEAF):
-            part = Node(a.centre, a.radius, at, min(a.end, at + 4 * LEAF), [])
-            walk(part, x_root, bound(part, x_root))
-    row, col = np.nonzero(best != none)
-    keys = best[row, col]
-    by_rank = np.argsort(rank)
-    return q_order[row], x_order[by_rank[(1 << 31) - 1 - (keys & 0xFFFFFFFF)]], keys >> 32
+        rows = np.unique(row)
+        at = np.concatenate([np.repeat(rows, self.k), row])
+        score = np.concatenate([self.score[i + rows].ravel(), s[row, col].astype(np.int64)])
+        ids = np.concatenate([self.id[i + rows].ravel(), t.ids[j + col]])
+        order = np.lexsort((ids, ~score, at))  # ~score falls as the score rises, and can't overflow
+        at, score, ids = at[order], score[order], ids[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        first = place < self.k
+        self.score[i + rows], self.id[i + rows] = score[first].reshape(-1, self.k), ids[first].reshape(-1, self.k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place in its tree, vec_id, score) of what was found."""
+        row, col = np.nonzero(self.score != NONE)
+        return row, self.id[row, col], self.score[row, col]
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, q: floor(scale * component); vectors that are null, empty or hold
-    a null or non-finite component, and rows without id, are left out."""
+    """vec_id, q: floor(scale * component) as long; vectors that are null, empty or
+    hold a null or non-finite component, and rows without id, are left out."""
     x = F.col("embedding")
     ok = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int")).alias("q")
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("q")
     )
 
 
-def write_blocks(rows: DataFrame, folder: str, size: int) -> list[str]:
-    """Rows (vec_id, q) in files of ``size`` vectors of equal length each.
+BLOCK = pa.schema([("name", pa.string()), ("dim", pa.int32()), ("n", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
+
 
-    Only the file names come back. Tasks write their own rows, so no key is
-    gathered; a file never mixes lengths.
+def write_blocks(rows: DataFrame, folder: str, size: int, pivots: np.ndarray) -> DataFrame:
+    """Rows (vec_id, uid, q) in files of at most ``size`` vectors of equal length, each
+    with its tree; the list of files, with each root, as Parquet.
+
+    Rows are dealt by range of (length, nearest pivot, uid), so near vectors share
+    blocks and a crowded pivot spreads over many tasks. A file's name is unique to the
+    attempt that wrote it, and only names of attempts that ended are in the list.
     """
+    spark = rows.sparkSession
+    near = pa.schema([("vec_id", pa.int64()), ("uid", pa.int64()), ("q", pa.list_(pa.int64())), ("pivot", pa.int32())])
+
+    def place(batches):
+        claim()
+        for batch in batches:
+            pivot = np.zeros(batch.num_rows, np.int32)
+            for k, q in enumerate(batch.column(2)):
+                v = np.asarray(q.values, np.float64)
+                if len(pivots) and len(v) == pivots.shape[1]:
+                    pivot[k] = ((pivots - v) ** 2).sum(axis=1).argmin()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot)], schema=near)
 
     def write(batches):
+        claim()
         held: dict[int, list] = {}
-        names = []
-
-        def flush(dim: int) -> None:
-            ids, vectors = zip(*held.pop(dim))
-            out = io.BytesIO()
-            np.savez(out, ids=np.array(ids, np.int64), x=np.array(vectors, np.int32))
-            name = f"{folder}/{dim}-{TaskContext.get().partitionId():06d}-{len(names):05d}-{TaskContext.get().taskAttemptId()}.npz"
+        names, part = 0, TaskContext.get()
+
+        def flush(dim: int) -> pa.RecordBatch:
+            nonlocal names
+            ids, uids, vectors = zip(*held.pop(dim))
+            tree = build(np.array(ids, np.int64), np.array(uids, np.int64), np.array(vectors, np.int64))
+            name = f"{folder}/{dim}-{part.partitionId():06d}-{names:05d}-{part.taskAttemptId()}.npz"
+            names += 1
             file = AtomicFile(name)
-            file.write(out.getvalue())
+            file.write(tree.stored())
             file.close()
-            names.append(name)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([dim], pa.int32()), pa.array([len(tree)], pa.int64()), pa.array([tree.c[0]], BLOCK.field("centre").type), pa.array([tree.radius[0]])], schema=BLOCK)
 
         for batch in batches:
-            for vec_id, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(len(q), []).append((vec_id, q))
+            for vec_id, uid, q in zip(*(c.to_pylist() for c in batch.columns[:3])):
+                held.setdefault(len(q), []).append((vec_id, uid, q))
                 if len(held[len(q)]) >= size:
-                    flush(len(q))
+                    yield flush(len(q))
         for dim in list(held):
-            flush(dim)
-        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
+            yield flush(dim)
 
-    return sorted(r.name for r in rows.mapInArrow(write, "name string").collect())
+    placed = rows.select("vec_id", "uid", "q").mapInArrow(place, "vec_id long, uid long, q array<long>, pivot int")
+    n = max(1, -(-rows.count() // size))
+    dealt = placed.repartitionByRange(n, F.size("q"), "pivot", F.xxhash64("uid")).select("vec_id", "uid", "q")
+    return persist(dealt.mapInArrow(write, "name string, dim int, n long, centre array<double>, radius double"), "vector-lists")
 
 
-def read_block(name: str) -> tuple[np.ndarray, np.ndarray]:
+def read_block(name: str) -> Tree:
     fs, path = open_fs(name)
     with fs.open_input_file(path) as f:
         data = np.load(io.BytesIO(f.read()))
-    return data["ids"], data["x"]
+    return Tree(**{k: data[k] for k in Tree.FIELDS})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best vectors of its length.
-
-    Inputs are ``quantised`` frames; ``vec_id`` names a row. Every pair of a query
-    block and a data block is one task that holds two blocks; the k best per
-    pair are merged by rank per query. Fewer than k vectors give fewer rows.
+    """query_id, rank, vec_id, score: each query row's k best vectors of its length.
+
+    Inputs are ``quantised`` frames (vec_id, q). A row's own vector is left out by
+    ``uid`` where both frames have that column, else by vec_id; rows of a repeated vec_id
+    are queries of their own, each with its k best. Fewer than k vectors give fewer
+    rows, no vectors none. A query block meets CHUNK data blocks in a task, which holds
+    two blocks at once; the k best per task are merged by rank per query. Products of 64
+    bits or more raise ValueError. Other columns are ignored.
     """
     spark = vectors.sparkSession
     prepare(spark)
+    own = "uid" if "uid" in vectors.columns and "uid" in queries.columns else "vec_id"
+    row_of = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(own).cast("long").alias("uid"), "q")
+    vectors, queries = row_of(vectors), row_of(queries)
     folder = shared_dir(spark, "vector-blocks")
-    n = max(1, vectors.count())
-    data = write_blocks(vectors.repartition(max(1, -(-n // data_block))), f"{folder}/data", data_block)
-    asked = max(1, queries.count())
-    query = write_blocks(queries.repartition(max(1, -(-asked // query_block))), f"{folder}/queries", query_block)
-    dim = lambda name: name.rpartition("/")[2].split("-")[0]
-    by_dim: dict[str, list[str]] = {}
-    for name in data:
-        by_dim.setdefault(dim(name), []).append(name)
-    # every query block with every data block of its length, numbered without listing the pairs
-    counts = [len(by_dim.get(dim(name), ())) for name in query]
-    ends = np.cumsum([0, *counts])
-    total = int(ends[-1])
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    some = vectors.withColumn("o", F.xxhash64("uid")).orderBy("o").limit(PIVOTS).collect()  # PIVOTS rows
+    dim = len(some[0].q) if some else 0
+    pivots = np.array([r.q for r in some if len(r.q) == dim], np.float64)
+    data = write_blocks(vectors, f"{folder}/data", data_block, pivots)
+    asked = write_blocks(queries, f"{folder}/queries", query_block, pivots)
+    chunks = max(1, -(-data.count() // CHUNK))
+    dealt = data.groupBy("dim", F.pmod(F.xxhash64("name"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("name", "centre", "radius")).alias("blocks"))
+    # the stated queries against all rows, in blocks: a row of names for each pair
+    pairs = persist(asked.select("dim", F.col("name").alias("query")).join(dealt, "dim").select("query", "blocks"), "vector-pairs")
+    tasks = max(1, min(pairs.count(), 100_000))
+    out = pa.schema([("query_uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
+        claim()
         for batch in batches:
-            for pair in batch.column(0).to_pylist():
-                at = int(np.searchsorted(ends, pair, side="right")) - 1
-                q_ids, q = read_block(query[at])
-                x_ids, x = read_block(by_dim[dim(query[at])][pair - int(ends[at])])
-                qi, xi, score = search(q, q_ids, x, x_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(x_ids[xi]), pa.array(score)], schema=out)
-
-    found = spark.range(0, total, 1, max(1, total)).mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for pair in batch.to_pylist():
+                q = read_block(pair["query"])
+                search = Search(q, k)
+                root = lambda b: float(np.dot(b["centre"], q.c[0]) + q.norm[0] * b["radius"] + np.linalg.norm(b["centre"]) * q.radius[0] + q.radius[0] * b["radius"])
+                for block in sorted(pair["blocks"], key=lambda b: (-root(b), b["name"])):
+                    search.with_block(read_block(block["name"]))
+                row, vec_id, score = search.found()
+                yield pa.RecordBatch.from_arrays([pa.array(q.uids[row]), pa.array(q.ids[row]), pa.array(vec_id), pa.array(score)], schema=out)
+
+    found = pairs.repartition(tasks, "query", F.col("blocks")[0]["name"]).mapInArrow(run, "query_uid long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_top_k(spark, sf_dir: str) -> DataFrame:
     """The 20 best of all vectors for every vec_id divisible by 20."""
-    rows = quantised(read_table(spark, sf_dir, "embeddings"))
+    rows = persist(quantised(read_table(spark, sf_dir, "embeddings")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     return top_k(rows, rows.filter(F.col("vec_id") % EVERY == 0))
 
 

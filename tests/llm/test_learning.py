@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberline.llm import cover_tree, gated_lm as lm, lm_score, pieces, quality
 
@@ -154,7 +155,20 @@ def test_training_helps_on_held_out_texts():
     assert sum(s for _, s in lm.score(p, layout, docs[350:])) > sum(s for _, s in lm.score(start, layout, docs[350:]))
 
 
-@pytest.mark.parametrize("kind", ["random", "clustered", "equal"])
+def searched(x, ids, q, k, size=400, leaf=cover_tree.LEAF):
+    """Search of queries x[q] over blocks of ``size`` vectors; and the counts of dropped pairs."""
+    uids = np.arange(len(x))
+    search = cover_tree.Search(cover_tree.build(ids[q], uids[q], x[q], leaf), k)
+    for at in range(0, len(x), size):
+        search.with_block(cover_tree.build(ids[at : at + size], uids[at : at + size], x[at : at + size], leaf))
+    row, vec_id, score = search.found()
+    got = collections.defaultdict(list)
+    for uid, i, s in zip(search.q.uids[row], vec_id, score):
+        got[int(uid)].append((int(i), int(s)))
+    return got, search.pruned
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "equal", "large", "beyond doubles"])
 def test_cover_tree_is_exact(kind):
     rng = np.random.default_rng(5)
     x = rng.integers(-20, 20, (900, 12))
@@ -162,14 +176,49 @@ def test_cover_tree_is_exact(kind):
         x = rng.integers(-20, 20, (6, 12))[rng.integers(0, 6, 900)] * 10 + rng.integers(-2, 3, (900, 12))
     if kind == "equal":
         x[:700] = x[0]
+    if kind == "large":
+        x = rng.integers(-(10**6), 10**6, (900, 12))
+    if kind == "beyond doubles":
+        x = rng.integers(-(1 << 29), 1 << 29, (900, 12))
     ids = rng.permutation(5000)[:900].astype(np.int64)
-    q = ids % 3 == 0
-    qi, xi, score = cover_tree.search(x[q], ids[q], x, ids, 7)
-    for k in range(0, int(q.sum()), 9):
-        s = x @ x[q][k]
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[q][k]][:7]
-        got = sorted(((-int(score[r]), int(ids[xi[r]])) for r in np.flatnonzero(qi == k)))
-        assert got == [(-int(s[j]), int(ids[j])) for j in order]
+    ids[5] = ids[6]  # a repeated id
+    q = np.flatnonzero(np.arange(900) % 3 == 0)
+    got, _ = searched(x, ids, q, 7)
+    for r in q[::9].tolist():
+        s = [sum(int(a) * int(b) for a, b in zip(x[r], v)) for v in x]
+        order = sorted((j for j in range(900) if j != r), key=lambda j: (-s[j], ids[j]))[:7]
+        assert got[r] == [(int(ids[j]), s[j]) for j in order]
+
+
+def test_cover_tree_levels():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-99, 99, (2000, 3))
+    t = cover_tree.build(np.arange(2000), np.arange(2000), x, 8)
+    assert sorted(map(tuple, t.x)) == sorted(map(tuple, x)) and (t.start[0], t.end[0]) == (0, 2000)
+    for i in range(len(t.count)):
+        inside = t.point[t.start[i] : t.end[i]]
+        assert np.isclose(np.sqrt(((inside - t.c[i]) ** 2).sum(1)).max(), t.radius[i])
+        kids = t.children(i)
+        if len(kids):
+            assert t.centre[kids[0]] == t.centre[i]  # nesting
+            assert t.start[kids[0]] == t.start[i] and t.end[kids[-1]] == t.end[i] and (t.start[kids[1:]] == t.end[kids[:-1]]).all()
+            apart = np.sqrt(((t.c[kids][:, None] - t.c[kids][None]) ** 2).sum(2))[np.triu_indices(len(kids), 1)]
+            assert 2 * apart.min() > apart[: len(kids) - 1].max()  # separation against covering
+
+
+def test_both_trees_are_pruned():
+    rng = np.random.default_rng(7)
+    centres = rng.integers(-400, 400, (40, 6))
+    x = centres[rng.integers(0, 40, 8000)] + rng.integers(-3, 4, (8000, 6))
+    _, pruned = searched(x, np.arange(8000), np.arange(0, 8000, 4), 5, 4000, 8)
+    assert pruned[(True, True)] > 0 and pruned[(False, False)] > 0 and sum(pruned.values()) > 100
+
+
+def test_repeated_query_ids_keep_their_rows(spark):
+    data = [(20, [1.0, 2.0]), (20, [3.0, -1.0]), (7, [2.0, 2.0]), (40, [1.0, 2.0])]
+    v = cover_tree.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>")).withColumn("uid", F.monotonically_increasing_id())
+    got = collections.Counter((r.query_id, r["rank"]) for r in cover_tree.top_k(v, v.filter("vec_id % 20 = 0"), 20).collect())
+    assert got == {(20, 1): 2, (20, 2): 2, (20, 3): 2, (40, 1): 1, (40, 2): 1, (40, 3): 1}
 
 
 def test_vector_rows(spark):
