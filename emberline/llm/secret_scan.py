@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim, prepare, read_table, table
+from .pieces import SPACE, proto_fields
 
 # The three base kinds, in the order in which ties are listed.
 KINDS = ("assign", "access", "hex")
@@ -31,8 +32,9 @@ ASSIGN_CHARS = 12
 #: Credential context of the added kind, wider than the base pattern: more names,
 #: separators and any value without white space or quotes.
 CONTEXT = re.compile(r"""((?:[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD]|[pP][hH][rR][aA][sS][eE])?|[pP][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI][_-]?[kK][eE][yY]|[cC][rR][eE][dD][eE][nN][tT][iI][aA][lL][sS]?|[aA][uU][tT][hH]|[pP][rR][iI][vV][aA][tT][eE][_-]?[kK][eE][yY])["']?\s*+(?:=>|:=|[:=])\s*+["']?)([^\s"'<>{}]{8,})""")
-#: One linear-time scan decides which texts can hold any context or key at all.
-MAYBE = r"(?i:pass|pwd|secret|token|api[_-]?key|credential|auth|private[_-]?key)[\w-]{0,8}[\"']?\s*[:=]"
+#: One linear-time scan decides which texts can hold any context or key at all: the
+#: names alone, whatever stands behind them.
+MAYBE = r"(?i:pass|pwd|secret|token|api[_-]?key|credential|auth|private[_-]?key)"
 MAYBE_KEY = r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"
 
 #: A value is a secret if its cheapest reading takes over 10 ** 10 guesses.
@@ -48,72 +50,165 @@ WORDS = (
     "server client database public private prod production staging dev local host system service account my the for and "
     "love summer winter spring autumn monday friday january december football baseball shadow sunshine princess"
 ).split()
-RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
 LEET = str.maketrans("013457@$!", "oleastasi")
-DATES = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
-
-
-def _classes(text: str) -> int:
-    return 10 * bool(re.search(r"\d", text)) + 26 * bool(re.search("[a-z]", text)) + 26 * bool(re.search("[A-Z]", text)) + 33 * bool(re.search("[^A-Za-z0-9]", text)) or 1
-
-
-def _walks(low: str) -> list[tuple[int, int, float]]:
-    """Spans of three or more that follow a row, forwards or backwards."""
-    found = []
-    for row in ROWS:
-        place = {c: k for k, c in enumerate(row)}
-        for step in (1, -1):
-            start = 0
-            for i in range(1, len(low) + 1):
-                if i == len(low) or place.get(low[i], -9) - place.get(low[i - 1], 99) != step:
-                    if i - start >= 3:
-                        found.append((start, i, math.log10(len(row) * 2 * (i - start))))
-                    start = i
-    return found
-
-
-def matches(text: str) -> list[tuple[int, int, float, str]]:
-    """All pattern spans of a value: start, end, log10 of guesses, kind."""
+DATES = tuple(
+    re.compile(p)
+    for p in (
+        r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])",
+        r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d",
+        r"(?:19|20)\d\d",
+    )
+)
+#: Longest unit of a repeat; shortest pattern span.
+UNIT, LEAST = 8, 3
+#: A run of letters of one case that no list holds is a word all the same: so many
+#: guesses (log10) up to so many letters, and in proportion beyond.
+OTHER_WORD, OTHER_LETTERS = 6.0, 12
+JOIN = math.log10(2)
+_PLACES = [(len(row), step, {c: k * step for k, c in enumerate(row)}) for row in ROWS for step in (1, -1)]
+
+
+@lru_cache(maxsize=4)
+def dictionary(path: str | None = None) -> tuple[dict[str, int], int]:
+    """Ranks of words, and the longest one's length: common weak values, then the words of
+    a piece vocabulary in its order (by default the public piece file, some 12,000)."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    rank = {w: k + 1 for k, w in enumerate(dict.fromkeys(WORDS))}
+    with open(path, "rb") as f:
+        for field, value in proto_fields(f.read()):
+            if field == 1:
+                word = dict(proto_fields(value))[1].decode().removeprefix(SPACE).lower()
+                if len(word) >= LEAST and word.isalpha():
+                    rank.setdefault(word, len(rank) + 1)
+    return rank, max(map(len, rank))
+
+
+def _masks(text: str) -> list[int]:
+    """Classes of each character as bits: digits, a-z, A-Z, others."""
+    return [c.isdecimal() | ("a" <= c <= "z") << 1 | ("A" <= c <= "Z") << 2 | (not (c.isascii() and c.isalnum())) << 3 for c in text]
+
+
+_SIZES = [math.log10(max(1, 10 * (m & 1) + 26 * (m >> 1 & 1) + 26 * (m >> 2 & 1) + 33 * (m >> 3 & 1))) for m in range(16)]
+
+
+def words_in(text: str) -> list[tuple[int, int, float]]:
+    """Spans of listed words, plain or in leet, and their guesses (log10)."""
     low = text.lower()
-    plain = low.translate(LEET)
+    if len(low) != len(text):  # a letter whose small form is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    plain, (rank, longest) = low.translate(LEET), dictionary()
     out = []
     for i in range(len(text)):
-        for j in range(i + 3, min(len(text), i + LONGEST_WORD) + 1):
+        for j in range(i + LEAST, min(len(text), i + longest) + 1):
             for form, extra in ((low, 1), (plain, 4)):
-                if form[i:j] in RANK:
+                if form[i:j] in rank:
                     case = 1 if text[i:j] in (low[i:j], text[i:j].upper()) else 2
-                    out.append((i, j, math.log10(RANK[form[i:j]] * extra * case * 2), "word"))
+                    out.append((i, j, math.log10(rank[form[i:j]] * extra * case * 2)))
                     break
-    out += [(m.start(), m.end(), math.log10(120 * (366 if m.end() - m.start() > 4 else 1) * 4), "date") for m in DATES.finditer(text)]
-    for m in REPEAT.finditer(text):
-        if m.end() - m.start() >= 3:
-            times = (m.end() - m.start()) // len(m[1])
-            out.append((m.start(), m.end(), len(m[1]) * math.log10(_classes(m[1])) + math.log10(times), "repeat"))
-    out += [(i, j, g, "walk") for i, j, g in _walks(low)]
     return out
 
 
+def dates_in(text: str) -> list[tuple[int, int, float]]:
+    """Spans of dates and years from any place on, and their guesses (log10)."""
+    found = [(i, m.end()) for i, c in enumerate(text) if c.isdecimal() for p in DATES if (m := p.match(text, i))]
+    return [(i, j, math.log10(120 * (366 if j - i > 4 else 1) * 4)) for i, j in found]
+
+
+class _Runs:
+    """Starts of a growing run from which a span may end here, at cost best[start] +
+    log10(length): one that is dominated stays dominated as the run grows, so few are kept."""
+
+    __slots__ = ("starts",)
+
+    def __init__(self):
+        self.starts: list[tuple[int, float]] = []
+
+    def least(self, new: int, best: float, end: int) -> float:
+        self.starts.append((new, best))
+        costs = [b + math.log10(end - i) for i, b in self.starts]
+        low = min(costs)
+        if len(costs) > 1:
+            kept, held = [], math.inf
+            for x, c in zip(self.starts, costs):  # a later start must be cheaper here than all earlier ones
+                if c < held:
+                    kept.append(x)
+                    held = c
+            self.starts = kept
+        return low
+
+
 def guess_cost(text: str) -> float:
     """log10 of the least guesses over all segmentations of ``text``.
 
-    ``best[j]`` is the least over the last part that ends at j: a pattern span, or
-    a brute-force span, whose cost is per character so spans of it need no inner
-    loop. Each part after the first costs a factor for the order of parts.
+    ``best[j]`` is the least over the last part that ends at j: a listed word, a date, a
+    repeat (any unit up to UNIT, any number of times), a keyboard walk, a word that
+    isn't listed, or a brute-force span, whose cost is per character so spans of it need
+    no inner loop. All spans of a kind count, also those inside longer ones. Each part
+    but those of brute force costs a factor for the order of parts. Time is linear in the
+    length, for any value.
     """
     return _remembered(text) if len(text) <= REMEMBERED else _least(text)
 
 
 def _least(text: str) -> float:
-    per_char = math.log10(_classes(text))
-    join = math.log10(2)
+    masks = _masks(text)
+    every = 0
+    for m in set(masks):
+        every |= m
+    per_char, n = _SIZES[every], len(text)
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost, _ in matches(text):
+    for i, j, cost in [*words_in(text), *dates_in(text)]:
         by_end.setdefault(j, []).append((i, cost))
-    best = [0.0] * (len(text) + 1)
-    for j in range(1, len(text) + 1):
-        best[j] = min([best[j - 1] + per_char, *(best[i] + cost + join for i, cost in by_end.get(j, ()))])
+    best = [0.0] * (n + 1)
+    same, repeats = [0] * (UNIT + 1), [[_Runs() for _ in range(p)] for p in range(UNIT + 1)]
+    walk, walks = [0] * len(_PLACES), [_Runs() for _ in _PLACES]
+    low = [c.lower() for c in text]
+    letters, long_word = 0, math.inf  # of the run of one case: its length, and least best - share of starts far enough back
+    for j in range(1, n + 1):
+        c, cost = text[j - 1], best[j - 1] + per_char
+        for i, g in by_end.get(j, ()):
+            cost = min(cost, best[i] + g + JOIN)
+        for p in range(1, min(UNIT, j - 1) + 1):
+            if c != text[j - 1 - p]:
+                if same[p]:
+                    same[p] = 0
+                    repeats[p] = [_Runs() for _ in range(p)]
+                continue
+            same[p] += 1
+            size = p * max(2, -(-LEAST // p))
+            if same[p] + p >= size:
+                mask = 0
+                for m in masks[j - p : j]:
+                    mask |= m
+                i = j - size
+                cost = min(cost, repeats[p][j % p].least(i, best[i], j) - math.log10(p) + p * _SIZES[mask] + JOIN)
+        for k, (size, _, place) in enumerate(_PLACES):
+            here = place.get(low[j - 1])
+            if here is None:
+                walk[k] = 0
+            elif walk[k] and place[low[j - 2]] == here - 1:
+                walk[k] += 1
+            else:
+                walk[k] = 1
+            if walk[k] == 1:
+                walks[k].starts = []
+            elif walk[k] >= LEAST:
+                i = j - LEAST
+                cost = min(cost, walks[k].least(i, best[i], j) + math.log10(2 * size) + JOIN)
+        if c.isalpha() and letters and (c.islower(), c.isupper()) == (text[j - 2].islower(), text[j - 2].isupper()):
+            letters += 1
+        else:
+            letters, long_word = int(c.isalpha()), math.inf
+        if letters > OTHER_LETTERS:
+            i = j - OTHER_LETTERS - 1
+            long_word = min(long_word, best[i] - i * OTHER_WORD / OTHER_LETTERS)
+            cost = min(cost, long_word + j * OTHER_WORD / OTHER_LETTERS + JOIN)
+        if letters >= LEAST:
+            cost = min(cost, min(best[j - min(letters, OTHER_LETTERS) : j - LEAST + 1]) + OTHER_WORD + JOIN)
+        best[j] = cost
     return best[-1]
 
 
@@ -133,16 +228,11 @@ def added_spans(text: str, least: float = GUESSES_LOG10) -> list[tuple[int, int]
     out = []
     for m in CONTEXT.finditer(text):
         value = m[2].rstrip(".,;:)]")
-        if len(value) >= 8 and _looks_random(value) and guess_cost(value) > least:
+        if len(value) >= 8 and guess_cost(value) > least:
             out.append((m.start(2), m.start(2) + len(value)))
     return out
 
 
-def _looks_random(value: str) -> bool:
-    """Two classes of characters at least: running prose after a colon isn't one."""
-    return sum(bool(re.search(p, value)) for p in (r"\d", "[a-z]", "[A-Z]", r"[^A-Za-z0-9]")) >= 2
-
-
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
