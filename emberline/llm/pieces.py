@@ -15,6 +15,7 @@ merge in lockstep. ``encode`` returns both readings.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 import zlib
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, table
+from .common import claim, kept, prepare, read_table, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -33,8 +34,9 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 WORD_CACHE, GROUP = 300_000, 2048
 #: Texts encoded together.
 TEXTS = 512
-#: Longer words are scored one at a time, so a batch's table stays small.
-BATCHED = 48
+#: Groups of longer words are smaller, so a batch's table stays small; words beyond
+#: LONG are read one at a time, STRETCH characters at once.
+BATCHED, LONG, STRETCH = 48, 512, 16_384
 
 _models: dict[str, "PieceModel"] = {}
 
@@ -90,7 +92,12 @@ class PieceModel:
                 self.scores.append(struct.unpack("<f", piece[2])[0])
                 kinds.append(piece.get(3, NORMAL))
             elif field == 3:
-                self.prefix = bool(dict(proto_fields(value)).get(3, 1))
+                rule = dict(proto_fields(value))
+                self.prefix = bool(rule.get(3, 1))
+                if rule.get(2) or rule.get(4, 1) or not rule.get(5, 1):
+                    raise ValueError("only models that keep characters and white space as they are can be read")
+        if len(self.pieces) > 1 << 16:
+            raise ValueError("ids are kept as 16-bit integers")
         self.bytes_at = {int(p[1:-1], 16): k for k, (p, t) in enumerate(zip(self.pieces, kinds)) if t == BYTE}
         normal = [k for k, t in enumerate(kinds) if t == NORMAL]
         self.ids = {self.pieces[k]: k for k in normal}
@@ -128,6 +135,14 @@ class PieceModel:
         # ids of words (with plain spaces) in both readings, and the generation before
         self.cache: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        kept("pieces", self)
+
+    def __len__(self) -> int:
+        return len(self.cache[0]) + len(self.old[0])
+
+    def clear(self) -> None:
+        """Forget the words of earlier texts."""
+        self.cache, self.old = ({}, {}), ({}, {})
 
     @staticmethod
     def _mix(codes: np.ndarray) -> np.ndarray:
@@ -242,11 +257,80 @@ class PieceModel:
             out[r] = self._spell(words[r], list(zip(starts.tolist(), length_at[r, starts].tolist(), id_at[r, starts].tolist())))
         return out
 
+    def _long(self, plain: str) -> tuple[bytes, bytes]:
+        """Both readings of one long word, in time and memory near linear in its length.
+
+        The same hash probes run over STRETCH characters at a time and only their hits
+        are kept; the merge order comes from a heap of neighbours.
+        """
+        word, n = plain.replace(" ", SPACE), len(plain)
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        best, back, last = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+        done = 0
+        for at in range(0, n, STRETCH):
+            # ends in (at, at + STRETCH]: their pieces start up to ``longest`` before
+            low, high = max(0, at + 1 - self.longest), min(n, at + STRETCH)
+            scores, ids = self.table(codes[None, low:high])
+            start, length = np.nonzero(ids[0] >= 0)
+            end = low + start + length
+            order = np.lexsort((-length, end))  # of equal sums the longest last piece holds
+            order = order[(end[order] > at) & (end[order] <= high)]
+            hits = iter(zip(end[order].tolist(), length[order].tolist(), scores[0][start, length][order].tolist(), ids[0][start, length][order].tolist()))
+            hit = next(hits, None)
+            for done in range(at + 1, high + 1):
+                top, size, k = -np.inf, 1, -1
+                while hit is not None and hit[0] == done:
+                    total = best[done - hit[1]] + hit[2]
+                    if total > top:
+                        top, size, k = total, hit[1], hit[3]
+                    hit = next(hits, None)
+                if best[done - 1] + self.unknown > top and word[done - 1] not in self.ids:
+                    top, size, k = best[done - 1] + self.unknown, 1, -1
+                best[done], back[done], last[done] = top, size, k
+        cuts, at = [], n
+        while at:
+            cuts.append((at - back[at], back[at], last[at]))
+            at -= back[at]
+        return self._spell(word, cuts[::-1]), self._spell(word, self._heap_merges(word))
+
+    def _heap_merges(self, word: str) -> list[tuple[int, int, int]]:
+        """Pieces (start, length, id) of the merge order, the best pair first, the leftmost of equals."""
+        n = len(word)
+        size, before, after = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(left: int) -> None:
+            right = after[left]
+            if right < n:
+                both = size[left] + size[right]
+                k = self.ids.get(word[left : left + both]) if both <= self.longest else None
+                if k is not None:
+                    heapq.heappush(heap, (-self.scores[k], left, both))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, left, both = heapq.heappop(heap)
+            right = after[left]
+            if not size[left] or right >= n or size[left] + size[right] != both:
+                continue  # one of the two has been merged since
+            size[left], size[right] = both, 0
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+            offer(left)
+            if before[left] >= 0:
+                offer(before[left])
+        return [(i, size[i], self.ids.get(word[i : i + size[i]], -1)) for i in range(n) if size[i]]
+
     def encode_words(self, words: list[str]) -> None:
         """Put new words into the table, equal lengths together."""
         by_length: dict[int, list[str]] = {}
         for w in words:
-            by_length.setdefault(len(w), []).append(w)
+            if len(w) > LONG:
+                self.cache[0][w], self.cache[1][w] = self._long(w)
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             step = GROUP if length <= BATCHED else max(1, GROUP * BATCHED // length)
             for at in range(0, len(group), step):
@@ -271,7 +355,10 @@ class PieceModel:
             new.update((w, old[w]) for w in again)
         self.encode_words(list(unseen - again))
         first, second = (table.__getitem__ for table in self.cache)
-        return [(np.frombuffer(b"".join(map(first, words)), "<u2"), np.frombuffer(b"".join(map(second, words)), "<u2")) for words in split]
+        out = [(np.frombuffer(b"".join(map(first, words)), "<u2"), np.frombuffer(b"".join(map(second, words)), "<u2")) for words in split]
+        for w in [w for w in unseen if len(w) > LONG]:  # the table stays bounded in bytes
+            del self.cache[0][w], self.cache[1][w]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space put before the text is taken off again."""
@@ -284,12 +371,18 @@ ENCODED_DDL = "doc_id long, n_viterbi long, viterbi_crc32 long, n_merges long, m
 
 
 def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and both id lists (array<int>) of every text; null text is empty."""
+    """doc_id and both id lists (array<int>) of every text.
+
+    Null and empty texts have no ids. Ids of rows may be null or repeated, each row is
+    encoded by itself; other columns are ignored; an empty table gives no rows. A
+    text may be of any length, with or without spaces.
+    """
     prepare(docs.sparkSession)
     path = path or default_path()
     out = pa.schema([("doc_id", pa.int64()), ("viterbi_ids", pa.list_(pa.int32())), ("merge_ids", pa.list_(pa.int32()))])
 
     def run(batches):
+        claim("pieces")
         m = model(path)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
@@ -307,6 +400,7 @@ def decode_pieces(encoded: DataFrame, ids: str = "viterbi_ids", path: str | None
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
+        claim("pieces")
         m = model(path)
         for batch in batches:
             yield table(out, doc_id=batch.column(0), text=[None if x is None else m.decode(np.array(x)) for x in batch.column(1).to_pylist()])
@@ -319,12 +413,15 @@ def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     ``viterbi_*`` is the reading of greatest score, ``merges_*`` the library's
     reading of a merge model. ``round_trip``: decoding the Viterbi ids gives the
-    text (a literal U+2581 comes back as a space).
+    text (a literal U+2581 comes back as a space). Null text is empty: no ids, and
+    the digests of nothing. Null and repeated doc_ids keep their rows; other columns
+    are ignored; an empty table gives no rows.
     """
     prepare(spark)
     path = default_path()
 
     def run(batches):
+        claim("pieces")
         m = model(path)
         for batch in batches:
             for part in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):

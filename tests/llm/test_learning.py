@@ -249,6 +249,31 @@ def test_pieces_equal_the_library(docs, rows, none):
     assert pieces.encode_pieces(none).count() == 0
 
 
+def test_long_words_equal_the_library_in_near_linear_time():
+    import random
+    import time
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    m = pieces.model()
+    r = random.Random(4)
+    texts = ["".join(r.choices(["ab", "the", "xyz", "é", "漢", "ing", "--", "😀", "er"], k=k)) for k in (200, 513, 3000, 20_000)] + ["a" * 5000, "\u0001" * 600]
+    for text, (viterbi, merged) in zip(texts, m.encode(texts)):
+        assert merged.tolist() == library.encode(text) and m.decode(viterbi) == text
+    for text in texts[:2]:  # the stretches change nothing
+        want = m.encode([text])[0]
+        old, pieces.STRETCH, pieces.LONG = (pieces.STRETCH, pieces.LONG), 37, 20
+        m.clear()
+        got = m.encode([text])[0]
+        pieces.STRETCH, pieces.LONG = old
+        m.clear()
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    began = time.perf_counter()
+    m.encode(["".join(r.choices("abcdefgh", k=200_000))])
+    assert time.perf_counter() - began < 10
+
+
 def test_viterbi_is_the_best_segmentation():
     m = pieces.model()
 
