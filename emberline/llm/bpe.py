@@ -62,7 +62,7 @@ class _Table(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > LONGEST_KEY:
+            if isinstance(key, (str, bytes)) and len(key) > LONGEST_KEY:
                 return value
         if len(self) >= self.most:
             self.old = dict(self)

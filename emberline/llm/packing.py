@@ -5,8 +5,8 @@ routed to the smallest context tier that holds it. Tiers are packed from long to
 short: a window takes the longest remainder that fits, its gap is filled from
 the same and shorter tiers (best fit), and the last gap by cutting one remainder
 to measure. What is left at the end of a task is cut into powers of two. So no
-sequence has padding unless ``max_len`` itself is the only tier. Sequences of a
-task are then dealt to step groups of balanced cost.
+sequence has padding. Sequences of a task are then dealt to step groups of balanced
+cost, some groups' worth at a time; only a task's last groups hold what is left.
 
 A task packs the rows of its own partition, so nothing is shuffled and memory is
 bounded by ``pool_tokens``, not by the input.
@@ -32,8 +32,8 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Ids that wait in a task's pools before windows are closed.
 POOL_TOKENS = 1 << 20
-#: Ids of one step group.
-STEP_TOKENS = 1 << 16
+#: Ids of one step group, and step groups that are balanced together.
+STEP_TOKENS, STEPS_TOGETHER = 1 << 16, 8
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
@@ -45,28 +45,30 @@ PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens l
 class Packer:
     """Packs pieces (document key, start, length) into windows of the tiers.
 
-    ``take()`` yields finished windows as (tier, [piece, ...]); every window is
-    exactly full. Deterministic for the same order of calls.
+    Each tier has a pool of the remainders that are routed to it. ``take()`` yields
+    finished windows as (tier, [piece, ...]); every window is exactly full.
+    Deterministic for the same order of calls.
     """
 
     def __init__(self, tiers=TIERS, pool_tokens: int = POOL_TOKENS):
         if any(t & (t - 1) for t in tiers):
             raise ValueError("tiers are powers of two")
         self.tiers, self.top, self.pool_tokens = sorted(tiers), max(tiers), pool_tokens
-        self.pool: list[tuple[int, int]] = []  # (length, serial), sorted
+        self.pools: dict[int, list[tuple[int, int]]] = {t: [] for t in self.tiers}  # (length, serial), sorted
         self.piece: dict[int, tuple] = {}
         self.serial = self.waiting = 0
         self.done: list[tuple[int, list[tuple]]] = []
 
-    def _push(self, key, start: int, length: int) -> None:
+    def _route(self, key, start: int, length: int) -> None:
+        """To the smallest tier that holds it."""
         if length:
-            insort(self.pool, (length, self.serial))
+            insort(self.pools[self.tiers[bisect_left(self.tiers, length)]], (length, self.serial))
             self.piece[self.serial] = (key, start, length)
             self.serial += 1
             self.waiting += length
 
-    def _pop(self, at: int) -> tuple:
-        length, serial = self.pool.pop(at)
+    def _pop(self, tier: int, at: int) -> tuple:
+        length, serial = self.pools[tier].pop(at)
         self.waiting -= length
         return self.piece.pop(serial)
 
@@ -74,43 +76,39 @@ class Packer:
         whole = length // self.top * self.top
         for start in range(0, whole, self.top):
             self.done.append((self.top, [(key, start, self.top)]))
-        self._push(key, whole, length - whole)
+        self._route(key, whole, length - whole)
         if self.waiting >= self.pool_tokens:
             self._pack(self.pool_tokens // 4)
 
-    def _pack(self, keep: int) -> None:
-        """Close windows, longest remainders first, until ``keep`` ids wait."""
-        while self.pool and self.waiting > keep:
-            tier = self.tiers[bisect_left(self.tiers, self.pool[-1][0])]
-            if self.waiting < tier:
-                break
-            window, gap = [], tier
-            while gap:
-                at = bisect_right(self.pool, (gap, self.serial)) - 1
+    def _fill(self, size: int) -> None:
+        """A window of ``size``: its gap takes the longest remainder that fits, from the tier
+        of the gap or shorter ones; where none fits the shortest is cut to measure."""
+        window, gap = [], size
+        while gap:
+            for tier in reversed(self.tiers[: bisect_left(self.tiers, gap) + 1]):
+                at = bisect_right(self.pools[tier], (gap, self.serial)) - 1
                 if at >= 0:
-                    key, start, length = self._pop(at)
-                else:  # none fits: cut the shortest to measure
-                    key, start, length = self._pop(0)
-                    self._push(key, start + gap, length - gap)
-                    length = gap
-                window.append((key, start, length))
-                gap -= length
-            self.done.append((tier, window))
+                    key, start, length = self._pop(tier, at)
+                    break
+            else:
+                key, start, length = self._pop(next(t for t in self.tiers if self.pools[t]), 0)
+                self._route(key, start + gap, length - gap)
+                length = gap
+            window.append((key, start, length))
+            gap -= length
+        self.done.append((size, window))
+
+    def _pack(self, keep: int) -> None:
+        """Close windows of the tiers, longest first, until ``keep`` ids wait."""
+        for tier in reversed(self.tiers):
+            while self.pools[tier] and self.waiting > keep and self.waiting >= tier:
+                self._fill(tier)
 
     def finish(self) -> None:
         """Close the rest: full tiers first, then powers of two below them."""
         self._pack(0)
-        while self.pool:
-            size = 1 << (min(self.waiting, self.top).bit_length() - 1)
-            window, gap = [], size
-            while gap:
-                key, start, length = self._pop(len(self.pool) - 1)
-                if length > gap:
-                    self._push(key, start + gap, length - gap)
-                    length = gap
-                window.append((key, start, length))
-                gap -= length
-            self.done.append((size, window))
+        while self.waiting:
+            self._fill(1 << (min(self.waiting, self.top).bit_length() - 1))
 
     def take(self) -> list[tuple[int, list[tuple]]]:
         out, self.done = self.done, []
@@ -149,13 +147,16 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         packer, held, sequence, group = Packer(tiers, pool_tokens), {}, 0, 0
         key = 0
 
-        def emit():
+        ready: list[tuple[int, list[tuple]]] = []
+
+        def emit(last: bool = False):
+            """Rows of finished windows once they make up enough steps to balance."""
             nonlocal sequence, group
-            windows = packer.take()
-            if not windows:
+            ready.extend(packer.take())
+            if not ready or not last and sum(t for t, _ in ready) < STEPS_TOGETHER * STEP_TOKENS:
                 return None
-            steps, rows = step_groups([t for t, _ in windows]), {f.name: [] for f in PIECES}
-            for (tier, window), step in zip(windows, steps):
+            steps, rows = step_groups([t for t, _ in ready]), {f.name: [] for f in PIECES}
+            for (tier, window), step in zip(ready, steps):
                 offset = 0
                 for k, start, length in window:
                     doc = held[k]
@@ -169,6 +170,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                         del held[k]
                 sequence += 1
             group += max(steps) + 1
+            ready.clear()
             return table(PIECES, **rows)
 
         for batch in batches:
@@ -181,7 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             if (out := emit()) is not None:
                 yield out
         packer.finish()
-        if (out := emit()) is not None:
+        if (out := emit(last=True)) is not None:
             yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(pack, PIECES_DDL)

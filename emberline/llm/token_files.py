@@ -2,51 +2,54 @@
 
 A shard is a pair of files. ``*.tokens.arrows`` is an Arrow IPC stream whose
 rows are equal-length sequences: ``ids`` (fixed-size list of 16-bit ids) and
-``mask`` (fixed-size list of bits, true where an id is real). Every batch but
+``mask`` (fixed-size list of bytes, 1 where an id is real). Every batch but
 the last has the same number of rows, so all batches have one byte length and
 sequence ``i`` is found by arithmetic in a memory map, without a footer and
-without copying. ``*.docs.arrows`` holds one row per document: its id, its first
-id's place in the shard and its length.
+without copying ids or mask. ``*.docs.arrows`` holds one row per document: its id, its
+first id's place in the shard and its length. The manifest, a Parquet table, lists
+the shards; ``Corpus`` numbers the sequences of all of them.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import AtomicFile, claim, open_fs, prepare, read_table, shared_dir, table, text_or_empty
+from .common import AtomicFile, claim, open_fs, persist, prepare, read_table, shared_dir, table, text_or_empty
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 32
 END_ID = 2
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-MANIFEST = "shard long, n_docs long, n_tokens long, n_sequences long"
+MANIFEST = "shard long, n_docs long, n_tokens long, n_sequences long, name string"
 
 
 def sequence_schema(seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
 
-def shard_name(folder: str, shard: int, kind: str) -> str:
-    return f"{folder}/shard-{shard:07d}.{kind}.arrows"
+def shard_file(folder: str, name: str, kind: str) -> str:
+    return f"{folder}/{name}.{kind}.arrows"
 
 
 class ShardWriter:
     """Appends documents' ids to a shard; memory holds one batch at most."""
 
-    def __init__(self, folder: str, shard: int, seq_len: int = SEQ_LEN, batch: int = BATCH_SEQUENCES):
+    def __init__(self, folder: str, name: str, seq_len: int = SEQ_LEN, batch: int = BATCH_SEQUENCES):
         self.seq_len, self.batch, self.schema = seq_len, batch, sequence_schema(seq_len)
-        self.tokens = AtomicFile(shard_name(folder, shard, "tokens"))
-        self.docs = AtomicFile(shard_name(folder, shard, "docs"))
+        self.tokens = AtomicFile(shard_file(folder, name, "tokens"))
+        self.docs = AtomicFile(shard_file(folder, name, "docs"))
         self.stream = pa.ipc.new_stream(self.tokens.out, self.schema)
         self.doc_stream = pa.ipc.new_stream(self.docs.out, DOCS)
         self.waiting: list[np.ndarray] = []
@@ -54,8 +57,8 @@ class ShardWriter:
 
     def _put(self, ids: np.ndarray, real: int) -> None:
         rows = len(ids) // self.seq_len
-        mask = np.zeros(len(ids), bool)
-        mask[:real] = True
+        mask = np.zeros(len(ids), np.uint8)
+        mask[:real] = 1
         arrays = [
             pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint16()), self.seq_len),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.seq_len),
@@ -94,8 +97,9 @@ class ShardWriter:
 class ShardReader:
     """Random access to the sequences of a shard, by arithmetic on batch places."""
 
-    def __init__(self, folder: str, shard: int):
-        fs, path = open_fs(shard_name(folder, shard, "tokens"))
+    def __init__(self, folder: str, name: str):
+        self.folder, self.name = folder, name
+        fs, path = open_fs(shard_file(folder, name, "tokens"))
         if fs.type_name == "local":
             self.file = pa.memory_map(path)
         else:
@@ -119,11 +123,11 @@ class ShardReader:
         return self.held
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``; the ids are a view of the file."""
+        """Ids and mask of sequence ``i``, both views of the file."""
         batch, row = self._batch(i // self.rows), i % self.rows
         cut = slice(row * self.seq_len, (row + 1) * self.seq_len)
         ids = batch.column(0).values.to_numpy(zero_copy_only=True)[cut]
-        return ids, batch.column(1).values.to_numpy(zero_copy_only=False)[cut]
+        return ids, batch.column(1).values.to_numpy(zero_copy_only=True)[cut].view(bool)
 
     def ids(self, start: int, length: int) -> np.ndarray:
         """Ids ``start`` to ``start + length`` of the shard's token stream."""
@@ -135,20 +139,47 @@ class ShardReader:
             start, length = start + len(part), length - len(part)
         return np.concatenate(out) if len(out) != 1 else out[0]
 
-    def documents(self, folder: str, shard: int) -> Iterator[pa.RecordBatch]:
-        fs, path = open_fs(shard_name(folder, shard, "docs"))
+    def documents(self) -> Iterator[pa.RecordBatch]:
+        fs, path = open_fs(shard_file(self.folder, self.name, "docs"))
         with fs.open_input_stream(path) as f:
             yield from pa.ipc.open_stream(f)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, seq_len: int = SEQ_LEN, shards: int | None = None) -> list[tuple[int, int, int, int]]:
+class Corpus:
+    """Sequences of all shards by one number, in the order of the documents.
+
+    ``manifest`` has rows of (shard, documents, ids, sequences, name); the last sequence
+    of a shard may be padded, as its mask says.
+    """
+
+    def __init__(self, folder: str, manifest: list):
+        self.folder, self.shards = folder, [m for m in sorted(manifest) if m[3]]
+        self.ends = list(accumulate(m[3] for m in self.shards))
+        self.reader: ShardReader | None = None
+
+    def __len__(self) -> int:
+        return self.ends[-1] if self.ends else 0
+
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = bisect_right(self.ends, i)
+        name = self.shards[k][4]
+        if self.reader is None or self.reader.name != name:
+            self.reader = ShardReader(self.folder, name)
+        return self.reader.sequence(i - (self.ends[k] - self.shards[k][3]))
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, seq_len: int = SEQ_LEN, shards: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) to shards in ascending doc_id order.
 
     Null text counts as empty (its document is the end id alone); a null doc_id
     sorts first; repeated ids keep all their rows, ordered by a hash of the text.
     Extra columns are ignored. The text is shuffled once, by range, before it is
     encoded, so encoding runs once and a repeated id may span shards. Returns the
-    manifest (shard, documents, ids, sequences), one entry per shard.
+    manifest (shard, documents, ids, sequences, name), a stored row per shard. Names are
+    unique to the attempt that wrote the shard, so an attempt that runs late or again
+    never touches files that the manifest names.
     """
     prepare(docs.sparkSession)
     path = tokenizer or bpe.default_path()
@@ -159,37 +190,37 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     def write(batches):
         claim("bpe")
         shard = TaskContext.get().partitionId()
-        writer, enc, end = ShardWriter(folder, shard, seq_len), bpe.encoder(path), np.array([end_id], "<u2").tobytes()
+        name = f"shard-{shard:07d}-{uuid.uuid4().hex[:12]}"
+        writer, enc, end = ShardWriter(folder, name, seq_len), bpe.encoder(path), np.array([end_id], "<u2").tobytes()
         for batch in batches:
             texts = batch.column(1)
             ids = [np.frombuffer(enc.encode(texts[i].as_py()) + end, "<u2") for i in range(batch.num_rows)]
             writer.add(batch.column(0).to_pylist(), ids)
         docs_, tokens, sequences = writer.close()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [docs_], "n_tokens": [tokens], "n_sequences": [sequences]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [docs_], "n_tokens": [tokens], "n_sequences": [sequences], "name": [name]})
 
-    rows = ordered.mapInArrow(write, MANIFEST).collect()  # one row per shard
-    return sorted((r.shard, r.n_docs, r.n_tokens, r.n_sequences) for r in rows)
+    return persist(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
-def read_token_files(spark, folder: str, manifest: list[tuple[int, int, int, int]]) -> DataFrame:
+def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32,
     shard, shard_start. ``start`` counts all ids of documents before it."""
-    shards = [m[0] for m in manifest if m[1]]
-    tokens = {m[0]: m[2] for m in manifest}
-    bases = dict(zip(shards, accumulate((tokens[s] for s in shards), initial=0)))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
+    bases = persist(manifest.filter("n_docs > 0").select("shard", "name", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")), "token-bases")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int64()), ("shard_start", pa.int64())])
 
     def read(batches):
+        claim()
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                shard = shards[k]
-                reader = ShardReader(folder, shard)
-                for docs in reader.documents(folder, shard):
+            for shard, name, base in zip(*(c.to_pylist() for c in batch.columns)):
+                reader = ShardReader(folder, name)
+                for docs in reader.documents():
                     starts, lengths = docs.column(1).to_pylist(), docs.column(2).to_pylist()
                     crcs = [zlib.crc32(reader.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts, lengths)]
-                    yield table(out, doc_id=docs.column(0), start=[s + bases[shard] for s in starts], n_tokens=docs.column(2), ids_crc32=crcs, shard=[shard] * len(starts), shard_start=docs.column(1))
+                    yield table(out, doc_id=docs.column(0), start=[s + base for s in starts], n_tokens=docs.column(2), ids_crc32=crcs, shard=[shard] * len(starts), shard_start=docs.column(1))
 
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, shard_start long")
+    tasks = max(1, bases.count())
+    return bases.repartition(tasks, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, shard_start long")
 
 
 def op1_token_files(spark, sf_dir: str) -> DataFrame:

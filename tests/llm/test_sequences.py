@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from emberline.llm import bpe
 from emberline.llm.common import shared_dir
 from emberline.llm.packing import Packer, pack_documents, step_groups
-from emberline.llm.token_files import ShardReader, read_token_files, write_token_files
+from emberline.llm.token_files import Corpus, ShardReader, read_token_files, write_token_files
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,13 +48,20 @@ def test_token_files_round_trip(spark, docs, rows):
     known = [r.doc_id for r in got]
     assert known[:2] == [None, None] and known[2:] == sorted(known[2:])
     # sequences are found by their number, without reading others
+    manifest = manifest.collect()
     shard = max(manifest, key=lambda m: m[3])
-    reader = ShardReader(folder, shard[0])
+    reader = ShardReader(folder, shard.name)
     whole = reader.ids(0, shard[2])
     for i in (0, shard[3] // 2, shard[3] - 1):
         ids, mask = reader.sequence(i)
         real = whole[i * 64 : (i + 1) * 64]
         assert (ids[: len(real)] == real).all() and mask.sum() == len(real)
+        assert not ids.flags.owndata and not mask.flags.owndata  # views of the file
+    corpus = Corpus(folder, manifest)
+    assert len(corpus) == sum(m.n_sequences for m in manifest)
+    flat = [ids[mask] for ids, mask in map(corpus.sequence, range(len(corpus)))]
+    every = np.concatenate(flat)
+    assert [crc(every[r.start : r.start + r.n_tokens]) for r in got] == [r.ids_crc32 for r in got]
 
 
 def test_token_files_of_no_documents(spark, none):
@@ -119,6 +126,16 @@ def test_step_groups_are_balanced():
     assert max(cost) < 1.1 * min(cost)
 
 
+def test_step_groups_hold_across_short_texts(spark):
+    rows = spark.createDataFrame([(k, "word " * (1 + k % 60)) for k in range(30_000)], "doc_id long, text string").coalesce(1)
+    windows = {(p.sequence_id, p.tier, p.step_group) for p in pack_documents(rows, pool_tokens=1 << 15).collect()}
+    size = {}
+    for _, tier, group in windows:
+        size[group] = size.get(group, 0) + tier
+    by_group = [size[g] for g in sorted(size)]
+    assert len(by_group) > 10 and max(by_group[:-1]) < 1.5 * min(by_group[:-1])
+
+
 def test_tiers_must_be_powers_of_two():
     with pytest.raises(ValueError):
         Packer(tiers=(100,))
