@@ -61,6 +61,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         base = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="emberline-"))
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -77,7 +79,11 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class AtomicFile:
-    """Write ``<uri>`` through a temporary name; it appears only when complete."""
+    """Write ``<uri>`` through a temporary name; it appears only when complete.
+
+    Callers give each attempt a name of its own and hand the name on with their rows, so
+    a file is never replaced: a late attempt leaves a file that no row names.
+    """
 
     def __init__(self, uri: str):
         self.fs, self.path = open_fs(uri)
@@ -93,8 +99,6 @@ class AtomicFile:
 
     def close(self) -> None:
         self.out.close()
-        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
-            self.fs.delete_file(self.path)  # of an earlier attempt of the same task
         self.fs.move(self.part, self.path)
 
 

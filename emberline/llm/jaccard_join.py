@@ -9,11 +9,12 @@
    node whose prefix is filled by tokens that no other node has leaves at once.
    So common passages do not pair unlike documents.
 3. Nodes that share prefix tokens form components (labels, not pairs, travel).
-   A component is dealt to groups of bounded token count. A group of a component
-   with several is stored once, with the union of its tokens; each pair of such
-   groups is one task that reads the unions first and opens the groups only if
-   they can match. So a large family is many tasks, never one, and its sets are
-   shuffled once.
+   A component is dealt to groups of bounded token count: nodes of equal least token
+   (a minhash, equal with the sets' similarity) go to one group, or to several where
+   they are too many. A group of a component with several is stored once, its token
+   union in a file of its own; each pair of such groups whose set sizes allow a
+   link is one task that reads the unions first and opens the groups only if they
+   can match. So a large family is many tasks, never one, and its sets are shuffled once.
 4. In a task similar nodes are sorted into small groups, again with their unions.
    A matrix product bounds every node's overlap with every group, and only groups
    that can hold a match are opened and scored exactly.
@@ -24,6 +25,7 @@ Equality of sets and tokens is that of 64-bit hashes.
 from __future__ import annotations
 
 import io
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ COUNTED = np.uint64(1 << 62)
 #: Tokens of a group of a component; members of a group inside a block.
 GROUP_TOKENS, MEMBERS, CHUNK = 400_000, 32, 2048
 
-SIGNS = pa.schema([("pid", pa.int32()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("slack", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-SIGNS_DDL = "pid int, idx int, doc_id long, n int, node long, slack int, tokens array<long>"
+SIGNS = pa.schema([("pid", pa.int32()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("slack", pa.int32()), ("low", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+SIGNS_DDL = "pid int, idx int, doc_id long, n int, node long, slack int, low long, tokens array<long>"
 
 
 def prefix_length(n: int, link: int = LINK) -> int:
@@ -64,8 +66,9 @@ def sign(docs: DataFrame) -> DataFrame:
             rows = {f.name: [] for f in SIGNS}
             for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_hashes(cell.as_py())
-                n, node, slack, tokens = len(s), None, 0, None
+                n, node, slack, low, tokens = len(s), None, 0, None, None
                 if n:
+                    low = int(s[0].view(np.int64))
                     node = int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)))
                     least = prefix_length(n)
                     most = max(least, int(np.searchsorted(s, COUNTED)))
@@ -73,7 +76,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     if node not in seen:
                         seen.add(node)
                         tokens = s[:most].view(np.int64)
-                for name, value in zip(rows, (pid, idx, doc_id, n, node, slack, tokens)):
+                for name, value in zip(rows, (pid, idx, doc_id, n, node, slack, low, tokens)):
                     rows[name].append(value)
                 idx += 1
             yield table(SIGNS, **rows)
@@ -82,11 +85,15 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def postings(signs: DataFrame) -> DataFrame:
-    """(node, h): the prefix tokens of nodes that at least two nodes hold."""
+    """(node, h): the prefix tokens of nodes that at least two nodes hold.
+
+    The counts that order tokens are those of rows, combined map-side, so a token that a third of
+    all rows hold is a row per task; rows then meet their counts in a join, whose skewed
+    partitions the engine can split.
+    """
     tokens = signs.filter("tokens is not null").select("node", "slack", F.explode("tokens").alias("h"))
-    held = tokens.repartition("h").groupBy("h", "node").agg(F.max("slack").alias("slack"))
-    shared = held.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("df > 1")
-    mine = shared.groupBy("node").agg(F.max("slack").alias("slack"), F.collect_list(F.struct("df", "h")).alias("l"))
+    counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("h", "df")
+    mine = tokens.join(counts, "h").groupBy("node").agg(F.max("slack").alias("slack"), F.collect_set(F.struct("df", "h")).alias("l"))
     first = mine.filter("size(l) > slack").select("node", F.explode(F.expr("slice(sort_array(l), 1, size(l) - slack)")).alias("t"))
     return first.select("node", F.col("t.h").alias("h"))
 
@@ -279,53 +286,60 @@ def _linked(nodes: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray)
     return table_of(LINKS, nodes[on], nodes[roots[on]], links[on])
 
 
-def group_name(folder: str, comp: int, g: int) -> str:
-    return f"{folder}/{comp}-{g}.npz"
+GROUPS_DDL = "node long, root long, links long, comp long, g int, least long, most long, file string"
 
 
 def score_group(folder: str):
-    """Links inside a group; a group of several is stored with its token union."""
+    """Links inside a group; a group of several is stored, its token union apart, and
+    named in a row without a node. Names are unique to the attempt."""
 
     def score(block: pa.Table) -> pa.Table:
         claim()
         block = block.sort_by("node")
         nodes, copies = block["node"].to_numpy(), block["copies"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in block["tokens"].to_pylist()]
+        found = _linked(nodes, copies, *block_links(sets))
+        comp, g, file, n = block["comp"][0].as_py(), block["g"][0].as_py(), None, np.array([len(x) for x in sets])
         if block["k"][0].as_py() > 1:
-            out = io.BytesIO()
-            flat = np.concatenate(sets)
-            np.savez(out, union=np.unique(flat), nodes=nodes, copies=copies, n=np.array([len(x) for x in sets]), flat=flat)
-            file = AtomicFile(group_name(folder, block["comp"][0].as_py(), block["g"][0].as_py()))
-            file.write(out.getvalue())
-            file.close()
-        return _linked(nodes, copies, *block_links(sets))
+            file, flat = f"{folder}/{uuid.uuid4().hex}", np.concatenate(sets)
+            for kind, arrays in (("union", {"union": np.unique(flat)}), ("sets", {"nodes": nodes, "copies": copies, "n": n, "flat": flat})):
+                data = io.BytesIO()
+                np.savez(data, **arrays)
+                out = AtomicFile(f"{file}.{kind}.npz")
+                out.write(data.getvalue())
+                out.close()
+        rows = found.num_rows
+        none = pa.nulls(rows + 1, pa.int64())
+        where = [pa.array([None] * rows + [x], t) for x, t in ((comp, pa.int64()), (g, pa.int32()), (int(n.min()), pa.int64()), (int(n.max()), pa.int64()), (file, pa.string()))]
+        own = [pa.concat_arrays([found[c].combine_chunks(), none[:1]]) for c in LINKS.names]
+        return pa.table([*own, *where], names=[*LINKS.names, "comp", "g", "least", "most", "file"])
 
     return score
 
 
-def score_pairs(pairs: DataFrame, folder: str) -> DataFrame:
-    """Links across two stored groups of a component, for rows (comp, a, b)."""
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Links across two stored groups of a component, for rows (a, b, need): their files,
+    and the least size of a set in them, of which a link needs LINK hundredths in common."""
 
-    def read(comp: int, g: int):
-        fs, path = open_fs(group_name(folder, comp, g))
+    def read(file: str, kind: str):
+        fs, path = open_fs(f"{file}.{kind}.npz")
         with fs.open_input_file(path) as f:
             return np.load(io.BytesIO(f.read()))
 
     def run(batches):
         claim()
         for batch in batches:
-            for comp, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                left, right = read(comp, a), read(comp, b)
-                common = len(np.intersect1d(left["union"], right["union"], assume_unique=True))
-                if 100 * common < LINK * max(left["n"].min(), right["n"].min()):
+            for a, b, need in zip(*(c.to_pylist() for c in batch.columns)):
+                if 100 * len(np.intersect1d(read(a, "union")["union"], read(b, "union")["union"], assume_unique=True)) < LINK * need:
                     continue
+                left, right = read(a, "sets"), read(b, "sets")
                 nodes, copies = np.concatenate([left["nodes"], right["nodes"]]), np.concatenate([left["copies"], right["copies"]])
                 sets = [s for x in (left, right) for s in np.split(x["flat"], np.cumsum(x["n"])[:-1])]
                 i, j = block_links(sets)
                 cross = (i < len(left["n"])) != (j < len(left["n"]))
                 yield from _linked(nodes, copies, i[cross], j[cross]).to_batches()
 
-    return pairs.select("comp", "a", "b").mapInArrow(run, "node long, root long, links long")
+    return pairs.select("a", "b", "need").mapInArrow(run, "node long, root long, links long")
 
 
 def table_of(schema: pa.Schema, *columns) -> pa.Table:
@@ -346,25 +360,34 @@ def jaccard_components(docs: DataFrame, places: bool = False) -> DataFrame:
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signs = persist(sign(rows), "jaccard-signs")
-    narrow = signs.select("pid", "idx", "doc_id", "n", "node")
+    narrow = signs.select("pid", "idx", "doc_id", "n", "node", "low")
     posts = persist(postings(signs), "jaccard-postings")
     found = candidate_components(posts)
 
-    classes = persist(narrow.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("pid", "idx")).alias("place"), F.max("n").alias("n")), "jaccard-classes")
-    wanted = classes.join(found, "node")
-    sizes = wanted.groupBy("comp").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("k"))
-    dealt = wanted.join(sizes, "comp").select("node", "comp", "copies", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("g"), F.col("place.idx").alias("idx"), F.col("place.pid").alias("pid"))
+    classes = persist(narrow.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("pid", "idx")).alias("place"), F.max("n").alias("n"), F.max("low").alias("low")), "jaccard-classes")
+    wanted = persist(classes.join(found, "node").select("node", "comp", "copies", "n", "low", "place"), "jaccard-wanted-nodes")
+    cells = wanted.groupBy("comp", "low").agg(F.sum("n").alias("n"))
+    sizes = cells.groupBy("comp").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("k"))
+    # where one least token is held by too many, its nodes are dealt on to groups of their own
+    crowded = cells.filter(F.col("n") > GROUP_TOKENS).select("comp", "low", F.ceil(F.col("n") / GROUP_TOKENS).cast("int").alias("parts"))
+    met = wanted.join(sizes.filter("k > 1"), "comp", "left").join(crowded, ["comp", "low"], "left")
+    k = F.coalesce("k", F.lit(1))
+    g = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("low"), k)).otherwise(F.pmod(F.xxhash64("low", F.pmod(F.xxhash64("node"), F.col("parts"))), F.lit(1 << 30)) + k)
+    dealt = met.select("node", "comp", "copies", k.alias("k"), g.cast("int").alias("g"), F.col("place.idx").alias("idx"), F.col("place.pid").alias("pid"))
     folder = shared_dir(spark, "jaccard-wanted")
     dealt.repartition("pid").write.partitionBy("pid").parquet(folder)
 
     groups = shared_dir(spark, "jaccard-groups")
-    inside = persist(fetch(rows, folder).groupBy("comp", "g").applyInArrow(score_group(groups), "node long, root long, links long"), "jaccard-links")
-    # a component's groups that got no node have no file: only real groups are paired
-    real = spark.read.schema(dealt.schema).parquet(folder).select("comp", "k", "g").filter("k > 1").distinct()
-    pairs = real.select("comp", F.col("g").alias("a")).join(real.select("comp", F.col("g").alias("b")), "comp").filter("a < b")
-    pairs = persist(pairs.select("comp", "a", "b"), "jaccard-pairs")
+    scored = persist(fetch(rows, folder).groupBy("comp", "g").applyInArrow(score_group(groups), GROUPS_DDL), "jaccard-links")
+    inside = scored.filter("node is not null").select("node", "root", "links")
+    stored = scored.filter("file is not null")
+    side = lambda x: stored.select("comp", *[F.col(c).alias(f"{c}_{x}") for c in ("g", "least", "most", "file")])
+    # pairs of stored groups, never of documents; a set of one must be within LINK hundredths of one of the other
+    fits = (F.col("g_a") < F.col("g_b")) & (100 * F.col("most_a") >= LINK * F.col("least_b")) & (100 * F.col("most_b") >= LINK * F.col("least_a"))
+    pairs = side("a").join(side("b"), "comp").filter(fits).select(F.col("file_a").alias("a"), F.col("file_b").alias("b"), F.greatest("least_a", "least_b").alias("need"))
+    pairs = persist(pairs, "jaccard-pairs")
     tasks = max(1, min(pairs.count(), 10_000))  # few rows, much work: as many tasks as pairs
-    across = persist(score_pairs(pairs.repartition(tasks, "comp", "a", "b"), groups), "jaccard-links")
+    across = persist(score_pairs(pairs.repartition(tasks, "a", "b")), "jaccard-links")
     links = inside.unionByName(across)
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-links")
@@ -383,29 +406,38 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``: that of least doc_id, with its own
     columns. Of repeated least ids the row that is scanned first stays; rows with
     null ids stay only where their component has no other; empty texts all stay.
+    The rows are met by their place in a second scan, which fails if the ids found there
+    differ: ``docs`` must be a table or another frame that reads the same twice.
     """
     spark = docs.sparkSession
     found = jaccard_components(docs, places=True)
     # the place of each component's first row; texts without words are their own
     grouped = found.filter("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pid", "idx")).alias("best"))
-    kept = grouped.select("best.pid", "best.idx").union(found.filter("n_shingles = 0").select("pid", "idx"))
+    kept = grouped.select("best.pid", "best.idx", "best.doc_id").union(found.filter("n_shingles = 0").select("pid", "idx", "doc_id"))
     folder = shared_dir(spark, "jaccard-kept")
     kept.repartition("pid").write.partitionBy("pid").parquet(folder)
+    where = docs.columns.index("doc_id")
 
     def run(batches):
         claim()
         fs, path = open_fs(f"{folder}/pid={TaskContext.get().partitionId()}")
         from pyarrow.fs import FileSelector
 
-        keep, at = set(), 0
+        keep, at = {}, 0
         for info in fs.get_file_info(FileSelector(path, allow_not_found=True)):
             if info.path.endswith(".parquet"):
                 with fs.open_input_file(info.path) as f:
-                    keep.update(pq.ParquetFile(f).read()["idx"].to_pylist())
+                    kept_here = pq.ParquetFile(f).read()
+                    keep.update(zip(kept_here["idx"].to_pylist(), kept_here["doc_id"].to_pylist()))
         for batch in batches:
+            ids = batch.column(where).cast(pa.int64()).to_pylist()
             mask = [at + i in keep for i in range(batch.num_rows)]
+            if any(m and keep.pop(at + i) != ids[i] for i, m in enumerate(mask)):
+                raise RuntimeError("the input changed between two scans")
             at += batch.num_rows
             yield batch.filter(pa.array(mask, pa.bool_()))
+        if keep:
+            raise RuntimeError("the input changed between two scans")
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -66,6 +66,27 @@ def test_large_families_are_dealt_to_blocks(spark, monkeypatch):
     assert got == sorted(plain(rows)[0])
 
 
+def test_fifty_groups_of_one_family(spark, monkeypatch):
+    """A family of several kinds of copies over some fifty groups, against brute force."""
+    monkeypatch.setattr(jj, "GROUP_TOKENS", 700)
+    rng = np.random.default_rng(12)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(320):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(120))] = f"x{int(rng.integers(40))}"
+        if i % 3 == 0:
+            w[int(rng.integers(60)) :] = w[int(rng.integers(60)) :] + [f"z{i}"]
+        rows.append((i, " ".join(w)))
+    opened = []
+    real = jj.score_pairs
+    monkeypatch.setattr(jj, "score_pairs", lambda pairs: opened.append(pairs.count()) or real(pairs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jj.jaccard_components(docs).collect())
+    assert got == sorted(plain(rows)[0])
+    assert opened[0] > 300
+
+
 def test_first_of_each_group_stays(docs, rows, none):
     kept = jj.keep_first(docs)
     assert kept.schema == docs.schema
