@@ -47,6 +47,11 @@ class Params:
     retry_s: int = 60
     retry_cap_s: int = 3600
     universal_world: str = "shared"
+    # the store's local zone
+    zone: str = "Asia/Shanghai"
+    # merging
+    merge_keyword: float = 85.0
+    merge_vector: float = 0.78
 
 
 DEFAULTS = Params()

@@ -91,3 +91,8 @@ def noisy_or(values: Column) -> Column:
 
 def backoff_s(attempts: Column, p: Params = DEFAULTS) -> Column:
     return F.least(p.retry_s * F.pow(F.lit(2.0), F.least(attempts, F.lit(8)).cast("double")), F.lit(float(p.retry_cap_s)))
+
+
+def anchor_relevance(literal: Column, vector: Column, entity: Column) -> Column:
+    """0.45 of the best of a literal score (of 100), a vector score and an entity match; null without any."""
+    return F.round(0.45 * F.greatest(clamp(literal / 100, 0.0, 1.0) + F.when(literal.isNull(), None).otherwise(0.0), clamp(vector, 0.0, 1.0) + F.when(vector.isNull(), None).otherwise(0.0), F.when(entity, 1.0)), 6)
