@@ -96,3 +96,9 @@ def backoff_s(attempts: Column, p: Params = DEFAULTS) -> Column:
 def anchor_relevance(literal: Column, vector: Column, entity: Column) -> Column:
     """0.45 of the best of a literal score (of 100), a vector score and an entity match; null without any."""
     return F.round(0.45 * F.greatest(clamp(literal / 100, 0.0, 1.0) + F.when(literal.isNull(), None).otherwise(0.0), clamp(vector, 0.0, 1.0) + F.when(vector.isNull(), None).otherwise(0.0), F.when(entity, 1.0)), 6)
+
+
+def segment_similarity(left: Column, right: Column) -> Column:
+    """The greatest cosine of any two segments of two lists of vectors, 0 at least."""
+    each = F.transform(left, lambda a: F.array_max(F.transform(right, lambda b: cosine(a, b))))
+    return F.greatest(F.array_max(each), F.lit(0.0))

@@ -104,3 +104,15 @@ def hits(text: Column, terms: list[str]) -> Column:
     for t in terms:
         out = out + F.contains(F.lower(text), F.lit(t)).cast("int")
     return out
+
+
+#: Words that say nothing in a search.
+STOP_WORDS = ("a", "an", "and", "at", "for", "in", "is", "it", "my", "of", "on", "or", "the", "to", "was", "what", "when", "where", "who", "with")
+
+
+def query_parts(query: Column) -> Column:
+    """Distinct lower-cased words of a query in their order, less stop words; the whole query if none is left."""
+    low = F.trim(F.lower(query))
+    words = F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: w != ""))
+    kept = F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(low))

@@ -84,3 +84,12 @@ def stratified(rows: DataFrame, stratum: Column, quotas: dict[str, int], seed: i
     w = Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id")
     quota = F.coalesce(*[F.when(F.col("stratum") == k, F.lit(v)) for k, v in quotas.items()], F.lit(0))
     return rows.withColumn("stratum", stratum).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= quota).drop("_rn")
+
+
+def prioritised(channels: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(id, channel): ids of all channels, each under the first channel that has it."""
+    every = None
+    for k, (name, rows) in enumerate(channels):
+        one = rows.select("id", F.struct(F.lit(k).alias("k"), F.lit(name).alias("name")).alias("c"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("id").agg(F.min("c").alias("c")).select("id", F.col("c.name").alias("channel"))

@@ -59,7 +59,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     kinds = F.array(*[F.lit(t) for t in EDGE_TYPES])
     return d.crossJoin(F.broadcast(n)).select(  # one row of counts
-        i.alias("source"), ((i * 7 + 1) % F.col("n")).alias("target"), F.element_at(kinds, (i % 6 + 1).cast("int")).alias("type"), ((i % 11) / F.lit(10.0)).alias("strength")
+        i.alias("source"), ((i * 7 + 1) % F.col("n")).alias("target"), F.element_at(kinds, (F.pmod(i, F.lit(6)) + 1).cast("int")).alias("type"), ((i % 11) / F.lit(10.0)).alias("strength")
     )
 
 

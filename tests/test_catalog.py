@@ -7,6 +7,7 @@ import pytest
 
 import emberline.plans.records  # noqa: F401
 import emberline.plans.rules  # noqa: F401
+import emberline.plans.store  # noqa: F401
 from emberline.plans.catalog import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
