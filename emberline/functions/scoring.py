@@ -102,3 +102,22 @@ def segment_similarity(left: Column, right: Column) -> Column:
     """The greatest cosine of any two segments of two lists of vectors, 0 at least."""
     each = F.transform(left, lambda a: F.array_max(F.transform(right, lambda b: cosine(a, b))))
     return F.greatest(F.array_max(each), F.lit(0.0))
+
+
+#: Multipliers of the recall pool by intent.
+POOLS = {"recall": 1.5, "temporal": 1.25}
+
+
+def scaled_pool(intent: Column, base: int) -> Column:
+    factor = F.coalesce(*[F.when(intent == k, F.lit(v)) for k, v in POOLS.items()], F.lit(1.0))
+    return F.ceil(base * factor).cast("int")
+
+
+def lexicon_valence(text: Column, lexicon: dict[str, float]) -> Column:
+    """Sum of a lexicon's values over its words in a text, turned round where negated, in -1..1."""
+    from .intents import negated
+
+    low, total = F.lower(text), F.lit(0.0)
+    for word, value in lexicon.items():
+        total = total + F.when(~F.contains(low, F.lit(word)), 0.0).when(negated(text, word), -value).otherwise(value)
+    return clamp(total, -1.0, 1.0)

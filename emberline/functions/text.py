@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,3 +119,63 @@ def query_parts(query: Column) -> Column:
     words = F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: w != ""))
     kept = F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(low))
+
+
+# Names of sources that stand before a body.
+_SOURCES = r"(?:knowledge[_\s-]?base|pgvector|pg[_\s-]?fts|vector|fts|imprint|sqlite)"
+SOURCE_PREFIX = rf"(?i)^(?:\s*(?:\[{_SOURCES}\]|{_SOURCES}(?:\s*[:：|/]\s*|\s+)))+"
+
+
+def compatible(text: Column) -> Column:
+    """NFKC form. Only texts with characters beyond ASCII go to Python, in Arrow batches."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(run(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
+def letters_fingerprint(text: Column) -> Column:
+    """SHA-256 of the letters and digits of any script, without source prefixes; null below 8 of them."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(compatible(text)), SOURCE_PREFIX, ""), r"[^\p{L}\p{N}]+", "")
+    return F.transform(F.array(plain), lambda p: F.when(F.length(p) >= 8, F.sha2(p.cast("binary"), 256)))[0]  # bound once
+
+
+def json_object_code(raw: Column) -> Column:
+    """ok, or why a text is no strict JSON object: not_object, malformed or duplicate (a key twice at the top)."""
+    keys = F.json_object_keys(raw)
+    top = F.regexp_extract_all(F.regexp_replace(raw, r"\{[^{}]*\{[^{}]*\}|\[[^\]]*\]", ""), F.lit('"([^"\\\\]*)"\\s*:'), F.lit(1))
+    return F.when(~raw.rlike(r"^\s*\{"), "not_object").when(keys.isNull(), "malformed").when(F.size(top) != F.size(F.array_distinct(top)), "duplicate").otherwise("ok")
+
+
+def extraction_code(raw: Column, most: int) -> Column:
+    """ok, or why an answer is no list of at most ``most`` memories with a content."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```[a-z]*\s*", ""), r"\s*```$", ""))
+    rows = F.when(text.startswith("["), F.from_json(text, "array<struct<content:string>>"))
+    bad = F.exists(rows, lambda x: x["content"].isNull() | (F.trim(x["content"]) == ""))
+    return F.when(rows.isNull(), "invalid").when(F.size(rows) > most, "too_many").when(bad, "no_content").otherwise("ok")
+
+
+def provenance_code(kind: Column, fields: Column, allowed: dict[str, tuple[str, ...]]) -> Column:
+    """ok, or why a provenance is refused: a field nobody knows, an unknown kind, a field of another kind."""
+    every = F.array(*[F.lit(f) for fs in allowed.values() for f in fs])
+    of_kind = F.coalesce(*[F.when(kind == k, F.array(*[F.lit(f) for f in fs])) for k, fs in allowed.items()])
+    return F.when(F.size(F.array_except(fields, every)) > 0, "unknown_field").when(of_kind.isNull(), "unknown_kind").when(F.size(F.array_except(fields, of_kind)) > 0, "disallowed").otherwise("ok")
+
+
+def body_lead(text: Column, most: int = 24) -> Column:
+    """The first sentence of 4 to 24 characters of the first line that isn't a mark, as a list."""
+    lines = F.filter(F.transform(F.split(text, "\\r?\\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^\s*(?:---|——.*——|\[[^\]]*\]|[#>*\-|]+)\s*$"))
+    found = F.transform(lines, lambda x: F.coalesce(F.nullif(F.trim(F.regexp_extract(x, "[^。！？!?；;\n]{4,24}", 0)), F.lit("")), F.when(F.length(x) >= 4, F.substring(x, 1, most))))
+    return F.slice(F.filter(found, lambda x: x.isNotNull()), 1, 1)
+
+
+def literal_keys(text: Column, given: Column, generic: tuple[str, ...], most: int = 4) -> Column:
+    """Up to ``most`` keys of the text's key line and of ``given`` that stand in the text,
+    have 2 to 48 characters, some letter, and aren't generic; of equal ones, whatever their case, the first."""
+    line = F.split(F.regexp_extract(text, r"\[检索钥匙:\s*([^\]\n]+)\]", 1), "/")
+    clean = F.transform(F.concat(line, given), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^\[\[|\]\]$", "")))
+    ok = F.filter(clean, lambda x: F.length(x).between(2, 48) & F.contains(text, x) & ~F.lower(x).isin(*generic) & x.rlike(r"\p{L}") & ~x.rlike(r"[\x00-\x1f]"))
+    first = F.filter(ok, lambda x, k: ~F.exists(F.slice(ok, 1, k), lambda y: F.lower(y) == F.lower(x)))
+    return F.slice(first, 1, most)

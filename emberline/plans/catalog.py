@@ -693,19 +693,30 @@ def s13(spark, d):
 # --- entry points -----------------------------------------------------------
 
 
-@query("q01_recall")
+SQL_RECALL = f"""WITH m AS (SELECT * FROM memories WHERE NOT pinned AND NOT protected AND world IN ('shared', 'north', 'south') AND lower(domain[1]) IN ('en', 'fr')),
+k AS (SELECT id, 100 * (4.0::DOUBLE * least((contains(lower(content), 'the')::INT + contains(lower(content), 'and')::INT + contains(lower(content), 'with')::INT + contains(lower(content), 'for')::INT) / 4.0::DOUBLE, 1.0) + 1.0 + 2.5::DOUBLE * exp(-0.1 * {_sql_age('last_active')}) + importance / 10.0::DOUBLE) / 9.5 AS s FROM m),
+a AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM k WHERE s >= 50 QUALIFY rank <= 50),
+v AS (SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(vec, {SQL_QUERY}), 6) DESC, id) AS rank FROM vectors WHERE id IN (SELECT id FROM m) QUALIFY rank <= 50),
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM v) GROUP BY id ORDER BY score DESC, id LIMIT 20),
+p AS (SELECT f.id, score * 100 AS rel, score * (0.6::DOUBLE + 0.4::DOUBLE * CASE WHEN type IN ('permanent', 'feel') THEN 1.0 WHEN resolved THEN raw ELSE greatest(raw, 0.25) END) AS tie FROM f JOIN (SELECT *, exp(-0.693 * {_sql_age('event_at')} / greatest(0.001, 14.0 * (1 + 0.5 * log2((1 + activation)::DOUBLE)))) AS raw FROM m) USING (id)),
+o AS (SELECT *, row_number() OVER (ORDER BY rel DESC, id) AS rn FROM p),
+b AS (SELECT rn, rel AS leader, 0 AS band FROM o WHERE rn = 1 UNION ALL SELECT o.rn, CASE WHEN b.leader - o.rel <= 0.35 THEN b.leader ELSE o.rel END, CASE WHEN b.leader - o.rel <= 0.35 THEN b.band ELSE b.band + 1 END FROM b JOIN o ON o.rn = b.rn + 1)
+SELECT id, round(rel, 6) AS rel, round(tie, 6) AS tie, band, CAST(row_number() OVER (ORDER BY band, tie DESC, rel DESC, id) AS INTEGER) AS pos FROM o JOIN b USING (rn)"""
+
+
+@query("q01_recall", SQL_RECALL, ("memories", "vectors"))
 def q01(spark, d):
-    """Hybrid recall: a keyword and a vector channel, filtered alike, fused by rank,
-    decayed and reordered inside relevance bands of a page of twenty."""
+    """Hybrid recall: a keyword and a vector channel over the same eligible records, fused
+    by rank, decayed and reordered inside relevance bands of a page of twenty."""
     m = V.memories(spark, d).filter(recall_filter(["en", "fr"], ["north", "south"]))
     keyword = 100 * (DEFAULTS.topic * F.least(X.hits(F.col("content"), ["the", "and", "with", "for"]) / 4.0, F.lit(1.0)) + DEFAULTS.emotion * 0.5 + DEFAULTS.time * S.time_score(_age("last_active")) + DEFAULTS.importance * F.col("importance") / 10) / 9.5
     by_word = m.withColumn("s", keyword).filter(F.col("s") >= DEFAULTS.keyword_floor).select("id", "s").orderBy(F.desc("s"), "id").limit(50)
-    near = vectors.top_k(V.vectors(spark, d), QUERY_VECTOR, 50).join(m.select("id"), "id", "left_semi").select("id", F.col("sim").alias("s"))
+    near = vectors.top_k(V.vectors(spark, d).join(m.select("id"), "id", "left_semi"), QUERY_VECTOR, 50).select("id", F.col("sim").alias("s"))
     rank = lambda c, df: df.select(F.lit(c).alias("channel"), F.lit(1.0).alias("weight"), F.row_number().over(Window.orderBy(F.desc("s"), "id")).alias("rank"), "id")
     fused = ranking.rrf(rank(0, by_word).unionByName(rank(1, near)), DEFAULTS.rrf_k).orderBy(F.desc("score"), "id").limit(20)
     decay = S.retrieval_decay(_age("event_at"), F.col("activation"), F.col("resolved"), F.col("type").isin("permanent", "feel"))
     page = fused.join(m.select("id", "event_at", "activation", "resolved", "type"), "id").select("id", (F.col("score") * 100).alias("rel"), S.blend_decay(F.col("score"), decay).alias("tie"))
-    return ranking.band_rank(page, 0.35)
+    return ranking.band_rank(page, 0.35).withColumn("rel", F.round("rel", 6)).withColumn("tie", F.round("tie", 6))
 
 
 @query("q20_consolidation", "SELECT CASE WHEN length(x.content) <= length(y.content) THEN p.a ELSE p.b END AS loser, p.a, p.b, p.sim FROM (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM vectors a JOIN vectors b ON a.id < b.id WHERE round(list_cosine_similarity(a.vec, b.vec), 6) >= 0.38) p JOIN memories x ON x.id = p.a JOIN memories y ON y.id = p.b ORDER BY sim DESC, a, b LIMIT 50", ("memories", "vectors"))

@@ -382,9 +382,9 @@ def r78(spark, d):
     return V.memories(spark, d).select("id", "thread", label.alias("label")).filter("label <> thread").select("id", "label")
 
 
-@query("r80_reviewed_assignments", "SELECT user_id, min(event_type) AS thread FROM events WHERE value > 97 GROUP BY 1 HAVING count(DISTINCT event_type) = 1")
+@query("r80_reviewed_assignments", "SELECT CAST(floor(event_id / 3) AS BIGINT) AS slot, min(event_type) AS thread FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = 1")
 def r80(spark, d):
-    return V.read(spark, d, "events").filter("value > 97").groupBy("user_id").agg(F.min("event_type").alias("thread"), F.max("event_type").alias("b")).filter("thread = b").drop("b")
+    return V.read(spark, d, "events").groupBy(F.floor(F.col("event_id") / 3).alias("slot")).agg(F.min("event_type").alias("thread"), F.max("event_type").alias("b")).filter("thread = b").drop("b")
 
 
 @query("r83_identity_recovery", "SELECT name, CASE WHEN count(*) = 1 THEN 'found' ELSE 'duplicate' END AS outcome FROM memories GROUP BY 1", ("memories",))
