@@ -11,7 +11,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import graph, hooks, ledger, vectors, writes
 from ..sources import views as V
-from .catalog import SQL_REF, query
+from .catalog import _age, _sql_age, query
 
 i = lambda: F.col("id")
 N = lambda: F.count(F.lit(1))
@@ -226,12 +226,12 @@ def r01(spark, d):
     return vectors.similar_pairs(V.vectors(spark, d).join(free, "id", "left_semi"), 0.35).orderBy(F.desc("sim"), "a", "b").limit(50)
 
 
-@query("j24_relation_neighbours", "SELECT DISTINCT target AS id FROM edges JOIN memories m ON m.id = target WHERE source IN (SELECT id FROM memories WHERE pinned) AND edges.type IN ('kin', 'explains') AND strength >= 0.4 AND source <> target AND m.world IN ('shared', 'north') AND target NOT IN (SELECT id FROM memories WHERE pinned)", ("memories", "edges"))
+@query("j24_relation_neighbours", "SELECT DISTINCT target AS id FROM edges JOIN memories m ON m.id = target WHERE source IN (SELECT id FROM memories WHERE pinned) AND edges.type IN ('kin', 'explains') AND strength >= 0.4 AND source <> target AND m.world IN ('shared', '') AND target NOT IN (SELECT id FROM memories WHERE pinned)", ("memories", "edges"))
 def j24(spark, d):
     m = V.memories(spark, d)
     seeds = m.filter("pinned").select(i().alias("source"))
     e = graph.valid(V.edges(spark, d), ["kin", "explains"]).filter("strength >= 0.4").join(seeds, "source", "left_semi").select(F.col("target").alias("id")).distinct()
-    return e.join(m.filter(F.col("world").isin("shared", "north")).select("id"), "id", "left_semi").join(seeds.withColumnRenamed("source", "id"), "id", "left_anti")
+    return e.join(m.filter(F.col("world").isin("shared", "")).select("id"), "id", "left_semi").join(seeds.withColumnRenamed("source", "id"), "id", "left_anti")
 
 
 @query("g07_edge_candidates", "WITH s AS (SELECT id, cluster FROM vectors WHERE id % 50 = 0), c AS (SELECT s.id AS source, v.id AS target, round(list_cosine_similarity(q.vec, v.vec), 6) AS sim FROM s JOIN vectors q ON q.id = s.id JOIN vectors v ON v.cluster = s.cluster AND v.id <> s.id) SELECT source, target, sim, CASE WHEN sim >= 0.3 THEN 'apply' ELSE 'queue' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) AS rn FROM c) WHERE rn <= 8", ("vectors",))
@@ -485,10 +485,8 @@ def r74(spark, d):
     return V.memories(spark, d).select("id", F.concat(F.lit("spicy="), F.round("valence", 2).cast("string"), F.lit("; touch="), F.round("arousal", 2).cast("string")).alias("block"))
 
 
-@query("q31_decayed_state", f"SELECT id, round(valence * exp(-(epoch_us({SQL_REF}) - epoch_us(last_active)) / 1000000.0 / 86400.0), 6) AS now FROM memories", ("memories",))
+@query("q31_decayed_state", f"SELECT id, round(valence * exp(-{_sql_age('last_active')}), 6) AS now FROM memories", ("memories",))
 def q31(spark, d):
-    from .catalog import _age
-
     return V.memories(spark, d).select("id", F.round(F.col("valence") * F.exp(-_age("last_active")), 6).alias("now"))
 
 

@@ -682,9 +682,9 @@ def u04(spark, d):
     return ranking.prioritised([("keyword", keyword), ("vector", vector), ("relation", relation)])
 
 
-@query("a13_episode_rollup", "SELECT thread, count(*) AS n, min(event_at) AS first_at, max(event_at) AS last_at, string_agg(id::VARCHAR, ',' ORDER BY event_at, id) AS members FROM memories WHERE id % 2 = 0 GROUP BY thread HAVING count(*) BETWEEN 3 AND 12", ("memories",))
+@query("g08_episode_rollup", "SELECT name, count(*) AS n, min(event_at) AS first_at, max(event_at) AS last_at, string_agg(id::VARCHAR, ',' ORDER BY event_at, id) AS members FROM memories WHERE id % 2 = 0 GROUP BY name HAVING count(*) BETWEEN 3 AND 12", ("memories",))
 def g08(spark, d):
     m = V.memories(spark, d).filter("id % 2 = 0")
-    size = m.groupBy("thread").agg(N().alias("n"), F.min("event_at").alias("first_at"), F.max("event_at").alias("last_at")).filter(F.col("n").between(3, 12))
-    members = m.join(size.select("thread"), "thread", "left_semi").groupBy("thread").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_at", "id"))), lambda x: x["id"].cast("string")), ",").alias("members"))
-    return size.join(members, "thread")
+    size = m.groupBy("name").agg(N().alias("n"), F.min("event_at").alias("first_at"), F.max("event_at").alias("last_at")).filter(F.col("n").between(3, 12))
+    members = m.join(size.select("name"), "name", "left_semi").groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_at", "id"))), lambda x: x["id"].cast("string")), ",").alias("members"))
+    return size.join(members, "name")
