@@ -5,7 +5,8 @@ block of a baseline grey JPEG: with a quantiser of 8 the DC coefficient is the
 sample less 128 and decoding is exact. The DC table gives category c a code of
 9 - c bits, so code and value bits are 9 for every difference; with a one-bit
 end-of-block each block takes ten bits, and both directions are array lookups.
-Frames are found through the RIFF index (idx1).
+Frames are found through the RIFF index (idx1); those of other encoders go through
+a baseline decoder, one frame at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .common import prepare, read_table, table
 
 SIDE = 24
@@ -92,12 +94,12 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return out
 
 
-def _tables(jpeg: bytes) -> tuple[int, bytes]:
+def _tables(frame: bytes) -> tuple[int, bytes]:
     """Where the coded data start, and the DC symbols by code length."""
     at, categories, quantiser, side = 2, b"", 0, 0
     while True:
-        marker, length = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
-        body = jpeg[at + 4 : at + 2 + length]
+        marker, length = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body = frame[at + 4 : at + 2 + length]
         if marker == 0xDB:
             quantiser = body[1]
         elif marker == 0xC0:
@@ -171,7 +173,18 @@ def index_of(avi: bytes) -> list[tuple[int, int]]:
         at += 8 + length + length % 2
     if movi is None or entries is None:
         raise ValueError("the file has no index")
-    return [(movi + int(o) + 8, int(n)) for o, n in entries[:, 2:]]
+    # video chunks alone; places count from the list, or, in some files, from the start
+    kind = entries[:, 0].astype("<u4").view("S4")
+    video = np.array([k[2:4] in (b"dc", b"db") for k in kind.tolist()], bool) & (entries[:, 3] > 0)
+    base = 8 if len(entries) and int(entries[0, 2]) >= movi else movi + 8
+    return [(base + int(o), int(n)) for o, n in entries[video, 2:]]
+
+
+def rate_of(avi: bytes) -> float:
+    """Frames a second, by the main header; FPS if it has none."""
+    at = avi.find(b"avih", 0, 4096)
+    micros = struct.unpack_from("<I", avi, at + 8)[0] if at > 0 else 0
+    return 1_000_000 / micros if micros else float(FPS)
 
 
 def encode_media(payload: bytes) -> bytes:
@@ -181,12 +194,25 @@ def encode_media(payload: bytes) -> bytes:
 
 
 def decode_media(avi: bytes) -> np.ndarray:
-    return decode_frames([avi[o : o + n] for o, n in index_of(avi)])
+    """Samples (frames, samples of a frame) of an AVI file of motion JPEG.
+
+    Files of this writer take the array way; any other baseline frames, all of one
+    size, are decoded one by one to their luma.
+    """
+    frames = [avi[o : o + n] for o, n in index_of(avi)]
+    if frames and frames[0].startswith(HEAD):
+        return decode_frames(frames)
+    images = [jpeg.decode(f) for f in frames]
+    if len({x.shape for x in images}) > 1:
+        raise ValueError("frames of one file have one size")
+    return np.stack([x.ravel() for x in images]) if images else np.zeros((0, 1), np.uint8)
 
 
 def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     """Shots as (first frame, end), cut where histograms differ unusually."""
     n = len(frames)
+    if not n:
+        return []
     place = (frames >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
     hist = np.bincount(place.ravel(), minlength=n * BINS).reshape(n, BINS)
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * frames.shape[1])
@@ -246,9 +272,10 @@ def clips(media: DataFrame) -> DataFrame:
             for doc_id, avi in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not avi.is_valid:
                     continue
-                frames = decode_media(avi.as_py())
+                data = avi.as_py()
+                frames, fps = decode_media(data), rate_of(data)
                 for k, (a, b) in enumerate(shots(frames)):
-                    for name, value in zip(rows, (doc_id, k, a / FPS, b / FPS, b - a, float(frames[a:b].mean()))):
+                    for name, value in zip(rows, (doc_id, k, a / fps, b / fps, b - a, float(frames[a:b].mean()))):
                         rows[name].append(value)
             yield table(CLIPS, **rows)
 

@@ -195,3 +195,105 @@ def test_the_first_boundary_can_be_a_cut():
     dark, light = np.full((1, 576), 40, np.uint8), np.full((15, 576), 200, np.uint8)
     assert media.shots(np.concatenate([dark, light])) == [(0, 1), (1, 16)]
     assert media.shots(np.concatenate([dark, light[:1]])) == [(0, 1), (1, 2)] and media.shots(dark) == [(0, 1)]
+
+
+def other_encoder(image, quality, restart=0, subsampled=False):
+    """A baseline JPEG of another kind than the package writes: forward DCT, AC coefficients, one
+    code length for all symbols, and for ``subsampled`` two empty chroma parts."""
+    import struct
+
+    h, w = image.shape
+    step = 16 if subsampled else 8
+    wide, tall = -(-w // step) * step, -(-h // step) * step
+    padded = np.pad(image.astype(float), ((0, tall - h), (0, wide - w)), mode="edge") - 128
+    basis = np.array([[math.sqrt((1 if u == 0 else 2) / 8) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
+    order, r, c, up = [], 0, 0, True
+    while len(order) < 64:  # walk the diagonals
+        order.append(r * 8 + c)
+        if up:
+            r, c, up = (r + 1, c, False) if c == 7 else (r, c + 1, False) if r == 0 else (r - 1, c + 1, True)
+        else:
+            r, c, up = (r, c + 1, True) if r == 7 else (r + 1, c, True) if c == 0 else (r + 1, c - 1, False)
+    symbols = [run << 4 | size for run in range(16) for size in range(11) if size or run in (0, 15)]
+    bits, out, before = [], b"", 0
+
+    def put(value, n):
+        bits.extend(value >> k & 1 for k in reversed(range(n)))
+
+    def number(v):
+        size = abs(v).bit_length()
+        return size, v if v >= 0 else v + (1 << size) - 1
+
+    def flush():
+        nonlocal out, bits
+        bits += [1] * (-len(bits) % 8)
+        out += bytes(int("".join(map(str, bits[k : k + 8])), 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        bits = []
+
+    def block(coefficients, last):
+        size, value = number(coefficients[0] - last)
+        put(size, 4)
+        put(value, size)
+        run = 0
+        end = max([k for k in range(64) if coefficients[k]], default=0)
+        for k in range(1, end + 1):
+            if not coefficients[k]:
+                run += 1
+                continue
+            while run > 15:
+                put(symbols.index(0xF0), 8)
+                run -= 16
+            size, value = number(coefficients[k])
+            put(symbols.index(run << 4 | size), 8)
+            put(value, size)
+            run = 0
+        if end < 63:
+            put(symbols.index(0), 8)
+        return coefficients[0]
+
+    units = [(y, x) for y in range(0, tall, step) for x in range(0, wide, step)]
+    for k, (y, x) in enumerate(units):
+        if restart and k and k % restart == 0:
+            flush()
+            out += bytes([0xFF, 0xD0 + (k // restart - 1) % 8])
+            before = 0
+        for dy in range(0, step, 8):
+            for dx in range(0, step, 8):
+                cell = basis @ padded[y + dy : y + dy + 8, x + dx : x + dx + 8] @ basis.T
+                before = block([int(v) for v in np.rint(cell / quality).ravel()[order]], before)
+        for _ in range(2 * subsampled):
+            block([0] * 64, 0)
+    flush()
+    segment = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+    parts = b"\x03\x01\x22\x00\x02\x11\x00\x03\x11\x00" if subsampled else b"\x01\x01\x11\x00"
+    scan = b"\x03\x01\x00\x02\x00\x03\x00" if subsampled else b"\x01\x01\x00"
+    head = segment(0xE0, b"JFIF\x00") + segment(0xDB, b"\x00" + bytes([quality]) * 64) + segment(0xC0, struct.pack(">BHH", 8, h, w) + parts)
+    dc = segment(0xC4, b"\x00" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12)))
+    ac = segment(0xC4, b"\x10" + bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols))
+    return b"\xff\xd8" + head + dc + ac + (segment(0xDD, struct.pack(">H", restart)) if restart else b"") + segment(0xDA, scan + b"\x00\x3f\x00") + out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("shape, restart, subsampled", [((40, 56), 0, False), ((37, 61), 3, False), ((45, 50), 0, True), ((8, 8), 0, False), ((33, 17), 2, True)])
+def test_frames_of_another_encoder(shape, restart, subsampled):
+    from emberline.llm import jpeg
+
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    image = np.clip(128 + 60 * np.sin(x / 5) + 50 * np.cos(y / 7) + 8 * ((x * y) % 3), 0, 255).astype(np.uint8)
+    got = jpeg.decode(other_encoder(image, 3, restart, subsampled))
+    assert got.shape == shape and np.abs(got.astype(int) - image).max() <= 10 and np.abs(got.astype(int) - image).mean() < 2
+    with pytest.raises(ValueError):
+        jpeg.decode(other_encoder(image, 3).replace(b"\xff\xc0", b"\xff\xc2", 1))  # progressive
+
+
+def test_clips_of_a_foreign_file(spark):
+    dark, light = np.full((32, 32), 40, np.uint8), np.full((32, 32), 200, np.uint8)
+    avi = media.build_avi([other_encoder(x, 4) for x in [dark] * 6 + [light] * 4])
+    sound = avi.replace(b"00dc\x10\x00\x00\x00", b"01wb\x10\x00\x00\x00", 1)  # one entry of the index is another stream
+    assert len(media.index_of(sound)) == 9
+    rows = spark.createDataFrame([(1, bytearray(avi))], "doc_id long, media binary")
+    assert [(r.clip, r.start_s, r.end_s) for r in media.clips(rows).orderBy("clip").collect()] == [(0, 0.0, 0.24), (1, 0.24, 0.4)]
+    # the package's own frames read alike in both ways
+    own = media.encode_frames(np.arange(576, dtype=np.uint8).reshape(1, 576))[0]
+    from emberline.llm import jpeg
+
+    assert (jpeg.decode(own)[::8, ::8].ravel() == media.decode_frames([own])[0]).all()
