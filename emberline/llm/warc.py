@@ -97,16 +97,19 @@ def with_keeper(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with ``refers_to``: the page that stores the
     same payload, null where this page stores it.
 
-    Payload digests are grouped without the payloads (map-side combined, so a
-    payload of a third of all pages is one row per task); the pages then meet
-    their group by digest, where skewed partitions can be split by the engine.
-    A null page_id cannot be referred to: such a page always stores its payload.
-    Equal largest ids (repeated rows) all store it.
+    Digests are grouped without the payloads (map-side combined, so a payload of a
+    third of all pages is one row per task), and meet their group as narrow rows (page,
+    digest) in a join whose skewed partitions the engine can split. The payloads are
+    shuffled by page and digest, never by the digest alone. A null page_id
+    cannot be referred to: such a page always stores its payload. Equal largest ids
+    (repeated rows) all store it.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    groups = rows.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "keeper")
-    met = rows.join(groups, "sha", "left")
-    return met.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("keeper"), F.col("keeper")).alias("refers_to"))
+    narrow = rows.select("page_id", "sha")
+    groups = narrow.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "keeper")
+    revisits = narrow.join(groups, "sha").filter("page_id < keeper").distinct()
+    met = rows.join(revisits, ["page_id", "sha"], "left")
+    return met.select("page_id", "url", "html", F.col("keeper").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
