@@ -324,6 +324,77 @@ def test_toxic_weight_needs_proof():
     assert quality.toxic_weight(60, 200, 65, 531, 10_000) is None  # proven, but weak
 
 
+def plain_features(text):
+    """The statistics by plain counting."""
+    data = text.encode()
+    words = text.lower().split()
+    if not words:
+        return [1.0] + [0.0] * 15
+    n, m = len(data), len(words)
+    letters = max(1, sum(65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in data))
+    symbols = sum(33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 for b in data) - sum(chr(b) in "!\"'(),-.:;?" for b in data)
+    counts = collections.Counter(words)
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    fives = len({tuple(words[k : k + 5]) for k in range(m - 4)})
+    share = lambda c: data.count(c) / m
+    return [
+        0.0, math.log1p(m), sum(65 <= b < 91 for b in data) / letters, sum(48 <= b < 58 for b in data) / n, symbols / m, share(b"!"), share(b"|"), share(b"."), n / m / 10, len(counts) / m,
+        len(counts) / math.sqrt(m) / 10, counts.most_common(1)[0][1] / m, sum(a == b for a, b in zip(words, words[1:])) / m, 1 - len(set(lines)) / max(1, len(lines)), 1 - fives / max(1, m - 4) if m > 4 else 0.0, letters / n,
+    ]
+
+
+def test_quality_against_plain_python(spark):
+    """Evidence, marks, shrunken priors and decisions of all documents, by loops."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows, got = docs.collect(), {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    assert len(got) == len(rows)
+    p, place = {}, {}
+    for r in rows:
+        x = np.array(plain_features(r.text))
+        assert np.allclose(x, quality.features(r.text), atol=1e-12)
+        z = np.clip((x - model.mean) / model.scale, -8, 8)
+        evidence = float(z @ model.weights[:16] + (z * z) @ model.weights[16:]) + model.intercept - model.base
+        assert abs(evidence - got[r.doc_id].evidence) < 1e-9
+        lang = r.lang if r.lang in model.lists else None
+        odds = dict(model.toxic.get(None, {}))
+        for w, v in model.toxic.get(lang, {}).items():
+            odds[w] = max(v, odds.get(w, 0.0))
+        total = model.toxic_base.get(lang, model.toxic_base.get(None, -10.0)) - quality.TOXIC_MARGIN
+        for w in quality.toxic_words_of(r.text):
+            total += max([odds.get(w, 0.0)] + [odds.get(w[:k] + "-", 0.0) for k in quality.STEM if len(w) >= k])
+        assert abs(total - got[r.doc_id].toxicity) < 1e-9
+        p[r.doc_id] = 1 / (1 + math.exp(-(evidence + model.base)))
+        place[r.doc_id] = (r.source.split("/")[0], f"{r.source}/{r.lang}")
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for i, v in p.items():
+        hosts[place[i][0]].append(v)
+        paths[place[i]].append(v)
+    mean, n = sum(p.values()) / len(p), len(p)
+    ss = lambda groups: sum(sum(g) ** 2 / len(g) for g in groups)
+    q = sum(v * v for v in p.values())
+
+    def strength(between, groups, within, free, size):
+        if groups < 1 or size <= 0:
+            return 1e6
+        noise = max(within / max(1.0, free), 1e-9)
+        spread = (between / groups - noise) / size
+        return min(max(noise / spread if spread > 0 else 1e6, 1.0), 1e6)
+
+    hn2 = sum(len(g) ** 2 for g in hosts.values())
+    pn = sum(len(g) ** 2 / len(hosts[h]) for (h, _), g in paths.items())
+    a = strength(ss(hosts.values()) - sum(p.values()) ** 2 / n, len(hosts) - 1, q - ss(hosts.values()), n - len(hosts), (n - hn2 / n) / max(1, len(hosts) - 1))
+    b = strength(ss(paths.values()) - ss(hosts.values()), len(paths) - len(hosts), q - ss(paths.values()), n - len(paths), (n - pn) / max(1, len(paths) - len(hosts)))
+    logit = lambda v: math.log(v / (1 - v))
+    for i, r in got.items():
+        h, g = hosts[place[i][0]], paths[place[i]]
+        host = (sum(h) + a * mean) / (len(h) + a)
+        path = (sum(g) + b * host) / (len(g) + b)
+        assert abs(r.host_prior - host) < 1e-9 and abs(r.path_prior - path) < 1e-9
+        odds = r.evidence + model.base + min(2.0, max(-2.0, logit(min(max(path, 1e-6), 1 - 1e-6)) - logit(mean)))
+        assert abs(r.quality - 1 / (1 + math.exp(-odds))) < 1e-9 and r.keep == (odds >= 0 and r.toxicity < 0)
+
+
 def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (None, 0, 0), (3, None, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(docs, labels).collect()
