@@ -1,11 +1,13 @@
 """Token-ID output: Arrow stream files of fixed-size-list batches.
 
-A shard is a pair of files. ``*.tokens.arrows`` is an Arrow IPC stream whose
+A shard is three files. ``*.tokens.arrows`` is an Arrow IPC stream whose
 rows are equal-length sequences: ``ids`` (fixed-size list of 16-bit ids) and
-``mask`` (fixed-size list of bytes, 1 where an id is real). Every batch but
+``mask``, the number of a row of ``*.masks.arrows``. Those rows are the shard's
+distinct masks (fixed-size lists of bytes, 1 where an id is real), of which
+there are two, so masks cost a byte a sequence. Every batch of sequences but
 the last has the same number of rows, so all batches have one byte length and
-sequence ``i`` is found by arithmetic in a memory map, without a footer and
-without copying ids or mask. ``*.docs.arrows`` holds one row per document: its id, its
+sequence ``i`` is found by arithmetic in a memory map, without a footer; ids and
+mask are views of the files. ``*.docs.arrows`` holds one row per document: its id, its
 first id's place in the shard and its length. The manifest, a Parquet table, lists
 the shards; ``Corpus`` numbers the sequences of all of them.
 """
@@ -36,7 +38,11 @@ MANIFEST = "shard long, n_docs long, n_tokens long, n_sequences long, name strin
 
 
 def sequence_schema(seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.uint8())])
+
+
+def mask_schema(seq_len: int) -> pa.Schema:
+    return pa.schema([("mask", pa.list_(pa.uint8(), seq_len))])
 
 
 def shard_file(folder: str, name: str, kind: str) -> str:
@@ -52,6 +58,8 @@ class ShardWriter:
         self.docs = AtomicFile(shard_file(folder, name, "docs"))
         self.stream = pa.ipc.new_stream(self.tokens.out, self.schema)
         self.doc_stream = pa.ipc.new_stream(self.docs.out, DOCS)
+        self.mask_file = AtomicFile(shard_file(folder, name, "masks"))
+        self.masks: dict[bytes, int] = {}
         self.waiting: list[np.ndarray] = []
         self.n_waiting = self.n_tokens = self.n_docs = self.n_sequences = 0
 
@@ -59,10 +67,8 @@ class ShardWriter:
         rows = len(ids) // self.seq_len
         mask = np.zeros(len(ids), np.uint8)
         mask[:real] = 1
-        arrays = [
-            pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint16()), self.seq_len),
-            pa.FixedSizeListArray.from_arrays(pa.array(mask), self.seq_len),
-        ]
+        numbers = [self.masks.setdefault(m.tobytes(), len(self.masks)) for m in mask.reshape(rows, self.seq_len)]
+        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint16()), self.seq_len), pa.array(numbers, pa.uint8())]
         self.stream.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.n_sequences += rows
 
@@ -88,7 +94,9 @@ class ShardWriter:
             padded = np.zeros(-(-len(flat) // self.seq_len) * self.seq_len, np.uint16)
             padded[: len(flat)] = flat
             self._put(padded, len(flat))
-        for stream, file in ((self.stream, self.tokens), (self.doc_stream, self.docs)):
+        masks = pa.ipc.new_stream(self.mask_file.out, mask_schema(self.seq_len))
+        masks.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(self.masks), np.uint8)), self.seq_len)], names=["mask"]))
+        for stream, file in ((self.stream, self.tokens), (self.doc_stream, self.docs), (masks, self.mask_file)):
             stream.close()
             file.close()
         return self.n_docs, self.n_tokens, self.n_sequences
@@ -99,11 +107,8 @@ class ShardReader:
 
     def __init__(self, folder: str, name: str):
         self.folder, self.name = folder, name
-        fs, path = open_fs(shard_file(folder, name, "tokens"))
-        if fs.type_name == "local":
-            self.file = pa.memory_map(path)
-        else:
-            self.file = fs.open_input_file(path)
+        self.file = self._open("tokens")
+        self.masks = pa.ipc.open_stream(self._open("masks")).read_next_batch().column(0).values.to_numpy(zero_copy_only=True).view(bool)
         self.size = self.file.size()
         message = pa.ipc.read_message(self.file)
         self.schema = pa.ipc.read_schema(message)
@@ -115,6 +120,10 @@ class ShardReader:
             first = pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
             self.stride, self.rows = self.file.tell() - self.head, first.num_rows
 
+    def _open(self, kind: str):
+        fs, path = open_fs(shard_file(self.folder, self.name, kind))
+        return pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path)
+
     def _batch(self, k: int) -> pa.RecordBatch:
         if k != self.at:
             self.file.seek(self.head + k * self.stride)
@@ -127,7 +136,8 @@ class ShardReader:
         batch, row = self._batch(i // self.rows), i % self.rows
         cut = slice(row * self.seq_len, (row + 1) * self.seq_len)
         ids = batch.column(0).values.to_numpy(zero_copy_only=True)[cut]
-        return ids, batch.column(1).values.to_numpy(zero_copy_only=True)[cut].view(bool)
+        mask = batch.column(1)[row].as_py()
+        return ids, self.masks[mask * self.seq_len : (mask + 1) * self.seq_len]
 
     def ids(self, start: int, length: int) -> np.ndarray:
         """Ids ``start`` to ``start + length`` of the shard's token stream."""
