@@ -237,7 +237,7 @@ def fit_toxic(sample: DataFrame, totals: dict[str | None, tuple[int, int]]) -> t
     totals = {lang: n for lang, n in totals.items() if min(n) >= TOXIC_LEAST}
     if None not in totals:
         return {}, {None: -10.0}
-    often = persist(_stem_counts(sample).filter((F.col("c") >= TOXIC_LEAST) & (F.length("word") <= 64)), "quality-words")
+    often = persist(_stem_counts(sample).filter(F.col("c") >= TOXIC_LEAST), "quality-words")
     tried = {r.lang: r.n for r in often.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def run(batches):

@@ -395,6 +395,14 @@ def test_quality_against_plain_python(spark):
         assert abs(r.quality - 1 / (1 + math.exp(-odds))) < 1e-9 and r.keep == (odds >= 0 and r.toxicity < 0)
 
 
+def test_sites_meet_rows_alike_in_both_joins(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    one = sorted(map(tuple, quality.quality_scores(docs, labels).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_SITES", 0)
+    many = sorted(map(tuple, quality.quality_scores(docs, labels).collect()))
+    assert [r[0] for r in one] == [r[0] for r in many] and [r[-1] for r in one] == [r[-1] for r in many] and np.allclose([r[3:8] for r in one], [r[3:8] for r in many])
+
+
 def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (None, 0, 0), (3, None, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(docs, labels).collect()
