@@ -28,10 +28,15 @@ MASKS = (
 )
 
 
+#: What every masking pattern needs somewhere: one pass spares most texts the fifteen.
+MAYBE_SECRET = r"(?i)bearer|api[_-]?\s*key|auth[_-]?token|password|passwd|secret|credential|cookie|sk-|postgres|dbname=|host=|port=|user=|\d\.\d{1,3}\.\d{1,3}\.\d"
+
+
 def redact(text: Column) -> Column:
+    masked = text
     for pattern, replacement in MASKS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+        masked = F.regexp_replace(masked, pattern, replacement)
+    return F.when(text.rlike(MAYBE_SECRET), masked).otherwise(text)
 
 
 def strip_wikilinks(text: Column) -> Column:
@@ -51,7 +56,7 @@ def sanitize_name(name: Column, default: str = "unnamed") -> Column:
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the lower-cased word characters; null below 8 of them."""
     plain = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "")
-    return F.when(F.length(plain) >= 8, F.sha2(plain, 256))
+    return F.transform(F.array(plain), lambda p: F.when(F.length(p) >= 8, F.sha2(p.cast("binary"), 256)))[0]  # bound once
 
 
 def key_values(text: Column) -> Column:

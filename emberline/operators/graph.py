@@ -46,24 +46,24 @@ def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, types: list[str
     return one.unionByName(two).orderBy(F.desc("score"), "depth", "id").limit(most)
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, comp): least id of each component, by spreading and jumping labels.
 
-    Each round is checkpointed to the shared folder, so plans stay short.
+    Rounds go on until no label changes; each is checkpointed to the shared folder, so
+    plans stay short.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     pairs = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     pairs = pairs.union(pairs.select("b", "a")).filter("a <> b").distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("comp")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = pairs.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         up = labels.select(F.col("id").alias("head"), F.col("comp").alias("up"))
         new = step.join(up, F.col("comp") == F.col("head"), "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")).checkpoint()
         labels = new.select("id", "comp")
         if not new.filter("comp <> old").limit(1).count():
-            break
-    return labels
+            return labels
 
 
 def edge_quality(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -38,6 +38,6 @@ def legal_history(stages: DataFrame, allowed: DataFrame) -> DataFrame:
     """(run, seq, stage, problem) of rows that break contiguity or transitions."""
     w = Window.partitionBy("run").orderBy("seq")
     rows = stages.withColumn("before", F.lag("stage").over(w)).withColumn("place", F.row_number().over(w))
-    met = rows.join(F.broadcast(allowed.select(F.col("from").alias("before"), F.col("to").alias("stage"), F.lit(True).alias("ok"))), ["before", "stage"], "left")
+    met = rows.join(allowed.select(F.col("from").alias("before"), F.col("to").alias("stage"), F.lit(True).alias("ok")), ["before", "stage"], "left")
     problem = F.when(F.col("place") != F.col("seq"), "gap").when(F.col("before").isNotNull() & F.col("ok").isNull(), "transition")
     return met.withColumn("problem", problem).filter("problem is not null").select("run", "seq", "stage", "problem")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import math
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import cosine
+from ..session import shared_folder
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, floor: float | None = None) -> DataFrame:
@@ -17,31 +24,87 @@ def top_k(vectors: DataFrame, query: list[float], k: int, floor: float | None =
     return (scored if floor is None else scored.filter(F.col("sim") > floor)).orderBy(F.desc("sim"), "id").limit(k)
 
 
+PIVOTS = 64
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
     """(a, b, sim) with a < b and cosine of at least ``threshold``, exact.
 
-    Rows are dealt to blocks of about ``block`` vectors; each pair of blocks is a
-    group of two blocks that a matrix product scores, so no pair is made that
-    doesn't qualify and no group grows with the input.
+    Vectors are dealt to blocks of at most ``block`` near ones (by their nearest of some pivots)
+    and each block is stored once. Only names, centres and radii are paired: a pair of
+    blocks whose balls are farther apart than the threshold allows is dropped, each of the
+    others is one task's work that reads two blocks and scores them by a matrix product.
+    So no vector is copied and no pair is made that doesn't qualify; the work grows
+    with the pairs of near blocks. Vectors of other lengths than a partner's don't meet it.
     """
-    n = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("id", "vec").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    keyed = dealt.withColumn("o", other).select("id", "vec", "g", F.least("g", "o").alias("x"), F.greatest("g", "o").alias("y"))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack([np.asarray(x, float) for x in pdf["vec"]])
-        norm = np.sqrt((v * v).sum(1))
-        unit = v / np.where(norm == 0, 1, norm)[:, None]
-        ids, g = pdf["id"].to_numpy(), pdf["g"].to_numpy()
-        out = []
-        for at in range(0, len(ids), 1024):
-            sim = np.round(unit[at : at + 1024] @ unit.T, 6)
-            keep = (sim >= threshold) & (ids[at : at + 1024, None] < ids[None, :])
-            if pdf["x"].iloc[0] != pdf["y"].iloc[0]:
-                keep &= g[at : at + 1024, None] != g[None, :]
-            i, j = np.nonzero(keep)
-            out.append(pd.DataFrame({"a": ids[at + i], "b": ids[j], "sim": sim[i, j]}))
-        return pd.concat(out)
-
-    return keyed.groupBy("x", "y").applyInPandas(score, "a long, b long, sim double")
+    spark = vectors.sparkSession
+    folder = shared_folder(spark, "similar-pairs")
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
+    some = rows.withColumn("o", F.xxhash64("id")).orderBy("o").limit(PIVOTS).collect()  # PIVOTS rows
+    pivots = np.array([r.vec for r in some if len(r.vec) == len(some[0].vec)]) if some else np.zeros((0, 1))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [int(((pivots - np.asarray(v.values)) ** 2).sum(1).argmin()) if len(pivots) and len(v.values) == pivots.shape[1] else 0 for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=["id", "vec", "near"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def flush(size: int) -> pa.RecordBatch:
+            ids, v = zip(*held.pop(size))
+            v = np.array(v)
+            norm = np.sqrt((v * v).sum(1))
+            unit = v / np.where(norm == 0, 1, norm)[:, None]
+            centre = unit.mean(0)
+            out = io.BytesIO()
+            np.savez(out, ids=np.array(ids, np.int64), unit=unit)
+            name = f"{folder}/blocks/{uuid.uuid4().hex}.npz"
+            fs, path = pafs.FileSystem.from_uri(name)
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(path) as f:
+                f.write(out.getvalue())
+            radius = float(np.sqrt(((unit - centre) ** 2).sum(1)).max())
+            return pa.RecordBatch.from_pylist([{"name": name, "dim": size, "centre": centre.tolist(), "radius": radius}], schema=pa.schema([("name", pa.string()), ("dim", pa.int32()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(len(v), []).append((i, v))
+                if len(held[len(v)]) >= block:
+                    yield flush(len(v))
+        for size in list(held):
+            yield flush(size)
+
+    n = max(1, -(-rows.count() // block))
+    placed = rows.mapInArrow(place, "id long, vec array<double>, near int")
+    dealt = placed.repartitionByRange(n, F.size("vec"), "near", F.xxhash64("id")).select("id", "vec")
+    dealt.mapInArrow(write, "name string, dim int, centre array<double>, radius double").write.parquet(f"{folder}/list")
+    blocks = spark.read.schema("name string, dim int, centre array<double>, radius double").parquet(f"{folder}/list")
+    side = lambda x: blocks.select("dim", *[F.col(c).alias(f"{c}_{x}") for c in ("name", "centre", "radius")])
+    apart = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    reach = math.sqrt(max(0.0, 2 - 2 * (threshold - 1e-6)))
+    close = (F.col("name_a") <= F.col("name_b")) & (F.lit(threshold <= 0) | (apart <= F.col("radius_a") + F.col("radius_b") + reach + 1e-9))
+    pairs = side("a").join(side("b"), "dim").filter(close).select("name_a", "name_b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+
+    def read(name: str):
+        fs, path = pafs.FileSystem.from_uri(name)
+        with fs.open_input_file(path) as f:
+            data = np.load(io.BytesIO(f.read()))
+        return data["ids"], data["unit"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, unit = read(one)
+                others, with_ = (ids, unit) if one == two else read(two)
+                for at in range(0, len(ids), 1024):
+                    sim = np.round(unit[at : at + 1024] @ with_.T, 6)
+                    keep = sim >= threshold
+                    if one == two:
+                        keep &= ids[at : at + 1024, None] < others[None, :]
+                    i, j = np.nonzero(keep)
+                    x, y = ids[at + i], others[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim[i, j])], schema=schema)
+
+    return pairs.repartition(max(1, min(n * n, 10_000)), "name_a", "name_b").mapInArrow(score, "a long, b long, sim double").filter("a < b")

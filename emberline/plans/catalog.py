@@ -355,8 +355,8 @@ def j22(spark, d):
 
 @query("j23_content_dedupe", "WITH f AS (SELECT id, sha256(regexp_replace(lower(content), '[^a-z0-9]+', '', 'g')) AS fp FROM memories WHERE length(regexp_replace(lower(content), '[^a-z0-9]+', '', 'g')) >= 8) SELECT fp, min(id) AS id, count(*) AS merged FROM f GROUP BY fp", ("memories",))
 def j23(spark, d):
-    m = V.memories(spark, d).select("id", X.fingerprint(F.col("content")).alias("fp")).filter("fp is not null")
-    return m.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("merged"))
+    m = V.memories(spark, d).select("id", X.fingerprint(F.col("content")).alias("fp"))
+    return m.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("merged")).filter("fp is not null")
 
 
 # --- windows ----------------------------------------------------------------
@@ -575,10 +575,16 @@ def x08(spark, d):
     return m.select("id", kv["rank"].alias("rank"), kv["size"].alias("size"))
 
 
-@query("x25_redaction")
+def _sql_redacted(text: str) -> str:
+    for pattern, replacement in X.MASKS:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), replacement.replace("$1", "\\1"))
+    return text
+
+
+@query("x25_redaction", f"SELECT id, md5(m) AS digest, m <> content AS changed FROM (SELECT id, content, {_sql_redacted('content')} AS m FROM memories)", ("memories",))
 def x25(spark, d):
-    masked = X.redact(F.col("content"))
-    return V.memories(spark, d).select("id", F.md5(masked.cast("binary")).alias("digest"), (masked != F.col("content")).alias("changed"))
+    masked = V.memories(spark, d).select("id", "content", X.redact(F.col("content")).alias("masked"))
+    return masked.select("id", F.md5(F.col("masked").cast("binary")).alias("digest"), (F.col("masked") != F.col("content")).alias("changed"))
 
 
 @query("x27_senses", f"SELECT id, array_to_string(list_filter([{SQL_LEXICON}], lambda x: x IS NOT NULL), ',') AS senses FROM memories", ("memories",))

@@ -18,10 +18,29 @@ def session(master: str = "local[*]", shuffle: int = 8, memory: str = "8g") -> S
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; only where none is set, use a temporary one."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); only a local master without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(found)
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
     import tempfile
 
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberline-checkpoint-"))
+    made = "file://" + tempfile.mkdtemp(prefix="emberline-checkpoint-")
+    spark.sparkContext.setCheckpointDir(made)
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder URI below the shared one."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark)
+    base = base if base.startswith("file:") or "://" in base else "file://" + base
+    if base.startswith("file:") and not base.startswith("file://"):
+        base = "file://" + base[5:]
+    return f"{base.rstrip('/')}/store/{name}-{uuid.uuid4().hex}"

@@ -49,13 +49,13 @@ def records(files: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, *roots: str) -> DataFrame:
     """``records`` of all ``.md`` files below some roots, read whole by Spark."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(list(roots))
+    files = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return records(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
 def listing(spark: SparkSession, *roots: str) -> DataFrame:
     """(path, size, modified) of the files, a token by which a cache sees changes."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(list(roots))
+    files = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified")).distinct()
 
 

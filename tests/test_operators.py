@@ -177,3 +177,93 @@ def test_streams_equal_batches(spark, tmp_path):
     q = stream().writeStream.foreachBatch(stateful.append_batch(out, ["k"])).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_redaction_is_not_lost_to_its_first_pass(spark):
+    from emberline.functions import text as X
+
+    said = ["Authorization : Bearer abc", "api key = z", "API-KEY: x", "auth_token=q", "my Secret = s", "cookie: a=b", "use sk-abcdefghijk now", "POSTGRESQL://u@h", "dbname=d host=h", "port=5432", "user=me", "at 10.0.0.1:5432 or 1.2.3.4", "plain words", ""]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    whole = F.col("t")
+    for pattern, replacement in X.MASKS:
+        whole = F.regexp_replace(whole, pattern, replacement)
+    got = rows.select(X.redact(F.col("t")).alias("a"), whole.alias("b"), "t").collect()
+    assert all(r.a == r.b for r in got) and [r.a == r.t for r in got] == [False] * 12 + [True] * 2
+
+
+def test_similar_pairs_of_clustered_and_odd_vectors(spark):
+    import numpy as np
+
+    from emberline.operators import vectors
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 6))
+    v = centres[rng.integers(0, 12, 300)] + 0.05 * rng.standard_normal((300, 6))
+    v[5] = 0
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, [1.0, 2.0]), (1001, [2.0, 4.0]), (1002, None), (1003, [])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if round(float(unit[i] @ unit[j]), 6) >= 0.95} | {(1000, 1001)}
+    for block in (4096, 40):
+        assert {(r.a, r.b) for r in vectors.similar_pairs(df, 0.95, block).collect()} == want
+
+
+def test_components_of_a_long_chain(spark):
+    from emberline.operators import graph
+
+    n = 150
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "source long, target long")
+    nodes = spark.createDataFrame([(i,) for i in range(n + 5)], "id long")
+    got = {r.id: r.comp for r in graph.components(edges, nodes).collect()}
+    assert all(got[i] == 0 for i in range(n + 1)) and all(got[i] == i for i in range(n + 1, n + 5))
+
+
+def test_markdown_files(spark, tmp_path):
+    from emberline.sources import markdown
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "one.md").write_text("---\nid: x1\nname: 'N'\ndomain: [en, 'fr']\nimportance: 12\npinned: True\ncontent: clash\n---\nbody\nmore")
+    (tmp_path / "a" / "b" / "two.md").write_text("no front matter")
+    (tmp_path / "a" / "b" / "three.txt").write_text("---\nid: no\n---\n")
+    (tmp_path / "a" / "empty.md").write_text("---\n---\n")
+    got = {r.path.rsplit("/", 1)[1]: r for r in markdown.scan(spark, str(tmp_path)).collect()}
+    assert set(got) == {"one.md", "two.md", "empty.md"}
+    one = got["one.md"]
+    assert (one.id, one.name, one.domain, one.importance, one.pinned, one.body, one.corrupt, one.type) == ("x1", "N", ["en", "fr"], 12, True, "body\nmore", False, "dynamic")
+    assert got["two.md"].corrupt and got["two.md"].body == "no front matter" and got["two.md"].type is None
+    assert not got["empty.md"].corrupt and got["empty.md"].id is None
+    assert {r.path.rsplit("/", 1)[1]: r.size > 0 for r in markdown.listing(spark, str(tmp_path)).collect()} == {"one.md": True, "two.md": True, "empty.md": True}
+
+
+def test_json_lines(spark):
+    from emberline.sources import jsonl
+
+    lines = spark.createDataFrame([('{"k": 1, "v": "a"}',), ("{broken",), ('{"v": "no key"}',), ("  ",), ("[1]",), ('{"k": 2}',)], "line string")
+    assert sorted((r.k, r.v) for r in jsonl.lenient(lines, "k long, v string", "k").collect()) == [(1, "a"), (2, None)]
+    good = lines.filter("line like '%\"k\"%'")
+    assert jsonl.strict(good, "k long, v string", "k").count() == 2
+    for bad in (lines, good.union(good.limit(1))):
+        try:
+            jsonl.strict(bad, "k long, v string", "k").collect()
+            raise AssertionError("a bad read passed")
+        except Exception as e:
+            assert "malformed" in str(e) or "repeated key" in str(e)
+
+
+def test_entity_mentions_respect_words_and_scripts():
+    from emberline.operators import entities
+
+    f = entities.Finder(["new york", "york", "ann", "上海", "c++"])
+    say = lambda t: [a for _, _, a in f.find(entities.normal(t))]
+    assert say("New  YORK and Yorkshire, Ann's annex") == ["new york", "ann"]
+    assert say("我在上海见ann了 c++!") == ["上海", "ann", "c++"]
+    assert say("") == [] and entities.Finder([]).find("x") == []
+
+
+def test_hooks_are_asked_once_for_equal_texts(spark):
+    from emberline.operators import hooks
+
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "c")], "id long, text string")
+    cache = rows.filter("id = 4").select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.lit("held").alias("value"))
+    got = {r.id: (r.s, r.from_cache) for r in hooks.cached(rows, cache, "summary", "text", "s").collect()}
+    assert got == {1: ("a b", False), 2: ("a b", False), 3: (None, False), 4: ("held", True)}
