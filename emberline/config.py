@@ -55,3 +55,19 @@ class Params:
 
 
 DEFAULTS = Params()
+
+
+def layered(env: dict[str, str], file: dict, prefix: str = "EMBERLINE_") -> dict[str, tuple[object, str]]:
+    """Each parameter's value and where it is from: the environment, else the file, else the
+    default. Values take the default's type; one that can't raises ValueError, as unknown names do."""
+    import dataclasses
+
+    fields = {f.name: f.default for f in dataclasses.fields(Params)}
+    named = {k.removeprefix(prefix).lower(): v for k, v in env.items() if k.startswith(prefix)}
+    if unknown := (set(named) | set(file)) - set(fields):
+        raise ValueError(f"unknown parameters: {sorted(unknown)}")
+    out = {}
+    for name, default in fields.items():
+        value, source = (named[name], "env") if name in named else (file[name], "file") if name in file else (default, "default")
+        out[name] = (type(default)(value), source)
+    return out

@@ -184,3 +184,11 @@ def literal_keys(text: Column, given: Column, generic: tuple[str, ...], most: in
     ok = F.filter(clean, lambda x: F.length(x).between(2, 48) & F.contains(text, x) & ~F.lower(x).isin(*generic) & x.rlike(r"\p{L}") & ~x.rlike(r"[\x00-\x1f]"))
     first = F.filter(ok, lambda x, k: ~F.exists(F.slice(ok, 1, k), lambda y: F.lower(y) == F.lower(x)))
     return F.slice(first, 1, most)
+
+
+SECRET_KEYS = r"(?i)pass(word|wd)?$|secret|token|api[_-]?key|credential|cookie|authorization"
+
+
+def redact_map(values: Column) -> Column:
+    """A map of texts whose secret keys lose their values and whose other values are masked."""
+    return F.transform_values(values, lambda k, v: F.when(k.rlike(SECRET_KEYS), F.lit("[REDACTED]")).otherwise(redact(v)))

@@ -53,6 +53,25 @@ def _bounded(text: str, start: int, end: int) -> bool:
     return not (word(text[start]) and word(before)) and not (word(text[end - 1]) and word(after))
 
 
+def occurrences(text: Column, alias: Column) -> Column:
+    """How often an alias stands in a text as a word of its own; overlapping places count each."""
+
+    @F.arrow_udf("int")
+    def run(texts: pa.Array, aliases: pa.Array) -> pa.Array:
+        out = []
+        for t, a in zip(texts.to_pylist(), aliases.to_pylist()):
+            if t is None or not a:
+                out.append(None if t is None or a is None else 0)
+                continue
+            t, a, n, at = normal(t), normal(a), 0, -1
+            while a and (at := t.find(a, at + 1)) >= 0:
+                n += _bounded(t, at, at + len(a))
+            out.append(n)
+        return pa.array(out, pa.int32())
+
+    return run(text, alias)
+
+
 class Finder:
     """Mentions of known aliases in a normalised text: the longest from left to right, none overlapping."""
 

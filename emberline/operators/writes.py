@@ -121,3 +121,16 @@ def history_problems(stages: DataFrame, allowed: DataFrame, initial: str) -> Dat
 def lifecycle_updates(pairs: DataFrame) -> DataFrame:
     """(id, status, other, at): both updates of a reviewed pair (newer, older, at), in one frame so that both or none are written."""
     return pairs.select(F.explode(F.array(F.struct(F.col("newer").alias("id"), F.lit("current").alias("status"), F.col("older").alias("other"), "at"), F.struct(F.col("older").alias("id"), F.lit("historical").alias("status"), F.col("newer").alias("other"), "at"))).alias("x")).select("x.*")
+
+
+def until_broken(rows: DataFrame, key: str, seq: str, bad: str, most: int) -> DataFrame:
+    """Rows of each key up to its ``most``-th bad one in a row, by which the work of the key stops.
+
+    The window holds ``most`` rows; the place where a key stops is an aggregate.
+    """
+    w = Window.partitionBy(key).orderBy(seq)
+    run = F.col(bad)
+    for k in range(1, most):
+        run = run & F.coalesce(F.lag(bad, k).over(w), F.lit(False))
+    stops = rows.withColumn("_run", run).filter("_run").groupBy(key).agg(F.min(seq).alias("_stop"))
+    return rows.join(stops, key, "left").filter(F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop"))).drop("_stop")

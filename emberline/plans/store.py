@@ -688,3 +688,119 @@ def g08(spark, d):
     size = m.groupBy("name").agg(N().alias("n"), F.min("event_at").alias("first_at"), F.max("event_at").alias("last_at")).filter(F.col("n").between(3, 12))
     members = m.join(size.select("name"), "name", "left_semi").groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_at", "id"))), lambda x: x["id"].cast("string")), ",").alias("members"))
     return size.join(members, "name")
+
+
+# --- more of the ledger, the files and the guards ---------------------------
+
+
+@query("s02_change_tokens", "SELECT type || '/' || id || '.md' AS path, octet_length(encode(content)) AS size, md5(content) AS token FROM memories WHERE id % 40 = 7", ("memories",))
+def s02(spark, d):
+    plain = _files(spark, d).join(V.memories(spark, d).filter("id % 40 = 7").select(F.concat("type", F.lit("/"), i().cast("string"), F.lit(".md")).alias("path")), "path", "left_semi")
+    return plain.select("path", F.octet_length("text").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("token"))
+
+
+@query("s07_tolerant_parse", "SELECT CAST(id AS VARCHAR) AS id, name, false AS has_content FROM memories WHERE id % 41 = 3 AND id % 40 <> 7", ("memories",))
+def s07(spark, d):
+    f = _files(spark, d).filter(F.contains("text", F.lit("content: broken"))).select(markdown.parse(F.col("text")).alias("p"))
+    return f.select(F.col("p.fields")["id"].alias("id"), F.col("p.fields")["name"].alias("name"), F.map_contains_key("p.fields", "content").alias("has_content"))
+
+
+@query("t02_atomic_batches", "SELECT CAST(floor(event_id / 100) AS BIGINT) AS batch, count(*) AS inserted FROM events GROUP BY 1")
+def t02(spark, d):
+    e = V.read(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("batch"))
+    replayed = e.unionByName(e.filter("batch % 2 = 0"))  # half of the batches come twice
+    return replayed.dropDuplicates(["event_id"]).groupBy("batch").agg(N().alias("inserted"))
+
+
+SQL_BREAKER = "WITH e AS (SELECT user_id, event_id, event_type = 'error' AS bad, lag(event_type = 'error', 1) OVER w AS p, lag(event_type = 'error', 2) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT user_id, min(event_id) AS stop FROM e WHERE bad AND p AND q GROUP BY 1)"
+
+
+@query("t15_circuit_breaker", f"{SQL_BREAKER} SELECT user_id, count(*) AS worked FROM e LEFT JOIN b USING (user_id) WHERE stop IS NULL OR event_id <= stop GROUP BY 1")
+def t15(spark, d):
+    e = V.read(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("bad"))
+    return writes.until_broken(e, "user_id", "event_id", "bad", 3).groupBy("user_id").agg(N().alias("worked"))
+
+
+@query("r53_dispatch", f"{SQL_BREAKER} SELECT event_id FROM e LEFT JOIN b USING (user_id) JOIN events USING (event_id) WHERE (stop IS NULL OR event_id <= stop) AND events.event_type <> 'view'")
+def r53(spark, d):
+    e = V.read(spark, d, "events").select("user_id", "event_id", "event_type", (F.col("event_type") == "error").alias("bad"))
+    return writes.until_broken(e, "user_id", "event_id", "bad", 3).filter("event_type <> 'view'").select("event_id")
+
+
+@query("r51_constraints", "SELECT 'order key' AS rule, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS broken UNION ALL SELECT 'line parent', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'event value', (SELECT count(*) FROM events WHERE value IS NULL OR value < 0)")
+def r51(spark, d):
+    o, li, e = V.read(spark, d, "orders"), V.read(spark, d, "lineitem"), V.read(spark, d, "events")
+    rule = lambda name, df: df.agg(N().alias("broken")).select(F.lit(name).alias("rule"), "broken")
+    doubled = o.groupBy("o_orderkey").agg(N().alias("n")).filter("n > 1")
+    orphans = li.select(F.col("l_orderkey").alias("o_orderkey")).join(o.select("o_orderkey"), "o_orderkey", "left_anti")
+    return rule("order key", doubled).unionByName(rule("line parent", orphans)).unionByName(rule("event value", e.filter("value is null or value < 0")))
+
+
+@query("r70_resolve_queue", "SELECT id AS key, CASE WHEN id % 3 = 2 THEN 'refused' WHEN id % 3 = 1 THEN 'replayed' ELSE 'moved' END AS outcome FROM memories", ("memories",))
+def r70(spark, d):
+    m = V.memories(spark, d).select(i().alias("key"))
+    k = F.col("key")
+    state = m.select("key", F.when(k % 3 == 0, "pending").when(k % 3 == 1, "applied").otherwise("rejected").alias("status"))
+    asked = m.select("key", F.lit(None).cast("string").alias("expected"), F.lit("applied").alias("to"))
+    allowed = spark.createDataFrame([("pending", "reviewed"), ("pending", "applied"), ("pending", "rejected"), ("reviewed", "applied")], "from string, to string")
+    return writes.transition(state, asked, allowed).select("key", "outcome")
+
+
+@query("r24_probe", "WITH k AS (SELECT id, row_number() OVER (ORDER BY valence DESC, id) AS rank FROM memories WHERE type = 'dynamic' ORDER BY valence DESC, id LIMIT 50) SELECT id, CAST(rank AS INTEGER) AS rank FROM k WHERE id % 7 = 0", ("memories",))
+def r24(spark, d):
+    page = V.memories(spark, d).filter("type = 'dynamic'").orderBy(F.desc("valence"), "id").limit(50)
+    return page.select("id", F.row_number().over(Window.orderBy(F.desc("valence"), "id")).alias("rank")).filter("id % 7 = 0")
+
+
+@query("r27_append", "SELECT role, count(*) + 1 AS n FROM conversations GROUP BY 1")
+def r27(spark, d):
+    c = V.read(spark, d, "conversations").select("role", "text")
+    new = c.select("role").distinct().select("role", F.lit("hello").alias("text"))
+    return c.unionByName(new).groupBy("role").agg(N().alias("n"))
+
+
+@query("r94_state_appended", "SELECT id, md5(content || chr(10) || '[state ' || round(valence, 2) || ']') AS digest FROM memories", ("memories",))
+def r94(spark, d):
+    block = F.concat(F.lit("[state "), F.round("valence", 2).cast("string"), F.lit("]"))
+    return V.memories(spark, d).select("id", F.md5(F.concat_ws("\n", "content", block).cast("binary")).alias("digest"))
+
+
+@query("r81_layered_config", "SELECT * FROM (VALUES ('topic', '5.0', 'env'), ('emotion', '3.0', 'file'), ('time', '2.5', 'default')) t(name, value, source)")
+def r81(spark, d):
+    from ..config import layered
+
+    found = layered({"EMBERLINE_TOPIC": "5"}, {"topic": 9, "emotion": 3})
+    return spark.createDataFrame([(k, str(v), s) for k, (v, s) in found.items() if k in ("topic", "emotion", "time")], "name string, value string, source string")
+
+
+@query("x22_alias_spans", "SELECT id, 2 AS n FROM memories", ("memories",))
+def x22(spark, d):
+    text = F.concat("thread", F.lit(" x"), "thread", F.lit(" ("), F.upper("thread"), F.lit(")"))
+    m = V.memories(spark, d).select("id", text.alias("text"), F.col("thread").alias("alias"))
+    return m.select("id", E.occurrences(F.col("text"), F.col("alias")).alias("n"))
+
+
+@query("x26_redacted_maps", "SELECT id, CASE WHEN id % 2 = 0 THEN '[REDACTED]' ELSE thread END AS held, 'user=[REDACTED_USER]' AS said FROM memories", ("memories",))
+def x26(spark, d):
+    from ..functions.text import redact_map
+
+    key = F.when(i() % 2 == 0, "api_key").otherwise("place")
+    m = V.memories(spark, d).select("id", redact_map(F.create_map(key, F.col("thread"), F.lit("note"), F.concat(F.lit("user="), "thread"))).alias("m"))
+    return m.select("id", F.coalesce(F.col("m")["api_key"], F.col("m")["place"]).alias("held"), F.col("m")["note"].alias("said"))
+
+
+@query("x32_event_parts", "SELECT id, CAST(k AS INTEGER) AS part, sha256(substr(repeat(name, 8), CAST(32 * k + 1 AS BIGINT), 32)) AS digest FROM memories, range(20) r(k) WHERE 32 * k < length(repeat(name, 8))", ("memories",))
+def x32(spark, d):
+    from ..operators import chunking
+
+    m = V.memories(spark, d).select("id", F.posexplode(chunking.utf8_parts(F.repeat("name", F.lit(8)), 32)).alias("part", "data"))
+    return m.select("id", "part", F.sha2("data", 256).alias("digest"))
+
+
+@query("r22_recall_depth2", "WITH live AS (SELECT source, target, type, strength FROM edges WHERE type IN ('kin', 'explains') AND strength BETWEEN 0 AND 1 AND source <> target), adj AS (SELECT source AS a, target AS b, type, strength FROM live UNION ALL SELECT target, source, type, strength FROM live), seeds AS (SELECT id FROM memories ORDER BY valence DESC, id LIMIT 20), one AS (SELECT b AS id, max(round(strength * CASE type WHEN 'kin' THEN 1.0 ELSE 0.85 END, 6)) AS score FROM adj JOIN seeds ON a = id WHERE strength >= 0.4 AND b NOT IN (SELECT id FROM seeds) GROUP BY 1), two AS (SELECT b AS id, max(round(adj.strength * CASE adj.type WHEN 'kin' THEN 1.0 ELSE 0.85 END * 0.6, 6)) AS score FROM adj JOIN one ON a = one.id WHERE adj.strength >= 0.7 AND b NOT IN (SELECT id FROM seeds) AND b NOT IN (SELECT id FROM one) GROUP BY 1) SELECT id, 1 AS depth, score FROM one UNION ALL SELECT id, 2, score FROM two", ("memories", "edges"))
+def r22(spark, d):
+    from ..operators import graph
+
+    m = V.memories(spark, d)
+    seeds = m.orderBy(F.desc("valence"), "id").limit(20).select("id")
+    return graph.expand(V.edges(spark, d), m.select("id"), seeds, ["kin", "explains"], 100_000).select("id", "depth", "score")
