@@ -134,3 +134,29 @@ def links(found: DataFrame, known: DataFrame) -> DataFrame:
 def relinked(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Links (id, entity, digest) after some records were read again: all their old links go."""
     return stored.join(new.select("id").distinct(), "id", "left_anti").unionByName(new)
+
+
+def resolved(questions: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, canonical, found, ambiguous) of questions (id, text): aliases of one entity are replaced by
+    its name, those of several are named. ``known`` is (alias, entity, name), of MOST_ALIASES rows at most."""
+    one = known.groupBy("alias").agg(F.min("name").alias("name"), F.min("entity").alias("a"), F.max("entity").alias("b"))
+    rows = one.select("alias", F.when(F.col("a") == F.col("b"), F.col("name")).alias("name")).limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError("the catalogue of aliases is too long to be sent to every task")
+    names = {r.alias: r.name for r in rows}
+    schema = pa.schema([("id", pa.int64()), ("canonical", pa.string()), ("found", pa.list_(pa.string())), ("ambiguous", pa.list_(pa.string()))])
+
+    def run(batches):
+        finder = Finder(list(names))
+        for batch in batches:
+            out = []
+            for i, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = normal(cell.as_py() or "")
+                spans = finder.find(text)
+                good = [s for s in spans if names[s[2]] is not None]
+                for start, end, a in reversed(good):
+                    text = text[:start] + names[a] + text[end:]
+                out.append({"id": i, "canonical": text, "found": list(dict.fromkeys(a for _, _, a in good)), "ambiguous": list(dict.fromkeys(a for _, _, a in spans if names[a] is None))})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return questions.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, canonical string, found array<string>, ambiguous array<string>")

@@ -199,3 +199,17 @@ def classified(body: Column, table: dict[str, list[str]], old: Column, least: in
     scored = F.array(*[F.struct((-hits(words)).alias("n"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, words) in enumerate(table.items())])
     good = F.slice(F.array_sort(F.filter(scored, lambda x: x["n"] <= -least)), 1, most)
     return F.when(F.size(good) > 0, F.transform(good, lambda x: x["name"])).otherwise(old)
+
+
+def slot_values(content: Column, pattern: str) -> Column:
+    """Distinct values of a slot's pattern, trimmed and in lower case, sorted."""
+    found = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)), lambda x: F.lower(F.trim(x)))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")))
+
+
+def membership(labelled: Column, in_metadata: Column, name: Column, content: Column, pattern: str, head: int = 200) -> Column:
+    """How a record belongs to a slot: by a label line, by its metadata, by a value in its name or
+    the head of its text, or by its context alone."""
+    start = F.lower(F.concat_ws("\n", name, F.substring(R.plain_links(content), 1, head)))
+    leading = F.exists(slot_values(content, pattern), lambda v: F.contains(start, v))
+    return F.when(labelled, "structured").when(in_metadata, "metadata").when(leading, "value").otherwise("context")

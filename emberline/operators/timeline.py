@@ -64,3 +64,21 @@ def ripple(rows: DataFrame, centres: DataFrame, hours: int, most: int) -> DataFr
 
 def spine(first: str, last: str, spark) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS day")
+
+
+def folded_state(rows: DataFrame, key: str, tau_s: float) -> DataFrame:
+    """(key, state): exponentially decaying state with additive stimuli in 0..1 after all rows of a
+    key, (key, x: struct<ts, event_id, at, amount>) folded in order of time.
+
+    The clamp makes the fold sequential, so a key's stimuli are one array; of a key with
+    very many, those before its last day have decayed below any digit kept and can be cut
+    by the caller. The stream form keeps one number a key instead.
+    """
+    ordered = rows.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("l"))
+    start = F.struct(F.lit(0.0).alias("v"), F.col("l")[0]["at"].alias("at"))
+
+    def step(s, x):
+        v = s["v"] * F.exp(-(x["at"] - s["at"]) / F.lit(tau_s)) + x["amount"]
+        return F.struct(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)).alias("v"), x["at"].alias("at"))
+
+    return ordered.select(key, F.round(F.aggregate("l", start, step)["v"], 6).alias("state"))

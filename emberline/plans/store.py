@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..functions import scoring as S
 from ..operators import entities as E
-from ..operators import ledger, patrol, writes
+from ..operators import ledger, patrol, timeline, writes
 from ..sources import jsonl, markdown
 from ..sources import views as V
-from .catalog import SQL_REF, query
+from .catalog import QUERY_VECTOR, SQL_QUERY, SQL_REF, _age, _sql_age, query
 
 i = lambda: F.col("id")
 N = lambda: F.count(F.lit(1))
@@ -638,9 +639,6 @@ def w09(spark, d):
 
 @query("q15_score_breakdown", f"SELECT id, round(greatest(0, 1 - sqrt(pow(valence - 0.7, 2) + pow(arousal - 0.4, 2)) / 1.414), 4) AS emotion, round(exp(-0.1 * (epoch_us({SQL_REF}) - epoch_us(last_active)) / 86400000000.0), 4) AS recency, round(importance / 10.0, 4) AS importance FROM memories ORDER BY emotion DESC, id LIMIT 50", ("memories",))
 def q15(spark, d):
-    from ..functions import scoring as S
-    from .catalog import _age
-
     rows = V.memories(spark, d).select("id", F.round(S.emotion_score(F.col("valence"), F.col("arousal"), 0.7, 0.4), 4).alias("emotion"), F.round(S.time_score(_age("last_active")), 4).alias("recency"), F.round(F.col("importance") / 10, 4).alias("importance"))
     return rows.orderBy(F.desc("emotion"), "id").limit(50)
 
@@ -663,8 +661,6 @@ def m02(spark, d):
 
 @query("g06_timeline_neighbours", "WITH w AS (SELECT id, thread, world, lag(id) OVER t AS p, lead(id) OVER t AS n FROM memories WINDOW t AS (PARTITION BY thread ORDER BY event_at, id)), f AS (SELECT p AS id FROM w JOIN memories USING (id) WHERE memories.pinned AND p IS NOT NULL UNION SELECT n FROM w JOIN memories USING (id) WHERE memories.pinned AND n IS NOT NULL) SELECT id FROM f JOIN memories USING (id) WHERE world IN ('shared', 'north') AND NOT pinned", ("memories",))
 def g06(spark, d):
-    from ..operators import timeline
-
     m = V.memories(spark, d)
     rows = m.select("id", "thread", F.col("event_at").alias("ts"))
     near = timeline.neighbours(rows, m.filter("pinned").select("id"), 1).select("id").distinct()
@@ -804,3 +800,146 @@ def r22(spark, d):
     m = V.memories(spark, d)
     seeds = m.orderBy(F.desc("valence"), "id").limit(20).select("id")
     return graph.expand(V.edges(spark, d), m.select("id"), seeds, ["kin", "explains"], 100_000).select("id", "depth", "score")
+
+
+# --- single functions as queries --------------------------------------------
+
+
+@query("a05_percentiles", "SELECT thread, round(quantile_cont(valence, 0.25), 6) AS p25, round(quantile_cont(valence, 0.9), 6) AS p90 FROM memories GROUP BY 1", ("memories",))
+def a05(spark, d):
+    p = lambda x: F.round(F.percentile("valence", F.lit(x)), 6)
+    return V.memories(spark, d).groupBy("thread").agg(p(0.25).alias("p25"), p(0.9).alias("p90"))
+
+
+@query("m05_time_weight", f"SELECT id, round(1 + exp(-{_sql_age('last_active')} * 24 / 36), 6) AS weight FROM memories", ("memories",))
+def m05(spark, d):
+    return V.memories(spark, d).select("id", F.round(S.time_weight(_age("last_active")), 6).alias("weight"))
+
+
+@query("m08_blend", "SELECT id, round(importance * (0.6 + 0.4 * valence), 6) AS score FROM memories", ("memories",))
+def m08(spark, d):
+    return V.memories(spark, d).select("id", F.round(S.blend_decay(F.col("importance").cast("double"), F.col("valence")), 6).alias("score"))
+
+
+@query("m18_cosine", f"SELECT id, CASE WHEN id % 5 = 0 OR id % 5 = 1 THEN 0.0 ELSE round(list_cosine_similarity(vec, {SQL_QUERY}), 6) END AS sim FROM vectors", ("vectors",))
+def m18(spark, d):
+    q = F.array(*[F.lit(x) for x in QUERY_VECTOR])
+    zero = F.transform("vec", lambda x: x * 0)
+    v = F.when(i() % 5 == 0, zero).when(i() % 5 == 1, F.slice("vec", 1, 63)).otherwise(F.col("vec"))
+    return V.vectors(spark, d).select("id", F.round(S.cosine(v, q), 6).alias("sim"))
+
+
+@query("m22_normal_dates", "SELECT id, CASE id % 4 WHEN 0 THEN '2024-01-01T00:00:00' WHEN 1 THEN strftime(event_at, '%Y-%m-01T00:00:00') WHEN 2 THEN strftime(event_at, '%Y-%m-%dT00:00:00') END AS at FROM memories", ("memories",))
+def m22(spark, d):
+    from ..functions.text import normalise_date
+
+    said = F.when(i() % 4 == 0, F.date_format("event_at", "yyyy")).when(i() % 4 == 1, F.date_format("event_at", "yyyy-MM")).when(i() % 4 == 2, F.date_format("event_at", "yyyy-MM-dd")).otherwise("soon")
+    return V.memories(spark, d).select("id", normalise_date(said).alias("at"))
+
+
+@query("m28_state_decay", "SELECT event_id, round(least(1.0, greatest(0.0, value / 100 * exp(-(event_id % 1800) / 900.0))), 6) AS state FROM events")
+def m28(spark, d):
+    return V.read(spark, d, "events").select("event_id", F.round(S.clamp(F.col("value") / 100 * F.exp(-(F.col("event_id") % 1800) / F.lit(DEFAULTS.tau_s)), 0.0, 1.0), 6).alias("state"))
+
+
+@query("x02_aliased_links", "SELECT id, name || ' and ' || thread AS text FROM memories", ("memories",))
+def x02(spark, d):
+    from ..functions.text import strip_aliased_links
+
+    linked = F.concat(F.lit("[[x|"), "name", F.lit("]] and [["), "thread", F.lit("]]"))
+    return V.memories(spark, d).select("id", strip_aliased_links(linked).alias("text"))
+
+
+@query("g03_valid_edges", "SELECT source, target, type FROM edges WHERE type IN ('kin', 'causes') AND strength BETWEEN 0 AND 1 AND source <> target", ("edges",))
+def g03(spark, d):
+    from ..operators import graph
+
+    return graph.valid(V.edges(spark, d), ["kin", "causes"]).select("source", "target", "type")
+
+
+@query("r14_boundaries", "SELECT * FROM (VALUES ('york', 'New York', 1), ('york', 'Yorkshire', 0), ('上海', '在上海见', 1), ('ann', '见ann了', 1), ('ann', 'annex', 0)) t(alias, said, n)")
+def r14(spark, d):
+    rows = spark.createDataFrame([("york", "New York"), ("york", "Yorkshire"), ("上海", "在上海见"), ("ann", "见ann了"), ("ann", "annex")], "alias string, said string")
+    return rows.select("alias", "said", E.occurrences(F.col("said"), F.col("alias")).alias("n"))
+
+
+@query("r67_update_structs", "SELECT id, status FROM (SELECT source AS id, 'current' AS status FROM edges WHERE type = 'causes' UNION ALL SELECT target, 'historical' FROM edges WHERE type = 'causes')", ("edges",))
+def r67(spark, d):
+    pairs = V.edges(spark, d).filter("type = 'causes'").select(F.col("source").alias("newer"), F.col("target").alias("older"), V.ref().alias("at"))
+    return writes.lifecycle_updates(pairs).select("id", "status")
+
+
+@query("s08_empty_vectors", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 40 = 0")
+def s08(spark, d):
+    v = V.read(spark, d, "embeddings")
+    held = F.when(F.col("vec_id") % 40 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding"))
+    return v.select(F.col("vec_id").alias("id"), held.alias("v")).filter(F.coalesce(F.size("v"), F.lit(0)) == 0).select("id")
+
+
+@query("s09_changed_vectors", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 7 = 0")
+def s09(spark, d):
+    v = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 5).alias("updated"))
+    manifest = v.filter("id % 3 <> 0").select("id", F.when(i() % 7 == 0, -1).otherwise(F.col("updated")).alias("updated"))
+    return v.join(manifest, ["id", "updated"], "left_anti").select("id")
+
+
+@query("s12_message_trees", "SELECT conv_id AS conv, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role, trim(text, ' ') AS content FROM conversations WHERE trim(text, ' ') <> ''")
+def s12(spark, d):
+    from ..sources import exports
+
+    c = V.read(spark, d, "conversations")
+    node = F.struct(F.struct(F.col("turn").cast("double").alias("create_time"), F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content")).alias("message"))
+    tree = c.groupBy(F.col("conv_id").alias("conv")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.lpad(F.col("turn").cast("string"), 6, "0").alias("k"), node.alias("v")))).alias("mapping"))).alias("json"))
+    return exports.message_trees(tree).select("conv", "pos", "role", "content")
+
+
+@query("s23_committed_output", "SELECT type, count(*) AS n FROM memories GROUP BY 1", ("memories",))
+def s23(spark, d):
+    from ..session import shared_folder
+
+    path = shared_folder(spark, "output")
+    V.memories(spark, d).select("id", "type").write.mode("errorifexists").parquet(path)  # staged, then renamed by the commit
+    return spark.read.parquet(path).groupBy("type").agg(N().alias("n"))
+
+
+@query("x19_slot_values", "SELECT id, CASE WHEN id % 3 = 2 THEN [] WHEN id % 3 = 1 THEN ['tea'] ELSE ['green tea', 'tea'] END AS found FROM memories", ("memories",))
+def x19(spark, d):
+    from ..operators.facts import slot_values
+
+    said = F.when(i() % 3 == 0, "I like Green TEA. likes tea; LIKES Tea").when(i() % 3 == 1, "likes tea.").otherwise("hates tea")
+    return V.memories(spark, d).select("id", slot_values(said, r"(?i)likes? ([a-z ]+)").alias("found"))
+
+
+@query("x20_slot_membership", "SELECT id, CASE WHEN id % 4 = 0 THEN 'structured' WHEN id % 4 = 1 THEN 'metadata' WHEN id % 4 = 2 THEN 'value' ELSE 'context' END AS match FROM memories", ("memories",))
+def x20(spark, d):
+    from ..operators.facts import membership
+
+    said = F.when(i() % 4 == 0, "drink: tea").when(i() % 4 == 2, "likes tea").otherwise(F.concat(F.repeat(F.lit("x "), F.lit(150)), F.lit("likes tea")))
+    labelled, meta = said.rlike("(?im)^drink[:=]"), i() % 4 == 1
+    return V.memories(spark, d).select("id", membership(labelled, meta, F.lit("n"), said, r"(?i)likes? ([a-z ]+)").alias("match"))
+
+
+@query("x24_resolved_questions", "SELECT * FROM (VALUES (1, 'where is san francisco now', ['sf'], []), (2, 'ny or york', ['york'], ['ny']), (3, 'nothing', [], [])) t(id, canonical, found, ambiguous)")
+def x24(spark, d):
+    known = spark.createDataFrame([("sf", "e1", "san francisco"), ("ny", "e2", "new york"), ("ny", "e3", "normandy"), ("york", "e4", "york")], "alias string, entity string, name string")
+    asked = spark.createDataFrame([(1, "where is SF now"), (2, "NY or York"), (3, "nothing")], "id long, text string")
+    return E.resolved(asked, known)
+
+
+@query("t01_append_events", "SELECT event_id AS seq, CASE WHEN row_number() OVER w = 1 THEN 'inserted' WHEN value::INT % 2 = first_value(value::INT % 2) OVER w THEN 'replayed' ELSE 'conflict' END AS outcome FROM (SELECT event_id, user_id, event_type, floor(value) AS value FROM events) WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)")
+def t01(spark, d):
+    e = V.read(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("seq"), (F.floor("value") % 2).cast("string").alias("digest"))
+    return ledger.append_once(e.select("user_id", "event_type", "digest").limit(0), e, ["user_id", "event_type"], "digest").select("seq", "outcome")
+
+
+@query("t05_decaying_state", "WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) / 1000000.0::DOUBLE AS tm, (value % 1)::DOUBLE AS amount FROM events), s AS (SELECT user_id, n, tm, least(1.0, greatest(0.0, amount)) AS value FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.tm, least(1.0, greatest(0.0, s.value * exp(-(e.tm - s.tm) / 900.0::DOUBLE) + e.amount)) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1) SELECT user_id, round(max_by(value, n), 6) AS state FROM s GROUP BY user_id")
+def t05(spark, d):
+    e = V.read(spark, d, "events").select("user_id", F.struct("ts", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).alias("at"), (F.col("value") % 1).alias("amount")).alias("x"))
+    return timeline.folded_state(e, "user_id", DEFAULTS.tau_s)
+
+
+@query("t14_pages", "SELECT conv_id, CAST(floor((rn - 1) / 3) AS BIGINT) AS page, count(*) AS n FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY 1, 2")
+def t14(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = V.read(spark, d, "conversations").select("conv_id", F.floor((F.row_number().over(w) - 1) / 3).alias("page"))
+    return c.groupBy("conv_id", "page").agg(N().alias("n"))
