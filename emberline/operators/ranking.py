@@ -93,3 +93,36 @@ def prioritised(channels: list[tuple[str, DataFrame]]) -> DataFrame:
         one = rows.select("id", F.struct(F.lit(k).alias("k"), F.lit(name).alias("name")).alias("c"))
         every = one if every is None else every.unionByName(one)
     return every.groupBy("id").agg(F.min("c").alias("c")).select("id", F.col("c.name").alias("channel"))
+
+
+def percentiles(rows: DataFrame, key: str, value: str, points: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(key, one column for each point): exact percentiles, interpolated at (n - 1) * p.
+
+    A sketch bounds each point from both sides; rows below are only counted, and the values in
+    between, some parts in ``accuracy``, are counted by value and ranked. So no task holds all
+    values of a key, whatever its share of the rows. Null values are left out.
+    """
+    held = rows.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    slack = 3 / accuracy
+    edge = lambda p: F.percentile_approx("_v", F.lit(min(1.0, max(0.0, p))), accuracy)
+    bounds = held.groupBy(F.col("_k").alias("_kb")).agg(F.count(F.lit(1)).alias("_n"), *[edge(p + d * slack).alias(f"_{side}{k}") for k, p in enumerate(points.values()) for d, side in ((-1, "lo"), (1, "hi"))])
+    # of few rows all are ranked: the sketch's slack would be less than a rank
+    few = F.col("_n") <= 4 * accuracy
+    wide = [F.when(few, x).otherwise(F.col(f"_{side}{k}")).alias(f"_{side}{k}") for k in range(len(points)) for side, x in (("lo", float("-inf")), ("hi", float("inf")))]
+    met = held.join(bounds.select("_kb", "_n", *wide), F.col("_k").eqNullSafe(F.col("_kb"))).drop("_kb")
+    below = met.groupBy(F.col("_k").alias("_kb")).agg(F.first("_n").alias("_n"), *[F.count_if(F.col("_v") < F.col(f"_lo{k}")).alias(f"_b{k}") for k in range(len(points))])
+    inside = F.lit(False)
+    for k in range(len(points)):
+        inside = inside | F.col("_v").between(F.col(f"_lo{k}"), F.col(f"_hi{k}"))
+    counted = met.filter(inside).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"), *[F.first(f"_{side}{k}").alias(f"_{side}{k}") for k in range(len(points)) for side in ("lo", "hi")])
+    ranked = counted.join(below, F.col("_k").eqNullSafe(F.col("_kb"))).drop("_kb")
+    out = []
+    for k, (name, p) in enumerate(points.items()):
+        mine = F.col("_v").between(F.col(f"_lo{k}"), F.col(f"_hi{k}"))
+        w = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ranked.withColumn(f"_r{k}", F.col(f"_b{k}") + F.sum(F.when(mine, F.col("_c")).otherwise(0)).over(w))  # rows up to this value
+        at = (F.col("_n") - 1) * p
+        least = lambda pos: F.min(F.when(mine & (F.col(f"_r{k}") > pos), F.col("_v")))  # noqa: E731, B023
+        low, high = least(F.floor(at)), least(F.ceil(at))
+        out.append((low + (high - low) * F.first(at - F.floor(at))).alias(name))
+    return ranked.groupBy("_k").agg(*out).withColumnRenamed("_k", key)

@@ -214,7 +214,14 @@ def a03(spark, d):
 def a04(spark, d):
     e = V.read(spark, d, "events")
     v = F.col("value")
-    return e.rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(v), 4).alias("low"), F.round(F.max(v), 4).alias("high"), F.round(F.avg(v), 4).alias("mean"), *[F.round(F.percentile(v, F.lit(p)), 4).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], F.count_distinct(F.to_date("ts")).alias("days"))
+    plain = e.rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(v), 4).alias("low"), F.round(F.max(v), 4).alias("high"), F.round(F.avg(v), 4).alias("mean"))
+    days = e.select("event_type", F.to_date("ts").alias("day")).distinct()  # then both levels count rows
+    days = days.groupBy("event_type").agg(F.count(F.lit(1)).alias("days")).unionByName(days.select("day").distinct().agg(F.count(F.lit(1)).alias("days")).select(F.lit(None).cast("string").alias("event_type"), "days"))
+    both = e.select(F.explode(F.array("event_type", F.lit(None).cast("string"))).alias("event_type"), "value")
+    points = ranking.percentiles(both, "event_type", "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    same = lambda other: F.col("event_type").eqNullSafe(F.col(other))
+    met = plain.join(points.withColumnRenamed("event_type", "_p"), same("_p"), "left").join(days.withColumnRenamed("event_type", "_d"), same("_d"))
+    return met.select("event_type", "n", "low", "high", "mean", *[F.round(p, 4).alias(p) for p in ("p05", "p50", "p95")], "days")
 
 
 @query("a06_weighted_vote", "WITH v AS (SELECT thread, domain[1] AS vote, sum(importance) AS w FROM memories GROUP BY 1, 2), a AS (SELECT thread, round(sum(valence * importance) / sum(importance), 4) AS valence FROM memories GROUP BY 1) SELECT a.thread, a.valence, x.vote FROM a JOIN (SELECT thread, vote, row_number() OVER (PARTITION BY thread ORDER BY w DESC, vote DESC) AS rn FROM v) x ON a.thread = x.thread AND x.rn = 1", ("memories",))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import scoring as S
 from ..operators import entities as E
-from ..operators import ledger, patrol, timeline, writes
+from ..operators import ledger, patrol, ranking, timeline, writes
 from ..sources import jsonl, markdown
 from ..sources import views as V
 from .catalog import QUERY_VECTOR, SQL_QUERY, SQL_REF, _age, _sql_age, query
@@ -669,8 +669,6 @@ def g06(spark, d):
 
 @query("u04_channels", "WITH k AS (SELECT id FROM memories ORDER BY valence DESC, id LIMIT 20), v AS (SELECT id FROM memories ORDER BY arousal DESC, id LIMIT 20), g AS (SELECT DISTINCT target AS id FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM memories)) SELECT id, 'keyword' AS channel FROM k UNION ALL SELECT id, 'vector' FROM v WHERE id NOT IN (SELECT id FROM k) UNION ALL SELECT id, 'relation' FROM g WHERE id NOT IN (SELECT id FROM k) AND id NOT IN (SELECT id FROM v)", ("memories", "edges"))
 def u04(spark, d):
-    from ..operators import ranking
-
     m = V.memories(spark, d)
     keyword = m.orderBy(F.desc("valence"), "id").limit(20).select("id")
     vector = m.orderBy(F.desc("arousal"), "id").limit(20).select("id")
@@ -807,8 +805,8 @@ def r22(spark, d):
 
 @query("a05_percentiles", "SELECT thread, round(quantile_cont(valence, 0.25), 6) AS p25, round(quantile_cont(valence, 0.9), 6) AS p90 FROM memories GROUP BY 1", ("memories",))
 def a05(spark, d):
-    p = lambda x: F.round(F.percentile("valence", F.lit(x)), 6)
-    return V.memories(spark, d).groupBy("thread").agg(p(0.25).alias("p25"), p(0.9).alias("p90"))
+    found = ranking.percentiles(V.memories(spark, d), "thread", "valence", {"p25": 0.25, "p90": 0.9})
+    return found.select("thread", F.round("p25", 6).alias("p25"), F.round("p90", 6).alias("p90"))
 
 
 @query("m05_time_weight", f"SELECT id, round(1 + exp(-{_sql_age('last_active')} * 24 / 36), 6) AS weight FROM memories", ("memories",))

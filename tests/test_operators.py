@@ -267,3 +267,16 @@ def test_hooks_are_asked_once_for_equal_texts(spark):
     cache = rows.filter("id = 4").select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.lit("held").alias("value"))
     got = {r.id: (r.s, r.from_cache) for r in hooks.cached(rows, cache, "summary", "text", "s").collect()}
     assert got == {1: ("a b", False), 2: ("a b", False), 3: (None, False), 4: ("held", True)}
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_percentiles_are_exact_with_ties_and_one_row(spark, accuracy):
+    import numpy as np
+
+    r = random.Random(2)
+    values = {"a": [r.random() for _ in range(997)], "b": [5.0] * 300 + [r.randrange(9) for _ in range(200)], "c": [7.0], None: [1.0, 2.0]}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("d", None)], "k string, v double")
+    got = {r.k: (r.low, r.mid, r.high) for r in ranking.percentiles(rows, "k", "v", {"low": 0.05, "mid": 0.5, "high": 0.95}, accuracy).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        assert np.allclose(got[k], np.quantile(vs, [0.05, 0.5, 0.95]))
