@@ -686,7 +686,7 @@ def w05(spark, d):
     return chunking.greedy_clusters(pool, 0.3, 3.0, 2, 12)
 
 
-@query("s11_message_lists")
+@query("s11_message_lists", "SELECT conv, pos, role, content, ts FROM (SELECT conv_id AS conv, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role, trim(text, ' ') AS content, turn::VARCHAR AS ts FROM conversations) WHERE content <> ''")
 def s11(spark, d):
     c = V.read(spark, d, "conversations")
     message = F.to_json(F.struct(F.col("role").alias("sender"), "text", F.col("turn").cast("string").alias("created_at")))
@@ -695,7 +695,7 @@ def s11(spark, d):
     return exports.message_lists(raw)
 
 
-@query("s13_plain_text")
+@query("s13_plain_text", "SELECT conv, pos, role, content, '' AS ts FROM (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, trim(replace(text, chr(10), ' '), ' ') AS content FROM conversations WHERE role IN ('user', 'assistant')) WHERE content <> ''")
 def s13(spark, d):
     c = V.read(spark, d, "conversations").filter("role in ('user', 'assistant')")
     line = F.concat(F.col("role"), F.lit(": "), F.regexp_replace("text", "\n", " "))
