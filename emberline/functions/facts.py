@@ -102,3 +102,40 @@ def context_matches(domain, tags, kind, name, spec: Column) -> Column:
         & free("tags_any", F.arrays_overlap(low(tags), low(spec["tags_any"])))
         & free("name_contains", F.exists(low(spec["name_contains"]), lambda x: F.contains(F.lower(F.trim(name)), x)))
     )
+
+
+def suppressed(status: Column, key: Column, successor: Column) -> Column:
+    """A historical fact with a key and a successor: recall leaves it out."""
+    some = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit(""))) != ""
+    return (F.lower(F.trim(F.coalesce(status, F.lit("")))) == "historical") & some(key) & some(successor)
+
+
+def event_time(event_at: Column, created: Column, source: Column, last_active: Column | None = None) -> Column:
+    """A record's own time: its event time, or the older ``created`` where the event time is only
+    the default of its recording; the last activity as a last resort, if given."""
+    recorded = event_at.isNotNull() & created.isNotNull() & (event_at != created) & (F.coalesce(source, F.lit("")) == "recorded_at_default")
+    return F.coalesce(F.when(recorded, created), event_at, created, *([last_active] if last_active is not None else []))
+
+
+# Axes of a candidate by its type, and the enums of a score.
+AXES = {"event": "XM", "fact": "XZM", "preference": "XZEM", "engineering_decision": "M", "relationship_moment": "XEM", "risk_boundary": "XZEM"}
+TENDENCIES, GROWTH = ("comfort", "engage", "withdraw", "alert"), ("growth", "stable", "setback")
+
+
+def axes(kind: Column, hints: Column) -> Column:
+    """Axes of a candidate, in the order E, M, X, Y, Z; Y where it hints at relations, but for engineering; null for unknown types."""
+    own = F.coalesce(*[F.when(kind == k, F.array(*[F.lit(a) for a in sorted(v)])) for k, v in AXES.items()])
+    return F.array_sort(F.when((hints > 0) & (kind != "engineering_decision"), F.array_union(own, F.array(F.lit("Y")))).otherwise(own))
+
+
+def score_error(valence, arousal, tension, confidence, tendency, growth, least: float = 0.3) -> Column:
+    """The first rule that a score breaks, null if none."""
+    out = F.when(~F.coalesce(growth, F.lit("")).isin(*GROWTH), "enum.growth_delta")
+    out = F.when(~F.coalesce(tendency, F.lit("")).isin(*TENDENCIES), "enum.response_tendency").otherwise(out)
+    out = F.when(confidence < least, "confidence.low").otherwise(out)
+    for name, c in (("confidence", confidence), ("tension", tension), ("arousal", arousal)):
+        out = F.when(~c.between(0.0, 1.0), f"range.{name}").otherwise(out)
+    out = F.when(~valence.between(-1.0, 1.0), "range.valence").otherwise(out)
+    for name, c in (("confidence", confidence), ("tension", tension), ("arousal", arousal), ("valence", valence)):
+        out = F.when(c.isNull() | F.isnan(c), f"schema.{name}").otherwise(out)
+    return out

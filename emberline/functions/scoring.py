@@ -104,13 +104,30 @@ def segment_similarity(left: Column, right: Column) -> Column:
     return F.greatest(F.array_max(each), F.lit(0.0))
 
 
-#: Multipliers of the recall pool by intent.
-POOLS = {"recall": 1.5, "temporal": 1.25}
+# Multipliers by intent, of (keyword pool, vector pool, keyword weight, vector weight),
+# and the number of related records; intents that aren't listed change nothing.
+POLICIES = {"fact": (1.35, 1.15, 1.35, 1.10, 1), "recall": (1.0, 1.25, 1.0, 1.15, 4), "relation": (1.0, 1.35, 0.90, 1.20, 8), "temporal": (1.30, 0.90, 1.25, 0.85, 2)}
+DEFAULT_POLICY = (1.0, 1.0, 1.0, 1.0, 5)
+# Boosts of related, emotional and recent records, terms of emotional ones, days that are recent.
+RELATED, EMOTIONAL, RECENT, RECENT_DAYS = 1.05, 1.05, 1.15, 14
+EMOTION_TERMS = ("恋爱", "关系", "感情", "亲密", "家庭", "约定", "自省", "信任", "社交", "心理", "feel", "沉淀物")
 
 
-def scaled_pool(intent: Column, base: int) -> Column:
-    factor = F.coalesce(*[F.when(intent == k, F.lit(v)) for k, v in POOLS.items()], F.lit(1.0))
-    return F.ceil(base * factor).cast("int")
+def policy(intent: Column, at: int) -> Column:
+    """A policy's number: 0 keyword pool, 1 vector pool, 2 keyword weight, 3 vector weight, 4 related records."""
+    return F.coalesce(*[F.when(intent == k, F.lit(v[at])) for k, v in POLICIES.items()], F.lit(DEFAULT_POLICY[at]))
+
+
+def scaled_pool(intent: Column, base: int, at: int = 0) -> Column:
+    return F.ceil(F.round(base * policy(intent, at), 6)).cast("int")
+
+
+def intent_boost(intent: Column, n_relations: Column, terms: Column, age_days: Column) -> Column:
+    """Multiplier of a record's score: related and emotional ones for questions of relations,
+    recent ones for questions of time."""
+    emotional = F.arrays_overlap(terms, F.array(*[F.lit(t) for t in EMOTION_TERMS]))
+    related = F.when(n_relations > 0, RELATED).otherwise(1.0) * F.when(emotional, EMOTIONAL).otherwise(1.0)
+    return F.when(intent == "relation", related).when((intent == "temporal") & (age_days <= RECENT_DAYS), RECENT).otherwise(1.0)
 
 
 def lexicon_valence(text: Column, lexicon: dict[str, float]) -> Column:

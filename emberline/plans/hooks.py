@@ -27,7 +27,7 @@ def m14(spark, d):
     return q.select("question", I.intent(F.col("question"), F.col("slots")).alias("x")).select("question", "x.intent", "x.confidence")
 
 
-@query("m15_policy", "SELECT id, CAST(CASE id % 4 WHEN 0 THEN 20 WHEN 1 THEN 30 WHEN 2 THEN 20 ELSE 25 END AS INTEGER) AS pool FROM memories", ("memories",))
+@query("m15_policy", "SELECT id, CAST(CASE id % 4 WHEN 0 THEN 27 WHEN 3 THEN 26 ELSE 20 END AS INTEGER) AS pool FROM memories", ("memories",))
 def m15(spark, d):
     intent = F.element_at(F.array(F.lit("fact"), F.lit("recall"), F.lit("relation"), F.lit("temporal")), (i() % 4 + 1).cast("int"))
     return V.memories(spark, d).select("id", S.scaled_pool(intent, 20).alias("pool"))
@@ -545,3 +545,68 @@ def x04(spark, d):
     body = F.lit("[检索钥匙: alpha key / 12]\nSecond and second things, Today")
     given = F.array(*[F.lit(x) for x in ("[[Second]]", "second", "absent", "x", "Today", "---")])
     return V.memories(spark, d).select("id", X.literal_keys(body, given, ("today",)).alias("keys"))
+
+
+# --- rules of records, candidates and scores --------------------------------
+
+
+@query("m16_intent_boosts", f"SELECT id, round(CASE WHEN id % 3 = 0 THEN (CASE WHEN EXISTS (SELECT 1 FROM edges WHERE source = id AND type = 'kin') THEN 1.05 ELSE 1.0 END) * (CASE WHEN type = 'feel' THEN 1.05 ELSE 1.0 END) WHEN id % 3 = 1 AND {_sql_age('event_at')} <= 14 THEN 1.15 ELSE 1.0 END::DOUBLE, 6) AS boost FROM memories", ("memories", "edges"))
+def m16(spark, d):
+    related = V.edges(spark, d).filter("type = 'kin'").groupBy(F.col("source").alias("id")).agg(N().alias("n"))
+    intent = F.when(i() % 3 == 0, "relation").when(i() % 3 == 1, "temporal").otherwise("fact")
+    m = V.memories(spark, d).join(related, "id", "left")
+    return m.select("id", F.round(S.intent_boost(intent, F.coalesce("n", F.lit(0)), F.concat("domain", "tags", F.array("type")), _age("event_at")), 6).alias("boost"))
+
+
+@query("f24_superseded_facts", "SELECT id FROM memories WHERE id % 4 = 0 AND id % 3 = 0 AND id % 5 <> 0", ("memories",))
+def f24(spark, d):
+    from ..functions.facts import suppressed
+
+    status, key, next_ = F.when(i() % 4 == 0, " Historical").otherwise("current"), F.when(i() % 3 == 0, "a.b").otherwise(" "), F.when(i() % 5 != 0, i() + 1)
+    return V.memories(spark, d).filter(suppressed(status, key, next_)).select("id")
+
+
+@query("m23_resolved_time", "SELECT id, epoch_us(CASE id % 5 WHEN 0 THEN last_active WHEN 1 THEN event_at WHEN 2 THEN last_active WHEN 3 THEN event_at END) AS us FROM memories", ("memories",))
+def m23(spark, d):
+    from ..functions.facts import event_time
+
+    k, event, active = i() % 5, F.col("event_at"), F.col("last_active")
+    own, created = F.when(k.isin(0, 1, 3), event), F.when(k.isin(0, 1), active)
+    source = F.when(k == 0, "recorded_at_default").otherwise("explicit")
+    return V.memories(spark, d).select("id", F.unix_micros(event_time(own, created, source, F.when(k == 2, active)).cast("timestamp")).alias("us"))
+
+
+@query("x35_candidate_axes", "SELECT id, CASE id % 4 WHEN 0 THEN ['M', 'X'] WHEN 1 THEN ['M', 'X', 'Y', 'Z'] WHEN 2 THEN ['M'] END AS axes FROM memories", ("memories",))
+def x35(spark, d):
+    from ..functions.facts import axes
+
+    kind = F.when(i() % 4 == 0, "event").when(i() % 4 == 1, "fact").when(i() % 4 == 2, "engineering_decision").otherwise("rumour")
+    return V.memories(spark, d).select("id", axes(kind, F.when(i() % 4 == 0, 0).otherwise(2)).alias("axes"))
+
+
+@query("x36_cited_evidence", "SELECT conv_id, turn, turn % 3 = 0 AS literal FROM conversations WHERE length(text) > 3")
+def x36(spark, d):
+    c = V.read(spark, d, "conversations").filter(F.length("text") > 3)
+    quote = F.when(F.col("turn") % 3 == 0, F.substring("text", 2, 3)).otherwise(F.concat("text", F.lit("?")))
+    cited = c.select("conv_id", "turn", "text", quote.alias("evidence"))
+    return cited.select("conv_id", "turn", ((F.length("evidence") > 0) & F.contains("text", F.col("evidence"))).alias("literal"))
+
+
+@query("f26_score_contract", "SELECT id, CASE id % 8 WHEN 0 THEN 'schema.valence' WHEN 1 THEN 'range.valence' WHEN 2 THEN 'range.tension' WHEN 3 THEN 'confidence.low' WHEN 4 THEN 'enum.response_tendency' WHEN 5 THEN 'enum.growth_delta' END AS error FROM memories", ("memories",))
+def f26(spark, d):
+    from ..functions.facts import score_error
+
+    k = i() % 8
+    valence, tension, sure = F.when(k == 1, -1.5).when(k != 0, F.col("valence")), F.when(k == 2, 1.2).otherwise(0.5), F.when(k == 3, 0.1).otherwise(0.9)
+    got = score_error(valence, F.col("arousal"), tension, sure, F.when(k == 4, "sulk").otherwise("engage"), F.when(k == 5, "leap").otherwise("stable"))
+    return V.memories(spark, d).select("id", got.alias("error"))
+
+
+@query("q24_ledger_integrity", "SELECT 'conversations' AS part, count(*) AS rows, count(*) FILTER (turn = 2) AS broken FROM conversations UNION ALL SELECT 'orders', count(*), count(*) FILTER (o_orderstatus = 'P') FROM orders")
+def q24(spark, d):
+    c = V.read(spark, d, "conversations")
+    body = F.when(F.col("turn") == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))  # a row that changed after it was written
+    texts = c.select((F.sha2(F.col("text").cast("binary"), 256) != F.sha2(body.cast("binary"), 256)).alias("bad"))
+    states = V.read(spark, d, "orders").select((~F.col("o_orderstatus").isin("O", "F")).alias("bad"))
+    part = lambda name, df: df.agg(N().alias("rows"), F.count_if("bad").alias("broken")).select(F.lit(name).alias("part"), "rows", "broken")
+    return part("conversations", texts).unionByName(part("orders", states))
