@@ -48,16 +48,24 @@ def sessions(rows: DataFrame, gap_s: int) -> DataFrame:
 
 
 def ripple(rows: DataFrame, centres: DataFrame, hours: int, most: int) -> DataFrame:
-    """(centre, id): the first ``most`` rows, by time then id, within ``hours``.
+    """(centre, id, n): the first ``most`` rows, by time then id, within ``hours``.
 
-    Both sides meet on buckets of the window's width, so the range join is an
-    equi join with at most three buckets per centre.
+    Rows are ranked inside buckets of the window's width, and each centre's place in
+    the bucket where its window begins is a running count there. So a centre asks for
+    ``most`` + 1 ranks of three buckets, an equi join, however many rows the window holds.
     """
     width = hours * 3600
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    left = rows.select("id", at.alias("s")).withColumn("bucket", F.floor(F.col("s") / width))
-    right = centres.select(F.col("id").alias("centre"), at.alias("c")).withColumn("bucket", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col("c") / width) + k)))
-    met = left.join(right, "bucket").filter((F.abs(F.col("s") - F.col("c")) <= width) & (F.col("id") != F.col("centre")))
+    left = rows.select("id", at.alias("s")).filter("s is not null").withColumn("bucket", F.floor(F.col("s") / width))
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("s", "id")))
+    right = centres.select(F.col("id").alias("centre"), at.alias("c")).filter("c is not null")
+    marks = right.select(F.floor((F.col("c") - width) / width).alias("bucket"), (F.col("c") - width).alias("s"), "centre", "c", F.lit(0).alias("one"))
+    line = left.select("bucket", "s", F.lit(None).cast(centres.schema["id"].dataType).alias("centre"), F.lit(None).cast("long").alias("c"), F.lit(1).alias("one")).unionByName(marks)
+    before = F.sum("one").over(Window.partitionBy("bucket").orderBy("s", "one").rowsBetween(Window.unboundedPreceding, 0))  # a mark stands before rows of its second
+    firsts = line.withColumn("before", before).filter("c is not null")
+    starts = F.array(*[F.struct((F.col("bucket") + d).alias("bucket"), (F.col("before") if d == 0 else F.lit(0)).cast("long").alias("before")) for d in range(3)])
+    asked = firsts.select("centre", "c", F.explode(starts).alias("x")).select("centre", "c", "x.bucket", F.explode(F.sequence(F.col("x.before").cast("int") + 1, F.col("x.before").cast("int") + most + 1)).alias("rank"))
+    met = asked.join(ranked, ["bucket", "rank"]).filter((F.abs(F.col("s") - F.col("c")) <= width) & (F.col("id") != F.col("centre")))
     w = Window.partitionBy("centre").orderBy("s", "id")
     return met.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("centre", "id", "n")
 
