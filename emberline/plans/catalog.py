@@ -23,15 +23,21 @@ SQL: dict[str, str] = {}
 SQL_REF = f"TIMESTAMP '{REF}'"
 
 
-def query(name: str, sql: str | None = None, use: tuple[str, ...] = ()):
-    """Register a query; ``use`` names the views that its SQL reads."""
+def query(name: str, sql: str | None = None, use: tuple[str, ...] = (), lists: tuple[str, ...] = ()):
+    """Register a query; ``use`` names the views that its SQL reads, ``lists`` the list columns,
+    which both sides return as text (items parted by bars; null stays null)."""
 
     def register(f):
-        QUERIES[name] = f
+        def run(spark, sf_dir):
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|") for c in lists}) if lists else df
+
+        QUERIES[name] = run
         if sql is not None:
             with_ = "WITH RECURSIVE " + ", ".join(V.SQL[u] for u in use) if use else ""
             body = sql.strip()
-            SQL[name] = f"{with_}, {body[5:]}" if use and body.upper().startswith("WITH ") else f"{with_} {body}"
+            whole = f"{with_}, {body[5:]}" if use and body.upper().startswith("WITH ") else f"{with_} {body}"
+            SQL[name] = f"SELECT * REPLACE ({', '.join(f"array_to_string({c}, '|') AS {c}" for c in lists)}) FROM ({whole})" if lists else whole
         return f
 
     return register

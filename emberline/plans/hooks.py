@@ -132,7 +132,7 @@ def x45(spark, d):
     return V.memories(spark, d).select("id", F.greatest(I.touch(_felt())["touch_rebound"], given).alias("rebound"))
 
 
-@query("x46_senses_of_intensity", "SELECT id, CASE WHEN id % 6 BETWEEN 1 AND 4 THEN ['taste'] ELSE [] END || CASE WHEN id % 4 <> 2 THEN ['touch'] ELSE [] END AS senses FROM memories", ("memories",))
+@query("x46_senses_of_intensity", "SELECT id, CASE WHEN id % 6 BETWEEN 1 AND 4 THEN ['taste'] ELSE [] END || CASE WHEN id % 4 <> 2 THEN ['touch'] ELSE [] END AS senses FROM memories", ("memories",), lists=("senses",))
 def x46(spark, d):
     t = I.touch(_felt())
     most = F.greatest(t["touch_rebound"], t["edge_sting"], t["cool_surface"])
@@ -153,7 +153,7 @@ def x38(spark, d):
     return V.memories(spark, d).select("id", I.anchored(said, V.ref().cast("date")).alias("said"))
 
 
-@query("x37_loose_references", "SELECT id, CASE id % 3 WHEN 0 THEN ['he', 'there'] WHEN 1 THEN ['it'] ELSE [] END AS tokens FROM memories", ("memories",))
+@query("x37_loose_references", "SELECT id, CASE id % 3 WHEN 0 THEN ['he', 'there'] WHEN 1 THEN ['it'] ELSE [] END AS tokens FROM memories", ("memories",), lists=("tokens",))
 def x37(spark, d):
     said = F.when(i() % 3 == 0, "He went there, he said").when(i() % 3 == 1, "it").otherwise("Ada met the team")
     found = F.regexp_extract_all(F.lower(said), F.lit(r"\b(he|she|it|they|this|that|there)\b"), F.lit(1))
@@ -422,7 +422,7 @@ def q27(spark, d):
     return hooks.cached(m, cache, "summary", "text", "summary").select("id", "summary", "from_cache")
 
 
-@query("q28_angles", "SELECT * FROM (VALUES ('where is the lighthouse', ['where is the lighthouse', 'lighthouse', 'where']), ('go', ['go', 'go'])) t(question, angles)")
+@query("q28_angles", "SELECT * FROM (VALUES ('where is the lighthouse', ['where is the lighthouse', 'lighthouse', 'where']), ('go', ['go', 'go'])) t(question, angles)", lists=("angles",))
 def q28(spark, d):
     q = spark.createDataFrame([("where is the lighthouse",), ("go",)], "question string")
     return hooks.apply(q, "angles", "question", "angles")
@@ -490,7 +490,7 @@ def q31(spark, d):
     return V.memories(spark, d).select("id", F.round(F.col("valence") * F.exp(-_age("last_active")), 6).alias("now"))
 
 
-@query("x43_image_links", "SELECT id, CASE id % 3 WHEN 0 THEN ['u1', 'u2'] WHEN 1 THEN ['u3'] ELSE [] END AS images FROM memories", ("memories",))
+@query("x43_image_links", "SELECT id, CASE id % 3 WHEN 0 THEN ['u1', 'u2'] WHEN 1 THEN ['u3'] ELSE [] END AS images FROM memories", ("memories",), lists=("images",))
 def x43(spark, d):
     body = F.when(i() % 3 == 0, "![a](u1) and ![](u2) [no](u9)").when(i() % 3 == 1, '![t](u3)').otherwise("none")
     return V.memories(spark, d).select("id", X.image_links(body).alias("images"))
@@ -502,7 +502,7 @@ def a21(spark, d):
     return V.memories(spark, d).filter("id % 10 = 0").groupBy("thread").agg(F.round(1 - F.product(1 - v), 3).alias("intensity"))
 
 
-@query("u07_distinct_in_order", "SELECT id, [tags[2], tags[1]] AS tags FROM memories", ("memories",))
+@query("u07_distinct_in_order", "SELECT id, [tags[2], tags[1]] AS tags FROM memories", ("memories",), lists=("tags",))
 def u07(spark, d):
     t = F.col("tags")
     return V.memories(spark, d).select("id", F.array_distinct(F.array(t[1], t[0], t[1], t[0])).alias("tags"))
@@ -534,13 +534,13 @@ def x25(spark, d):
     return V.memories(spark, d).select("id", has_secret(F.col("content")).alias("secret"))
 
 
-@query("x05_body_lead", "SELECT id, CASE id % 3 WHEN 0 THEN ['first sentence here'] WHEN 1 THEN ['a line of more than four'] ELSE [] END AS lead FROM memories", ("memories",))
+@query("x05_body_lead", "SELECT id, CASE id % 3 WHEN 0 THEN ['first sentence here'] WHEN 1 THEN ['a line of more than four'] ELSE [] END AS lead FROM memories", ("memories",), lists=("lead",))
 def x05(spark, d):
     body = F.when(i() % 3 == 0, "---\n[x]\nfirst sentence here; second").when(i() % 3 == 1, "\n## \na line of more than four and twenty").otherwise("---\n")
     return V.memories(spark, d).select("id", X.body_lead(body).alias("lead"))
 
 
-@query("x04_literal_keys", "SELECT id, ['alpha key', 'Second'] AS keys FROM memories", ("memories",))
+@query("x04_literal_keys", "SELECT id, ['alpha key', 'Second'] AS keys FROM memories", ("memories",), lists=("keys",))
 def x04(spark, d):
     body = F.lit("[检索钥匙: alpha key / 12]\nSecond and second things, Today")
     given = F.array(*[F.lit(x) for x in ("[[Second]]", "second", "absent", "x", "Today", "---")])
@@ -576,7 +576,7 @@ def m23(spark, d):
     return V.memories(spark, d).select("id", F.unix_micros(event_time(own, created, source, F.when(k == 2, active)).cast("timestamp")).alias("us"))
 
 
-@query("x35_candidate_axes", "SELECT id, CASE id % 4 WHEN 0 THEN ['M', 'X'] WHEN 1 THEN ['M', 'X', 'Y', 'Z'] WHEN 2 THEN ['M'] END AS axes FROM memories", ("memories",))
+@query("x35_candidate_axes", "SELECT id, CASE id % 4 WHEN 0 THEN ['M', 'X'] WHEN 1 THEN ['M', 'X', 'Y', 'Z'] WHEN 2 THEN ['M'] END AS axes FROM memories", ("memories",), lists=("axes",))
 def x35(spark, d):
     from ..functions.facts import axes
 

@@ -140,7 +140,7 @@ def x17(spark, d):
     return O.aligned(page, "current", [F.desc("event_at"), i()]).select("id", "place")
 
 
-@query("x18_link_targets", "SELECT id, CASE id % 3 WHEN 0 THEN [id + 1] WHEN 1 THEN [id - 1] ELSE [] END AS targets FROM memories", ("memories",))
+@query("x18_link_targets", "SELECT id, CASE id % 3 WHEN 0 THEN [id + 1] WHEN 1 THEN [id - 1] ELSE [] END AS targets FROM memories", ("memories",), lists=("targets",))
 def x18(spark, d):
     status = F.when(i() % 3 == 0, "historical").when(i() % 3 == 1, "current").otherwise("contested")
     return V.memories(spark, d).select("id", O.link_targets(status, i() + 1, F.array(i() - 1)).alias("targets"))
@@ -297,7 +297,7 @@ def x29(spark, d):
     return V.memories(spark, d).select("id", F.sha2(F.to_json(F.struct("domain", "id", "name")).cast("binary"), 256).alias("digest"))
 
 
-@query("r26_keep_indices", "SELECT id, CASE id % 5 WHEN 0 THEN [0, 2] WHEN 1 THEN [1] WHEN 2 THEN [] END AS keep FROM memories", ("memories",))
+@query("r26_keep_indices", "SELECT id, CASE id % 5 WHEN 0 THEN [0, 2] WHEN 1 THEN [1] WHEN 2 THEN [] END AS keep FROM memories", ("memories",), lists=("keep",))
 def r26(spark, d):
     raw = F.when(i() % 5 == 0, "[0, 2, 9]").when(i() % 5 == 1, '```json\n{"keep": [1]}\n```').when(i() % 5 == 2, "[]").when(i() % 5 == 3, "[7, 8]").otherwise("keep all")
     return V.memories(spark, d).select("id", O.keep_indices(raw, 5).alias("keep"))
@@ -324,13 +324,13 @@ def r86(spark, d):
     return V.memories(spark, d).select("id", F.array_join(F.array_sort(terms), ",").alias("terms"))
 
 
-@query("r41_append_if_absent", "SELECT id, CASE WHEN id % 2 = 0 THEN [1, 2] ELSE [1, 2, 3] END AS members FROM memories", ("memories",))
+@query("r41_append_if_absent", "SELECT id, CASE WHEN id % 2 = 0 THEN [1, 2] ELSE [1, 2, 3] END AS members FROM memories", ("memories",), lists=("members",))
 def r41(spark, d):
     have, new = F.array(F.lit(1), F.lit(2)), F.when(i() % 2 == 0, 2).otherwise(3)
     return V.memories(spark, d).select("id", F.when(F.array_contains(have, new), have).otherwise(F.array_append(have, new)).alias("members"))
 
 
-@query("x41_angles", "SELECT id, CASE id % 3 WHEN 0 THEN ['a', 'b c'] WHEN 1 THEN ['x', 'y'] ELSE ['7'] END AS angles FROM memories", ("memories",))
+@query("x41_angles", "SELECT id, CASE id % 3 WHEN 0 THEN ['a', 'b c'] WHEN 1 THEN ['x', 'y'] ELSE ['7'] END AS angles FROM memories", ("memories",), lists=("angles",))
 def x41(spark, d):
     raw = F.when(i() % 3 == 0, '```json\n["a", "b c", " "]\n```').when(i() % 3 == 1, "- x，y,\n").otherwise("[7]")
     return V.memories(spark, d).select("id", O.angles(raw).alias("angles"))
@@ -354,7 +354,7 @@ def x48(spark, d):
     return V.memories(spark, d).select("id", O.thread_hint(raw).alias("thread"))
 
 
-@query("u05_as_list", "SELECT id, CASE id % 3 WHEN 0 THEN ['a'] WHEN 1 THEN ['a', 'b'] ELSE [] END AS items FROM memories", ("memories",))
+@query("u05_as_list", "SELECT id, CASE id % 3 WHEN 0 THEN ['a'] WHEN 1 THEN ['a', 'b'] ELSE [] END AS items FROM memories", ("memories",), lists=("items",))
 def u05(spark, d):
     raw = F.when(i() % 3 == 0, "a").when(i() % 3 == 1, '["a", "b"]')
     return V.memories(spark, d).select("id", O.as_list(raw).alias("items"))
@@ -368,14 +368,14 @@ def r90(spark, d):
     return V.memories(spark, d).select("id", F.array_join(F.transform(kept, lambda x: F.concat(F.substring(x["type"], 1, 1), F.lit(":"), x["mention"])), ",").alias("kept"))
 
 
-@query("x28_classify", "SELECT id, CASE WHEN id % 3 = 0 THEN ['work', 'home'] WHEN id % 3 = 1 THEN ['home'] ELSE domain END AS domains FROM memories", ("memories",))
+@query("x28_classify", "SELECT id, CASE WHEN id % 3 = 0 THEN ['work', 'home'] WHEN id % 3 = 1 THEN ['home'] ELSE domain END AS domains FROM memories", ("memories",), lists=("domains",))
 def x28(spark, d):
     body = F.when(i() % 3 == 0, "CODE review with the team; kitchen and garden").when(i() % 3 == 1, "kitchen, garden, one team").otherwise("nothing")
     table = {"home": ["kitchen", "garden"], "work": ["code", "review", "team"]}
     return V.memories(spark, d).select("id", O.classified(body, table, F.col("domain")).alias("domains"))
 
 
-@query("r64_expansion", "SELECT id, ['q', 'a', 'b'] AS angles FROM memories", ("memories",))
+@query("r64_expansion", "SELECT id, ['q', 'a', 'b'] AS angles FROM memories", ("memories",), lists=("angles",))
 def r64(spark, d):
     return V.memories(spark, d).select("id", F.slice(F.array_distinct(F.concat(F.array(F.lit("q")), F.split(F.lit("a,q,b,c"), ","))), 1, 3).alias("angles"))
 

@@ -30,7 +30,7 @@ def _files(spark, d):
 SQL_LIVE = "SELECT CAST(id AS VARCHAR) AS id, name, type, nullif(world, '') AS world, domain, CAST(importance AS INTEGER) AS importance, pinned, md5(ltrim(content, ' ')) AS digest FROM memories WHERE id % 40 <> 7"
 
 
-@query("s01_markdown_scan", SQL_LIVE, ("memories",))
+@query("s01_markdown_scan", SQL_LIVE, ("memories",), lists=("domain",))
 def s01(spark, d):
     r = markdown.records(_files(spark, d)).filter(~F.col("corrupt"))
     return r.select("id", "name", "type", "world", "domain", "importance", "pinned", F.md5(F.col("body").cast("binary")).alias("digest"))
@@ -173,7 +173,7 @@ def m19(spark, d):
 # --- writes -----------------------------------------------------------------
 
 
-@query("s24_create", "SELECT id, CASE WHEN type = 'feel' OR id % 4 = 0 THEN nm ELSE nm || '_2024-02-01' END AS name, CASE WHEN type = 'feel' THEN [thread] ELSE [thread, '2024-02-01'] END AS tags, CASE WHEN id % 7 = 0 THEN ['unsorted'] ELSE domain END AS domain, CASE WHEN pinned OR protected THEN 10 WHEN id % 5 = 0 THEN 5 ELSE CAST(least(10, importance + 4) AS INTEGER) END AS importance, CASE WHEN pinned THEN 'permanent' ELSE type END AS type, CASE WHEN id % 5 = 0 THEN 0.5 ELSE least(1.0, valence * 2) END AS valence FROM (SELECT *, CASE WHEN id % 4 = 0 THEN name || ' 2024-01-01' ELSE name END AS nm FROM memories)", ("memories",))
+@query("s24_create", "SELECT id, CASE WHEN type = 'feel' OR id % 4 = 0 THEN nm ELSE nm || '_2024-02-01' END AS name, CASE WHEN type = 'feel' THEN [thread] ELSE [thread, '2024-02-01'] END AS tags, CASE WHEN id % 7 = 0 THEN ['unsorted'] ELSE domain END AS domain, CASE WHEN pinned OR protected THEN 10 WHEN id % 5 = 0 THEN 5 ELSE CAST(least(10, importance + 4) AS INTEGER) END AS importance, CASE WHEN pinned THEN 'permanent' ELSE type END AS type, CASE WHEN id % 5 = 0 THEN 0.5 ELSE least(1.0, valence * 2) END AS valence FROM (SELECT *, CASE WHEN id % 4 = 0 THEN name || ' 2024-01-01' ELSE name END AS nm FROM memories)", ("memories",), lists=("tags", "domain"))
 def s24(spark, d):
     m = V.memories(spark, d)
     given = m.select(
@@ -594,9 +594,9 @@ def r59(spark, d):
     return e.join(V.memories(spark, d).select(i().alias("target")), "target", "left_semi").select("source", "target")
 
 
-@query("r09_snapshot_token", "SELECT type, count(*) AS n, max(last_active) AS newest FROM memories GROUP BY 1", ("memories",))
+@query("r09_snapshot_token", "SELECT type, count(*) AS n, strftime(max(last_active), '%Y-%m-%d %H:%M:%S') AS newest FROM memories GROUP BY 1", ("memories",))
 def r09(spark, d):
-    return V.memories(spark, d).groupBy("type").agg(N().alias("n"), F.max("last_active").alias("newest"))
+    return V.memories(spark, d).groupBy("type").agg(N().alias("n"), F.date_format(F.max("last_active"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
 
 
 @query("q10_eligible_page", "SELECT id FROM memories WHERE NOT pinned AND type = 'dynamic' ORDER BY id LIMIT 50 OFFSET 25", ("memories",))
@@ -651,7 +651,7 @@ def q14(spark, d):
     return m.select("id", (X.hits(F.col("content"), ["the", "and"]) + X.hits(F.col("name"), ["src3"])).alias("hits")).orderBy(F.desc("hits"), "id").limit(10)
 
 
-@query("m02_query_parts", "SELECT * FROM (VALUES ('where is the Trip to Rome', ['trip', 'rome']), ('the and', ['the and']), ('Rome rome', ['rome'])) t(question, parts)")
+@query("m02_query_parts", "SELECT * FROM (VALUES ('where is the Trip to Rome', ['trip', 'rome']), ('the and', ['the and']), ('Rome rome', ['rome'])) t(question, parts)", lists=("parts",))
 def m02(spark, d):
     from ..functions import text as X
 
@@ -676,10 +676,10 @@ def u04(spark, d):
     return ranking.prioritised([("keyword", keyword), ("vector", vector), ("relation", relation)])
 
 
-@query("g08_episode_rollup", "SELECT name, count(*) AS n, min(event_at) AS first_at, max(event_at) AS last_at, string_agg(id::VARCHAR, ',' ORDER BY event_at, id) AS members FROM memories WHERE id % 2 = 0 GROUP BY name HAVING count(*) BETWEEN 3 AND 12", ("memories",))
+@query("g08_episode_rollup", "SELECT name, count(*) AS n, strftime(min(event_at), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(event_at), '%Y-%m-%d %H:%M:%S') AS last_at, string_agg(id::VARCHAR, ',' ORDER BY event_at, id) AS members FROM memories WHERE id % 2 = 0 GROUP BY name HAVING count(*) BETWEEN 3 AND 12", ("memories",))
 def g08(spark, d):
     m = V.memories(spark, d).filter("id % 2 = 0")
-    size = m.groupBy("name").agg(N().alias("n"), F.min("event_at").alias("first_at"), F.max("event_at").alias("last_at")).filter(F.col("n").between(3, 12))
+    size = m.groupBy("name").agg(N().alias("n"), F.date_format(F.min("event_at"), "yyyy-MM-dd HH:mm:ss").alias("first_at"), F.date_format(F.max("event_at"), "yyyy-MM-dd HH:mm:ss").alias("last_at")).filter(F.col("n").between(3, 12))
     members = m.join(size.select("name"), "name", "left_semi").groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_at", "id"))), lambda x: x["id"].cast("string")), ",").alias("members"))
     return size.join(members, "name")
 
@@ -900,7 +900,7 @@ def s23(spark, d):
     return spark.read.parquet(path).groupBy("type").agg(N().alias("n"))
 
 
-@query("x19_slot_values", "SELECT id, CASE WHEN id % 3 = 2 THEN [] WHEN id % 3 = 1 THEN ['tea'] ELSE ['green tea', 'tea'] END AS found FROM memories", ("memories",))
+@query("x19_slot_values", "SELECT id, CASE WHEN id % 3 = 2 THEN [] WHEN id % 3 = 1 THEN ['tea'] ELSE ['green tea', 'tea'] END AS found FROM memories", ("memories",), lists=("found",))
 def x19(spark, d):
     from ..operators.facts import slot_values
 
@@ -917,7 +917,7 @@ def x20(spark, d):
     return V.memories(spark, d).select("id", membership(labelled, meta, F.lit("n"), said, r"(?i)likes? ([a-z ]+)").alias("match"))
 
 
-@query("x24_resolved_questions", "SELECT * FROM (VALUES (1, 'where is san francisco now', ['sf'], []), (2, 'ny or york', ['york'], ['ny']), (3, 'nothing', [], [])) t(id, canonical, found, ambiguous)")
+@query("x24_resolved_questions", "SELECT * FROM (VALUES (1::BIGINT, 'where is san francisco now', ['sf'], []), (2, 'ny or york', ['york'], ['ny']), (3, 'nothing', [], [])) t(id, canonical, found, ambiguous)", lists=("found", "ambiguous"))
 def x24(spark, d):
     known = spark.createDataFrame([("sf", "e1", "san francisco"), ("ny", "e2", "new york"), ("ny", "e3", "normandy"), ("york", "e4", "york")], "alias string, entity string, name string")
     asked = spark.createDataFrame([(1, "where is SF now"), (2, "NY or York"), (3, "nothing")], "id long, text string")
