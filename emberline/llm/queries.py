@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP12_SQL, op12_centroids
 from .cover_tree import OP9_SQL, op9_top_k
 from .jaccard_join import op5_jaccard_join
 from .lm_score import op6_language_model
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_top_k": op9_top_k,
         "op10_sentencepiece": op10_sentencepiece,
+        "op12_centroids": op12_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": OP9_SQL}
+    return {"op9_top_k": OP9_SQL, "op12_centroids": OP12_SQL}
