@@ -11,6 +11,7 @@ from .packing import op2_packing
 from .pieces import op10_sentencepiece
 from .quality import op8_quality
 from .secret_scan import op4_secrets
+from .token_counts import op13_token_counts
 from .token_files import op1_token_files
 from .warc import op3_warc
 
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op9_top_k": op9_top_k,
         "op10_sentencepiece": op10_sentencepiece,
         "op12_centroids": op12_centroids,
+        "op13_token_counts": op13_token_counts,
     }
 
 
