@@ -61,9 +61,10 @@ DATES = tuple(
 )
 #: Longest unit of a repeat; shortest pattern span.
 UNIT, LEAST = 8, 3
-#: A run of letters of one case that no list holds is a word all the same: so many
-#: guesses (log10) up to so many letters, and in proportion beyond.
-OTHER_WORD, OTHER_LETTERS = 6.0, 12
+#: Guesses (log10) of a letter without case (scripts that passwords are not drawn from).
+CASELESS = 0.5
+#: Weight of the shorter context where a longer one was rarely seen.
+BACKOFF = 4.0
 JOIN = math.log10(2)
 _PLACES = [(len(row), step, {c: k * step for k, c in enumerate(row)}) for row in ROWS for step in (1, -1)]
 
@@ -86,6 +87,33 @@ def dictionary(path: str | None = None) -> tuple[dict[str, int], int]:
     return rank, max(map(len, rank))
 
 
+@lru_cache(maxsize=4)
+def letter_counts(path: str | None = None) -> tuple[dict[str, int], int]:
+    """How often one, two and three letters follow each other in the listed words
+    (``^`` before the first), and the number of letters; the key is the letters."""
+    seen: dict[str, int] = {}
+    for word in dictionary(path)[0]:
+        told = "^^" + word
+        for k in range(2, len(told)):
+            for context in (told[k - 2 : k], told[k - 1], ""):  # counts of a context end in a space
+                seen[context + told[k]] = seen.get(context + told[k], 0) + 1
+                seen[context + " "] = seen.get(context + " ", 0) + 1
+    return seen, sum(len(k) == 1 for k in seen) - 1
+
+
+@lru_cache(maxsize=200_000)
+def letter_cost(before: str, letter: str) -> float:
+    """Guesses (log10) of a letter after two others, as it follows them in listed words;
+    contexts that were rarely seen lean on shorter ones."""
+    if not letter.isascii() and letter == letter.upper() == letter.lower():
+        return CASELESS
+    seen, letters = letter_counts()
+    p = (seen.get(letter, 0) + 1) / (seen[" "] + letters + 1)
+    for context in (before[1:], before):
+        p = (seen.get(context + letter, 0) + BACKOFF * p) / (seen.get(context + " ", 0) + BACKOFF)
+    return -math.log10(p)
+
+
 def _masks(text: str) -> list[int]:
     """Classes of each character as bits: digits, a-z, A-Z, others."""
     return [c.isdecimal() | ("a" <= c <= "z") << 1 | ("A" <= c <= "Z") << 2 | (not (c.isascii() and c.isalnum())) << 3 for c in text]
@@ -140,13 +168,18 @@ class _Runs:
         return low
 
 
+def _case(c: str) -> tuple[bool, bool]:
+    return c.islower(), c.isupper()
+
+
 def guess_cost(text: str) -> float:
     """log10 of the least guesses over all segmentations of ``text``.
 
     ``best[j]`` is the least over the last part that ends at j: a listed word, a date, a
     repeat (any unit up to UNIT, any number of times), a keyboard walk, a word that
-    isn't listed, or a brute-force span, whose cost is per character so spans of it need
-    no inner loop. All spans of a kind count, also those inside longer ones. Each part
+    isn't listed (LEAST or more letters of one case, or with a capital first), whose letters cost what
+    they cost in listed words, so that a random run costs nearly brute force, or a brute-force
+    span, whose cost is per character so spans of it need no inner loop. All spans of a kind count, also those inside longer ones. Each part
     but those of brute force costs a factor for the order of parts. Time is linear in the
     length, for any value.
     """
@@ -166,7 +199,9 @@ def _least(text: str) -> float:
     same, repeats = [0] * (UNIT + 1), [[_Runs() for _ in range(p)] for p in range(UNIT + 1)]
     walk, walks = [0] * len(_PLACES), [_Runs() for _ in _PLACES]
     low = [c.lower() for c in text]
-    letters, long_word = 0, math.inf  # of the run of one case: its length, and least best - share of starts far enough back
+    # of the run of letters: its start; the cost of its letters in turn; the least cost before a word's
+    # third letter, over starts in one case (or a capital before small letters); starts yet too near
+    start, told, word, ready = 0, [0.0] * (n + 1), math.inf, []
     for j in range(1, n + 1):
         c, cost = text[j - 1], best[j - 1] + per_char
         for i, g in by_end.get(j, ()):
@@ -198,16 +233,22 @@ def _least(text: str) -> float:
             elif walk[k] >= LEAST:
                 i = j - LEAST
                 cost = min(cost, walks[k].least(i, best[i], j) + math.log10(2 * size) + JOIN)
-        if c.isalpha() and letters and (c.islower(), c.isupper()) == (text[j - 2].islower(), text[j - 2].isupper()):
-            letters += 1
+        if not c.isalpha():
+            start = j
         else:
-            letters, long_word = int(c.isalpha()), math.inf
-        if letters > OTHER_LETTERS:
-            i = j - OTHER_LETTERS - 1
-            long_word = min(long_word, best[i] - i * OTHER_WORD / OTHER_LETTERS)
-            cost = min(cost, long_word + j * OTHER_WORD / OTHER_LETTERS + JOIN)
-        if letters >= LEAST:
-            cost = min(cost, min(best[j - min(letters, OTHER_LETTERS) : j - LEAST + 1]) + OTHER_WORD + JOIN)
+            two = ("^^" + "".join(low[max(start, j - 3) : j - 1]))[-2:]
+            told[j] = told[j - 1] + letter_cost(two, low[j - 1])
+            if j - start > 1 and _case(c) != _case(text[j - 2]):
+                title = j - 2 if c.islower() and text[j - 2].isupper() else None
+                word, ready = math.inf, [k for k in (title, j - 1) if k is not None]
+            elif j - start == 1:
+                word, ready = math.inf, [j - 1]
+            else:
+                ready.append(j - 1)
+            for i in [k for k in ready if j - k >= LEAST]:  # from here on, letters cost the same from any start
+                ready.remove(i)
+                word = min(word, best[i] + letter_cost("^^", low[i]) + letter_cost("^" + low[i], low[i + 1]) - told[i + 2])
+            cost = min(cost, word + told[j] + 2 * JOIN)
         best[j] = cost
     return best[-1]
 
