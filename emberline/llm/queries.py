@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .centroids import OP12_SQL, op12_centroids
 from .cover_tree import OP9_SQL, op9_top_k
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .jaccard_join import op5_jaccard_join
 from .lm_score import op6_language_model
 from .media import op7_media
@@ -28,10 +29,11 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_top_k": op9_top_k,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_centroids": op12_centroids,
         "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": OP9_SQL, "op12_centroids": OP12_SQL}
+    return {"op9_top_k": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_centroids": OP12_SQL}
