@@ -107,7 +107,7 @@ def greedy_clusters(pool: DataFrame, threshold: float, span_days: float, least:
 
     Each seed depends on what earlier seeds took, but not across a pause of over
     ``span_days``: the stretches between pauses are groups of their own, found from the
-    distinct times. A seed is only compared with rows of its span.
+    occupied buckets of that width. A seed is only compared with rows of its span.
     """
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,9 +132,11 @@ def greedy_clusters(pool: DataFrame, threshold: float, span_days: float, least:
         return pd.DataFrame({"seed": seeds, "id": ids}, dtype="int64")
 
     def stretch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts").reset_index(drop=True)
-        return pdf.assign(page=(pdf["ts"].diff() > span_days * 86_400_000_000).cumsum())[["ts", "page"]]
-
-    rows = pool.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "vec").filter("ts is not null")
-    pages = rows.groupBy("ts").agg(F.lit(0).alias("all")).groupBy("all").applyInPandas(stretch, "ts long, page long")
-    return rows.join(pages, "ts").select("id", "ts", "vec", "page").groupBy("page").applyInPandas(cluster, "seed long, id long")
+        pdf = pdf.sort_values("bucket").reset_index(drop=True)
+        return pdf.assign(page=(pdf["bucket"].diff() > 1).cumsum())[["bucket", "page"]]
+
+    span = int(span_days * 86_400_000_000)
+    rows = pool.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "vec").filter("ts is not null").withColumn("bucket", F.floor(F.col("ts") / span))
+    # buckets of a span's width, as many as the time has, not the rows; an empty one is a pause
+    pages = rows.groupBy("bucket").agg(F.lit(0).alias("all")).groupBy("all").applyInPandas(stretch, "bucket long, page long")
+    return rows.join(pages, "bucket").select("id", "ts", "vec", "page").groupBy("page").applyInPandas(cluster, "seed long, id long")

@@ -25,21 +25,20 @@ def top_k(vectors: DataFrame, query: list[float], k: int, floor: float | None =
 
 
 PIVOTS = 64
+UNIT_BLOCK = "name string, dim int, centre array<double>, radius double"
+SLICE = 1024
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
-    """(a, b, sim) with a < b and cosine of at least ``threshold``, exact.
+def plain_rows(vectors: DataFrame) -> DataFrame:
+    """id, vec in doubles; rows without id or vector, and empty vectors, are left out."""
+    return vectors.select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
 
-    Vectors are dealt to blocks of at most ``block`` near ones (by their nearest of some pivots)
-    and each block is stored once. Only names, centres and radii are paired: a pair of
-    blocks whose balls are farther apart than the threshold allows is dropped, each of the
-    others is one task's work that reads two blocks and scores them by a matrix product.
-    So no vector is copied and no pair is made that doesn't qualify; the work grows
-    with the pairs of near blocks. Vectors of other lengths than a partner's don't meet it.
-    """
-    spark = vectors.sparkSession
-    folder = shared_folder(spark, "similar-pairs")
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
+
+def unit_blocks(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """The list of stored blocks of ``plain_rows``: at most ``block`` near ones (by their nearest
+    of some pivots) of equal length, as unit vectors; zero vectors stay zero."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark, "unit-blocks")
     some = rows.withColumn("o", F.xxhash64("id")).orderBy("o").limit(PIVOTS).collect()  # PIVOTS rows
     pivots = np.array([r.vec for r in some if len(r.vec) == len(some[0].vec)]) if some else np.zeros((0, 1))
 
@@ -76,16 +75,23 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> Da
             yield flush(size)
 
     n = max(1, -(-rows.count() // block))
-    placed = rows.mapInArrow(place, "id long, vec array<double>, near int")
+    placed = rows.select("id", "vec").mapInArrow(place, "id long, vec array<double>, near int")
     dealt = placed.repartitionByRange(n, F.size("vec"), "near", F.xxhash64("id")).select("id", "vec")
-    dealt.mapInArrow(write, "name string, dim int, centre array<double>, radius double").write.parquet(f"{folder}/list")
-    blocks = spark.read.schema("name string, dim int, centre array<double>, radius double").parquet(f"{folder}/list")
-    side = lambda x: blocks.select("dim", *[F.col(c).alias(f"{c}_{x}") for c in ("name", "centre", "radius")])
+    dealt.mapInArrow(write, UNIT_BLOCK).write.parquet(f"{folder}/list")
+    return spark.read.schema(UNIT_BLOCK).parquet(f"{folder}/list")
+
+
+def near_blocks(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(name_a, name_b) of blocks whose balls are near enough for a cosine of ``threshold``."""
+    side = lambda blocks, x: blocks.select("dim", *[F.col(c).alias(f"{c}_{x}") for c in ("name", "centre", "radius")])
     apart = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     reach = math.sqrt(max(0.0, 2 - 2 * (threshold - 1e-6)))
-    close = (F.col("name_a") <= F.col("name_b")) & (F.lit(threshold <= 0) | (apart <= F.col("radius_a") + F.col("radius_b") + reach + 1e-9))
-    pairs = side("a").join(side("b"), "dim").filter(close).select("name_a", "name_b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+    close = F.lit(threshold <= 0) | (apart <= F.col("radius_a") + F.col("radius_b") + reach + 1e-9)
+    return side(left, "a").join(side(right, "b"), "dim").filter(close).select("name_a", "name_b")
+
+
+def met(pairs: DataFrame, score, ddl: str) -> DataFrame:
+    """``score(ids, unit, others, with_, same)`` of slices of each pair of blocks; it gives record batches."""
 
     def read(name: str):
         fs, path = pafs.FileSystem.from_uri(name)
@@ -93,18 +99,37 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> Da
             data = np.load(io.BytesIO(f.read()))
         return data["ids"], data["unit"]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, unit = read(one)
                 others, with_ = (ids, unit) if one == two else read(two)
-                for at in range(0, len(ids), 1024):
-                    sim = np.round(unit[at : at + 1024] @ with_.T, 6)
-                    keep = sim >= threshold
-                    if one == two:
-                        keep &= ids[at : at + 1024, None] < others[None, :]
-                    i, j = np.nonzero(keep)
-                    x, y = ids[at + i], others[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim[i, j])], schema=schema)
-
-    return pairs.repartition(max(1, min(n * n, 10_000)), "name_a", "name_b").mapInArrow(score, "a long, b long, sim double").filter("a < b")
+                for at in range(0, len(ids), SLICE):
+                    yield score(ids[at : at + SLICE], unit[at : at + SLICE], others, with_, one == two)
+
+    return pairs.repartition(max(1, min(pairs.count(), 10_000)), "name_a", "name_b").mapInArrow(run, ddl)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
+    """(a, b, sim) with a < b and cosine of at least ``threshold``, exact.
+
+    Vectors are dealt to stored blocks of near ones. Only names, centres and radii are paired: a pair of
+    blocks whose balls are farther apart than the threshold allows is dropped, each of the
+    others is one task's work that reads two blocks and scores them by a matrix product.
+    So no vector is copied and no pair is made that doesn't qualify; the work grows
+    with the pairs of near blocks. Vectors of other lengths than a partner's don't meet it.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+
+    def score(ids, unit, others, with_, same):
+        sim = np.round(unit @ with_.T, 6)
+        keep = sim >= threshold
+        if same:
+            keep &= ids[:, None] < others[None, :]
+        i, j = np.nonzero(keep)
+        x, y = ids[i], others[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim[i, j])], schema=schema)
+
+    blocks = unit_blocks(plain_rows(vectors), block)
+    pairs = near_blocks(blocks, blocks, threshold).filter("name_a <= name_b")
+    return met(pairs, score, "a long, b long, sim double").filter("a < b")

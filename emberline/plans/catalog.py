@@ -684,14 +684,6 @@ def m01(spark, d):
     return m.select("id", F.round(score, 6).alias("score"))
 
 
-@query("w05_greedy_clusters")
-def w05(spark, d):
-    m = V.memories(spark, d).select("id", F.col("event_at").alias("ts"))
-    since = F.broadcast(m.agg((F.max("ts") - F.make_dt_interval(F.lit(DEFAULTS.episode_lookback_days))).alias("since")))  # one row
-    pool = V.vectors(spark, d).join(m.crossJoin(since).filter("ts >= since").drop("since"), "id")
-    return chunking.greedy_clusters(pool, 0.3, 3.0, 2, 12)
-
-
 @query("s11_message_lists", "SELECT conv, pos, role, content, ts FROM (SELECT conv_id AS conv, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role, trim(text, ' ') AS content, turn::VARCHAR AS ts FROM conversations) WHERE content <> ''")
 def s11(spark, d):
     c = V.read(spark, d, "conversations")

@@ -252,11 +252,6 @@ def g09(spark, d):
     return free.join(sagas, "thread", "left").select("thread", F.when(F.col("_s"), "append").otherwise("create").alias("route"), "episodes")
 
 
-@query("r40_episode_cycle", "SELECT thread, count(*) AS n FROM memories WHERE type = 'dynamic' AND NOT pinned GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, thread LIMIT 5", ("memories",))
-def r40(spark, d):
-    return V.memories(spark, d).filter("type = 'dynamic' and not pinned").groupBy("thread").agg(N().alias("n")).filter("n >= 3").orderBy(F.desc("n"), "thread").limit(5)
-
-
 @query("q02_hold", "SELECT id, CASE WHEN type = 'feel' THEN 'feel' WHEN pinned THEN 'pinned' WHEN id % 3 = 0 THEN 'merged' ELSE 'created' END AS outcome FROM memories", ("memories",))
 def q02(spark, d):
     m = V.memories(spark, d)
@@ -467,11 +462,6 @@ def k09(spark, d):
     return e.select("session", F.size(F.from_json("line", "seen array<string>")["seen"]).cast("long").alias("seen"))
 
 
-@query("w06_patterns", "SELECT thread, count(*) AS n FROM memories WHERE valence > 0.7 GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, thread LIMIT 20", ("memories",))
-def w06(spark, d):
-    return V.memories(spark, d).filter("valence > 0.7").groupBy("thread").agg(N().alias("n")).filter("n >= 3").orderBy(F.desc("n"), "thread").limit(20)
-
-
 @query("s25_snapshot_manifest", f"SELECT type AS part, count(*) AS n, md5(string_agg(md5(content), '' ORDER BY id)) AS digest FROM memories GROUP BY 1", ("memories",))
 def s25(spark, d):
     m = V.memories(spark, d)

@@ -676,14 +676,6 @@ def u04(spark, d):
     return ranking.prioritised([("keyword", keyword), ("vector", vector), ("relation", relation)])
 
 
-@query("g08_episode_rollup", "SELECT name, count(*) AS n, strftime(min(event_at), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(event_at), '%Y-%m-%d %H:%M:%S') AS last_at, string_agg(id::VARCHAR, ',' ORDER BY event_at, id) AS members FROM memories WHERE id % 2 = 0 GROUP BY name HAVING count(*) BETWEEN 3 AND 12", ("memories",))
-def g08(spark, d):
-    m = V.memories(spark, d).filter("id % 2 = 0")
-    size = m.groupBy("name").agg(N().alias("n"), F.date_format(F.min("event_at"), "yyyy-MM-dd HH:mm:ss").alias("first_at"), F.date_format(F.max("event_at"), "yyyy-MM-dd HH:mm:ss").alias("last_at")).filter(F.col("n").between(3, 12))
-    members = m.join(size.select("name"), "name", "left_semi").groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_at", "id"))), lambda x: x["id"].cast("string")), ",").alias("members"))
-    return size.join(members, "name")
-
-
 # --- more of the ledger, the files and the guards ---------------------------
 
 
