@@ -281,43 +281,53 @@ class Best:
         self.floor[who[rows]] = np.maximum(self.low[who[rows]], self.score[who[rows], -1])
 
 
+def distances(group: dict, space: Space) -> np.ndarray:
+    """Of each query to each pivot of its length; queries of one anchor stand together and share theirs."""
+    if "d" not in group:
+        x, pivots = group["x"], space.pivots.get(group["x"].shape[1])
+        first = np.concatenate([[True], group["uid"][1:] != group["uid"][:-1]])
+        points = np.column_stack([x[first].astype(np.float64), np.zeros(int(first.sum()))])
+        d = np.zeros((len(points), 1)) if pivots is None else np.stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+        group["d"], group["square"] = d[np.cumsum(first) - 1], (x.astype(np.float64) ** 2).sum(axis=1)
+    return group["d"]
+
+
 def meet(group: dict, block: dict, best: Best, space: Space, same: bool) -> int:
     """Walk a group through a block; the number of scores that were computed."""
     x, y = group["x"], block["x"]
-    dim, pivots = x.shape[1], space.pivots.get(x.shape[1])
-    most = int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0)) * max(1, dim)
+    most = int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0)) * max(1, x.shape[1])
     if most >= 1 << 63:
         raise ValueError("scores are beyond 64 bits")
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-    left, right = x.astype(kind), y.astype(kind)
-    points = np.column_stack([x.astype(np.float64), np.zeros(len(x))])
-    square = (points * points).sum(axis=1)
-    slack, inner = space.slack(square), space.reach(square, group["high"])
+    d = distances(group, space)
+    slack = space.slack(group["square"])
+    inner = space.reach(group["square"], group["high"]) - slack
+    outer = space.reach(group["square"], best.floor) + slack
+    # all segments of the block at once: which queries might one serve?
+    edge = np.array(runs(block["label"], block["cell"])).reshape(-1, 2)
+    label, cell = block["label"][edge[:, 0]], block["cell"][edge[:, 0]]
+    near, far = block["dist"][edge[:, 0]], np.where(cell >= 0, block["dist"][edge[:, 1] - 1], np.inf)
+    at = d[:, np.maximum(cell, 0)]
+    serves = ((group["label"][:, None] == label[None]) == same) & (at - far <= outer[:, None]) & (near - at <= outer[:, None]) & (at + far >= inner[:, None])
+    rows = np.flatnonzero(np.repeat(serves.any(axis=0), edge[:, 1] - edge[:, 0]))
+    segment = np.repeat(np.arange(len(edge)), edge[:, 1] - edge[:, 0])
     scored = 0
-    for a, b in runs(block["label"], block["cell"]):
-        alive = (group["label"] == block["label"][a]) == same
-        outer = space.reach(square, best.floor) + slack
-        if block["cell"][a] >= 0:
-            d = np.sqrt(((points - pivots[block["cell"][a]]) ** 2).sum(axis=1))
-            alive &= (d - block["dist"][b - 1] <= outer) & (block["dist"][a] - d <= outer) & (d + block["dist"][b - 1] >= inner - slack)
-            who = np.flatnonzero(alive)
-            if not len(who):
-                continue
-            dist = block["dist"][a:b]
-            a, b = a + int(np.searchsorted(dist, (d - outer)[who].min())), a + int(np.searchsorted(dist, (d + outer)[who].max(), "right"))
-        who = np.flatnonzero(alive)
-        if not len(who):
+    for i in range(0, len(rows), SLICE):
+        own = rows[i : i + SLICE]
+        outer = space.reach(group["square"], best.floor) + slack  # lower with each slice
+        alive = serves[:, segment[own]]
+        bounded = block["cell"][own] >= 0
+        alive &= (np.abs(d[:, np.maximum(block["cell"][own], 0)] - block["dist"][own]) <= outer[:, None]) | ~bounded
+        own, alive = own[alive.any(axis=0)], alive[:, alive.any(axis=0)]
+        who = np.flatnonzero(alive.any(axis=1))
+        if not len(own):
             continue
-        # queries of one anchor stand together and share its products
         anchor = np.concatenate([[True], group["uid"][who][1:] != group["uid"][who][:-1]])
-        of = np.cumsum(anchor) - 1
-        for i in range(a, b, SLICE):
-            j = min(b, i + SLICE)
-            s = (left[who[anchor]] @ right[i:j].T)[of]
-            scored += s.size
-            ok = (s >= best.floor[who].astype(kind)[:, None]) & (s <= group["high"][who].astype(kind)[:, None])
-            ok &= group["uid"][who][:, None] != block["uid"][None, i:j]
-            best.offer(who, s, ok, block["vec_id"][i:j])
+        s = (x[who[anchor]].astype(kind) @ y[own].astype(kind).T)[np.cumsum(anchor) - 1]
+        scored += s.size
+        ok = alive[who] & (s >= best.floor[who].astype(kind)[:, None]) & (s <= group["high"][who].astype(kind)[:, None])
+        ok &= group["uid"][who][:, None] != block["uid"][None, own]
+        best.offer(who, s, ok, block["vec_id"][own])
     return scored
 
 
