@@ -22,8 +22,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, types: list[str], most: int, p: Params = DEFAULTS) -> DataFrame:
-    """(id, via, type, depth, strength, score): best paths of at most two hops.
+def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, types: list[str], most: int, p: Params = DEFAULTS, depth: int = 2) -> DataFrame:
+    """(id, via, type, depth, strength, score): best paths of at most ``depth`` (one or two) hops.
 
     Seeds never come back; a node reached in one hop isn't reached again in two;
     the best score of a depth wins. Two equi joins over the edges.
@@ -42,6 +42,8 @@ def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, types: list[str
         return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
     one = hop(start, p.hop1, 1.0, 1)
+    if depth == 1:
+        return one.orderBy(F.desc("score"), "id").limit(most)
     two = hop(one.select("id"), p.hop2, p.hop2_factor, 2).join(one.select("id"), "id", "left_anti")
     return one.unionByName(two).orderBy(F.desc("score"), "depth", "id").limit(most)
 

@@ -19,12 +19,13 @@ def rrf(channels: DataFrame, k: int = 60, merge_duplicates: bool = True) -> Data
     return seen.groupBy("id").agg(F.sum(vote).alias("score"), F.min(F.struct("channel", "rank")).alias("first_seen"))
 
 
-def band_rank(rows: DataFrame, width: float) -> DataFrame:
+def band_rank(rows: DataFrame, width: float, most: int | None = None) -> DataFrame:
     """``rows`` (id, rel, tie) with ``pos``: order by relevance, reordered by ``tie``
     inside bands that reach ``width`` below their leader (not chained).
 
     Leaders follow one another, so one task reads the distinct relevances; rows meet
-    their band in a join and are numbered inside it, after the rows of earlier bands.
+    their band in a join and are numbered inside it, after the rows of earlier bands. With
+    ``most`` only so many first rows are returned, and no band sorts more of its rows than that.
     """
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -43,7 +44,10 @@ def band_rank(rows: DataFrame, width: float) -> DataFrame:
     before = bands.groupBy("band").agg(F.sum("n").alias("n"), F.collect_list("rel").alias("keys")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     met = keyed.join(before.select("band", "before", F.explode("keys").alias("key")), "key")
     inside = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("tie"), F.desc_nulls_last(F.nanvl("rel", F.lit(None))), "id"))
-    return met.select("id", "rel", "tie", "band", (F.col("before") + inside).cast("int").alias("pos"))
+    if most is None:
+        return met.select("id", "rel", "tie", "band", (F.col("before") + inside).cast("int").alias("pos"))
+    cut = met.filter(F.col("before") < most).withColumn("inside", inside).filter(F.col("inside") <= most)
+    return cut.select("id", "rel", "tie", "band", (F.col("before") + F.col("inside")).cast("int").alias("pos")).filter(F.col("pos") <= most)
 
 
 def token_budget(rows: DataFrame, tokens: str, budget: int, order: list[Column]) -> DataFrame:

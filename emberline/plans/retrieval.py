@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS
+from ..config import DEFAULTS, REF
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import chunking, clusters
 from ..operators import keyword_index as KI
+from ..operators import recall
 from ..sources import views as V
-from .catalog import _age, _sql_age, _sql_redacted, query
+from .catalog import QUERY_VECTOR, SQL_ACTIVITY, SQL_QUERY, _age, _sql_age, _sql_redacted, query
 
 # --- keyword search by an inverted index (K01, Q14) ---------------------------
 
@@ -152,3 +153,119 @@ def w06(spark, d):
 def w06_loose(spark, d):
     """As ``w06_patterns`` at 0.3, in rounds after the first 64 rows."""
     return _patterns(spark, d, 0.3, 64)
+
+
+# --- recall in three modes (Q01) -------------------------------------------------
+
+#: The test tables' vectors are near random, so few pass the floor of 0.5.
+ASK = recall.Ask(words=("src3", "the", "and", "with"), vector=tuple(QUERY_VECTOR), domains=("en", "fr"), worlds=("north", "south"), intent="relation", emotion=(0.7, 0.4, 0.3), at=REF, vector_floor=0.2, results=14, tokens=16_000)
+SQL_TOKENS = "CAST(trunc(1.3::DOUBLE * len(regexp_extract_all(content, '[a-zA-Z]+')) + 0.05::DOUBLE * length(content)) AS INTEGER)"
+SQL_SEEN = "SELECT DISTINCT event_id AS id FROM events WHERE user_id = 7"
+
+
+def _sql_share(text: str) -> str:
+    return "(" + " + ".join(f"regexp_matches(lower({text}), '{recall.word_pattern(w)}')::INT" for w in ASK.words) + f") / {float(len(ASK.words))}::DOUBLE"
+
+
+def _sql_bands(name: str, rows: str, width: float) -> str:
+    """CTEs that end in ``name`` (id, band, pos) of ``rows`` (id, rel, tie)."""
+    return f"""{name}_o AS (SELECT rel, row_number() OVER (ORDER BY rel DESC) AS rn FROM (SELECT DISTINCT rel FROM {rows})),
+{name}_b AS (SELECT rn, rel AS leader, 0 AS band FROM {name}_o WHERE rn = 1 UNION ALL SELECT o.rn, CASE WHEN b.leader - o.rel <= {width} THEN b.leader ELSE o.rel END, CASE WHEN b.leader - o.rel <= {width} THEN b.band ELSE b.band + 1 END FROM {name}_b b JOIN {name}_o o ON o.rn = b.rn + 1),
+{name} AS (SELECT id, rel, tie, band, row_number() OVER (ORDER BY band, tie DESC, rel DESC, id) AS pos FROM {rows} JOIN {name}_o USING (rel) JOIN {name}_b USING (rn))"""
+
+
+def _sql_fill(name: str, rows: str, before: list[str], most: int) -> str:
+    """CTE of the rows (id, via, rel, pos) that a channel adds after those ``before``."""
+    prior = " UNION ALL ".join(f"SELECT id, fp, tokens FROM {b}" for b in before)
+    return f"""{name} AS (
+  SELECT * EXCLUDE (total) FROM (
+    SELECT *, sum(tokens) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS total FROM (
+      SELECT x.*, t.fp, t.tokens FROM {rows} x JOIN t USING (id)
+      WHERE x.id NOT IN (SELECT id FROM ({prior})) AND (t.fp IS NULL OR t.fp NOT IN (SELECT fp FROM ({prior}) WHERE fp IS NOT NULL))
+      QUALIFY t.fp IS NULL OR row_number() OVER (PARTITION BY t.fp ORDER BY pos) = 1
+    )
+  ) WHERE total + (SELECT coalesce(sum(tokens), 0) FROM ({prior})) <= {ASK.tokens}
+  ORDER BY pos LIMIT (SELECT least({most}, greatest(0, {ASK.results} - count(*))) FROM ({prior}))
+)"""
+
+
+SQL_SEARCH = f"""WITH seen AS ({SQL_SEEN}),
+base AS MATERIALIZED (
+  SELECT *, round(greatest({_sql_share("concat_ws(' ', name, array_to_string(tags, ' '))")}, {recall.CONTENT}::DOUBLE * {_sql_share('content')}), 6) AS topic,
+    round(CASE WHEN resolved THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END * ((2.0::DOUBLE * greatest(0.0, 1 - sqrt(power(valence - 0.7, 2) + power(arousal - 0.4, 2)) / 1.414) + 2.5::DOUBLE * exp(-0.1 * {_sql_age('last_active')}) + importance / 10.0::DOUBLE) / 5.5 * 100), 4) AS sec
+  FROM memories WHERE lower(domain[1]) IN ('en', 'fr') AND world IN ('shared', 'north', 'south')
+), kw AS (SELECT id, round(topic * 100, 2) AS rel, sec AS tie FROM base),
+{_sql_bands('kb', 'kw', DEFAULTS.tie_band)},
+ve AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS rank FROM (SELECT id, round(list_cosine_similarity(vec, {SQL_QUERY}), 6) AS sim FROM vectors WHERE id IN (SELECT id FROM base)) WHERE sim > 0.2 QUALIFY rank <= 68),
+en AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM base WHERE lower(thread) IN ('src3', 'the', 'and', 'with') AND length(content) = n_chars QUALIFY rank <= 20),
+ch AS (SELECT 0 AS c, 0.9::DOUBLE AS w, pos AS rank, id FROM kb WHERE pos <= 50 UNION ALL SELECT 1, 1.2::DOUBLE, rank, id FROM ve UNION ALL SELECT 2, 1.0::DOUBLE, rank, id FROM en),
+fu AS (SELECT id, round(sum(w / (60 + rank)) * 1000, 6) AS rel, min(rank) FILTER (c = 0) AS keyword, min(rank) FILTER (c = 1) AS vector, min(rank) FILTER (c = 2) AS entity FROM ch GROUP BY id),
+po AS MATERIALIZED (SELECT fu.*, b.* EXCLUDE (id) FROM fu JOIN base b USING (id) WHERE topic * 100 >= 40 OR entity IS NOT NULL OR vector IS NOT NULL ORDER BY rel DESC, id LIMIT 20),
+de AS (SELECT *, exp(-0.693 * {_sql_age('event_at')} / greatest(0.001, 14.0 * (1 + 0.5 * log2((1 + activation)::DOUBLE)))) AS raw FROM po),
+ti AS (SELECT id, rel, round(rel * (0.6::DOUBLE + 0.4::DOUBLE * CASE WHEN type IN ('permanent', 'feel') THEN 1.0 WHEN resolved THEN raw ELSE greatest(raw, 0.25) END) * CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.source = de.id AND e.target <> e.source) THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END, 6) AS tie FROM de),
+{_sql_bands('rb', 'ti', ASK.band)},
+t AS MATERIALIZED (SELECT id, CASE WHEN length(k) >= 8 THEN k END AS fp, tokens FROM (SELECT id, regexp_replace(lower(content), '[^a-z0-9]+', '', 'g') AS k, {SQL_TOKENS} AS tokens FROM base)),
+ma AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY band, tie DESC, rel DESC, id) AS pos FROM (
+    SELECT rb.id, rb.rel, rb.tie, rb.band, fp, tokens FROM rb JOIN t USING (id) QUALIFY row_number() OVER (PARTITION BY coalesce(fp, 'id:' || rb.id) ORDER BY rb.pos) = 1
+  ) WHERE id NOT IN (SELECT id FROM seen)
+),
+both_ways AS (SELECT source AS a, target AS b, type, strength FROM edges UNION ALL SELECT target, source, type, strength FROM edges),
+st AS MATERIALIZED (SELECT id, s.via AS via, NULL::DOUBLE AS rel, row_number() OVER (ORDER BY s.place, id) AS pos FROM (
+  SELECT w.b AS id, min(struct_pack(place := ma.pos, via := ma.id)) AS s FROM both_ways w JOIN ma ON ma.id = w.a
+  WHERE w.type = 'updates' AND w.a <> w.b AND w.b IN (SELECT id FROM base) AND w.b NOT IN (SELECT id FROM ma) AND w.b NOT IN (SELECT id FROM seen) GROUP BY w.b) QUALIFY pos <= 2),
+le AS (SELECT * FROM ma WHERE pos <= greatest(1, {ASK.results - 1} - (SELECT count(*) FROM st))),
+wi AS (SELECT id, lag(id) OVER o AS p, lead(id) OVER o AS n FROM base WINDOW o AS (PARTITION BY thread ORDER BY event_at, id)),
+tl AS MATERIALIZED (SELECT s.id, le.id AS via, NULL::DOUBLE AS rel, row_number() OVER (ORDER BY le.pos, s.side, s.id) AS pos FROM le JOIN (SELECT id AS own, 0 AS side, p AS id FROM wi UNION ALL SELECT id, 1, n FROM wi) s ON s.own = le.id
+  WHERE s.id IS NOT NULL AND s.id NOT IN (SELECT id FROM le) AND s.id NOT IN (SELECT id FROM st) AND s.id NOT IN (SELECT id FROM seen) QUALIFY pos <= 1),
+mi AS (SELECT id, NULL::BIGINT AS via, rel, pos FROM ma WHERE pos <= CASE WHEN EXISTS (SELECT 1 FROM tl) THEN greatest(1, {ASK.results - 1} - (SELECT count(*) FROM st)) ELSE {ASK.results} - (SELECT count(*) FROM st) END),
+nothing AS (SELECT NULL::BIGINT AS id, NULL::VARCHAR AS fp, 0 AS tokens WHERE false),
+{_sql_fill('f0', 'mi', ['nothing'], ASK.results)},
+{_sql_fill('f1', 'tl', ['f0'], 1)},
+{_sql_fill('f2', 'st', ['f0', 'f1'], ASK.states)},
+ok AS (SELECT id FROM base WHERE id NOT IN (SELECT id FROM seen)),
+re AS MATERIALIZED (SELECT id, via, rel, row_number() OVER (ORDER BY rel DESC, id) AS pos FROM (
+  SELECT b AS id, a AS via, round(strength * CASE type WHEN 'kin' THEN 1.0::DOUBLE WHEN 'explains' THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END, 6) AS rel FROM both_ways
+  WHERE a IN (SELECT id FROM f0) AND b NOT IN (SELECT id FROM f0) AND a IN (SELECT id FROM ok) AND b IN (SELECT id FROM ok) AND a <> b AND strength BETWEEN 0.4 AND 1.0 QUALIFY row_number() OVER (PARTITION BY b ORDER BY rel DESC, via, type) = 1) QUALIFY pos <= 8 + (SELECT count(*) FROM f0)),
+{_sql_fill('f3', 're', ['f0', 'f1', 'f2'], 8)},
+em AS MATERIALIZED (SELECT id, NULL::BIGINT AS via, rel, row_number() OVER (ORDER BY rel DESC, id) AS pos FROM (
+  SELECT id, round((0.8::DOUBLE * greatest(0.0, 1 - sqrt(power((0.4 - (valence * 2 - 1)) / 2, 2) + power(0.4 - arousal, 2)) / sqrt(2.0::DOUBLE)) + 0.2::DOUBLE * greatest(0.0, 1 - abs(0.3 - arousal))) * importance / 10.0::DOUBLE, 6) AS rel FROM ok WHERE id NOT IN (SELECT id FROM ma)
+) WHERE rel >= 0.6),
+{_sql_fill('f4', 'em', ['f0', 'f1', 'f2', 'f3'], ASK.emotions)},
+al AS (SELECT 0 AS c, 'main' AS channel, id, via, rel, pos FROM f0 UNION ALL SELECT 1, 'timeline', id, via, rel, pos FROM f1 UNION ALL SELECT 2, 'state', id, via, rel, pos FROM f2 UNION ALL SELECT 3, 'relation', id, via, rel, pos FROM f3 UNION ALL SELECT 4, 'emotion', id, via, rel, pos FROM f4)
+SELECT CAST(row_number() OVER (ORDER BY c, al.pos) AS INTEGER) AS pos, channel, al.id, via, al.rel, CASE WHEN c = 0 THEN CAST(keyword AS INTEGER) END AS keyword, CASE WHEN c = 0 THEN CAST(vector AS INTEGER) END AS vector, CASE WHEN c = 0 THEN CAST(entity AS INTEGER) END AS entity
+FROM al LEFT JOIN fu ON fu.id = al.id"""
+SQL_SEARCH = SQL_SEARCH.replace("FROM ok WHERE id NOT IN (SELECT id FROM ma)", "FROM base WHERE id IN (SELECT id FROM ok) AND id NOT IN (SELECT id FROM ma)")
+
+
+def _links(spark, d):
+    """Records tied to their thread's name; the digest is current where the stored length is."""
+    m = V.memories(spark, d)
+    return m.select("id", F.col("thread").alias("entity"), F.when(F.length("content") == F.col("n_chars"), F.md5("content")).alias("digest"))
+
+
+def _seen(spark, d):
+    return V.read(spark, d, "events").filter("user_id = 7").select(F.col("event_id").alias("id")).distinct()
+
+
+@query("q01_search", SQL_SEARCH, ("memories", "vectors", "edges"))
+def q01_search(spark, d):
+    """Search with keyword, vector, entity, state, timeline, relation and emotion channels."""
+    return recall.search(V.memories(spark, d), V.vectors(spark, d), V.edges(spark, d), _links(spark, d), _seen(spark, d), ASK)
+
+
+@query("q01_surfacing", f"""WITH seen AS ({SQL_SEEN}), act AS ({SQL_ACTIVITY}),
+pin AS (SELECT id, {SQL_TOKENS} AS tokens FROM memories WHERE pinned OR protected),
+op AS (SELECT m.id, act.score FROM memories m JOIN act USING (id) WHERE NOT pinned AND NOT protected AND NOT resolved AND type NOT IN ('permanent', 'feel') AND world IN ('shared', 'north', 'south') AND id NOT IN (SELECT id FROM seen) ORDER BY score DESC, id LIMIT 20),
+sh AS (SELECT id, score, row_number() OVER (ORDER BY CASE WHEN rn = 1 THEN '' ELSE md5(id::VARCHAR) END) AS pos FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn FROM op) QUALIFY pos <= 8),
+us AS (SELECT sh.*, sum({SQL_TOKENS}) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM sh JOIN memories USING (id))
+SELECT 'pinned' AS channel, 0 AS place, id, 999.0::DOUBLE AS score FROM pin UNION ALL SELECT 'dynamic', CAST(pos AS INTEGER), id, score FROM us WHERE used + (SELECT coalesce(sum(tokens), 0) FROM pin) <= 1000000""", ("memories",))
+def q01_surfacing(spark, d):
+    """Surfacing without a query: core records, then unresolved ones within the tokens that are left."""
+    return recall.surfacing(V.memories(spark, d), _seen(spark, d), recall.Ask(worlds=("north", "south"), at=REF, tokens=1_000_000))
+
+
+@query("q01_feelings", f"SELECT CAST(pos AS INTEGER) AS pos, id, CAST(used AS BIGINT) AS used FROM (SELECT id, row_number() OVER (ORDER BY event_at DESC, id) AS pos, sum(tok) OVER (ORDER BY event_at DESC, id ROWS UNBOUNDED PRECEDING) AS used, tok FROM (SELECT id, event_at, greatest({SQL_TOKENS}, 1) AS tok FROM memories WHERE type = 'feel' AND event_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-28 00:00:00')) WHERE used - tok <= 6000", ("memories",))
+def q01_feelings(spark, d):
+    """The feel records of some weeks, newest first, up to the token budget."""
+    return recall.feelings(V.memories(spark, d), recall.Ask(after="2024-01-05 00:00:00", before="2024-01-28 00:00:00"))
