@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import emberline.plans.flows  # noqa: F401
 import emberline.plans.hooks  # noqa: F401
 import emberline.plans.records  # noqa: F401
 import emberline.plans.retrieval  # noqa: F401
