@@ -63,11 +63,18 @@ def _found(text: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.trim(x))))
 
 
-def conflicts(old: Column, new: Column) -> Column:
-    """array<struct<field, old, new>>: keys with other values in first order, then sets of
-    dates, sets of measured numbers, and negation."""
-    old, new = plain_links(old), plain_links(new)
-    a, b = key_values(old), key_values(new)
+def signature(text: Column) -> Column:
+    """What conflicts are found from, without the text: struct<kv, dates, numbers, polarity>."""
+    plain = plain_links(F.coalesce(text, F.lit("")))
+    undated = F.regexp_replace(plain, DATE, " ")
+    polarity = F.when(plain.rlike(NEGATION), "negated").otherwise("affirmed")
+    return F.struct(key_values(plain).alias("kv"), _found(plain, DATE).alias("dates"), _found(undated, NUMBER).alias("numbers"), polarity.alias("polarity"))
+
+
+def conflicting(old: Column, new: Column) -> Column:
+    """array<struct<field, old, new>> of two signatures: keys with other values in first order, then
+    sets of dates, sets of measured numbers, and negation."""
+    a, b = old["kv"], new["kv"]
     entry = lambda field, x, y: F.struct(field.alias("field"), x.alias("old"), y.alias("new"))
     keyed = F.transform(F.filter(F.map_keys(a), lambda k: F.try_element_at(b, k) != F.try_element_at(a, k)), lambda k: entry(k, F.try_element_at(a, k), F.try_element_at(b, k)))
 
@@ -76,13 +83,16 @@ def conflicts(old: Column, new: Column) -> Column:
         differ = (F.size(x) > 0) & (F.size(y) > 0) & (x != y) & ~F.exists(keyed, lambda e: e["field"] == name)
         return F.when(differ, entry(F.lit(name), cut(x), cut(y)))
 
-    undated = lambda t: F.regexp_replace(t, DATE, " ")
-    polarity = lambda t: F.when(t.rlike(NEGATION), "negated").otherwise("affirmed")
-    negation = F.when(polarity(old) != polarity(new), entry(F.lit("negation"), polarity(old), polarity(new)))
-    rest = F.array(sets("date", _found(old, DATE), _found(new, DATE)), sets("number", _found(undated(old), NUMBER), _found(undated(new), NUMBER)), negation)
+    negation = F.when(old["polarity"] != new["polarity"], entry(F.lit("negation"), old["polarity"], new["polarity"]))
+    rest = F.array(sets("date", old["dates"], new["dates"]), sets("number", old["numbers"], new["numbers"]), negation)
     return F.concat(keyed, F.array_compact(rest))
 
 
+def conflicts(old: Column, new: Column) -> Column:
+    """``conflicting`` of two texts."""
+    return conflicting(signature(old), signature(new))
+
+
 def asks_history(query: Column) -> Column:
     low = F.lower(F.trim(query))
     out = F.lit(False)

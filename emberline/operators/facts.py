@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Params
 from ..functions import facts as R
 from ..functions import text as X
+from ..session import shared_folder
 
 # Words that ask for a state of a fact.
 HISTORICAL, CURRENT, TRANSITION = ("以前", "过去", "曾经", "previous", "before"), ("现在", "目前", "now", "current"), ("变化", "改成", "changed", "transition")
@@ -213,3 +214,38 @@ def membership(labelled: Column, in_metadata: Column, name: Column, content: Col
     start = F.lower(F.concat_ws("\n", name, F.substring(R.plain_links(content), 1, head)))
     leading = F.exists(slot_values(content, pattern), lambda v: F.contains(start, v))
     return F.when(labelled, "structured").when(in_metadata, "metadata").when(leading, "value").otherwise("context")
+
+
+def block_keys(name: Column, domain: Column) -> Column:
+    """Keys under which records are compared: the name without blanks in small letters, and each domain."""
+    plain = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s+", "")
+    domains = F.transform(F.filter(F.coalesce(domain, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")), lambda x: F.concat(F.lit("domain:"), x))
+    return F.array_distinct(F.concat(F.filter(F.array(F.concat(F.lit("name:"), plain)), lambda x: x != "name:"), domains))
+
+
+def conflict_pairs(records: DataFrame, most: int = 50, page: int = 64) -> DataFrame:
+    """(a, b, fields): the first ``most`` pairs a < b in the order of their ids that share a key and conflict.
+
+    ``records`` is (id, name, domain, content). A record's keys and its signature are found once and stored without
+    the text. Pairs are made under the least key that both have, so once. The order is walked in pages of left
+    records, each eight times the last, against all records after them, until ``most`` pairs are found: a key that a
+    third of all records share is only ever met by a page. Rows without id, and without keys, meet nothing.
+    """
+    spark = records.sparkSession
+    folder = shared_folder(spark, "conflict-signatures")
+    records.filter("id is not null").select("id", block_keys(F.col("name"), F.col("domain")).alias("keys"), R.signature(F.col("content")).alias("sig")).write.parquet(folder)
+    every = spark.read.parquet(folder)
+    side = lambda df, x: df.select(F.col("id").alias(x), F.col("keys").alias(f"k{x}"), F.col("sig").alias(f"s{x}"), F.explode("keys").alias("key"))
+    found, open_ = [], every
+    while len(found) < most:
+        left = open_.orderBy("id").limit(page)
+        last = left.agg(F.max("id")).first()[0]
+        if last is None:
+            break
+        here = open_.filter(F.col("id") <= last)
+        met = side(every, "b").join(side(here, "a"), "key").filter((F.col("a") < F.col("b")) & (F.col("key") == F.array_min(F.array_intersect("ka", "kb"))))
+        told = met.select("a", "b", R.conflicting(F.col("sa"), F.col("sb")).alias("c")).filter(F.size("c") > 0)
+        fields = F.array_join(F.array_sort(F.transform("c", lambda x: x["field"])), ",")
+        found += [tuple(r) for r in told.select("a", "b", fields.alias("fields")).orderBy("a", "b").limit(most - len(found)).collect()]  # ``most`` rows
+        open_, page = open_.filter(F.col("id") > last), page * 8
+    return spark.createDataFrame(found, "a long, b long, fields string")

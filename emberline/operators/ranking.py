@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def rrf(channels: DataFrame, k: int = 60, merge_duplicates: bool = True) -> DataFrame:
     """(id, score, first_seen) from (channel, weight, rank, id).
@@ -50,16 +52,43 @@ def band_rank(rows: DataFrame, width: float, most: int | None = None) -> DataFra
     return cut.select("id", "rel", "tie", "band", (F.col("before") + F.col("inside")).cast("int").alias("pos")).filter(F.col("pos") <= most)
 
 
-def token_budget(rows: DataFrame, tokens: str, budget: int, order: list[Column]) -> DataFrame:
-    """The longest prefix of the order whose tokens fit; the first overflow stops.
+def token_budget(rows: DataFrame, tokens: str | Column, budget: int, order: list[str | Column], page: int = 64) -> DataFrame:
+    """The longest prefix of the order whose tokens fit, with ``used``; the first overflow stops.
 
-    Tokens are whole numbers, so of the rows that have any at most ``budget`` fit and
-    the next one overflows: a page of that size holds them all. Rows without tokens go along.
+    ``order`` has names of columns, falling ones with a minus before them, or rising expressions; together they are unique.
+    Nulls stand first in rising and last in falling columns. ``tokens`` is a column
+    or an expression, which is only evaluated on pages of the order's first rows, each eight times the last, until one
+    overflows or holds all rows. Of rows with tokens at most ``budget`` fit, so only so many are summed in order; rows
+    without tokens are compared with the place of the overflow. Null tokens count as none.
     """
-    some = F.coalesce(F.col(tokens), F.lit(0)) > 0
-    page = rows.filter(some).orderBy(*order).limit(budget + 1).unionByName(rows.filter(~some))
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return page.withColumn("used", F.sum(tokens).over(w)).filter(F.col("used") <= budget)
+    spark = rows.sparkSession
+    falling = [isinstance(c, str) and c.startswith("-") for c in order]
+    columns = rows.columns
+    rows = rows.withColumns({f"_o{k}": F.col(c.lstrip("-")) if isinstance(c, str) else c for k, c in enumerate(order)})
+    by = [F.desc(f"_o{k}") if f else F.asc(f"_o{k}") for k, f in enumerate(falling)]
+    each = F.coalesce(F.col(tokens) if isinstance(tokens, str) else tokens, F.lit(0))
+    while True:
+        path = shared_folder(spark, "budget-page")
+        rows.orderBy(*by).limit(page).withColumn("_t", each).write.parquet(path)
+        held = spark.read.parquet(path)
+        n, sum_ = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("_t"), F.lit(0))).first()
+        if n < page or sum_ > budget:
+            break
+        page *= 8
+    w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    some = held.filter("_t > 0").orderBy(*by).limit(budget + 1).withColumn("used", F.sum("_t").over(w))
+    over = some.filter(F.col("used") > budget).orderBy("used").limit(1).collect()  # a row
+    fits = some.filter(F.col("used") <= budget)
+    free = held.filter("_t <= 0").withColumn("used", F.lit(None).cast("long"))
+    if over:
+        before, equal = F.lit(False), F.lit(True)
+        for k, falls in enumerate(falling):
+            x, at = F.col(f"_o{k}"), F.lit(over[0][f"_o{k}"])
+            first = ((x > at) | (x.isNotNull() & at.isNull())) if falls else ((x < at) | (x.isNull() & at.isNotNull()))
+            before = before | (equal & F.coalesce(first, F.lit(False)))
+            equal = equal & x.eqNullSafe(at)
+        free = free.filter(before)
+    return fits.unionByName(free).select(*columns, "used")
 
 
 def forced_cap(rows: DataFrame, forced: Column, most: int, order: list[Column]) -> DataFrame:

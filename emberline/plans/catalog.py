@@ -500,8 +500,9 @@ def k04(spark, d):
 
 @query("k06_token_budget", f"WITH s AS ({SQL_ACTIVITY}), t AS (SELECT s.id, s.score, CAST(trunc(1.3::DOUBLE * len(regexp_extract_all(content, '[a-zA-Z]+')) + 0.05::DOUBLE * length(content)) AS INTEGER) AS tokens FROM s JOIN memories m USING (id) WHERE s.score < 900 ORDER BY s.score DESC, s.id LIMIT 200) SELECT id, score, tokens FROM (SELECT *, sum(tokens) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM t) WHERE used <= 6000", ("memories",))
 def k06(spark, d):
-    rows = _activity(V.memories(spark, d)).filter("score < 900").select("id", "score", S.token_estimate(F.col("content")).alias("tokens"))
-    return ranking.token_budget(rows, "tokens", 6000, [F.desc("score"), F.col("id")]).select("id", "score", "tokens")
+    rows = _activity(V.memories(spark, d)).filter("score < 900").select("id", "score", "content")
+    kept = ranking.token_budget(rows, S.token_estimate(F.col("content")), 6000, ["-score", "id"])
+    return kept.select("id", "score", S.token_estimate(F.col("content")).alias("tokens"))
 
 
 @query("k07_activity_topn", f"WITH s AS ({SQL_ACTIVITY}) SELECT id, score, (SELECT count(*) FROM s) - 20 AS omitted FROM s ORDER BY score DESC, id LIMIT 20", ("memories",))

@@ -61,14 +61,6 @@ def f26(spark, d):
     return V.read(spark, d, "events").select("event_id", F.when(v.isNull() | F.isnan(v), "missing").when(v < 5, "low").when(v > 95, "high").when(~F.col("event_type").isin("click", "view", "purchase"), "kind").otherwise("ok").alias("code"))
 
 
-@query("j04_conflict_pairs", "SELECT a.id AS a, b.id AS b FROM memories a JOIN memories b ON a.name = b.name AND a.id < b.id WHERE a.resolved <> b.resolved AND a.importance = 10 AND b.importance >= 9", ("memories",))
-def j04(spark, d):
-    m = V.memories(spark, d).select("id", "name", "resolved", "importance")
-    a = m.filter("importance = 10").select(F.col("id").alias("a"), "name", F.col("resolved").alias("ra"))
-    b = m.filter("importance >= 9").select(F.col("id").alias("b"), "name", F.col("resolved").alias("rb"))
-    return a.join(b, "name").filter("a < b and ra <> rb").select("a", "b")
-
-
 @query("j05_receipt_targets", "SELECT 'k:' || o_custkey AS key, min(o_orderkey) AS target FROM orders JOIN customer ON 'k:' || c_custkey = 'k:' || o_custkey GROUP BY 1 HAVING count(DISTINCT o_orderkey) = 1")
 def j05(spark, d):
     c = V.read(spark, d, "customer").select(F.concat(F.lit("k:"), F.col("c_custkey").cast("string")).alias("key"))

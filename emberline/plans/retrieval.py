@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, REF
+from ..functions import facts as R
 from ..functions import scoring as S
 from ..functions import text as X
-from ..operators import chunking, clusters
+from ..operators import chunking, clusters, facts
 from ..operators import keyword_index as KI
 from ..operators import recall
 from ..sources import views as V
@@ -269,3 +270,36 @@ def q01_surfacing(spark, d):
 def q01_feelings(spark, d):
     """The feel records of some weeks, newest first, up to the token budget."""
     return recall.feelings(V.memories(spark, d), recall.Ask(after="2024-01-05 00:00:00", before="2024-01-28 00:00:00"))
+
+
+# --- conflict pairs under any shared key (J04, X11) ---------------------------------
+
+SQL_NUMBER = r"(?i)(?:^|[^\w.])(\d+(?:\.\d+)?\s*(?:kg|g|mg|ml|cm|mm|km|斤|克|毫克|毫升|天|次|小时|分钟|分|度|℃|%|元|块|h|m))\b"
+
+
+def _sql_quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query("j04_conflict_pairs", f"""WITH p AS MATERIALIZED (
+  SELECT id, ['name:' || regexp_replace(lower(name), '\\s+', '', 'g'), 'domain:' || domain[1]] AS keys, regexp_replace(regexp_replace(content, '\\[\\[[^\\]|]+\\|([^\\]]+)\\]\\]', '\\1', 'g'), '\\[\\[([^\\]|]+)\\]\\]', '\\1', 'g') AS t
+  FROM memories WHERE NOT resolved AND NOT pinned AND NOT protected AND type = 'dynamic' AND content <> ''
+), s AS MATERIALIZED (
+  SELECT id, keys, list_sort(list_distinct(list_transform(regexp_extract_all(t, {_sql_quoted(R.DATE)}), lambda x: trim(x)))) AS dates, regexp_matches(t, {_sql_quoted(R.NEGATION)}) AS neg,
+    list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(t, {_sql_quoted(R.DATE)}, ' ', 'g'), {_sql_quoted(SQL_NUMBER)}, 1), lambda x: trim(x)))) AS numbers,
+    regexp_extract_all(t, {_sql_quoted(R.KEY_VALUE)}, 1) AS k, regexp_extract_all(t, {_sql_quoted(R.KEY_VALUE)}, 2) AS v
+  FROM p
+), kv AS MATERIALIZED (SELECT id, k, v FROM (SELECT id, lower(trim(k[i])) AS k, left(trim(v[i]), 180) AS v, i FROM (SELECT id, k, v, unnest(range(1, len(k) + 1)) AS i FROM s)) QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY i DESC) = 1),
+pr AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.dates AS da, b.dates AS db, a.numbers AS na, b.numbers AS nb, a.neg AS ga, b.neg AS gb FROM s a JOIN s b ON a.id < b.id AND len(list_intersect(a.keys, b.keys)) > 0),
+f AS (
+  SELECT pr.a, pr.b, x.k AS field FROM pr JOIN kv x ON x.id = pr.a JOIN kv y ON y.id = pr.b AND y.k = x.k AND y.v <> x.v
+  UNION SELECT a, b, 'date' FROM pr WHERE len(da) > 0 AND len(db) > 0 AND da <> db
+  UNION SELECT a, b, 'number' FROM pr WHERE len(na) > 0 AND len(nb) > 0 AND na <> nb
+  UNION SELECT a, b, 'negation' FROM pr WHERE ga <> gb
+)
+SELECT a, b, string_agg(field, ',' ORDER BY field) AS fields FROM f GROUP BY a, b ORDER BY a, b LIMIT 500""", ("memories",))
+def j04(spark, d):
+    """The first five hundred conflicting pairs of open, unprotected records that share a name or a domain."""
+    m = V.memories(spark, d)
+    live = m.filter(~F.col("resolved") & ~R.slot_exempt(F.col("pinned"), F.col("protected"), F.col("type"), F.col("domain")) & (F.col("content") != ""))
+    return facts.conflict_pairs(live.select("id", "name", "domain", "content"), 500)

@@ -90,3 +90,42 @@ def test_empty_index(spark, records):
     index = keyword_index.build(df.limit(0), F.col("w"), ["kind"])
     asked = spark.createDataFrame([(1, "w1")], "qid long, query string")
     assert keyword_index.search(spark, index, asked, 5, 4.0, 9.5)[0].count() == 0
+
+
+def test_budget_against_a_plain_loop(spark):
+    from emberline.operators import ranking
+
+    rng = np.random.default_rng(6)
+    rows = [(k, float(rng.integers(0, 9)) if k % 17 else None, int(rng.choice([0, 0, 0, 2, 5])) if k % 5 else None) for k in range(700)]
+    df = spark.createDataFrame(rows, "id long, score double, tokens int")
+    ordered = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for budget in (0, 7, 300, 10_000):
+        used, want = 0, []
+        for r in ordered:
+            used += r[2] or 0
+            if used > budget:
+                break
+            want.append(r[0])
+        assert sorted(r.id for r in ranking.token_budget(df, "tokens", budget, ["-score", "id"], page=16).collect()) == sorted(want), budget
+
+
+def test_conflict_pairs_in_order(spark):
+    from emberline.operators import facts
+
+    texts = ["size = 4 kg", "size = 5 kg", "size = 4 kg", "not yet", "on 2024-01-02", "on 2024-02-03 no", "plain", None]
+    rows = [(k if k != 40 else None, f"Name {k % 9}" if k % 4 else None, [f"d{k % 3}", None] if k % 6 else None, texts[k % 8]) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, name string, domain array<string>, content string").repartition(3)
+    sig = {"size = 4 kg": ({"size": "4 kg"}, (), ("4 kg",), 0), "size = 5 kg": ({"size": "5 kg"}, (), ("5 kg",), 0), "not yet": ({}, (), (), 1), "on 2024-01-02": ({}, ("2024-01-02",), (), 0), "on 2024-02-03 no": ({}, ("2024-02-03",), (), 1)}
+    of = lambda t: sig.get(t, ({}, (), (), 0))
+    want = []
+    for i, n, d, t in rows:
+        for j, m, e, u in rows:
+            if i is None or j is None or i >= j or not ((n and n == m) or set(d or []) & set(e or []) - {None}):
+                continue
+            a, b = of(t), of(u)
+            fields = [k for k in a[0] if k in b[0] and a[0][k] != b[0][k]] + [f for f, x, y in (("date", a[1], b[1]), ("number", a[2], b[2])) if x and y and x != y] + (["negation"] if a[3] != b[3] else [])
+            if fields:
+                want.append((i, j, ",".join(sorted(fields))))
+    assert len(want) > 300
+    for most in (1, 50, 100_000):
+        assert [tuple(r) for r in facts.conflict_pairs(df, most, page=4).orderBy("a", "b").collect()] == sorted(want)[:most]
