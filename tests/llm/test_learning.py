@@ -417,3 +417,26 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     sites, mean = quality.site_priors(spark.createDataFrame(rows, "host string, path string, evidence double"), 0.0)
     prior = {r.host: r.path_prior for r in sites.collect()}
     assert prior["a"] > 0.9 and prior["b"] < 0.1 and prior["b"] < prior["c"] < mean < prior["d"] < prior["a"]
+
+
+def test_rounds_learn_more_than_one_average(spark, monkeypatch):
+    """Nine units in three rounds of three shards learn several times what nine models averaged once do; one
+    model over all of them, with more steps one after the other, still learns more (README)."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(1200):
+        w = [int(rng.integers(0, 60))]
+        for _ in range(int(rng.integers(200, 400))):
+            w.append((w[-1] * 7 + int(rng.integers(0, 2))) % 60)
+        rows.append((i, " ".join(f"w{x}" for x in w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gain = {}
+    for name, tokens, units in (("one", 1 << 30, None), ("rounds", 36_000, None), ("average", 36_000, lambda n: (9, 1))):
+        monkeypatch.setattr(lm_score, "SHARD_TOKENS", tokens)
+        if units:
+            monkeypatch.setattr(lm_score, "units_of", units)
+        elif name == "rounds":
+            assert lm_score.units_of(310_000) == (3, 3)
+        r = [x for x in lm_score.language_model_scores(frame).collect() if x.held_out]
+        gain[name] = sum(x.score - x.base_score for x in r) / sum(x.n_tokens for x in r)
+    assert gain["one"] > gain["rounds"] > 3 * gain["average"] > 0, gain
