@@ -76,3 +76,15 @@ def edge_quality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     back = pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))
     one = lambda kind, df: df.select(F.lit(kind).alias("kind"), "source", "target")
     return one("dangling", pairs.join(ids, "target", "left_anti")).unionByName(one("one_way", pairs.join(back, ["source", "target"], "left_anti"))).unionByName(one("mutual", pairs.join(back, ["source", "target"], "left_semi").filter("source < target")))
+
+
+def spread_labels(comp: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, comp, label, how): the label of components (id, comp) whose labelled ids (id, label) name exactly one.
+
+    ``how`` is ``own`` for ids with a label, ``spread`` for the others. Components without a label, or with two,
+    give no rows; null labels don't count.
+    """
+    named = labels.filter("label is not null").groupBy("id").agg(F.min("label").alias("own"), F.max("label").alias("last"))
+    one = named.join(comp, "id").groupBy("comp").agg(F.min("own").alias("label"), F.max("last").alias("last")).filter("label = last").drop("last")
+    met = comp.join(one, "comp").join(named.select("id", "own"), "id", "left")
+    return met.select("id", "comp", "label", F.when(F.col("own").isNull(), "spread").otherwise("own").alias("how"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +12,19 @@ from pyspark.sql import functions as F
 def append_once(stored: DataFrame, incoming: DataFrame, key: list[str], digest: str) -> DataFrame:
     """``incoming`` with ``outcome``: inserted, replayed or conflict.
 
-    The first row of a key wins, stored rows before incoming ones; an equal digest
-    is a replay, another one a conflict. Incoming rows carry ``seq``.
+    The first row of a key wins, stored rows before incoming ones; an equal digest (null equals null)
+    is a replay, another one a conflict. Incoming rows carry a unique ``seq``. Null keys are keys too; a stored key
+    with several digests counts with the least. First rows are found by an aggregate, so a key of many rows is
+    combined before it is shuffled.
     """
-    w = Window.partitionBy(*key).orderBy("seq")
-    known = stored.select(*key, F.col(digest).alias("_stored")).distinct()
-    rows = incoming.withColumn("_first", F.first(digest).over(w)).withColumn("_rn", F.row_number().over(w)).join(known, key, "left")
-    base = F.coalesce("_stored", "_first")
-    return rows.withColumn("outcome", F.when(F.col("_stored").isNull() & (F.col("_rn") == 1), "inserted").when(F.col(digest) == base, "replayed").otherwise("conflict")).drop("_first", "_rn", "_stored")
+    side = lambda df, x: df.groupBy(*[F.col(k).alias(f"_{x}{n}") for n, k in enumerate(key)])
+    same = lambda x: reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{x}{n}")) for n, k in enumerate(key)])
+    known = side(stored, "s").agg(F.min(F.struct(digest)).alias("_stored"))
+    first = side(incoming, "f").agg(F.min(F.struct("seq", digest)).alias("_first"))
+    met = incoming.join(known, same("s"), "left").join(first, same("f"), "left")
+    base = F.when(F.col("_stored").isNotNull(), F.col(f"_stored.{digest}")).otherwise(F.col(f"_first.{digest}"))
+    new = F.col("_stored").isNull() & F.col("seq").eqNullSafe(F.col("_first.seq"))
+    return met.withColumn("outcome", F.when(new, "inserted").when(F.col(digest).eqNullSafe(base), "replayed").otherwise("conflict")).select(*incoming.columns, "outcome")
 
 
 def upsert(log: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:

@@ -20,10 +20,13 @@ from ..sources import exports, views as V
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+#: Rules on fixed inputs, which read no table: tests hold them against SQL, they are no queries.
+CASES: dict[str, Callable] = {}
+CASES_SQL: dict[str, str] = {}
 SQL_REF = f"TIMESTAMP '{REF}'"
 
 
-def query(name: str, sql: str | None = None, use: tuple[str, ...] = (), lists: tuple[str, ...] = ()):
+def query(name: str, sql: str | None = None, use: tuple[str, ...] = (), lists: tuple[str, ...] = (), into=(QUERIES, SQL)):
     """Register a query; ``use`` names the views that its SQL reads, ``lists`` the list columns,
     which both sides return as text (items parted by bars; null stays null)."""
 
@@ -32,17 +35,22 @@ def query(name: str, sql: str | None = None, use: tuple[str, ...] = (), lists: t
             df = f(spark, sf_dir)
             return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|") for c in lists}) if lists else df
 
-        QUERIES[name] = run
+        into[0][name] = run
         if sql is not None:
             with_ = "WITH RECURSIVE " + ", ".join(V.SQL[u] for u in use) if use else ""
             body = sql.strip()
             whole = f"{with_}, {body[5:]}" if use and body.upper().startswith("WITH ") else f"{with_} {body}"
-            SQL[name] = f"SELECT * REPLACE ({', '.join(f"array_to_string({c}, '|') AS {c}" for c in lists)}) FROM ({whole})" if lists else whole
+            into[1][name] = f"SELECT * REPLACE ({', '.join(f"array_to_string({c}, '|') AS {c}" for c in lists)}) FROM ({whole})" if lists else whole
         return f
 
     return register
 
 
+def case(name: str, sql: str | None = None, use: tuple[str, ...] = (), lists: tuple[str, ...] = ()):
+    """As ``query``, among the cases."""
+    return query(name, sql, use, lists, (CASES, CASES_SQL))
+
+
 def _age(column: str):
     return S.days_between(V.ref(), F.col(column))
 
@@ -638,6 +646,18 @@ def g02(spark, d):
     return graph.components(V.edges(spark, d).filter("type = 'kin'"), V.memories(spark, d).select("id"))
 
 
+@query("g02_thread_labels", """WITH e AS (SELECT source AS a, target AS b FROM edges WHERE type = 'kin' UNION SELECT target, source FROM edges WHERE type = 'kin'),
+walk AS (SELECT id, id AS reach FROM memories UNION SELECT walk.id, e.b FROM walk JOIN e ON e.a = walk.reach),
+c AS (SELECT id, min(reach) AS comp FROM walk GROUP BY id), own AS (SELECT id, thread AS label FROM memories WHERE resolved OR protected),
+one AS (SELECT comp, min(label) AS label FROM c JOIN own USING (id) GROUP BY comp HAVING count(DISTINCT label) = 1)
+SELECT c.id, c.comp, one.label, CASE WHEN own.label IS NULL THEN 'spread' ELSE 'own' END AS how FROM c JOIN one USING (comp) LEFT JOIN own USING (id)""", ("memories", "edges"))
+def g02_labels(spark, d):
+    """Labels of judged records spread over their component, if it names one label only."""
+    m = V.memories(spark, d)
+    comp = graph.components(V.edges(spark, d).filter("type = 'kin'"), m.select("id"))
+    return graph.spread_labels(comp, m.filter("resolved or protected").select("id", F.col("thread").alias("label")))
+
+
 # --- stateful operators, as batches ----------------------------------------
 
 
@@ -747,8 +767,11 @@ def q23(spark, d):
     return item("uncovered", o.join(li, "o_orderkey", "left_anti")).unionByName(item("orphans", li.join(o.select("o_orderkey"), "o_orderkey", "left_anti"))).unionByName(status)
 
 
-@query("q24_integrity", "SELECT conv_id, turn FROM conversations WHERE sha256(text) <> sha256(CASE WHEN turn = 3 THEN text || '!' ELSE text END)")
+@query("q24_integrity", "SELECT 'document' AS part, doc_id AS id FROM documents WHERE n_chars <> length(text) OR n_chars IS NULL UNION ALL SELECT 'label', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'turn', conv_id FROM conversations GROUP BY conv_id HAVING count(*) <> max(turn) - min(turn) + 1")
 def q24(spark, d):
-    c = V.read(spark, d, "conversations")
-    stored = F.sha2(F.when(F.col("turn") == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary"), 256)
-    return c.filter(F.sha2(F.col("text").cast("binary"), 256) != stored).select("conv_id", "turn")
+    """Rows that break a contract: a stored length that isn't the text's, a label without its document, turns with gaps or repeats."""
+    docs = V.read(spark, d, "documents")
+    wrong = docs.filter(F.col("n_chars").isNull() | (F.col("n_chars") != F.length("text"))).select(F.lit("document").alias("part"), F.col("doc_id").alias("id"))
+    lost = V.read(spark, d, "labels").join(docs.select("doc_id"), "doc_id", "left_anti").select(F.lit("label").alias("part"), F.col("doc_id").alias("id"))
+    turns = V.read(spark, d, "conversations").groupBy("conv_id").agg((F.count(F.lit(1)) != F.max("turn") - F.min("turn") + 1).alias("bad"))
+    return wrong.unionByName(lost).unionByName(turns.filter("bad").select(F.lit("turn").alias("part"), F.col("conv_id").alias("id")))

@@ -11,7 +11,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import graph, hooks, ledger, vectors, writes
 from ..sources import views as V
-from .catalog import _age, _sql_age, query
+from .catalog import _age, _sql_age, case, query
 
 i = lambda: F.col("id")
 N = lambda: F.count(F.lit(1))
@@ -21,7 +21,7 @@ N = lambda: F.count(F.lit(1))
 QUESTIONS = [("生日是哪天", 1), ("我们之间最近怎么样", 0), ("什么时候搬到上海", 0), ("recap of the timeline", 0), ("hello", 0), ("", 0), (None, 0)]
 
 
-@query("m14_intent", "SELECT * FROM (VALUES ('生日是哪天', 'fact', 0.95::DOUBLE), ('我们之间最近怎么样', 'relation', 0.95), ('什么时候搬到上海', 'temporal', 0.9), ('recap of the timeline', 'temporal', 0.775), ('hello', 'default', 0.0), ('', 'default', 0.0), (NULL, 'default', 0.0)) t(question, intent, confidence)")
+@case("m14_intent", "SELECT * FROM (VALUES ('生日是哪天', 'fact', 0.95::DOUBLE), ('我们之间最近怎么样', 'relation', 0.95), ('什么时候搬到上海', 'temporal', 0.9), ('recap of the timeline', 'temporal', 0.775), ('hello', 'default', 0.0), ('', 'default', 0.0), (NULL, 'default', 0.0)) t(question, intent, confidence)")
 def m14(spark, d):
     q = spark.createDataFrame(QUESTIONS, "question string, slots int")
     return q.select("question", I.intent(F.col("question"), F.col("slots")).alias("x")).select("question", "x.intent", "x.confidence")
@@ -33,7 +33,7 @@ def m15(spark, d):
     return V.memories(spark, d).select("id", S.scaled_pool(intent, 20).alias("pool"))
 
 
-@query("x49_status_view", "SELECT * FROM (VALUES ('部署完成了吗', 'current'), ('之前部署失败', 'historical'), ('部署完成', 'neutral'), ('what is up?', 'neutral')) t(question, view)")
+@case("x49_status_view", "SELECT * FROM (VALUES ('部署完成了吗', 'current'), ('之前部署失败', 'historical'), ('部署完成', 'neutral'), ('what is up?', 'neutral')) t(question, view)")
 def x49(spark, d):
     q = spark.createDataFrame([("部署完成了吗",), ("之前部署失败",), ("部署完成",), ("what is up?",)], "question string")
     return q.select("question", I.status_view(F.col("question")).alias("view"))
@@ -65,7 +65,7 @@ def x51(spark, d):
     return _status(spark, d).select("id", F.when(F.col("status"), F.when(state.isin("current", "historical", "contested"), state).otherwise("unknown")).alias("state"))
 
 
-@query("r93_state_profile", "SELECT * FROM (VALUES ('现在部署完成了吗', 'current', 'current'), ('以前住哪', 'historical', 'neutral'), ('之前部署失败', 'neutral', 'historical')) t(question, fact_view, status_view)")
+@case("r93_state_profile", "SELECT * FROM (VALUES ('现在部署完成了吗', 'current', 'current'), ('以前住哪', 'historical', 'neutral'), ('之前部署失败', 'neutral', 'historical')) t(question, fact_view, status_view)")
 def r93(spark, d):
     from ..operators.facts import state_view
 
@@ -73,13 +73,13 @@ def r93(spark, d):
     return q.select("question", state_view(F.col("question")).alias("fact_view"), I.status_view(F.col("question")).alias("status_view"))
 
 
-@query("m13_query_emotion", "SELECT * FROM (VALUES ('so happy and calm', 0.5::DOUBLE), ('not happy', -0.5), ('sad', -0.5), ('plain', 0.0)) t(question, valence)")
+@case("m13_query_emotion", "SELECT * FROM (VALUES ('so happy and calm', 0.5::DOUBLE), ('not happy', -0.5), ('sad', -0.5), ('plain', 0.0)) t(question, valence)")
 def m13(spark, d):
     q = spark.createDataFrame([("so happy and calm",), ("not happy",), ("sad",), ("plain",)], "question string")
     return q.select("question", S.lexicon_valence(F.col("question"), {"happy": 0.5, "sad": -0.5}).alias("valence"))
 
 
-@query("r32_negation", "SELECT * FROM (VALUES ('i am not very happy', true), ('i am happy, not sad', false), ('isn''t happy', true), ('no, really happy', false)) t(said, negated)")
+@case("r32_negation", "SELECT * FROM (VALUES ('i am not very happy', true), ('i am happy, not sad', false), ('isn''t happy', true), ('no, really happy', false)) t(said, negated)")
 def r32(spark, d):
     q = spark.createDataFrame([("i am not very happy",), ("i am happy, not sad",), ("isn't happy",), ("no, really happy",)], "said string")
     return q.select("said", I.negated(F.col("said"), "happy").alias("negated"))
@@ -417,7 +417,7 @@ def q27(spark, d):
     return hooks.cached(m, cache, "summary", "text", "summary").select("id", "summary", "from_cache")
 
 
-@query("q28_angles", "SELECT * FROM (VALUES ('where is the lighthouse', ['where is the lighthouse', 'lighthouse', 'where']), ('go', ['go', 'go'])) t(question, angles)", lists=("angles",))
+@case("q28_angles", "SELECT * FROM (VALUES ('where is the lighthouse', ['where is the lighthouse', 'lighthouse', 'where']), ('go', ['go', 'go'])) t(question, angles)", lists=("angles",))
 def q28(spark, d):
     q = spark.createDataFrame([("where is the lighthouse",), ("go",)], "question string")
     return hooks.apply(q, "angles", "question", "angles")
@@ -592,11 +592,21 @@ def f26(spark, d):
     return V.memories(spark, d).select("id", got.alias("error"))
 
 
-@query("q24_ledger_integrity", "SELECT 'conversations' AS part, count(*) AS rows, count(*) FILTER (turn = 2) AS broken FROM conversations UNION ALL SELECT 'orders', count(*), count(*) FILTER (o_orderstatus = 'P') FROM orders")
+@query("q24_ledger_integrity", """SELECT 'turns' AS part, count(*) AS rows, count(*) FILTER (prior IS NOT NULL AND turn <> prior + 1) AS broken FROM (SELECT turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM conversations)
+UNION ALL SELECT 'lines', count(*), count(*) FILTER (o_orderkey IS NULL) FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT 'orders', count(*), count(*) FILTER (c_custkey IS NULL OR o_orderstatus NOT IN ('O', 'F', 'P')) FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT 'texts', count(*), count(*) FILTER (n_chars <> length(text)) FROM documents""")
 def q24(spark, d):
-    c = V.read(spark, d, "conversations")
-    body = F.when(F.col("turn") == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))  # a row that changed after it was written
-    texts = c.select((F.sha2(F.col("text").cast("binary"), 256) != F.sha2(body.cast("binary"), 256)).alias("bad"))
-    states = V.read(spark, d, "orders").select((~F.col("o_orderstatus").isin("O", "F")).alias("bad"))
-    part = lambda name, df: df.agg(N().alias("rows"), F.count_if("bad").alias("broken")).select(F.lit(name).alias("part"), "rows", "broken")
-    return part("conversations", texts).unionByName(part("orders", states))
+    """Sequence, reference, state and stored length of each part of the store."""
+    read = lambda t: V.read(spark, d, t)
+    prior = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = read("conversations").select("turn", prior.alias("prior")).select((F.col("prior").isNotNull() & (F.col("turn") != F.col("prior") + 1)).alias("bad"))
+    orders = read("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    lines = read("lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(orders.select("o_orderkey", F.lit(False).alias("bad")), "o_orderkey", "left")
+    kept = orders.withColumnRenamed("o_custkey", "c_custkey").join(read("customer").select("c_custkey", F.lit(True).alias("known")), "c_custkey", "left")
+    texts = read("documents").select((F.col("n_chars") != F.length("text")).alias("bad"))
+    part = lambda name, df: df.agg(N().alias("rows"), F.count_if(F.coalesce("bad", F.lit(name != "texts"))).alias("broken")).select(F.lit(name).alias("part"), "rows", "broken")
+    states = kept.select((F.col("known").isNull() | ~F.col("o_orderstatus").isin("O", "F", "P")).alias("bad"))
+    return part("turns", turns).unionByName(part("lines", lines)).unionByName(part("orders", states)).unionByName(part("texts", texts))
+
+

@@ -11,7 +11,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import facts as O
 from ..sources import views as V
-from .catalog import SQL_REF, query
+from .catalog import SQL_REF, case, query
 
 i = lambda: F.col("id")
 N = lambda: F.count(F.lit(1))
@@ -107,7 +107,7 @@ def f06(spark, d):
     return out
 
 
-@query("x12_alias_expansion", f"WITH {SQL_FACTS}, {SQL_REGISTRY} SELECT fact_key, unnest(aliases) AS alias FROM registry", ("memories",))
+@case("x12_alias_expansion", f"WITH {SQL_FACTS}, {SQL_REGISTRY} SELECT fact_key, unnest(aliases) AS alias FROM registry", ("memories",))
 def x12(spark, d):
     return O.aliases(registry(spark))
 
@@ -119,12 +119,12 @@ def x13(spark, d):
     return O.labelled(V.memories(spark, d).select("id", body.alias("content")), registry(spark))
 
 
-@query("x14_question_slots", "SELECT * FROM (VALUES ('what is one now', 'pref.k1'), ('is LABEL 5 the same as two?', 'pref.k5'), ('is LABEL 5 the same as two?', 'pref.k2')) t(question, fact_key)")
+@case("x14_question_slots", "SELECT * FROM (VALUES ('what is one now', 'pref.k1'), ('is LABEL 5 the same as two?', 'pref.k5'), ('is LABEL 5 the same as two?', 'pref.k2')) t(question, fact_key)")
 def x14(spark, d):
     return O.mentioned_slots(spark.createDataFrame([("what is one now",), ("is LABEL 5 the same as two?",), ("nobody knows",)], "question string"), registry(spark))
 
 
-@query("r84_slot_mentions", "SELECT 'one and uno, label 6' AS question, 'label 6' AS alias, 'pref.k6' AS fact_key UNION ALL SELECT 'one and uno, label 6', 'one', 'pref.k1' UNION ALL SELECT 'one and uno, label 6', 'uno', 'pref.k1'")
+@case("r84_slot_mentions", "SELECT 'one and uno, label 6' AS question, 'label 6' AS alias, 'pref.k6' AS fact_key UNION ALL SELECT 'one and uno, label 6', 'one', 'pref.k1' UNION ALL SELECT 'one and uno, label 6', 'uno', 'pref.k1'")
 def r84(spark, d):
     return O.mentions(spark.createDataFrame([("one and uno, label 6",), ("twofold",)], "question string"), registry(spark))
 
@@ -146,7 +146,7 @@ def x18(spark, d):
     return V.memories(spark, d).select("id", O.link_targets(status, i() + 1, F.array(i() - 1)).alias("targets"))
 
 
-@query("x15_state_view", "SELECT * FROM (VALUES ('以前住哪', 'historical'), ('现在住哪', 'current'), ('从北京到上海的变化', 'transition'), ('住哪', 'neutral'), ('以前和现在', 'transition')) t(question, view)")
+@case("x15_state_view", "SELECT * FROM (VALUES ('以前住哪', 'historical'), ('现在住哪', 'current'), ('从北京到上海的变化', 'transition'), ('住哪', 'neutral'), ('以前和现在', 'transition')) t(question, view)")
 def x15(spark, d):
     q = spark.createDataFrame([("以前住哪",), ("现在住哪",), ("从北京到上海的变化",), ("住哪",), ("以前和现在",)], "question string")
     return q.select("question", O.state_view(F.col("question")).alias("view"))
@@ -260,7 +260,7 @@ def x10(spark, d):
     return _pair(spark, d).select("id", F.size(entries).cast("long").alias("n"), F.array_join(stamped, ",").alias("audit")).filter("n > 0")
 
 
-@query("x52_asks_history", "SELECT * FROM (VALUES ('Where did I live BEFORE?', true), ('上次说了什么', true), ('where now', false), (NULL, false)) t(question, history)")
+@case("x52_asks_history", "SELECT * FROM (VALUES ('Where did I live BEFORE?', true), ('上次说了什么', true), ('where now', false), (NULL, false)) t(question, history)")
 def x52(spark, d):
     q = spark.createDataFrame([("Where did I live BEFORE?",), ("上次说了什么",), ("where now",), (None,)], "question string")
     return q.select("question", F.coalesce(R.asks_history(F.col("question")), F.lit(False)).alias("history"))

@@ -11,7 +11,7 @@ from ..operators import entities as E
 from ..operators import ledger, patrol, ranking, timeline, writes
 from ..sources import jsonl, markdown
 from ..sources import views as V
-from .catalog import QUERY_VECTOR, SQL_QUERY, SQL_REF, _age, _sql_age, query
+from .catalog import QUERY_VECTOR, SQL_QUERY, SQL_REF, _age, _sql_age, case, query
 
 i = lambda: F.col("id")
 N = lambda: F.count(F.lit(1))
@@ -331,11 +331,14 @@ def r56(spark, d):
     return V.memories(spark, d).select("id", F.explode(axes).alias("axis")).select("id", "axis", F.md5(F.concat_ws(":", i().cast("string"), "axis").cast("binary")).alias("key"))
 
 
-@query("r57_counter_identities", "SELECT run, attempted = succeeded + failed AS ok FROM (SELECT user_id AS run, count(*) AS attempted, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1)")
+@query("r57_counter_identities", """WITH l AS (SELECT l_orderkey, bool_or(l_returnflag = 'N') AS open FROM lineitem GROUP BY 1)
+SELECT o_custkey AS run, count(*) AS attempted, count(*) FILTER (NOT open) AS succeeded, count(*) FILTER (open) AS failed, count(*) = count(*) FILTER (NOT open) + count(*) FILTER (open) AS ok FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1""")
 def r57(spark, d):
-    bad = F.col("event_type") == "error"
-    c = V.read(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(N().alias("a"), F.count_if(~bad).alias("s"), F.count_if(bad).alias("f"))
-    return c.select("run", (F.col("a") == F.col("s") + F.col("f")).alias("ok"))
+    """Attempts are orders, their outcomes are found from the lines: an order without lines has none."""
+    lines = V.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count_if(F.col("l_returnflag") == "N") > 0).alias("open"))
+    met = V.read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("run")).join(lines, "o_orderkey", "left")
+    c = met.groupBy("run").agg(N().alias("attempted"), F.count_if(~F.col("open")).alias("succeeded"), F.count_if("open").alias("failed"))
+    return c.withColumn("ok", F.col("attempted") == F.col("succeeded") + F.col("failed"))
 
 
 @query("r60_enqueue", "SELECT count(*) AS added FROM (SELECT DISTINCT source, target FROM edges WHERE type = 'causes' EXCEPT SELECT source, target FROM edges WHERE strength > 0.5)", ("edges",))
@@ -651,7 +654,7 @@ def q14(spark, d):
     return m.select("id", (X.hits(F.col("content"), ["the", "and"]) + X.hits(F.col("name"), ["src3"])).alias("hits")).orderBy(F.desc("hits"), "id").limit(10)
 
 
-@query("m02_query_parts", "SELECT * FROM (VALUES ('where is the Trip to Rome', ['trip', 'rome']), ('the and', ['the and']), ('Rome rome', ['rome'])) t(question, parts)", lists=("parts",))
+@case("m02_query_parts", "SELECT * FROM (VALUES ('where is the Trip to Rome', ['trip', 'rome']), ('the and', ['the and']), ('Rome rome', ['rome'])) t(question, parts)", lists=("parts",))
 def m02(spark, d):
     from ..functions import text as X
 
@@ -751,7 +754,7 @@ def r94(spark, d):
     return V.memories(spark, d).select("id", F.md5(F.concat_ws("\n", "content", block).cast("binary")).alias("digest"))
 
 
-@query("r81_layered_config", "SELECT * FROM (VALUES ('topic', '5.0', 'env'), ('emotion', '3.0', 'file'), ('time', '2.5', 'default')) t(name, value, source)")
+@case("r81_layered_config", "SELECT * FROM (VALUES ('topic', '5.0', 'env'), ('emotion', '3.0', 'file'), ('time', '2.5', 'default')) t(name, value, source)")
 def r81(spark, d):
     from ..config import layered
 
@@ -847,7 +850,7 @@ def g03(spark, d):
     return graph.valid(V.edges(spark, d), ["kin", "causes"]).select("source", "target", "type")
 
 
-@query("r14_boundaries", "SELECT * FROM (VALUES ('york', 'New York', 1), ('york', 'Yorkshire', 0), ('上海', '在上海见', 1), ('ann', '见ann了', 1), ('ann', 'annex', 0)) t(alias, said, n)")
+@case("r14_boundaries", "SELECT * FROM (VALUES ('york', 'New York', 1), ('york', 'Yorkshire', 0), ('上海', '在上海见', 1), ('ann', '见ann了', 1), ('ann', 'annex', 0)) t(alias, said, n)")
 def r14(spark, d):
     rows = spark.createDataFrame([("york", "New York"), ("york", "Yorkshire"), ("上海", "在上海见"), ("ann", "见ann了"), ("ann", "annex")], "alias string, said string")
     return rows.select("alias", "said", E.occurrences(F.col("said"), F.col("alias")).alias("n"))
@@ -909,7 +912,7 @@ def x20(spark, d):
     return V.memories(spark, d).select("id", membership(labelled, meta, F.lit("n"), said, r"(?i)likes? ([a-z ]+)").alias("match"))
 
 
-@query("x24_resolved_questions", "SELECT * FROM (VALUES (1::BIGINT, 'where is san francisco now', ['sf'], []), (2, 'ny or york', ['york'], ['ny']), (3, 'nothing', [], [])) t(id, canonical, found, ambiguous)", lists=("found", "ambiguous"))
+@case("x24_resolved_questions", "SELECT * FROM (VALUES (1::BIGINT, 'where is san francisco now', ['sf'], []), (2, 'ny or york', ['york'], ['ny']), (3, 'nothing', [], [])) t(id, canonical, found, ambiguous)", lists=("found", "ambiguous"))
 def x24(spark, d):
     known = spark.createDataFrame([("sf", "e1", "san francisco"), ("ny", "e2", "new york"), ("ny", "e3", "normandy"), ("york", "e4", "york")], "alias string, entity string, name string")
     asked = spark.createDataFrame([(1, "where is SF now"), (2, "NY or York"), (3, "nothing")], "id long, text string")
