@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import cosine
@@ -133,3 +133,33 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> Da
     blocks = unit_blocks(plain_rows(vectors), block)
     pairs = near_blocks(blocks, blocks, threshold).filter("name_a <= name_b")
     return met(pairs, score, "a long, b long, sim double").filter("a < b")
+
+
+def segment_neighbours(records: DataFrame, queries: DataFrame, k: int, floor: float, block: int = 4096) -> DataFrame:
+    """(query, rank, id, sim): each query record's ``k`` best other records by their best pair of segments.
+
+    Records and queries are (id, segments: array of vectors); a pair's score is the greatest cosine of a segment of one
+    with a segment of the other, over ``floor`` (0 or more). All queries ask at once: segments stand in stored blocks of near
+    ones, pairs of blocks that lie farther apart than the floor allows are dropped, and of a pair of blocks each query
+    keeps its ``k`` best records. Equal scores go to the smaller id; segments of unequal lengths and zero segments don't meet.
+    """
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("sim", pa.float64())])
+    rows = lambda df: plain_rows(df.select("id", F.explode("segments").alias("vec")))
+
+    def score(ids, unit, others, with_, same):
+        order, to = np.argsort(ids, kind="stable"), np.argsort(others, kind="stable")
+        sim = np.round(unit[order] @ with_[to].T, 9)
+        q, at = np.unique(ids[order], return_index=True)
+        x, by = np.unique(others[to], return_index=True)
+        best = np.maximum.reduceat(np.maximum.reduceat(sim, by, axis=1), at, axis=0)  # a row a query, a column a record
+        ok = (best > floor) & (q[:, None] != x[None, :])
+        if len(x) > k:
+            kth = np.partition(np.where(ok, best, -2.0), len(x) - k, axis=1)[:, len(x) - k]
+            ok &= best >= kth[:, None]
+        i, j = np.nonzero(ok)
+        return pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(x[j]), pa.array(best[i, j])], schema=schema)
+
+    pairs = near_blocks(unit_blocks(rows(queries), block), unit_blocks(rows(records), block), floor)
+    found = met(pairs, score, "query long, id long, sim double").groupBy("query", "id").agg(F.max("sim").alias("sim"))
+    order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "id", F.round("sim", 6).alias("sim"))

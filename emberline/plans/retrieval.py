@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import chunking, clusters, facts
 from ..operators import keyword_index as KI
 from ..operators import recall
+from ..operators import vectors as VS
 from ..sources import views as V
 from .catalog import QUERY_VECTOR, SQL_ACTIVITY, SQL_QUERY, _age, _sql_age, _sql_redacted, query
 
@@ -303,3 +304,19 @@ def j04(spark, d):
     m = V.memories(spark, d)
     live = m.filter(~F.col("resolved") & ~R.slot_exempt(F.col("pinned"), F.col("protected"), F.col("type"), F.col("domain")) & (F.col("content") != ""))
     return facts.conflict_pairs(live.select("id", "name", "domain", "content"), 500)
+
+
+# --- nearest records by their best pair of segments (K02, Q05, M19) -------------------
+
+SQL_SEGMENTS = "SELECT id, k, vec[k * 16 + 1 : k * 16 + 16] AS seg FROM vectors, range(4) r(k)"
+
+
+@query("q05_segment_neighbours", f"""WITH s AS ({SQL_SEGMENTS}), q AS (SELECT s.* FROM s JOIN memories m USING (id) WHERE m.event_at >= TIMESTAMP '2024-01-20 00:00:00'),
+x AS (SELECT q.id AS query, s.id AS id, max(round(list_cosine_similarity(q.seg, s.seg), 9)) AS sim FROM q JOIN s ON q.id <> s.id GROUP BY 1, 2)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS INTEGER) AS rank, id, round(sim, 6) AS sim FROM x WHERE sim > 0.5 QUALIFY rank <= 8""", ("memories", "vectors"))
+def q05_segments(spark, d):
+    """The eight stored records nearest to each record of the newest days, which all ask at once."""
+    cut = F.expr("transform(sequence(0, 3), i -> slice(vec, i * 16 + 1, 16))")
+    v = V.vectors(spark, d).select("id", cut.alias("segments"))
+    new = V.memories(spark, d).filter(F.col("event_at") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("id")
+    return VS.segment_neighbours(v, v.join(new, "id", "left_semi"), 8, DEFAULTS.vector_floor)

@@ -129,3 +129,39 @@ def test_conflict_pairs_in_order(spark):
     assert len(want) > 300
     for most in (1, 50, 100_000):
         assert [tuple(r) for r in facts.conflict_pairs(df, most, page=4).orderBy("a", "b").collect()] == sorted(want)[:most]
+
+
+@pytest.mark.parametrize("block,floor", [(7, 0.6), (1000, 0.0)])
+def test_segment_neighbours(spark, block, floor):
+    from emberline.operators import vectors
+
+    rng = np.random.default_rng(block)
+    rows = [(k, [[float(x) for x in rng.normal(size=3)] for _ in range(k % 4)]) for k in range(60)]
+    rows += [(100 + k, rows[7][1]) for k in range(12)] + [(200, None), (201, [[0.0, 0.0, 0.0]]), (202, [[1.0, 2.0]])]
+    df = spark.createDataFrame(rows, "id long, segments array<array<double>>").repartition(3)
+    cos = lambda a, b: round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 9)
+    want = []
+    for i, a in rows:
+        if i % 3 or not a:
+            continue
+        met = [(-max(cos(x, y) for x in a for y in b), j) for j, b in rows if j != i and b and len(b[0]) == len(a[0]) and any(b[0])]
+        want += [(i, r + 1, j, round(-s, 6)) for r, (s, j) in enumerate(sorted(x for x in met if -x[0] > floor)[:5])]
+    got = [tuple(r) for r in vectors.segment_neighbours(df, df.filter("id % 3 = 0"), 5, floor, block).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_labels_spread_over_a_component_with_one_name(spark):
+    from emberline.operators import graph
+
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)], "id long, comp long")
+    labels = spark.createDataFrame([(2, "a"), (3, "a"), (3, None), (4, "a"), (5, "b"), (9, "z")], "id long, label string")
+    assert sorted(tuple(r) for r in graph.spread_labels(comp, labels).collect()) == [(1, 1, "a", "spread"), (2, 1, "a", "own"), (3, 1, "a", "own")]
+
+
+def test_append_once_with_nulls_and_several_stored_digests(spark):
+    from emberline.operators import ledger
+
+    stored = spark.createDataFrame([("a", "1"), ("a", "2"), ("n", None)], "k string, d string")
+    rows = [(1, "a", "1"), (2, "a", "2"), (3, "b", None), (4, "b", None), (5, "b", "x"), (6, None, "y"), (7, None, "y"), (8, "n", None), (9, "n", "z")]
+    got = {r.seq: r.outcome for r in ledger.append_once(stored, spark.createDataFrame(rows, "seq long, k string, d string"), ["k"], "d").collect()}
+    assert got == {1: "replayed", 2: "conflict", 3: "inserted", 4: "replayed", 5: "conflict", 6: "inserted", 7: "replayed", 8: "replayed", 9: "conflict"}
