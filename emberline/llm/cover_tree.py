@@ -7,8 +7,9 @@ were farther than 2**l from all before them, so centres of a level are separated
 every centre is within 2**(l + 1) of its parent, and a centre is its own child
 one level below. Nodes keep the exact covering radius of their points.
 
-A task takes a query block and some data blocks, best bound first, and walks each
-pair of trees together: for query node Q and data node X,
+Bounds of the roots come first: a query block meets its best data block alone, and then
+only those whose bound reaches its worst k-th score. A task takes a query block and some
+data blocks, best bound first, and walks each pair of trees together: for query node Q and data node X,
 
     max <q, x>  <=  <cq, cx> + |cq| rx + |cx| rq + rq rx,
 
@@ -130,11 +131,11 @@ class Search:
     """The k best of a query block over the data blocks that it is walked with.
 
     A point with the query's own uid is left out; equal scores go to the smaller
-    vec_id. ``pruned`` counts dropped pairs of nodes, by (query inner, data inner).
+    vec_id. Scores below ``floor`` are known not to count. ``pruned`` counts dropped pairs of nodes, by (query inner, data inner).
     """
 
-    def __init__(self, queries: Tree, k: int = K):
-        self.q, self.k = queries, k
+    def __init__(self, queries: Tree, k: int = K, floor: int = NONE):
+        self.q, self.k, self.floor = queries, k, floor
         self.score = np.full((len(queries), k), NONE)
         self.id = np.zeros((len(queries), k), np.int64)
         self.pruned: dict[tuple[bool, bool], int] = {}
@@ -146,7 +147,7 @@ class Search:
         return t.c[nodes] @ q.c[a] + q.norm[a] * t.radius[nodes] + t.norm[nodes] * q.radius[a] + q.radius[a] * t.radius[nodes] + 1e-9 * size + 0.5
 
     def worst(self, a: int) -> int:
-        return int(self.score[self.q.start[a] : self.q.end[a], -1].min())
+        return max(self.floor, int(self.score[self.q.start[a] : self.q.end[a], -1].min()))
 
     def with_block(self, t: Tree) -> None:
         most = self.q.most * t.most * max(1, t.x.shape[1])
@@ -176,7 +177,7 @@ class Search:
 
     def _score(self, left, right, t: Tree, i: int, end: int, j: int, stop: int) -> None:
         s = left[i:end] @ right[j:stop].T
-        ok = s >= self.score[i:end, -1].astype(s.dtype)[:, None]
+        ok = s >= np.maximum(self.score[i:end, -1], self.floor).astype(s.dtype)[:, None]
         ok &= self.q.uids[i:end, None] != t.uids[None, j:stop]
         row, col = np.nonzero(ok)
         if not len(row):
@@ -247,8 +248,13 @@ def write_blocks(rows: DataFrame, folder: str, size: int, pivots: np.ndarray) ->
             file.close()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([dim], pa.int32()), pa.array([len(tree)], pa.int64()), pa.array([tree.c[0]], BLOCK.field("centre").type), pa.array([tree.radius[0]])], schema=BLOCK)
 
+        last: dict[int, int] = {}
         for batch in batches:
-            for vec_id, uid, q in zip(*(c.to_pylist() for c in batch.columns[:3])):
+            for vec_id, uid, q, pivot in zip(*(c.to_pylist() for c in batch.columns)):
+                # a block that is filled by a quarter ends with its pivot's rows, so it stays compact
+                if len(held.get(len(q), ())) * 4 >= size and last[len(q)] != pivot:
+                    yield flush(len(q))
+                last[len(q)] = pivot
                 held.setdefault(len(q), []).append((vec_id, uid, q))
                 if len(held[len(q)]) >= size:
                     yield flush(len(q))
@@ -257,7 +263,7 @@ def write_blocks(rows: DataFrame, folder: str, size: int, pivots: np.ndarray) ->
 
     placed = rows.select("vec_id", "uid", "q").mapInArrow(place, "vec_id long, uid long, q array<long>, pivot int")
     n = max(1, -(-rows.count() // size))
-    dealt = placed.repartitionByRange(n, F.size("q"), "pivot", F.xxhash64("uid")).select("vec_id", "uid", "q")
+    dealt = placed.repartitionByRange(n, F.size("q"), "pivot", F.xxhash64("uid")).sortWithinPartitions(F.size("q"), "pivot")
     return persist(dealt.mapInArrow(write, "name string, dim int, n long, centre array<double>, radius double"), "vector-lists")
 
 
@@ -268,13 +274,44 @@ def read_block(name: str) -> Tree:
     return Tree(**{k: data[k] for k in Tree.FIELDS})
 
 
+#: Parts of the pairs of blocks of one length: no task makes more than a share of them.
+SALTS = 64
+
+
+def root_bounds(asked: DataFrame, data: DataFrame) -> DataFrame:
+    """(query, data, bound): names of blocks of one length, and the bound of their roots' products.
+
+    The stated queries against all rows, in blocks: only names leave the join, whose key is the length and a
+    salt of the data block.
+    """
+    sq = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    q = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("name").alias("query"), F.col("centre").alias("cq"), F.col("radius").alias("rq"), sq("centre").alias("nq"))
+    x = data.select("dim", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int").alias("salt"), F.col("name").alias("data"), F.col("centre").alias("cx"), F.col("radius").alias("rx"), sq("centre").alias("nx"))
+    dot = F.aggregate(F.zip_with("cq", "cx", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    bound = dot + F.col("nq") * F.col("rx") + F.col("nx") * F.col("rq") + F.col("rq") * F.col("rx")
+    slack = 1e-9 * (F.col("nq") + F.col("rq")) * (F.col("nx") + F.col("rx")) + 0.5
+    return q.join(x, ["dim", "salt"]).select("query", "data", (bound + slack).alias("bound"))
+
+
+def chained(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in an order in which each is followed by the nearest that is left, so that a block
+    of vectors of neighbouring pivots is compact."""
+    left, out = list(range(len(pivots))), []
+    while left:
+        at = min(left, key=lambda i: float(((pivots[i] - pivots[out[-1]]) ** 2).sum())) if out else left[0]
+        out.append(at)
+        left.remove(at)
+    return pivots[out]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k best vectors of its length.
 
     Inputs are ``quantised`` frames (vec_id, q). A row's own vector is left out by
     ``uid`` where both frames have that column, else by vec_id; rows of a repeated vec_id
     are queries of their own, each with its k best. Fewer than k vectors give fewer
-    rows, no vectors none. A query block meets CHUNK data blocks in a task, which holds
+    rows, no vectors none. A query block first meets the data block of best root bound, then
+    those whose bound reaches its worst k-th score, CHUNK in a task, which holds
     two blocks at once; the k best per task are merged by rank per query. Products of 64
     bits or more raise ValueError. Other columns are ignored.
     """
@@ -286,29 +323,40 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, data_block: int =
     folder = shared_dir(spark, "vector-blocks")
     some = vectors.withColumn("o", F.xxhash64("uid")).orderBy("o").limit(PIVOTS).collect()  # PIVOTS rows
     dim = len(some[0].q) if some else 0
-    pivots = np.array([r.q for r in some if len(r.q) == dim], np.float64)
+    pivots = chained(np.array([r.q for r in some if len(r.q) == dim], np.float64))
     data = write_blocks(vectors, f"{folder}/data", data_block, pivots)
     asked = write_blocks(queries, f"{folder}/queries", query_block, pivots)
-    chunks = max(1, -(-data.count() // CHUNK))
-    dealt = data.groupBy("dim", F.pmod(F.xxhash64("name"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("name", "centre", "radius")).alias("blocks"))
-    # the stated queries against all rows, in blocks: a row of names for each pair
-    pairs = persist(asked.select("dim", F.col("name").alias("query")).join(dealt, "dim").select("query", "blocks"), "vector-pairs")
-    tasks = max(1, min(pairs.count(), 100_000))
-    out = pa.schema([("query_uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    out = pa.schema([("query", pa.string()), ("query_uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
         claim()
         for batch in batches:
             for pair in batch.to_pylist():
-                q = read_block(pair["query"])
-                search = Search(q, k)
-                root = lambda b: float(np.dot(b["centre"], q.c[0]) + q.norm[0] * b["radius"] + np.linalg.norm(b["centre"]) * q.radius[0] + q.radius[0] * b["radius"])
-                for block in sorted(pair["blocks"], key=lambda b: (-root(b), b["name"])):
-                    search.with_block(read_block(block["name"]))
+                search = Search(read_block(pair["query"]), k, pair["floor"])
+                for name in pair["blocks"]:  # best bound first
+                    search.with_block(read_block(name))
                 row, vec_id, score = search.found()
-                yield pa.RecordBatch.from_arrays([pa.array(q.uids[row]), pa.array(q.ids[row]), pa.array(vec_id), pa.array(score)], schema=out)
-
-    found = pairs.repartition(tasks, "query", F.col("blocks")[0]["name"]).mapInArrow(run, "query_uid long, query_id long, vec_id long, score long")
+                q = search.q
+                yield pa.RecordBatch.from_arrays([pa.array([pair["query"]] * len(row), pa.string()), pa.array(q.uids[row]), pa.array(q.ids[row]), pa.array(vec_id), pa.array(score)], schema=out)
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """(query, query_uid, query_id, vec_id, score) of (query, data, bound, floor), CHUNK data blocks a task."""
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "data")) - 1
+        chunks = pairs.withColumn("at", place).groupBy("query", "floor", F.floor(F.col("at") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("at", "data"))).alias("b"))
+        work = persist(chunks.select("query", "floor", F.transform("b", lambda x: x["data"]).alias("blocks")), "vector-pairs")
+        tasks = max(1, min(work.count(), 100_000))
+        return work.repartition(tasks, "query", F.col("blocks")[0]).mapInArrow(run, "query string, query_uid long, query_id long, vec_id long, score long")
+
+    # a query block's best data block first, alone; then those whose bound reaches the worst k-th score so far
+    bounds = persist(root_bounds(asked, data), "vector-bounds")
+    home = bounds.groupBy("query").agg(F.max_by("data", F.struct("bound", "data")).alias("data"), F.max("bound").alias("bound"))
+    first = persist(met(home.withColumn("floor", F.lit(NONE).cast("long"))), "vector-first")
+    kth = first.groupBy("query", "query_uid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+    size = asked.select(F.col("name").alias("query"), "n")
+    floors = kth.filter(F.col("n") >= k).groupBy("query").agg(F.count(F.lit(1)).alias("full"), F.min("kth").alias("kth")).join(size, "query").filter("full = n")
+    rest = bounds.join(home.select("query", "data"), ["query", "data"], "left_anti").join(floors.select("query", "kth"), "query", "left")
+    left = rest.filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth"))).withColumn("floor", F.coalesce("kth", F.lit(NONE).cast("long")))
+    found = first.unionByName(met(left.select("query", "data", "bound", "floor")))
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -320,17 +368,17 @@ def op9_top_k(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  SELECT a.uid, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.uid <> b.uid AND len(a.q) = len(b.q)
   WHERE a.vec_id % 20 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

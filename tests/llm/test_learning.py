@@ -221,6 +221,27 @@ def test_repeated_query_ids_keep_their_rows(spark):
     assert got == {(20, 1): 2, (20, 2): 2, (20, 3): 2, (40, 1): 1, (40, 2): 1, (40, 3): 1}
 
 
+def test_few_blocks_are_read(spark, monkeypatch):
+    """Of clustered vectors under half of the pairs of blocks are read, and the result is that of all pairs."""
+    rng = np.random.default_rng(12)
+    centres = rng.integers(-300, 300, (5, 5))
+    x = centres[rng.integers(0, 5, 3000)] + rng.integers(-3, 4, (3000, 5))
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    kept, persist = {}, cover_tree.persist
+    monkeypatch.setattr(cover_tree, "persist", lambda df, name: kept.setdefault(name, []).append(persist(df, name)) or kept[name][-1])
+    v = persist(cover_tree.quantised(rows, 1), "test-vectors")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in cover_tree.top_k(v, v.filter("vec_id % 20 = 0"), 5, 60, 5).collect())
+    scores = x[::20] @ x.T
+    want = []
+    for q, s in zip(range(0, 3000, 20), scores):
+        best = sorted((-int(c), j) for j, c in enumerate(s) if j != q)[:5]
+        want += [(q, k + 1, j, -c) for k, (c, j) in enumerate(best)]
+    assert got == sorted(want)
+    read = sum(len(r.blocks) for df in kept["vector-pairs"] for r in df.collect())
+    every = kept["vector-bounds"][0].count()
+    assert every >= 200 and read < 0.5 * every, (read, every)
+
+
 def test_vector_rows(spark):
     bad = float("nan")
     data = [(0, [1.0, 0.5]), (20, [0.5, 0.5]), (1, None), (2, [bad, 1.0]), (3, [None, 1.0]), (4, []), (None, [1.0, 1.0]), (5, [float("inf"), 0.0]), (6, [1.0, 2.0, 3.0]), (40, [3.0, 2.0, 1.0]), (7, [-0.01, 0.01])]
