@@ -11,6 +11,7 @@ import emberline.plans.records  # noqa: F401
 import emberline.plans.retrieval  # noqa: F401
 import emberline.plans.rules  # noqa: F401
 import emberline.plans.store  # noqa: F401
+import emberline.plans.texts  # noqa: F401
 from emberline.plans.catalog import CASES, CASES_SQL, QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
