@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import facts as R
+from ..functions import text as X
 
-OVERSIZED, STALE_IMPORTANCE, STALE_DAYS = 1500, 7, 90
+OVERSIZED, SHORT, STALE_IMPORTANCE, STALE_DAYS = 1500, 20, 7, 90
 #: Severity and suggested action of each check.
 CHECKS = {
     "dangling": ("critical", "mark_review"), "self_loop": ("critical", "mark_review"), "protected_resolved": ("critical", "mark_review"),
@@ -48,6 +49,37 @@ def report(records: DataFrame, edges: DataFrame, types: list[str], now) -> DataF
     return out
 
 
+def more(records: DataFrame, edges: DataFrame, vectors: DataFrame, judged: DataFrame, now) -> DataFrame:
+    """(check, id, detail) of further checks: kin without return, records without vector and vectors without
+    record, repeated contents (detail: the least id that has them), records without time or active after ``now``,
+    permanent ones that no edge reaches, short ones, and pinned ones that nobody judged.
+
+    ``vectors`` and ``judged`` are (id). Repeats are found by an aggregate over fingerprints and met in a join.
+    """
+    row = lambda check, df, key, detail: df.select(F.lit(check).alias("check"), F.col(key).alias("id"), detail.cast("string").alias("detail"))
+    none = F.lit("none")
+    kin = edges.filter("type = 'kin' and source <> target").select("source", "target").distinct()
+    back = kin.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    prints = records.select("id", X.fingerprint(F.col("content")).alias("fp")).filter("fp is not null")
+    first = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    reached = edges.filter("source <> target").select(F.col("target").alias("id"))
+    found = [
+        row("non_reciprocal", kin.join(back, ["source", "target"], "left_anti"), "source", F.col("target")),
+        row("missing_vector", records.join(vectors, "id", "left_anti"), "id", none),
+        row("orphan_vector", vectors.join(records.select("id"), "id", "left_anti"), "id", none),
+        row("duplicate_content", prints.join(first, "fp").filter("id <> first"), "id", F.col("first")),
+        row("untimed", records.filter("event_at is null"), "id", none),
+        row("late", records.filter(F.col("last_active") > now), "id", F.date_format("last_active", "yyyy-MM-dd")),
+        row("isolated", records.filter("type = 'permanent'").join(reached, "id", "left_anti"), "id", F.col("type")),
+        row("short", records.filter(F.length("content") < SHORT), "id", F.length("content")),
+        row("unlabelled_core", records.filter("pinned").join(judged, "id", "left_anti"), "id", F.lit("pinned")),
+    ]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def suggestions(findings: DataFrame, sample: int = 3) -> DataFrame:
     """(check, action, severity, n, ids): a suggestion for each check with findings, and its least ids."""
     table = F.create_map(*[F.lit(x) for k, v in CHECKS.items() for x in (k, "|".join(v))])

@@ -8,6 +8,7 @@ import pytest
 import emberline.plans.flows  # noqa: F401
 import emberline.plans.hooks  # noqa: F401
 import emberline.plans.records  # noqa: F401
+import emberline.plans.reports  # noqa: F401
 import emberline.plans.retrieval  # noqa: F401
 import emberline.plans.rules  # noqa: F401
 import emberline.plans.store  # noqa: F401
