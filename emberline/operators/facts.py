@@ -249,3 +249,39 @@ def conflict_pairs(records: DataFrame, most: int = 50, page: int = 64) -> DataFr
         found += [tuple(r) for r in told.select("a", "b", fields.alias("fields")).orderBy("a", "b").limit(most - len(found)).collect()]  # ``most`` rows
         open_, page = open_.filter(F.col("id") > last), page * 8
     return spark.createDataFrame(found, "a long, b long, fields string")
+
+
+def slot_pairs(records: DataFrame, slots: dict[str, str], links: DataFrame, most: int = 200, page: int = 64) -> DataFrame:
+    """(slot, current, historical, current_value, historical_value): newer and older records of a slot that disagree.
+
+    ``records`` is (id, at, status, content), ``slots`` a pattern by name, ``links`` (newer, older) are pairs that are
+    settled. A record is in a slot if its content has values of it; two disagree if neither all their values nor
+    their first ones are equal. Historical and contested records, and those without time, make no pairs. The order is by slot, then
+    newest first on both sides; it is walked in pages of newer records, each eight times the last, until ``most`` pairs are found.
+    """
+    spark = records.sparkSession
+    folder = shared_folder(spark, "slot-members")
+    held = F.array(*[F.struct(F.lit(name).alias("slot"), slot_values(F.col("content"), pattern).alias("values")) for name, pattern in sorted(slots.items())])
+    open_ = ~F.lower(F.trim(F.coalesce("status", F.lit("")))).isin("historical", "contested")
+    rows = records.filter(F.col("id").isNotNull() & F.col("at").isNotNull() & F.col("content").isNotNull() & open_)
+    rows.select("id", "at", F.explode(held).alias("x")).select("x.slot", "id", "at", "x.values").filter(F.size("values") > 0).write.parquet(folder)
+    members = spark.read.parquet(folder)
+    key = (F.asc("slot"), F.desc("at"), F.desc("id"))
+    settled = links.select(F.col("newer").alias("current"), F.col("older").alias("historical")).distinct()
+    schema = f"slot string, current {members.schema['id'].dataType.simpleString()}, historical {members.schema['id'].dataType.simpleString()}, current_value string, historical_value string"
+    older = members.select("slot", F.struct("at", "id").alias("old"), F.col("values").alias("old_values"))
+    found, left = [], members
+    while len(found) < most:
+        here = left.orderBy(*key).limit(page)
+        last = here.orderBy(F.desc("slot"), F.asc("at"), F.asc("id")).select("slot", "at", "id").limit(1).collect()
+        if not last:
+            break
+        met = older.join(here.select("slot", F.struct("at", "id").alias("new"), F.col("values").alias("new_values")), "slot").filter(F.col("old") < F.col("new"))
+        differ = met.filter((F.col("old_values") != F.col("new_values")) & (F.col("old_values")[0] != F.col("new_values")[0]))
+        pairs = differ.withColumns({"current": F.col("new.id"), "historical": F.col("old.id")}).join(settled, ["current", "historical"], "left_anti")
+        first = pairs.orderBy(F.asc("slot"), F.desc("new"), F.desc("old")).limit(most - len(found))
+        found += [tuple(r) for r in first.select("slot", "current", "historical", F.col("new_values")[0].alias("a"), F.col("old_values")[0].alias("b")).collect()]  # ``most`` rows
+        slot, at, i = last[0]
+        after = (F.col("slot") > slot) | ((F.col("slot") == slot) & ((F.col("at") < F.lit(at)) | ((F.col("at") == F.lit(at)) & (F.col("id") < F.lit(i)))))
+        left, page = left.filter(after), page * 8
+    return spark.createDataFrame(found, schema)

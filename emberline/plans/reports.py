@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import patrol, ranking
+from ..functions import facts as R
+from ..operators import facts, graph, patrol, ranking
 from ..sources import views as V
 from .catalog import SQL_REF, query
 
@@ -67,3 +68,21 @@ f AS (
 @query("q18_patrol_more", f"{SQL_MORE} SELECT * FROM f", ("memories", "edges", "vectors"))
 def q18_more(spark, d):
     return patrol.more(V.memories(spark, d), V.edges(spark, d), V.vectors(spark, d).select("id"), V.read(spark, d, "labels").select(F.col("doc_id").alias("id")), V.ref())
+
+
+#: Slots of the texts' personal data.
+SLOTS = {"mail": r"([A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+)", "number": r"\b([0-9]{12,19})\b", "token": r"(?i)token = .([0-9a-f]{40})"}
+SQL_SLOT = " UNION ALL ".join(f"SELECT '{k}' AS slot, id, event_at AS at, list_sort(list_distinct(list_transform(regexp_extract_all(content, '{p}', 1), lambda x: lower(trim(x, ' '))))) AS vals FROM m" for k, p in SLOTS.items())
+
+
+@query("j22_slot_pairs", f"""WITH m AS (SELECT * FROM memories WHERE NOT resolved AND NOT pinned AND NOT protected AND type = 'dynamic'), s AS (SELECT * FROM ({SQL_SLOT}) WHERE len(vals) > 0),
+l AS (SELECT source AS a, target AS b FROM edges WHERE type = 'updates' UNION SELECT target, source FROM edges WHERE type = 'updates')
+SELECT n.slot, n.id AS current, o.id AS historical, n.vals[1] AS current_value, o.vals[1] AS historical_value FROM s n JOIN s o ON n.slot = o.slot AND (o.at < n.at OR (o.at = n.at AND o.id < n.id))
+WHERE n.vals <> o.vals AND n.vals[1] <> o.vals[1] AND NOT EXISTS (SELECT 1 FROM l WHERE l.a = n.id AND l.b = o.id)
+ORDER BY n.slot, n.at DESC, n.id DESC, o.at DESC, o.id DESC LIMIT 200""", ("memories", "edges"))
+def j22_slots(spark, d):
+    """Newer and older records whose values of a slot disagree, but for pairs that an update links."""
+    m = V.memories(spark, d)
+    live = m.filter(~F.col("resolved") & ~R.slot_exempt(F.col("pinned"), F.col("protected"), F.col("type"), F.col("domain")))
+    linked = graph.both_ways(V.edges(spark, d).filter("type = 'updates'")).select(F.col("a").alias("newer"), F.col("b").alias("older"))
+    return facts.slot_pairs(live.select("id", F.col("event_at").alias("at"), F.lit("").alias("status"), "content"), SLOTS, linked)

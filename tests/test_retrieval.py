@@ -165,3 +165,28 @@ def test_append_once_with_nulls_and_several_stored_digests(spark):
     rows = [(1, "a", "1"), (2, "a", "2"), (3, "b", None), (4, "b", None), (5, "b", "x"), (6, None, "y"), (7, None, "y"), (8, "n", None), (9, "n", "z")]
     got = {r.seq: r.outcome for r in ledger.append_once(stored, spark.createDataFrame(rows, "seq long, k string, d string"), ["k"], "d").collect()}
     assert got == {1: "replayed", 2: "conflict", 3: "inserted", 4: "replayed", 5: "conflict", 6: "inserted", 7: "replayed", 8: "replayed", 9: "conflict"}
+
+
+def test_slot_pairs_in_order(spark):
+    import re
+
+    from emberline.operators import facts
+
+    texts = ["size: 1", "size: 2 size: 3", "size: 3 size: 2", "nothing", "color: red size: 1", None, "SIZE: 9"]
+    rows = [(k, f"2024-01-{1 + k * 7 % 20:02d}" if k % 11 else None, "historical" if k % 13 == 5 else None, texts[k % 7]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, at string, status string, content string").repartition(3)
+    links = spark.createDataFrame([(8, 0), (1, 7), (14, 1)], "newer long, older long")
+    slots = {"size": r"(?i)size: (\d)", "color": r"color: (\w+)"}
+    held = []
+    for i, at, status, t in rows:
+        for slot, p in slots.items():
+            values = sorted({x.lower() for x in re.findall(p, t or "")})
+            if values and at and not status:
+                held.append((slot, at, i, values))
+    held.sort(key=lambda x: (x[1], x[2]), reverse=True)
+    held.sort(key=lambda x: x[0])
+    want = [(s, i, j, v[0], w[0]) for k, (s, _, i, v) in enumerate(held) for z, _, j, w in held[k + 1 :] if z == s and v != w and v[0] != w[0] and (i, j) not in {(8, 0), (1, 7), (14, 1)}]
+    assert len(want) > 100
+    for most in (1, 40, 10_000):
+        got = [tuple(r) for r in facts.slot_pairs(df, slots, links, most, page=3).collect()]
+        assert sorted(got) == sorted(want[:most])
