@@ -6,7 +6,7 @@ from emberline.llm.queries import oracle_sql, queries
 
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "packing"]
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14)) and set(oracle_sql()) <= set(queries())
 
 
 @pytest.fixture(scope="module")
