@@ -9,6 +9,9 @@
    node whose prefix is filled by tokens that no other node has leaves at once.
    So common passages do not pair unlike documents.
 3. Nodes that share prefix tokens form components (labels, not pairs, travel).
+   A component of several groups is formed again from the prefixes of whole sets, with
+   the counts of all tokens among such nodes: most nodes of a text of their own
+   leave, as a quarter of it may be little more than its passages that others hold too.
    A component is dealt to groups of bounded token count: nodes of equal least token
    (a minhash, equal with the sets' similarity) go to one group, or to several where
    they are too many. A group of a component with several is stored once, its token
@@ -172,6 +175,29 @@ def fetch(docs: DataFrame, folder: str) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS_DDL)
 
 
+def wanted_places(nodes: DataFrame, name: str) -> str:
+    """The folder that ``fetch`` reads, of (node, comp, g, k, copies, place)."""
+    folder = shared_dir(nodes.sparkSession, name)
+    places = nodes.select("node", "comp", "copies", "k", "g", F.col("place.idx").alias("idx"), F.col("place.pid").alias("pid"))
+    places.repartition("pid").write.partitionBy("pid").parquet(folder)
+    return folder
+
+
+def whole_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, comp) among ``nodes`` by the prefixes of their whole sets, any token counted."""
+    schema = pa.schema([("node", pa.int64()), ("slack", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(5)]
+            yield table(schema, node=batch.column(3), slack=[len(s) - prefix_length(len(s)) for s in sets], tokens=sets)
+
+    places = nodes.select("node", "comp", "copies", F.lit(1).alias("k"), F.lit(0).alias("g"), "place")
+    sets = fetch(docs, wanted_places(places, "jaccard-large"))
+    whole = persist(sets.mapInArrow(run, "node long, slack int, tokens array<long>"), "jaccard-whole")
+    return candidate_components(persist(postings(whole), "jaccard-postings"))
+
+
 def _dense(rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     out = np.zeros(shape, np.float32)
     out[rows, cols] = 1
@@ -366,6 +392,11 @@ def jaccard_components(docs: DataFrame, places: bool = False) -> DataFrame:
 
     classes = persist(narrow.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("pid", "idx")).alias("place"), F.max("n").alias("n"), F.max("low").alias("low")), "jaccard-classes")
     wanted = persist(classes.join(found, "node").select("node", "comp", "copies", "n", "low", "place"), "jaccard-wanted-nodes")
+    large = persist(wanted.groupBy("comp").agg(F.sum("n").alias("n")).filter(F.col("n") > GROUP_TOKENS).select("comp"), "jaccard-large-components")
+    if not large.isEmpty():
+        again = whole_components(rows, wanted.join(large, "comp", "left_semi"))
+        parts = wanted.drop("comp").join(again, "node").select(*wanted.columns)
+        wanted = persist(wanted.join(large, "comp", "left_anti").unionByName(parts), "jaccard-wanted-nodes")
     cells = wanted.groupBy("comp", "low").agg(F.sum("n").alias("n"))
     sizes = cells.groupBy("comp").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("k"))
     # where one least token is held by too many, its nodes are dealt on to groups of their own
@@ -373,9 +404,7 @@ def jaccard_components(docs: DataFrame, places: bool = False) -> DataFrame:
     met = wanted.join(sizes.filter("k > 1"), "comp", "left").join(crowded, ["comp", "low"], "left")
     k = F.coalesce("k", F.lit(1))
     g = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("low"), k)).otherwise(F.pmod(F.xxhash64("low", F.pmod(F.xxhash64("node"), F.col("parts"))), F.lit(1 << 30)) + k)
-    dealt = met.select("node", "comp", "copies", k.alias("k"), g.cast("int").alias("g"), F.col("place.idx").alias("idx"), F.col("place.pid").alias("pid"))
-    folder = shared_dir(spark, "jaccard-wanted")
-    dealt.repartition("pid").write.partitionBy("pid").parquet(folder)
+    folder = wanted_places(met.select("node", "comp", "copies", k.alias("k"), g.cast("int").alias("g"), "place"), "jaccard-wanted")
 
     groups = shared_dir(spark, "jaccard-groups")
     scored = persist(fetch(rows, folder).groupBy("comp", "g").applyInArrow(score_group(groups), GROUPS_DDL), "jaccard-links")

@@ -87,6 +87,25 @@ def test_fifty_groups_of_one_family(spark, monkeypatch):
     assert opened[0] > 300
 
 
+def test_passages_do_not_make_groups_to_pair(spark, monkeypatch):
+    """Texts of their own that quote common passages, and a few near copies: no groups are paired, no link is lost."""
+    monkeypatch.setattr(jj, "GROUP_TOKENS", 1500)
+    rng = np.random.default_rng(5)
+    passages = [[f"p{k}x{i}" for i in range(24)] for k in range(3)]
+    rows = []
+    for i in range(150):
+        quoted = [w for k in rng.permutation(3)[: 1 + i % 3] for w in passages[k]]
+        rows.append((i, " ".join([f"o{i}x{j}" for j in range(60)] + quoted)))
+    rows += [(200 + i, rows[i][1] + " end") for i in range(0, 150, 10)]
+    opened = []
+    real = jj.score_pairs
+    monkeypatch.setattr(jj, "score_pairs", lambda pairs: opened.append(pairs.count()) or real(pairs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jj.jaccard_components(docs).collect())
+    assert got == sorted(plain(rows)[0])
+    assert sum(x[3] > 0 for x in got) == 30 and opened == [0]
+
+
 def test_first_of_each_group_stays(docs, rows, none):
     kept = jj.keep_first(docs)
     assert kept.schema == docs.schema
