@@ -16,7 +16,8 @@ CHANGES = "session long, key long, at timestamp, op string, seq long"
 
 
 class NewestKeys(StatefulProcessor):
-    """State of a session: its keys by time, ``most`` at most, each until ``ttl_ms`` after it was marked.
+    """State of a session: its keys with their times, ``most`` at most, each until ``ttl_ms`` after it was marked;
+    one value, so that a batch reads and writes a session once, not once a key.
 
     Every change is a row: ``add`` or ``drop``, numbered in the session. A key that is marked again counts from its
     last time. A timer is set for the oldest key; the watermark's passing drops all that are due.
@@ -27,7 +28,7 @@ class NewestKeys(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.keys = handle.getMapState("keys", "key long", "at long")
+        self.keys = handle.getValueState("keys", "keys array<long>, ats array<long>")
         self.seq = handle.getValueState("seq", "n long")
 
     def _changes(self, session: int, rows: list[tuple[int, int, str]]) -> pd.DataFrame:
@@ -36,36 +37,41 @@ class NewestKeys(StatefulProcessor):
             self.seq.update((n + len(rows),))
         return pd.DataFrame({"session": session, "key": [k for k, _, _ in rows], "at": pd.to_datetime([t for _, t, _ in rows], unit="us"), "op": [o for _, _, o in rows], "seq": range(n, n + len(rows))})
 
-    def _set_timer(self, held: dict[int, int]) -> None:
+    def _held(self) -> dict[int, int]:
+        return dict(zip(*self.keys.get())) if self.keys.exists() else {}
+
+    def _hold(self, held: dict[int, int]) -> None:
+        """Store the keys and set the timer of the oldest."""
+        if held:
+            self.keys.update((list(held), list(held.values())))
+        else:
+            self.keys.clear()
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         if held:
             self.handle.registerTimer(min(held.values()) // 1000 + self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.keys.iterator()}
+        held = self._held()
         told = []
         for pdf in rows:
             for k, at in zip(pdf["key"].tolist(), (pdf["at"].astype("datetime64[us]").astype("int64")).tolist()):
                 if k not in held or at > held[k]:
                     held[k] = at
                     told.append((k, at, "add"))
-                    self.keys.updateValue((k,), (at,))
         for k, at in sorted(held.items(), key=lambda x: (-x[1], -x[0]))[self.most :]:
-            self.keys.removeKey((k,))
             told.append((k, at, "drop"))
             del held[k]
-        self._set_timer(held)
+        self._hold(held)
         yield self._changes(key[0], told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.keys.iterator()}
+        held = self._held()
         due = timerValues.getCurrentWatermarkInMs()
         told = [(k, at, "drop") for k, at in held.items() if at // 1000 + self.ttl <= due]
         for k, _, _ in told:
-            self.keys.removeKey((k,))
             del held[k]
-        self._set_timer(held)
+        self._hold(held)
         yield self._changes(key[0], told)
 
     def close(self) -> None:

@@ -11,3 +11,44 @@ def test_best_pairs_are_cut_before_they_are_broadcast(spark):
 
     df = QUERIES["q20_consolidation"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject") >= 2
+
+
+def test_a_session_is_read_and_written_once_a_batch():
+    import pandas as pd
+
+    from emberline.streaming.sessions import NewestKeys
+
+    class State:
+        calls, value = 0, None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            State.calls += 1
+            self.value = value
+
+        def clear(self):
+            State.calls += 1
+            self.value = None
+
+        def iterator(self):
+            return iter([])
+
+        updateValue = removeKey = lambda self, *x: self.update(x)
+
+    class Handle:
+        getValueState = getMapState = lambda self, *x: State()
+        listTimers, deleteTimer, registerTimer = lambda self: [], lambda self, at: None, lambda self, at: None
+
+    p = NewestKeys(100, 1000)
+    p.init(Handle())
+    rows = pd.DataFrame({"key": range(500), "at": pd.to_datetime(range(500), unit="s")})
+    told = list(p.handleInputRows((1,), iter([rows]), None))[0]
+    assert State.calls <= 2
+    assert len(told) == 900 and set(told[told.op == "drop"]["key"]) == set(range(400))
+    again = list(p.handleInputRows((1,), iter([rows.tail(100)]), None))[0]
+    assert len(again) == 0
