@@ -74,7 +74,7 @@ def line_chunks_of(text: str, size: int = LINE_CHARS, most: int = MOST_CHUNKS) -
 def line_chunks(text: Column, size: int = LINE_CHARS, most: int = MOST_CHUNKS) -> Column:
     @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else line_chunks_of(t, size, most) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([line_chunks_of(t.as_py(), size, most) if t.is_valid else None for t in texts], pa.list_(pa.string()))
 
     return split(text)
 
@@ -96,7 +96,7 @@ def utf8_parts_of(data: bytes, limit: int) -> list[bytes]:
 def utf8_parts(text: Column, limit: int) -> Column:
     @F.arrow_udf("array<binary>")
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else utf8_parts_of(t.encode(), limit) for t in texts.to_pylist()], pa.list_(pa.binary()))
+        return pa.array([utf8_parts_of(t.as_py().encode(), limit) if t.is_valid else None for t in texts], pa.list_(pa.binary()))
 
     return split(text)
 

@@ -52,3 +52,13 @@ def test_a_session_is_read_and_written_once_a_batch():
     assert len(told) == 900 and set(told[told.op == "drop"]["key"]) == set(range(400))
     again = list(p.handleInputRows((1,), iter([rows.tail(100)]), None))[0]
     assert len(again) == 0
+
+
+def test_chunks_of_texts_come_in_bounded_batches(spark):
+    import __spark_entry__  # noqa: F401  all plans
+    from emberline.plans.catalog import QUERIES
+
+    for name in ("w08_line_chunks", "x31_utf8_parts"):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "256"
