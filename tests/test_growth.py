@@ -62,3 +62,22 @@ def test_chunks_of_texts_come_in_bounded_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         QUERIES[name](spark, "/root/testdata/sf0.001")
         assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "256"
+
+
+def test_windows_are_scored_only_where_they_can_be_best(monkeypatch):
+    import random
+
+    from emberline.functions import similarity as X
+
+    real, asked = X.ratio, []
+    monkeypatch.setattr(X, "ratio", lambda a, b: asked.append(b) or real(a, b))
+    r = random.Random(3)
+    for n in (1, 2, 7, 9, 40, 400):
+        for query in ("src3 the", "aab", "x"):
+            text = "".join(r.choice("aberst hxyzc3") for _ in range(n))
+            short, long = sorted((query, text), key=len)
+            windows = [long[max(0, s) : s + len(short)] for s in range(1 - len(short), len(long))]
+            assert X.partial_ratio(query, text) == max(real(short, w) for w in windows)
+    asked.clear()
+    X.partial_ratio("src3 the", "".join(r.choice("aberst hxyzc3") for _ in range(1000)))
+    assert len(asked) < 300
