@@ -8,6 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def once(value: Column, f) -> Column:
+    """``f(value)``, where ``value`` is worked out once for a row however often ``f`` names it, also in its lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 # The ordered masking patterns, as (pattern, replacement).
 MASKS = (
     (r"(?i)(Authorization\s*:\s*Bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[REDACTED]"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 _HEAD = r"(?s)^\x{feff}?---[ \t]*\r?\n(.*?\r?\n)?---[ \t]*(?:\r?\n|$)(.*)$"
 _LINE = r"(?m)^([A-Za-z_][A-Za-z0-9_]*):[ \t]*([^\r\n]*)$"
 
@@ -17,10 +19,10 @@ def parse(text: Column) -> Column:
     fields, the whole text as body. Null text is corrupt with a null body.
     """
     good = text.rlike(_HEAD)
-    head = F.regexp_extract(text, _HEAD, 1)
-    pairs = F.arrays_zip(F.regexp_extract_all(head, F.lit(_LINE), F.lit(1)).alias("k"), F.regexp_extract_all(head, F.lit(_LINE), F.lit(2)).alias("v"))
+    lines = lambda head: F.arrays_zip(F.regexp_extract_all(head, F.lit(_LINE), F.lit(1)).alias("k"), F.regexp_extract_all(head, F.lit(_LINE), F.lit(2)).alias("v"))
+    pairs = once(F.regexp_extract(text, _HEAD, 1), lines)
     bare = F.transform(pairs, lambda x: F.struct(x["k"].alias("k"), F.regexp_replace(F.trim(x["v"]), "^(['\"])(.*)\\1$", "$2").alias("v")))
-    last = F.filter(bare, lambda x, i: (x["k"] != "content") & ~F.exists(F.slice(bare, i + 2, F.greatest(F.size(bare), F.lit(1))), lambda y: y["k"] == x["k"]))
+    last = once(bare, lambda b: F.filter(b, lambda x, i: (x["k"] != "content") & ~F.exists(F.slice(b, i + 2, F.greatest(F.size(b), F.lit(1))), lambda y: y["k"] == x["k"])))
     none = F.from_json(F.lit("{}"), "map<string,string>")
     fields = F.when(good, F.map_from_entries(last)).otherwise(none)
     body = F.when(good, F.ltrim(F.regexp_extract(text, _HEAD, 2))).otherwise(text)

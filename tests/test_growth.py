@@ -81,3 +81,14 @@ def test_windows_are_scored_only_where_they_can_be_best(monkeypatch):
     asked.clear()
     X.partial_ratio("src3 the", "".join(r.choice("aberst hxyzc3") for _ in range(1000)))
     assert len(asked) < 300
+
+
+def test_front_matter_is_matched_once_a_use(spark):
+    from pyspark.sql import functions as F
+
+    from emberline.sources import markdown
+
+    df = spark.createDataFrame([("---\nid: 1\nid: 2\n---\nbody",)], "text string")
+    parsed = df.select(markdown.parse(F.col("text")).alias("p"))
+    assert parsed.first().p.fields == {"id": "2"}
+    assert plan(parsed).count("regexp_extract_all") == 2
