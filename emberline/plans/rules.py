@@ -255,9 +255,11 @@ def x09(spark, d):
 
 @query("x10_supersedes_audit", f"{SQL_CONFLICTS} SELECT id, count(*) AS n, string_agg(field || '@2024-02-01T00:00:00', ',' ORDER BY k) AS audit FROM c GROUP BY id", ("memories",))
 def x10(spark, d):
-    entries = R.conflicts(F.col("old"), F.col("new"))
+    signed = _pair(spark, d).select("id", R.signature(F.col("old")).alias("old"), R.signature(F.col("new")).alias("new"))
+    found = signed.select("id", R.conflicting(F.col("old"), F.col("new")).alias("entries"))
+    entries = F.col("entries")
     stamped = F.transform(entries, lambda c: F.concat(c["field"], F.lit("@"), F.date_format(V.ref(), "yyyy-MM-dd'T'HH:mm:ss")))
-    return _pair(spark, d).select("id", F.size(entries).cast("long").alias("n"), F.array_join(stamped, ",").alias("audit")).filter("n > 0")
+    return found.select("id", F.size(entries).cast("long").alias("n"), F.array_join(stamped, ",").alias("audit")).filter("n > 0")
 
 
 @case("x52_asks_history", "SELECT * FROM (VALUES ('Where did I live BEFORE?', true), ('上次说了什么', true), ('where now', false), (NULL, false)) t(question, history)")

@@ -92,3 +92,11 @@ def test_front_matter_is_matched_once_a_use(spark):
     parsed = df.select(markdown.parse(F.col("text")).alias("p"))
     assert parsed.first().p.fields == {"id": "2"}
     assert plan(parsed).count("regexp_extract_all") == 2
+
+
+def test_signatures_are_found_once(spark):
+    import __spark_entry__  # noqa: F401  all plans
+    from emberline.plans.catalog import QUERIES
+
+    # a text's patterns stand in the plan once for each of its two sides
+    assert plan(QUERIES["x10_supersedes_audit"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all") <= 8
