@@ -64,7 +64,9 @@ def build(records: DataFrame, static: Column, keep: list[str], block: int = BLOC
     blocked.write.parquet(f"{folder}/forward")
     forward = spark.read.parquet(f"{folder}/forward")
     forward.select("id", "block", "static", *cols).repartitionByRange(n, "block").write.parquet(f"{folder}/docs")
-    where = F.transform(F.array_union("in_name", "in_content"), lambda w: F.struct(w.alias("word"), F.array_contains("in_name", w).alias("name"), F.array_contains("in_content", w).alias("content")))
+    # a name's words are few; those of a content are never looked up in their own list
+    at = lambda words, name, content: F.transform(words, lambda w: F.struct(w.alias("word"), name(w).alias("name"), F.lit(content).alias("content")))
+    where = F.concat(at(F.col("in_content"), lambda w: F.array_contains("in_name", w), True), at(F.array_except("in_name", "in_content"), lambda w: F.lit(True), False))
     each = forward.select("id", "block", F.explode(where).alias("w")).select("id", "block", "w.*")
     posted = each.groupBy("word", "block").agg(F.count_if("name").alias("n_name"), F.count_if("content").alias("n_content"), F.collect_list(F.struct("id", "name", "content")).alias("ids"))  # at most a block
     posted.repartitionByRange(max(n, 8), "word", "block").sortWithinPartitions("word", "block").write.parquet(f"{folder}/postings")

@@ -100,3 +100,19 @@ def test_signatures_are_found_once(spark):
 
     # a text's patterns stand in the plan once for each of its two sides
     assert plan(QUERIES["x10_supersedes_audit"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all") <= 8
+
+
+def test_long_contents_are_indexed_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from emberline.operators import keyword_index as KI
+
+    rows = [(k, "name", ["tag w7"], " ".join(f"w{i}" for i in range(60_000))) for k in range(2)]
+    df = spark.createDataFrame(rows, "id long, name string, tags array<string>, content string")
+    start = time.time()
+    index = KI.build(df, F.lit(1.0), [])
+    assert time.time() - start < 30  # minutes where each word is looked up in the content's list
+    got = {r.word: (r.n_name, r.n_content) for r in index.table(spark, "summary").filter("word in ('name', 'tag', 'w7', 'w8')").collect()}
+    assert got == {"name": (2, 0), "tag": (2, 0), "w7": (2, 2), "w8": (0, 2)}
