@@ -150,6 +150,28 @@ def test_segment_neighbours(spark, block, floor):
     assert sorted(got) == sorted(want)
 
 
+def test_segment_neighbours_hand_on_few_candidates(spark, monkeypatch):
+    from emberline.operators import vectors
+
+    made, plain = [], vectors.whole
+    monkeypatch.setattr(vectors, "whole", lambda pairs, score, ddl: made.append(plain(pairs, score, ddl)) or made[-1])
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=(2, 4)).tolist()) for k in range(600)]
+    rows += [(1000 + k, [[1.0, 2.0, 3.0, 4.0]]) for k in range(90)]  # equal scores
+    rows += [(2000, [[float("nan")] * 4, rows[8][1][0]]), (2001, [[float("inf"), 1.0, 0.0, 0.0]])]  # the finite segment meets
+    df = spark.createDataFrame(rows, "id long, segments array<array<double>>").repartition(4)
+    got = [tuple(r) for r in vectors.segment_neighbours(df, df.filter("id % 4 = 0"), 3, 0.5, 64).collect()]
+    units = [(i, u / np.linalg.norm(u, axis=1)[:, None]) for i, s in rows for u in [np.array([x for x in s if np.isfinite(x).all()])] if len(u)]
+    want = []
+    for i, a in units:
+        if i % 4 == 0:
+            best = sorted((-round(float((a @ b.T).max()), 9), j) for j, b in units if j != i)[:3]
+            want += [(i, r + 1, j, round(-x, 6)) for r, (x, j) in enumerate(best) if -x > 0.5]
+    assert sorted(got) == sorted(want)
+    # three a pair of blocks would be some 33 times 160 queries' three: bounds leave a few of them
+    assert made[-1].count() < 6 * len(want)
+
+
 def test_labels_spread_over_a_component_with_one_name(spark):
     from emberline.operators import graph
 
