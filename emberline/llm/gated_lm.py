@@ -20,6 +20,8 @@ UNKNOWN, END = 0, 1
 RATE, CLIP = 0.02, 1.0
 #: Logits below this need no shift before their exponents are taken in single precision.
 SAFE = 60.0
+#: Columns whose class logits are held at once, so that they stay in the cache.
+CHUNK = 1024
 
 
 class Layout:
@@ -162,14 +164,21 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return np.reciprocal(v, out=v)
 
 
-def forward(p: dict, w: Window, state: np.ndarray, keep_trace: bool) -> tuple[np.ndarray, np.ndarray, list]:
+def inputs(p: dict) -> np.ndarray:
+    """What each id gives to the gates (3 * hidden, ids)."""
+    out = p["wx"].T @ p["emb"].T
+    out += p["b"][:, None]
+    return out
+
+
+def forward(p: dict, w: Window, state: np.ndarray, keep_trace: bool, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list]:
     """Hidden outputs (hidden, steps * lanes), the last state, and the trace.
 
-    Features come first in every array, so that each operation runs along lanes.
+    Features come first in every array, so that each operation runs along lanes. ``given`` is ``inputs(p)``, if known.
     """
     steps, n = w.x.shape
     k = p["wh"].shape[0]
-    pre = np.take((p["emb"] @ p["wx"] + p["b"]).T, w.x.reshape(-1), axis=1)
+    pre = np.take(inputs(p) if given is None else given, w.x.reshape(-1), axis=1, mode="clip")
     out = np.empty((k, steps * n), np.float32)
     trace, h, wht = [], state, p["wh"].T.copy()
     any_fresh = w.fresh.any(axis=1)
@@ -215,15 +224,19 @@ def _reach(p: dict) -> tuple[float, np.ndarray]:
     return float((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max(initial=0)), np.abs(p["wo"]).sum(1) + np.abs(p["bo"])
 
 
-def log_probs(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log of P(y | h) for columns of h."""
+def log_probs(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray, bounds: tuple[float, np.ndarray] | None = None) -> np.ndarray:
+    """Natural log of P(y | h) for columns of h; ``bounds`` are those of ``_reach``, if known."""
     order, cls, ends = _sorted(layout, y)
     h, y = h[:, order], y[order]
-    most, reach = _reach(p)
-    logits = p["wc"].T @ h + p["bc"][:, None]
-    own = logits[cls, np.arange(len(y))].astype(np.float64)
-    _, total, top = _exp(logits, most)
-    lp = own - np.log(total) - top
+    most, reach = bounds or _reach(p)
+    wct, bc, lp = p["wc"].T.copy(), p["bc"][:, None], np.empty(len(y))
+    for at in range(0, len(y), CHUNK):
+        near = slice(at, at + CHUNK)
+        logits = wct @ h[:, near]
+        logits += bc
+        own = logits[cls[near], np.arange(logits.shape[1])].astype(np.float64)
+        _, total, top = _exp(logits, most)
+        lp[near] = own - np.log(total) - top
     at = 0
     for c, end in enumerate(ends.tolist()):
         start, stop = layout.starts[c], layout.starts[c + 1]
@@ -252,14 +265,20 @@ def gradients(p: dict, layout: Layout, w: Window, state: np.ndarray) -> tuple[di
     g = {name: np.zeros_like(x) for name, x in p.items()}
     columns = np.arange(len(y))
     most, reach = _reach(p)
-    logits = p["wc"].T @ h + p["bc"][:, None]
-    own = logits[cls, columns]
-    d, total, top = _exp(logits, most)
-    loss = float((np.log(total) + top - own).sum())
-    d *= scale / total
-    d[cls, columns] -= scale
-    g["wc"], g["bc"] = h @ d.T, d.sum(1)
-    dh = p["wc"] @ d
+    wct, bc, dh, loss = p["wc"].T.copy(), p["bc"][:, None], np.empty(h.shape, p["wc"].dtype), 0.0
+    for at in range(0, len(y), CHUNK):
+        near, hc = slice(at, at + CHUNK), h[:, at : at + CHUNK]
+        logits = wct @ hc
+        logits += bc
+        target = cls[near], columns[: logits.shape[1]]
+        own = logits[target]
+        d, total, top = _exp(logits, most)
+        loss += float((np.log(total) + top - own).sum())
+        d *= scale / total
+        d[target] -= scale
+        g["wc"] += hc @ d.T
+        g["bc"] += d.sum(1)
+        dh[:, near] = p["wc"] @ d
     at = 0
     for c, end in enumerate(ends.tolist()):
         start, stop = layout.starts[c], layout.starts[c + 1]
@@ -302,7 +321,7 @@ def gradients(p: dict, layout: Layout, w: Window, state: np.ndarray) -> tuple[di
             carry[:, w.fresh[t]] = 0
     ids = w.x.reshape(-1)
     g["wh"], g["b"] = prevs @ dhid.T, dpre.sum(1)
-    g["wx"] = np.take(p["emb"].T, ids, axis=1) @ dpre.T
+    g["wx"] = np.take(p["emb"].T, ids, axis=1, mode="clip") @ dpre.T
     dx = p["wx"] @ dpre
     for f in range(k):
         g["emb"][:, f] = np.bincount(ids, weights=dx[f], minlength=layout.size)
@@ -316,15 +335,25 @@ class Adam:
         self.t = 0
 
     def step(self, p: dict, g: dict, rate: float = RATE) -> None:
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
+        norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
         shrink = np.float32(min(1.0, CLIP / (norm + 1e-9)))
         self.t += 1
         fix = np.float32(np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, x in g.items():
-            x = x * shrink
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.v[k] += np.float32(0.01) * (x * x - self.v[k])
-            p[k] -= np.float32(rate) * fix * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
+            m, v = self.m[k], self.v[k]
+            x *= shrink
+            d = x - m
+            d *= np.float32(0.1)
+            m += d
+            np.multiply(x, x, out=d)
+            d -= v
+            d *= np.float32(0.01)
+            v += d
+            np.sqrt(v, out=d)
+            d += np.float32(1e-6)
+            np.divide(m, d, out=d)
+            d *= np.float32(rate) * fix
+            p[k] -= d
 
 
 def train_on(p: dict, adam: Adam, layout: Layout, docs: Iterable[tuple[object, np.ndarray]]) -> int:
@@ -353,14 +382,15 @@ def score(p: dict, layout: Layout, docs: Iterable[tuple[object, np.ndarray]]) ->
     """(key, natural log-likelihood of the whole document) as documents end."""
     states = np.zeros((HIDDEN, LANES), np.float32)
     totals: dict[object, float] = {}
+    given, bounds = inputs(p), _reach(p)
     for block in blocks(docs):
         states = states[:, block.lanes]
         sums = np.zeros((block.y.shape[0], block.y.shape[1] + 1))
         for w in windows(block):
-            out, states[:, w.rows], _ = forward(p, w, states[:, w.rows], False)
+            out, states[:, w.rows], _ = forward(p, w, states[:, w.rows], False, given)
             flat = w.real.reshape(-1)
             lp = np.zeros(len(flat))
-            lp[flat] = log_probs(p, layout, out[:, flat], w.y.reshape(-1)[flat])
+            lp[flat] = log_probs(p, layout, out[:, flat], w.y.reshape(-1)[flat], bounds)
             sums[w.rows, w.at + 1 : w.at + 1 + len(w.y)] = lp.reshape(w.y.shape).T
         np.cumsum(sums, axis=1, out=sums)
         for key, b, start, end, last in block.spans:

@@ -65,6 +65,40 @@ def test_lanes_score_whole_documents():
         assert abs(plain_score(p, layout, y) - got[i]) < 1e-3 * abs(got[i])
 
 
+def test_scoring_finds_what_is_fixed_once(monkeypatch):
+    """Inputs and bounds of fixed parameters are found once for all windows; class logits come in chunks that change nothing."""
+    rng = np.random.default_rng(4)
+    layout = lm.Layout(rng.integers(1, 50, 300))
+    p = {k: (v + rng.normal(size=v.shape) * 0.1).astype(np.float32) for k, v in lm.initial(layout).items()}
+    docs = [(k, np.r_[rng.integers(2, 300, 700), lm.END]) for k in range(5)]
+    made, plain = collections.Counter(), {name: getattr(lm, name) for name in ("inputs", "_reach")}
+    for name in plain:
+        monkeypatch.setattr(lm, name, lambda p, name=name: made.update([name]) or plain[name](p))
+    got = dict(lm.score(p, layout, docs))
+    assert made == {"inputs": 1, "_reach": 1}
+    monkeypatch.setattr(lm, "CHUNK", 7)
+    again = dict(lm.score(p, layout, docs))
+    for k, y in docs:
+        assert abs(got[k] - plain_score(p, layout, y)) < 2e-4 * abs(got[k])
+        assert abs(got[k] - again[k]) < 1e-5 * abs(got[k])
+
+
+def test_adam_step_is_the_plain_formula():
+    rng = np.random.default_rng(6)
+    p = {"a": rng.normal(size=(5, 3)).astype(np.float32), "b": rng.normal(size=4).astype(np.float32)}
+    want, m, v = {k: x.astype(float) for k, x in p.items()}, collections.defaultdict(float), collections.defaultdict(float)
+    adam = lm.Adam(p)
+    for t in range(1, 6):
+        g = {k: (rng.normal(size=x.shape) * t).astype(np.float32) for k, x in p.items()}
+        norm = math.sqrt(sum(float((x.astype(float) ** 2).sum()) for x in g.values()))
+        for k, x in g.items():
+            x = x.astype(float) * min(1.0, lm.CLIP / norm)
+            m[k], v[k] = m[k] * 0.9 + x * 0.1, v[k] * 0.99 + x * x * 0.01
+            want[k] = want[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6 / math.sqrt(1 - 0.99**t))
+        adam.step(p, g, 0.01)
+    assert all(np.abs(p[k] - want[k]).max() < 1e-5 for k in p)
+
+
 @pytest.mark.parametrize("words", [0, 1, 2, 1022, 70000 - 10000 - 2])
 def test_distribution_sums_to_one(words):
     layout = lm.Layout(np.r_[3, 5, 1000 // np.arange(1, words + 1)])
