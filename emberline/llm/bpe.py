@@ -8,7 +8,7 @@ the whole text: every cut is one that the pre-tokenizer makes too.
 
 from __future__ import annotations
 
-from struct import pack
+from struct import Struct
 
 import numpy as np
 
@@ -16,14 +16,17 @@ from .common import kept
 
 #: Entries of each of a table's two generations in a worker (a memory bound): when
 #: the young one is full it becomes the old one, and what is used again moves back.
-UNIT_CACHE = 120_000
-PIECE_CACHE = 350_000
+UNIT_CACHE = 250_000
+PIECE_CACHE = 50_000
 
 #: Longer keys are made each time, so a table is bounded in bytes too.
 LONGEST_KEY = 200
 
 MARKS = frozenset(".,;:!?")
 
+#: Packers of so many ids, made once.
+PACKERS = [Struct(f"<{n}H").pack for n in range(64)]
+
 _encoders: dict[str, "ByteEncoder"] = {}
 
 
@@ -95,17 +98,23 @@ class ByteEncoder:
             letters = piece.replace(" ", self.letters[32])
         else:
             letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-        found = self.model.tokenize(letters)
-        return pack(f"<{len(found)}H", *[t.id for t in found])
+        found = [t.id for t in self.model.tokenize(letters)]
+        return PACKERS[len(found)](*found) if len(found) < len(PACKERS) else np.array(found, "<u2").tobytes()
 
     def _unit(self, word: str) -> bytes:
-        """Ids of a space and ``word``: letters alone, letters and a mark, or any text."""
-        pieces = self.pieces
+        """Ids of a space and ``word``: letters alone, letters and a mark, or any text.
+
+        Letters after a space are kept here and nowhere else, so a word takes one place.
+        """
         if word.isalpha():
-            return pieces[" " + word]
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return pieces[" " + word[:-1]] + pieces[word[-1]]
-        return b"".join([pieces[p] for p in self.split(" " + word)])
+            return self._piece(" " + word)
+        units, pieces = self.units, self.pieces
+        if word[-1] in MARKS and word[:-1].isalpha():
+            return units[word[:-1]] + pieces[word[-1]]
+        before, line, after = word.rpartition("\n")
+        if line and after.isalpha() and before and not before[-1].isspace():  # a line's end is a piece by itself
+            return units[before] + pieces[line] + pieces[after]
+        return b"".join([units[p[1:]] if p[0] == " " and p[1:].isalpha() else pieces[p] for p in self.split(" " + word)])
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian 16-bit integers."""

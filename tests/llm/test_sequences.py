@@ -36,6 +36,15 @@ def test_tables_keep_two_generations():
     assert len(t) <= 3 and len(t.old) <= 3
 
 
+def test_a_word_is_kept_once():
+    enc = bpe.ByteEncoder(bpe.default_path())
+    letters = "abcdefghij"
+    words = [f"qu{a}{b}{c}" for a in letters for b in letters for c in letters]
+    text = "".join(f" {w} {w}" for w in words)
+    assert np.frombuffer(enc.encode("x" + text), "<u2").tolist() == LIBRARY.encode("x" + text, add_special_tokens=False).ids
+    assert len(enc.units) + len(enc.pieces) == len(words) + 1  # and the first letter
+
+
 def test_token_files_round_trip(spark, docs, rows):
     folder = shared_dir(spark, "test-tokens")
     manifest = write_token_files(docs, folder, seq_len=64, shards=3)
