@@ -45,6 +45,15 @@ def test_a_word_is_kept_once():
     assert len(enc.units) + len(enc.pieces) == len(words) + 1  # and the first letter
 
 
+def test_line_ends_and_marks_need_no_pattern():
+    enc = bpe.ByteEncoder(bpe.default_path())
+    found, plain = [], enc.split
+    enc.split = lambda text: found.append(text) or plain(text)
+    text = "a bc.\nDe fg,\nhi\njk lm! no\n\nPq é.\nRs"
+    assert np.frombuffer(enc.encode(text), "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert found == ["a", " no\n\nPq"]
+
+
 def test_token_files_round_trip(spark, docs, rows):
     folder = shared_dir(spark, "test-tokens")
     manifest = write_token_files(docs, folder, seq_len=64, shards=3)
