@@ -35,6 +35,11 @@ def test_gradients():
         assert abs((up - down) / 2e-2 - g[k][at]) < 2e-3
 
 
+def test_tanh_by_one_exponent():
+    v = np.linspace(-30, 30, 4001, dtype=np.float32)
+    assert np.abs(lm._tanh(v.copy()) - np.tanh(v)).max() < 5e-7
+
+
 def plain_score(p, layout, y):
     """The document's log-likelihood, token by token, with whole softmaxes."""
     sig = lambda v: 1 / (1 + np.exp(-v))
