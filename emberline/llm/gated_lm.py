@@ -8,6 +8,7 @@ complete document. Many documents advance together, one per lane.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import numpy as np
 HIDDEN = 16
 #: Documents that advance together, steps of a window, windows filled at once.
 LANES, STEPS, WINDOWS = 512, 32, 8
+#: Steps of a window when texts are scored, which changes no score: fewer products, each of more columns.
+SCORED = 128
 #: Ids of the two special tokens, each a class of its own; words follow from 2 by falling count.
 UNKNOWN, END = 0, 1
 RATE, CLIP = 0.02, 1.0
@@ -173,42 +176,60 @@ def _tanh(v: np.ndarray) -> np.ndarray:
     return v
 
 
+class Room:
+    """Arrays that windows use in turn, so that no window asks for memory and touches it anew."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
 def inputs(p: dict) -> np.ndarray:
-    """What each id gives to the gates (3 * hidden, ids)."""
-    out = p["wx"].T @ p["emb"].T
-    out += p["b"][:, None]
+    """What each id gives to the gates (ids, 3 * hidden)."""
+    out = p["emb"] @ p["wx"]
+    out += p["b"]
     return out
 
 
-def forward(p: dict, w: Window, state: np.ndarray, keep_trace: bool, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list]:
+def forward(p: dict, w: Window, state: np.ndarray, keep_trace: bool, given: np.ndarray | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Hidden outputs (hidden, steps * lanes), the last state, and the trace.
 
-    Features come first in every array, so that each operation runs along lanes. ``given`` is ``inputs(p)``, if known.
+    Features come before lanes in every array, so that each operation runs along lanes, and a step's arrays lie
+    together. The trace is, for each step, the state before, the gates with what the state gives to the candidate,
+    and the candidate. ``given`` is ``inputs(p)``, if known; what is returned lies in ``room`` until its next use.
     """
     steps, n = w.x.shape
     k = p["wh"].shape[0]
-    pre = np.take(inputs(p) if given is None else given, w.x.reshape(-1), axis=1, mode="clip")
-    out = np.empty((k, steps * n), np.float32)
-    trace, h, wht = [], state, p["wh"].T.copy()
+    room = room or Room()
+    given = inputs(p) if given is None else given
+    out = room("out", k, steps, n)
+    kept = steps if keep_trace else 1
+    before, gates, candidates = room("before", kept, k, n), room("gates", kept, 3 * k, n), room("candidates", kept, k, n)
+    new, wht = room("new", k, n), p["wh"].T.copy()
+    new[:] = state
     any_fresh = w.fresh.any(axis=1)
     for t in range(steps):
+        h, g, c = before[t % kept], gates[t % kept], candidates[t % kept]
+        h[:] = new
         if any_fresh[t]:
-            h = np.where(w.fresh[t], np.float32(0), h)
-        at = slice(t * n, (t + 1) * n)
-        hh = wht @ h
-        g = _sigmoid(pre[: 2 * k, at] + hh[: 2 * k])
-        z, r = g[:k], g[k:]
-        hn = hh[2 * k :]
-        c = r * hn
-        c += pre[2 * k :, at]
+            h[:, w.fresh[t]] = 0
+        pre = given.take(w.x[t], axis=0, mode="clip").T
+        np.matmul(wht, h, out=g)
+        g[: 2 * k] += pre[: 2 * k]
+        _sigmoid(g[: 2 * k])
+        np.multiply(g[k : 2 * k], g[2 * k :], out=c)
+        c += pre[2 * k :]
         _tanh(c)
-        new = h - c
-        new *= z
+        np.subtract(h, c, out=new)
+        new *= g[:k]
         new += c
-        if keep_trace:
-            trace.append((h, z, r, hn, c))
-        out[:, at] = h = new
-    return out, h, trace
+        out[:, t] = new
+    return out.reshape(k, steps * n), new, (before, gates, candidates)
 
 
 def _exp(logits: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
@@ -225,7 +246,7 @@ def _sorted(layout: Layout, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     """Order of the targets by class, their classes in it, and each class's end."""
     cls = layout.of[y]
     order = np.argsort(cls, kind="stable")  # by radix
-    return order, cls[order], np.cumsum(np.bincount(cls, minlength=layout.classes))
+    return order, cls[order].astype(np.int64), np.cumsum(np.bincount(cls, minlength=layout.classes))
 
 
 def _reach(p: dict) -> tuple[float, np.ndarray]:
@@ -233,45 +254,61 @@ def _reach(p: dict) -> tuple[float, np.ndarray]:
     return float((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max(initial=0)), np.abs(p["wo"]).sum(1) + np.abs(p["bo"])
 
 
-def log_probs(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray, bounds: tuple[float, np.ndarray] | None = None) -> np.ndarray:
+def _beside(bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row's bias and weights."""
+    return np.concatenate([bias[:, None], weights], axis=1)
+
+
+def _columns(h: np.ndarray, at: np.ndarray, room: Room) -> np.ndarray:
+    """Columns ``at`` of ``h`` below a row of ones, which carries the biases."""
+    out = room("columns", 1 + len(h), len(at))
+    out[0] = 1
+    out[1:] = h.take(at, axis=1, mode="clip")
+    return out
+
+
+def _softmax(table: np.ndarray, h: np.ndarray, picks: np.ndarray, bound: float, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Exponents for rows of ``table`` and columns of ``h``, the picked rows' flat places, the columns' sums and the picks' logarithms."""
+    width = h.shape[1]
+    e = np.matmul(table, h, out=room("logits", len(table), width))
+    places = picks * width
+    places += np.arange(width)
+    own = e.reshape(-1).take(places)
+    e, total, top = _exp(e, bound)
+    own -= np.log(total)
+    own -= top
+    return e, places, total, own
+
+
+def log_probs(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray, bounds: tuple[float, np.ndarray] | None = None, room: Room | None = None) -> np.ndarray:
     """Natural log of P(y | h) for columns of h; ``bounds`` are those of ``_reach``, if known."""
+    room = room or Room()
     order, cls, ends = _sorted(layout, y)
-    h, y = h[:, order], y[order]
+    h, y = _columns(h, order, room), y[order]
     most, reach = bounds or _reach(p)
-    wct, bc, lp = p["wc"].T.copy(), p["bc"][:, None], np.empty(len(y))
+    ac, ao, lp = _beside(p["bc"], p["wc"].T), _beside(p["bo"], p["wo"]), np.empty(len(y))
     for at in range(0, len(y), CHUNK):
         near = slice(at, at + CHUNK)
-        logits = wct @ h[:, near]
-        logits += bc
-        own = logits[cls[near], np.arange(logits.shape[1])].astype(np.float64)
-        _, total, top = _exp(logits, most)
-        lp[near] = own - np.log(total) - top
+        lp[near] = _softmax(ac, h[:, near], cls[near], most, room)[3]
     at = 0
     for c, end in enumerate(ends.tolist()):
         start, stop = layout.starts[c], layout.starts[c + 1]
         if at < end and stop - start > 1:
-            logits = p["wo"][start:stop] @ h[:, at:end] + p["bo"][start:stop, None]
-            own = logits[y[at:end] - start, np.arange(end - at)].astype(np.float64)
-            _, total, top = _exp(logits, float(reach[start:stop].max()))
-            lp[at:end] += own - np.log(total) - top
+            lp[at:end] += _softmax(ao[start:stop], h[:, at:end], y[at:end] - start, float(reach[start:stop].max()), room)[3]
         at = end
     out = np.empty(len(y))
     out[order] = lp
     return out
 
 
-def _beside(bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Each row's bias and weights."""
-    return np.concatenate([bias[:, None], weights], axis=1)
-
-
-def gradients(p: dict, layout: Layout, w: Window, state: np.ndarray) -> tuple[dict, np.ndarray, float]:
+def gradients(p: dict, layout: Layout, w: Window, state: np.ndarray, room: Room | None = None) -> tuple[dict, np.ndarray, float]:
     """Gradient of the mean loss over the window's tokens; the last state; loss.
 
-    A row of ones beside the outputs carries the biases. What a column's exponents are to be multiplied by goes
-    to its few outputs, not to its many logits.
+    What a column's exponents are to be multiplied by goes to its few outputs, not to its many logits. The last
+    state lies in ``room`` until its next use.
     """
-    out, last, trace = forward(p, w, state, True)
+    room = room or Room()
+    out, last, (before, gates, candidates) = forward(p, w, state, True, None, room)
     steps, n = w.x.shape
     k = len(out)
     real = np.flatnonzero(w.real.reshape(-1))
@@ -279,29 +316,25 @@ def gradients(p: dict, layout: Layout, w: Window, state: np.ndarray) -> tuple[di
     order, cls, ends = _sorted(layout, y)
     real, y = real[order], y[order]
     kind = p["wc"].dtype
-    h = np.ones((1 + k, len(y)), kind)
-    h[1:] = out[:, real]
+    h = _columns(out, real, room)
     scale = kind.type(1 / len(y))
-    g = {name: np.zeros_like(x) for name, x in p.items() if name not in ("wc", "bc", "wo", "bo")}
-    columns = np.arange(len(y))
     most, reach = _reach(p)
     ac, ao = _beside(p["bc"], p["wc"].T), _beside(p["bo"], p["wo"])
-    gc, go, dh = np.zeros_like(ac), np.zeros_like(ao), np.zeros((k, len(y)), kind)
+    gc, go, dh = np.zeros_like(ac), np.zeros_like(ao), room("outputs", k, len(y) + 1)
+    dh[:] = 0  # and stays so in the last column, that of tokens that aren't real
 
     def part(table, grad, at: int, end: int, picks, bound: float) -> float:
         """The loss and gradients of a softmax over rows of ``table``, of which the columns' targets are ``picks``."""
         hc = h[:, at:end]
-        e = table @ hc
-        target = picks, columns[: end - at]
-        own = e[target]
-        e, total, top = _exp(e, bound)
-        e[target] -= total
+        e, places, total, own = _softmax(table, hc, picks, bound, room)
+        flat = e.reshape(-1)
+        flat[places] = flat.take(places) - total
         share = scale / total
         grad += e @ (hc * share).T
         back = table[:, 1:].T @ e
         back *= share
         dh[:, at:end] += back
-        return float((np.log(total) + top - own).sum())
+        return -float(own.sum())
 
     loss = 0.0
     for at in range(0, len(y), CHUNK):
@@ -313,38 +346,44 @@ def gradients(p: dict, layout: Layout, w: Window, state: np.ndarray) -> tuple[di
         if at < end and stop - start > 1:
             loss += part(ao[start:stop], go[start:stop], at, end, y[at:end] - start, float(reach[start:stop].max()))
         at = end
-    g["wc"], g["bc"], g["wo"], g["bo"] = gc[:, 1:].T.copy(), gc[:, 0].copy(), go[:, 1:].copy(), go[:, 0].copy()
-    dout = np.zeros((k, steps * n), np.float32)
-    dout[:, real] = dh
-    dpre, dhid, prevs = np.empty((3 * k, steps * n), np.float32), np.empty((3 * k, steps * n), np.float32), np.empty((k, steps * n), np.float32)
-    carry, wh = np.zeros((k, n), np.float32), p["wh"]
-    any_fresh = w.fresh.any(axis=1)
+    g = {"wc": gc[:, 1:].T.copy(), "bc": gc[:, 0].copy(), "wo": go[:, 1:].copy(), "bo": go[:, 0].copy()}
+    place = np.full(steps * n, len(y))
+    place[real] = np.arange(len(y))
+    place = place.reshape(steps, n)
+    read = p["emb"].take(w.x, axis=0, mode="clip")
+    # rows of what the state gave to the candidate, of the gates, and of the candidate: the first three quarters go
+    # back to the state, the last three to the inputs
+    d, dx, carry, keep = room("gate gradients", 4 * k, n), room("input gradients", steps, k, n), np.zeros((k, n), np.float32), room("keep", k, n)
+    dhn, dz, dr, dc = d[:k], d[k : 2 * k], d[2 * k : 3 * k], d[3 * k :]
+    wh, gwh, gwx, gb = np.roll(p["wh"], k, axis=1), np.zeros((3 * k, k), kind), np.zeros((3 * k, k), kind), np.zeros(3 * k, kind)
+    any_fresh, ones = w.fresh.any(axis=1), np.ones(n, np.float32)
     for t in range(steps - 1, -1, -1):
-        at = slice(t * n, (t + 1) * n)
-        prev, z, r, hn, c = trace[t]
-        prevs[:, at] = prev
-        carry += dout[:, at]  # of the new state
-        keep = 1 - z
-        dc = (1 - c * c) * carry
+        prev, (z, r, hn), c = before[t], gates[t].reshape(3, k, n), candidates[t]
+        carry += dh.take(place[t], axis=1, mode="clip")  # of the new state
+        np.subtract(1, z, out=keep)
+        np.multiply(c, c, out=dc)
+        np.subtract(1, dc, out=dc)
+        dc *= carry
         dc *= keep
         carry *= z
-        dz = (prev - c) * carry
+        np.subtract(prev, c, out=dz)
+        dz *= carry
         dz *= keep
-        dr = dc * r
-        dhid[2 * k :, at] = dr
-        dr *= hn
-        dr *= 1 - r
-        dpre[:k, at], dpre[k : 2 * k, at], dpre[2 * k :, at] = dz, dr, dc
-        dhid[: 2 * k, at] = dpre[: 2 * k, at]
-        carry += wh @ dhid[:, at]
+        np.multiply(dc, r, out=dhn)
+        np.multiply(dhn, hn, out=dr)
+        np.subtract(1, r, out=keep)
+        dr *= keep
+        gwh += d[: 3 * k] @ prev.T
+        gwx += d[k:] @ read[t]
+        gb += d[k:] @ ones
+        np.matmul(p["wx"], d[k:], out=dx[t])
+        carry += wh @ d[: 3 * k]
         if any_fresh[t]:
             carry[:, w.fresh[t]] = 0
     ids = w.x.reshape(-1)
-    g["wh"], g["b"] = prevs @ dhid.T, dpre.sum(1)
-    g["wx"] = np.take(p["emb"].T, ids, axis=1, mode="clip") @ dpre.T
-    dx = p["wx"] @ dpre
+    g["wh"], g["wx"], g["b"], g["emb"] = np.roll(gwh, -k, axis=0).T.copy(), gwx.T.copy(), gb, np.empty_like(p["emb"])
     for f in range(k):
-        g["emb"][:, f] = np.bincount(ids, weights=dx[f], minlength=layout.size)
+        g["emb"][:, f] = np.bincount(ids, weights=dx[:, f].reshape(-1), minlength=layout.size)
     return g, last, loss
 
 
@@ -379,11 +418,11 @@ class Adam:
 def train_on(p: dict, adam: Adam, layout: Layout, docs: Iterable[tuple[object, np.ndarray]]) -> int:
     """One pass over documents' ids from where ``p`` and ``adam`` stand, which it moves; the tokens seen."""
     tokens = 0
-    states = np.zeros((HIDDEN, LANES), np.float32)
+    states, room = np.zeros((HIDDEN, LANES), np.float32), Room()
     for block in blocks(docs):
         states = states[:, block.lanes]
         for w in windows(block):
-            g, last, _ = gradients(p, layout, w, states[:, w.rows])
+            g, last, _ = gradients(p, layout, w, states[:, w.rows], room)
             states[:, w.rows] = last
             real = int(w.real.sum())
             # short windows, where few documents are left, move the model less
@@ -402,15 +441,15 @@ def score(p: dict, layout: Layout, docs: Iterable[tuple[object, np.ndarray]]) ->
     """(key, natural log-likelihood of the whole document) as documents end."""
     states = np.zeros((HIDDEN, LANES), np.float32)
     totals: dict[object, float] = {}
-    given, bounds = inputs(p), _reach(p)
+    given, bounds, room = inputs(p), _reach(p), Room()
     for block in blocks(docs):
         states = states[:, block.lanes]
         sums = np.zeros((block.y.shape[0], block.y.shape[1] + 1))
-        for w in windows(block):
-            out, states[:, w.rows], _ = forward(p, w, states[:, w.rows], False, given)
-            flat = w.real.reshape(-1)
-            lp = np.zeros(len(flat))
-            lp[flat] = log_probs(p, layout, out[:, flat], w.y.reshape(-1)[flat], bounds)
+        for w in windows(block, SCORED):
+            out, states[:, w.rows], _ = forward(p, w, states[:, w.rows], False, given, room)
+            real = np.flatnonzero(w.real.reshape(-1))
+            lp = np.zeros(w.real.size)
+            lp[real] = log_probs(p, layout, out.take(real, axis=1), w.y.reshape(-1)[real], bounds, room)
             sums[w.rows, w.at + 1 : w.at + 1 + len(w.y)] = lp.reshape(w.y.shape).T
         np.cumsum(sums, axis=1, out=sums)
         for key, b, start, end, last in block.spans:

@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -40,6 +41,46 @@ def test_tanh_by_one_exponent():
     assert np.abs(lm._tanh(v.copy()) - np.tanh(v)).max() < 5e-7
 
 
+def test_windows_of_a_room_are_plain_and_ask_for_little_memory():
+    """Gradients of windows that take turns in a room are those of windows alone; a window asks for a fraction of what it works on."""
+    rng = np.random.default_rng(5)
+    layout = lm.Layout(rng.integers(1, 50, 1024))
+    p = lm.initial(layout)
+    p["wc"], p["wo"] = (rng.standard_normal(p[x].shape).astype(np.float32) for x in ("wc", "wo"))
+    docs = [(i, rng.integers(0, 1024, rng.integers(20, 90)).astype(np.uint16)) for i in range(2000)]
+    room, state = lm.Room(), np.zeros((16, lm.LANES), np.float32)
+    ws = list(lm.windows(next(lm.blocks(docs))))
+    assert len(ws[-1].rows) < len(ws[0].rows) and not all(w.real.all() for w in ws)
+    for w in ws:
+        g, last, loss = lm.gradients(p, layout, w, state[:, w.rows], room)
+        alone, last_alone, loss_alone = lm.gradients(p, layout, w, state[:, w.rows])
+        assert set(g) == set(p) and all((g[x] == alone[x]).all() for x in g)
+        assert (last == last_alone).all() and loss == loss_alone
+        state[:, w.rows] = last
+    tracemalloc.start()
+    lm.gradients(p, layout, ws[0], state[:, ws[0].rows], room)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4e6
+
+
+def test_longer_windows_score_the_same(monkeypatch):
+    """A block of 256 steps is scored in two windows, with the scores of any other length."""
+    rng = np.random.default_rng(7)
+    layout = lm.Layout(rng.integers(1, 50, 300))
+    p = {k: (v + rng.normal(size=v.shape) * 0.1).astype(np.float32) for k, v in lm.initial(layout).items()}
+    docs = [(k, np.r_[rng.integers(2, 300, n), lm.END]) for k, n in enumerate([700, 127, 128, 0, 255])]
+    made, plain = [], lm.log_probs
+    monkeypatch.setattr(lm, "log_probs", lambda *a: made.append(len(a[3])) or plain(*a))
+    got = dict(lm.score(p, layout, docs))
+    assert len(made) == 6 and sum(made) == sum(len(y) for _, y in docs)
+    monkeypatch.setattr(lm, "SCORED", 32, raising=False)
+    again = dict(lm.score(p, layout, docs))
+    for k, y in docs:
+        assert abs(got[k] - plain_score(p, layout, y)) < 2e-4 * abs(got[k])
+        assert abs(got[k] - again[k]) < 1e-5 * abs(got[k])
+
+
 def plain_score(p, layout, y):
     """The document's log-likelihood, token by token, with whole softmaxes."""
     sig = lambda v: 1 / (1 + np.exp(-v))
