@@ -233,7 +233,7 @@ def conflict_pairs(records: DataFrame, most: int = 50, page: int = 64) -> DataFr
     """
     spark = records.sparkSession
     folder = shared_folder(spark, "conflict-signatures")
-    records.filter("id is not null").select("id", block_keys(F.col("name"), F.col("domain")).alias("keys"), R.signature(F.col("content")).alias("sig")).write.parquet(folder)
+    records.filter("id is not null").select("id", block_keys(F.col("name"), F.col("domain")).alias("keys"), R.signature(F.col("content"), re2=True).alias("sig")).write.parquet(folder)
     every = spark.read.parquet(folder)
     side = lambda df, x: df.select(F.col("id").alias(x), F.col("keys").alias(f"k{x}"), F.col("sig").alias(f"s{x}"), F.explode("keys").alias("key"))
     found, open_ = [], every
@@ -245,7 +245,7 @@ def conflict_pairs(records: DataFrame, most: int = 50, page: int = 64) -> DataFr
         here = open_.filter(F.col("id") <= last)
         met = side(every, "b").join(side(here, "a"), "key").filter((F.col("a") < F.col("b")) & (F.col("key") == F.array_min(F.array_intersect("ka", "kb"))))
         told = met.select("a", "b", R.conflicting(F.col("sa"), F.col("sb")).alias("c")).filter(F.size("c") > 0)
-        fields = F.array_join(F.array_sort(F.transform("c", lambda x: x["field"])), ",")
+        fields = F.array_join(F.array_sort(F.array_distinct(F.transform("c", lambda x: x["field"]))), ",")
         found += [tuple(r) for r in told.select("a", "b", fields.alias("fields")).orderBy("a", "b").limit(most - len(found)).collect()]  # ``most`` rows
         open_, page = open_.filter(F.col("id") > last), page * 8
     return spark.createDataFrame(found, "a long, b long, fields string")

@@ -212,3 +212,24 @@ def test_slot_pairs_in_order(spark):
     for most in (1, 40, 10_000):
         got = [tuple(r) for r in facts.slot_pairs(df, slots, links, most, page=3).collect()]
         assert sorted(got) == sorted(want[:most])
+
+
+def test_conflict_pairs_read_texts_as_sql_does(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from emberline.operators import facts
+    from emberline.plans import retrieval  # noqa: F401  its plans
+    from emberline.plans.catalog import SQL
+
+    texts = ["noñra", "año not", "plain", "3月4日", "3月4号", "on 3月5日x", "3%4kg", "3% 5kg", "7Kg", "7kg", "size = 1　", "size = 1", "ſize = 2", "ſize = 3",
+             "a size = 4", "a\nsize = 4", "size\x0b= 6", "negation: x\nno", "negation: y", "1kg2kg 3kg"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(k, "n", ["d"], t) for k, t in rows], "id long, name string, domain array<string>, content string")
+    c = duckdb.connect()
+    c.register("rows", pa.table({"id": [k for k, _ in rows], "content": texts}))
+    own = "WITH memories AS (SELECT id, content, 'n' AS name, ['d'] AS domain, false AS resolved, false AS pinned, false AS protected, 'dynamic' AS type FROM rows), "
+    sql = SQL["j04_conflict_pairs"]
+    want = c.sql(own + sql[sql.index("p AS MATERIALIZED") :]).fetchall()
+    assert len(want) > 60
+    assert sorted(tuple(r) for r in facts.conflict_pairs(df, 500, page=4).collect()) == sorted(want)
