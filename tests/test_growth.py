@@ -130,3 +130,19 @@ def test_pairs_of_a_large_key_are_dealt_to_parts(spark):
     assert sorted((r.a, r.b, r.key) for r in got.collect()) == sorted((r.a, r.b, r.key) for r in want.collect())
     tasks = got.groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) > 5 and max(r["count"] for r in tasks) < want.count() / 3
+
+
+def test_topic_score_reads_whole_contents(spark):
+    from pyspark.sql import functions as F
+
+    from emberline.functions import similarity as X
+
+    rows = [(0, "z" * 5000 + " src3 the"), (1, "z" * 200_000 + "src3 th"), (2, "z" * 5000), (3, "é漢" * 40_000 + "src3 xthe" + "é" * 70_000)]
+    df = spark.createDataFrame([(k, "n", ["z"], ["d"], t) for k, t in rows], "id long, name string, tags array<string>, domain array<string>, content string")
+    got = dict(df.select("id", F.round(X.topic_score("src3 the", F.col("name"), F.col("tags"), F.col("domain"), F.col("content")), 6)).collect())
+    assert got == {0: 0.8, 1: round(0.8 * 14 / 15, 6), 2: 0.0, 3: 0.7}
+    long = "".join(chr(97 + k * k % 23) for k in range(300))
+    for n in (8, 9, 33, 64, 65):
+        short = long[150 : 150 + n : 2] + "!" * (n // 2)
+        windows = [long[max(0, s) : s + len(short)] for s in range(1 - len(short), len(long))]
+        assert X.partial_ratio(short, long) == max(X.ratio(short, w) for w in windows)
