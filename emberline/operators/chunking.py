@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import token_estimate
 
-LINE_CHARS, MOST_CHUNKS = 1200, 10
+LINE_CHARS = 1200
 # Labels of speakers in a chunk.
 LABELS = ("用户", "AI")
 
@@ -52,8 +52,8 @@ def turn_chunks(turns: DataFrame, target: int) -> DataFrame:
     return numbered.groupBy("conv_id", "chunk").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("content"))
 
 
-def line_chunks_of(text: str, size: int = LINE_CHARS, most: int = MOST_CHUNKS) -> list[str]:
-    """Lines joined up to ``size`` characters; longer lines are cut; ``most`` chunks."""
+def line_chunks_of(text: str, size: int = LINE_CHARS, most: int | None = None) -> list[str]:
+    """Lines joined up to ``size`` characters; longer lines are cut; all chunks, or the first ``most``."""
     text = text.strip()
     if len(text) <= size:
         return [text] if text else []
@@ -71,7 +71,7 @@ def line_chunks_of(text: str, size: int = LINE_CHARS, most: int = MOST_CHUNKS) -
     return out[:most]
 
 
-def line_chunks(text: Column, size: int = LINE_CHARS, most: int = MOST_CHUNKS) -> Column:
+def line_chunks(text: Column, size: int = LINE_CHARS, most: int | None = None) -> Column:
     @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
         return pa.array([line_chunks_of(t.as_py(), size, most) if t.is_valid else None for t in texts], pa.list_(pa.string()))

@@ -86,3 +86,15 @@ def test_greedy_clusters_of_stretches_and_old_rows(spark):
     d = "/root/testdata/sf0.1"
     newest = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id as id").orderBy(F.desc(F.col("id") % 720), "id").limit(500)
     assert QUERIES["w05_greedy_clusters"](spark, d).join(newest, "id", "left_anti").count() > 0
+
+
+def test_line_chunks_hold_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    lines = [f"{k} " + "w" * (k * 7 % 90) for k in range(400)] + ["x" * 3000]
+    text = "\n".join(lines)
+    got = chunking.line_chunks_of(text, 100)
+    assert len(got) > 100 and all(len(c) <= 100 for c in got) and "".join(got).replace("\n", "") == "".join(x.strip() for x in lines)
+    df = spark.createDataFrame([(text,), (None,)], "text string")
+    assert [r.c for r in df.select(chunking.line_chunks(F.col("text")).alias("c")).collect()] == [chunking.line_chunks_of(text, 1200), None]
+    assert len(chunking.line_chunks_of(text)) > 10
