@@ -146,3 +146,27 @@ def test_topic_score_reads_whole_contents(spark):
         short = long[150 : 150 + n : 2] + "!" * (n // 2)
         windows = [long[max(0, s) : s + len(short)] for s in range(1 - len(short), len(long))]
         assert X.partial_ratio(short, long) == max(X.ratio(short, w) for w in windows)
+
+
+def test_pairs_of_a_large_key_are_unpacked_from_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    from emberline.operators import ranking
+
+    def written() -> int:
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        jvm = sc._gateway.jvm
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    a = spark.range(3000).select(F.col("id").alias("a"), F.lit("x").alias("key"), (F.col("id") % 7).alias("m"))
+    b = spark.range(600).select(F.col("id").alias("b"), F.lit("x").alias("key"))
+    before = written()
+    got = ranking.spread_join(a, b, ["key"], "a", 2_000)
+    assert got.columns == ["key", "a", "m", "b"]
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("a", "b"), F.sum("m")).first()[:] == (1_800_000, 1_800_000, 600 * sum(k % 7 for k in range(3000)))
+    assert written() - before < 1_800_000 + 30_000  # the distinct pairs; 540,000 copies more where only one side is dealt
+    for n, k in ((1, 500), (500, 1), (3, 3), (0, 4), (90, 2)):
+        one, two = spark.range(n).selectExpr("id a", "id % 2 key"), spark.range(k).selectExpr("id b", "id % 2 key", "array(id) v")
+        assert sorted(map(tuple, ranking.spread_join(one, two, ["key"], "a", 50).collect())) == sorted(map(tuple, one.join(two, "key").collect()))
