@@ -233,3 +233,33 @@ def test_conflict_pairs_read_texts_as_sql_does(spark):
     want = c.sql(own + sql[sql.index("p AS MATERIALIZED") :]).fetchall()
     assert len(want) > 60
     assert sorted(tuple(r) for r in facts.conflict_pairs(df, 500, page=4).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_cluster_neighbours(spark, block):
+    from pyspark.sql import Window
+
+    from emberline.functions.scoring import cosine
+    from emberline.operators import vectors
+
+    r = np.random.default_rng(4)
+    odd = [None, [], [0.0] * 3, [1.0, None, 2.0], [float("nan"), 1.0, 0.0], [1e200, 1.0, 1e-200], [1e-180, 0.0, 1e-180], [1.0, 2.0], [float("inf"), 0.0, 1.0], [None, 1.0]]
+    rows = [(k, [float(x) for x in r.integers(-1, 2, 3)] if k % 3 else odd[k // 3 % len(odd)] if k % 2 else r.normal(size=3).tolist(), k % 4 if k % 11 else None) for k in range(230)]
+    rows += [(1000, [1.0, 0.0, 0.0], 9), (1001, [1.0, 1e-4, 0.0], 9), (1005, [1.0, 0.0, 0.0], 9), (2000, [1.0], 10)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>, cluster int").repartition(3)
+    seeds = v.filter("id % 5 = 0")
+    pairs = seeds.selectExpr("id source", "vec q", "cluster").join(v.withColumnRenamed("id", "target"), "cluster").filter("source <> target")
+    scored = pairs.select("source", "target", F.round(cosine(F.col("q"), F.col("vec")), 6).alias("sim"))
+    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("sim"), "target")))
+    want = best.filter("rn <= 4")
+    got = vectors.cluster_neighbours(v, seeds, 4, block)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_edge_candidates_are_not_scored_pair_by_pair(spark):
+    import __spark_entry__  # noqa: F401  all plans
+    from emberline.plans.catalog import QUERIES
+
+    plan = QUERIES["g07_edge_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "FlatMapCoGroupsInArrow" in plan
